@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripparity.operators import contracts, pairs, parity
+from tripparity.operators import contracts, drift, pairs, parity
 from tripparity.operators.online import online_vector
 from tripparity.operators.shared import shared_vector, training_features
 from tripparity.operators.vector import FEATURE_NAMES
@@ -131,6 +131,85 @@ def q_parity_tables_joined(spark, sf_dir):
                          .alias("mismatched_features"))
 
 
+# ----------------------------------------------------------------------------- drift
+
+def served_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The served log: serving vectors of accepted requests with their serving time."""
+    return accepted(spark, sf_dir).select("request_id", "served_at", "event_type",
+                                          *[F.col(f"s_{n}").alias(n) for n in FEATURE_NAMES])
+
+
+def reference(spark: SparkSession, sf_dir: str) -> drift.ReferenceStats:
+    return drift.compute_reference_stats(training_table(spark, sf_dir))
+
+
+def q_ref_stats_moments(spark, sf_dir):
+    frame = drift.reference_frame(spark, reference(spark, sf_dir))
+    return frame.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+                        "min", "max")
+
+
+def q_ref_stats_edges(spark, sf_dir):
+    frame = drift.reference_frame(spark, reference(spark, sf_dir))
+    return frame.select("feature", F.posexplode("bin_edges").alias("edge_index", "edge"))
+
+
+def q_ref_stats_proportions(spark, sf_dir):
+    frame = drift.reference_frame(spark, reference(spark, sf_dir))
+    return frame.select("feature", F.posexplode("bin_proportions").alias("bin_index", "proportion")) \
+        .withColumn("proportion", F.round("proportion", 9))
+
+
+def q_drift_last_500(spark, sf_dir):
+    return drift.latest(served_log(spark, sf_dir), drift.DEFAULT_BUFFER_SIZE).drop("event_type")
+
+
+def _rounded_features(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "feature", F.round("psi", 6).alias("psi"), "status",
+                     F.round("reference_mean", 6).alias("reference_mean"),
+                     F.round("current_mean", 6).alias("current_mean"))
+
+
+def q_drift_report_features(spark, sf_dir):
+    sample = drift.latest(served_log(spark, sf_dir))
+    features, _ = drift.drift_report(sample, reference(spark, sf_dir))
+    return _rounded_features(features)
+
+
+def q_drift_report_overall(spark, sf_dir):
+    sample = drift.latest(served_log(spark, sf_dir))
+    _, overall = drift.drift_report(sample, reference(spark, sf_dir))
+    return overall
+
+
+def q_drift_insufficient(spark, sf_dir):
+    """A buffer smaller than the 30-sample gate: status insufficient_data, no feature rows."""
+    sample = drift.latest(served_log(spark, sf_dir), n=drift.MINIMUM_SAMPLES_FOR_DRIFT - 1)
+    _, overall = drift.drift_report(sample, reference(spark, sf_dir))
+    return overall
+
+
+def q_drift_unavailable(spark, sf_dir):
+    """No reference statistics: status unavailable, the sample still counted."""
+    _, overall = drift.drift_report(drift.latest(served_log(spark, sf_dir)), None)
+    return overall
+
+
+def q_drift_by_group(spark, sf_dir):
+    """Latest 500 served rows per event type, drift of each group against the one reference."""
+    sample = drift.latest_per_group(served_log(spark, sf_dir), "event_type")
+    features, _ = drift.drift_report(sample, reference(spark, sf_dir), group_by=("event_type",))
+    return _rounded_features(features, "event_type")
+
+
+def q_drift_shifted(spark, sf_dir):
+    """The newest 500 served rows with distances read as kilometres: distance drifts, others not."""
+    sample = drift.latest(served_log(spark, sf_dir)).withColumn(
+        "trip_distance_miles", F.col("trip_distance_miles") * F.lit(1.609344))
+    features, _ = drift.drift_report(sample, reference(spark, sf_dir))
+    return _rounded_features(features)
+
+
 def base_queries() -> dict[str, Query]:
     return {
         "trips_valid": q_trips_valid,
@@ -147,6 +226,16 @@ def base_queries() -> dict[str, Query]:
         "parity_report_counts": q_parity_report_counts,
         "parity_rollup": q_parity_rollup,
         "parity_tables_joined": q_parity_tables_joined,
+        "ref_stats_moments": q_ref_stats_moments,
+        "ref_stats_edges": q_ref_stats_edges,
+        "ref_stats_proportions": q_ref_stats_proportions,
+        "drift_last_500": q_drift_last_500,
+        "drift_report_features": q_drift_report_features,
+        "drift_report_overall": q_drift_report_overall,
+        "drift_insufficient": q_drift_insufficient,
+        "drift_unavailable": q_drift_unavailable,
+        "drift_by_group": q_drift_by_group,
+        "drift_shifted": q_drift_shifted,
     }
 
 

@@ -270,5 +270,115 @@ FROM m"""),
     }
 
 
+# ----------------------------------------------------------------------------- drift
+
+def _double_features(prefix: str = "") -> str:
+    return ", ".join(f"CAST({prefix}{n} AS DOUBLE) AS {n}" for n in FEATURES)
+
+
+_UNPIVOT_ON = ", ".join(FEATURES)
+
+REFERENCE = f"""
+tl AS (UNPIVOT (SELECT trip_id, {_double_features()} FROM training)
+       ON {_UNPIVOT_ON} INTO NAME feature VALUE value),
+rq AS (SELECT feature, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS mn, max(value) AS mx,
+              quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS qs
+       FROM tl GROUP BY feature),
+ru AS (SELECT *, list_sort(list_distinct(list_transform(qs, lambda q: round(q, 9)))) AS u FROM rq),
+redges AS (SELECT feature, mean, std, mn, mx,
+                  CASE WHEN len(u) < 2 THEN ['-inf'::DOUBLE, 'inf'::DOUBLE]
+                       ELSE list_concat(['-inf'::DOUBLE], u[2:len(u) - 1], ['inf'::DOUBLE]) END AS edges
+           FROM ru),
+rbins AS (SELECT feature, unnest(range(0, len(edges) - 1)) AS bin FROM redges),
+rcounts AS (SELECT t.feature, len(list_filter(r.edges[2:len(r.edges) - 1], lambda e: t.value >= e)) AS bin,
+                   count(*) AS c
+            FROM tl t JOIN redges r USING (feature) GROUP BY ALL),
+rtot AS (SELECT feature, count(*) AS n FROM tl GROUP BY feature),
+rprops AS (SELECT b.feature, b.bin, coalesce(c.c, 0) / t.n AS proportion
+           FROM rbins b JOIN rtot t USING (feature)
+           LEFT JOIN rcounts c ON c.feature = b.feature AND c.bin = b.bin)"""
+
+SERVED_LOG = f"""
+slog AS (SELECT request_id, served_at, event_type, {", ".join(f"s_{n} AS {n}" for n in FEATURES)}
+         FROM accepted)"""
+
+
+def _psi_sql(sample_cte: str, group: str | None = None, distance_factor: str | None = None) -> str:
+    """PSI per (group,) feature of ``sample`` against the reference CTEs."""
+    g = f"{group}, " if group else ""
+    gsel = f"s.{group}, " if group else ""
+    gjoin = f" AND c.{group} = t.{group}" if group else ""
+    dist = f"trip_distance_miles * {distance_factor} AS trip_distance_miles" if distance_factor else None
+    cols = ", ".join((dist if (n == "trip_distance_miles" and dist) else f"CAST({n} AS DOUBLE) AS {n}")
+                     for n in FEATURES)
+    return f"""
+, sample AS ({sample_cte}),
+sl AS (UNPIVOT (SELECT request_id, {g}{cols} FROM sample) ON {_UNPIVOT_ON} INTO NAME feature VALUE value),
+scounts AS (SELECT {gsel}s.feature, len(list_filter(r.edges[2:len(r.edges) - 1], lambda e: s.value >= e)) AS bin,
+                   count(*) AS c
+            FROM sl s JOIN redges r USING (feature) GROUP BY ALL),
+stot AS (SELECT {g}count(*) AS n FROM sample {"GROUP BY " + group if group else ""}),
+smeans AS (SELECT {g}feature, avg(value) AS current_mean FROM sl GROUP BY ALL),
+psi AS (SELECT {"t." + group + ", " if group else ""}p.feature,
+               sum((greatest(coalesce(c.c, 0) / t.n, 1e-6) - greatest(p.proportion, 1e-6))
+                   * ln(greatest(coalesce(c.c, 0) / t.n, 1e-6) / greatest(p.proportion, 1e-6))) AS psi
+        FROM rprops p CROSS JOIN stot t
+        LEFT JOIN scounts c ON c.feature = p.feature AND c.bin = p.bin{gjoin}
+        WHERE t.n >= 30
+        GROUP BY ALL)
+SELECT {"p." + group + ", " if group else ""}p.feature, round(p.psi, 6) AS psi,
+       CASE WHEN p.psi >= 0.25 THEN 'significant' WHEN p.psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS status,
+       round(r.mean, 6) AS reference_mean, round(m.current_mean, 6) AS current_mean
+FROM psi p JOIN redges r USING (feature)
+JOIN smeans m ON m.feature = p.feature {"AND m." + group + " = p." + group if group else ""}"""
+
+
+LAST_500 = "SELECT * FROM slog ORDER BY served_at DESC, request_id DESC LIMIT 500"
+LAST_500_PER_TYPE = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type "
+                     "ORDER BY served_at DESC, request_id DESC) AS rn FROM slog) WHERE rn <= 500")
+
+
+def drift_sql() -> dict[str, str]:
+    base = (TRIPS, REQUESTS, REFERENCE, SERVED_LOG)
+    overall = f"""
+, sample AS ({LAST_500}),
+psi AS (SELECT p.feature,
+               sum((greatest(coalesce(c.c, 0) / t.n, 1e-6) - greatest(p.proportion, 1e-6))
+                   * ln(greatest(coalesce(c.c, 0) / t.n, 1e-6) / greatest(p.proportion, 1e-6))) AS psi
+        FROM rprops p CROSS JOIN (SELECT count(*) AS n FROM sample) t
+        LEFT JOIN (SELECT s.feature, len(list_filter(r.edges[2:len(r.edges) - 1], lambda e: s.value >= e)) AS bin,
+                          count(*) AS c
+                   FROM (UNPIVOT (SELECT request_id, {_double_features()} FROM sample)
+                         ON {_UNPIVOT_ON} INTO NAME feature VALUE value) s
+                   JOIN redges r USING (feature) GROUP BY ALL) c
+          ON c.feature = p.feature AND c.bin = p.bin
+        GROUP BY ALL)
+SELECT CASE WHEN (SELECT count(*) FROM sample) < 30 THEN 'insufficient_data'
+            WHEN max(psi) >= 0.25 THEN 'significant' WHEN max(psi) >= 0.1 THEN 'moderate' ELSE 'stable' END
+         AS status,
+       (SELECT count(*) FROM sample) AS sample_count, true AS reference_available
+FROM psi"""
+    return {
+        "ref_stats_moments": with_ctes(*base, body="""
+SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std, mn AS "min", mx AS "max" FROM redges"""),
+        "ref_stats_edges": with_ctes(*base, body="""
+SELECT feature, CAST(i - 1 AS INTEGER) AS edge_index, edges[i] AS edge
+FROM (SELECT feature, edges, unnest(range(1, len(edges) + 1)) AS i FROM redges)"""),
+        "ref_stats_proportions": with_ctes(*base, body="""
+SELECT feature, CAST(bin AS INTEGER) AS bin_index, round(proportion, 9) AS proportion FROM rprops"""),
+        "drift_last_500": with_ctes(*base, body=f"""
+SELECT request_id, served_at, {", ".join(FEATURES)} FROM ({LAST_500})"""),
+        "drift_report_features": with_ctes(*base, body=_psi_sql(LAST_500)),
+        "drift_report_overall": with_ctes(*base, body=overall),
+        "drift_insufficient": with_ctes(*base, body="""
+SELECT 'insufficient_data' AS status, count(*) AS sample_count, true AS reference_available
+FROM (SELECT * FROM slog ORDER BY served_at DESC, request_id DESC LIMIT 29)"""),
+        "drift_unavailable": with_ctes(*base, body=f"""
+SELECT 'unavailable' AS status, count(*) AS sample_count, false AS reference_available FROM ({LAST_500})"""),
+        "drift_by_group": with_ctes(*base, body=_psi_sql(LAST_500_PER_TYPE, group="event_type")),
+        "drift_shifted": with_ctes(*base, body=_psi_sql(LAST_500, distance_factor="1.609344")),
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return dict(base_sql())
+    return {**base_sql(), **drift_sql()}
