@@ -185,6 +185,11 @@ def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str
     table = leaf_table(spark, model)
     shipped = spark.sparkContext.broadcast(table)
     inputs = df.select(*keep, *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
+    # The kernel is CPU-bound Python: make sure there are at least as many tasks as cores. Inputs
+    # that are already split finer keep their partitioning (no shuffle).
+    parallelism = spark.sparkContext.defaultParallelism
+    if inputs.rdd.getNumPartitions() < parallelism:
+        inputs = inputs.repartition(parallelism)
     key_fields = [f for f in inputs.schema.fields if f.name in keep]
     schema = StructType(key_fields
                         + [StructField(n, DoubleType()) for n in FEATURE_NAMES]
@@ -211,15 +216,23 @@ def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str
 
 def explain_linear(df: DataFrame, model, means: dict[str, float], keep: tuple[str, ...] = (),
                    prefix: str = "") -> DataFrame:
-    """Contributions ``coef_j * (x_j - mean_j)``; base = intercept + sum coef_j * mean_j."""
+    """M13 for a fitted linear model."""
     if isinstance(model, PipelineModel):
         model = model.stages[-1]
     if not isinstance(model, LinearRegressionModel):
         raise TypeError("explain_linear needs a LinearRegressionModel")
-    coef = [float(c) for c in model.coefficients]
-    base = float(model.intercept) + sum(c * means[n] for c, n in zip(coef, FEATURE_NAMES))
+    coefficients = {n: float(c) for n, c in zip(FEATURE_NAMES, model.coefficients)}
+    return explain_coefficients(df, coefficients, float(model.intercept), means, keep, prefix)
+
+
+def explain_coefficients(df: DataFrame, coefficients: dict[str, float], intercept: float,
+                         means: dict[str, float], keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Contributions ``coef_j * (x_j - mean_j)``; base = intercept + sum coef_j * mean_j."""
+    coef = [float(coefficients.get(n, 0.0)) for n in FEATURE_NAMES]
+    base = float(intercept) + sum(c * means[n] for c, n in zip(coef, FEATURE_NAMES))
     x = {n: F.col(f"{prefix}{n}").cast("double") for n in FEATURE_NAMES}
-    contribs = {n: F.lit(c) * (x[n] - F.lit(means[n])) for c, n in zip(coef, FEATURE_NAMES)}
+    contribs = {n: (F.lit(c) * (x[n] - F.lit(means[n]))) if c != 0.0 else F.lit(0.0)
+                for c, n in zip(coef, FEATURE_NAMES)}
     total = F.lit(base)
     for c in contribs.values():
         total = total + c

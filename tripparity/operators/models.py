@@ -148,13 +148,19 @@ def score(df: DataFrame, model: PipelineModel, prefix: str = "", strict: bool =
     Non-finite predictions are flagged in ``prediction_finite``; with ``strict`` they raise.
     """
     if prefix:
-        inputs = df.select("*", *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
+        # Input columns named like features (e.g. raw request fields) are set aside meanwhile.
+        clash = [c for c in df.columns if c in FEATURE_NAMES]
+        base = df.select(*[F.col(c).alias(f"__orig_{c}") if c in clash else F.col(c) for c in df.columns])
+        inputs = base.select("*", *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
     else:
+        clash = []
         inputs = df.select(*[c for c in df.columns if c not in FEATURE_NAMES],
                            *[F.col(n).cast("double").alias(n) for n in FEATURE_NAMES])
     scored = model.transform(inputs).withColumnRenamed("prediction", output).drop("features")
     if prefix:
         scored = scored.drop(*FEATURE_NAMES)
+        for c in clash:
+            scored = scored.withColumnRenamed(f"__orig_{c}", c)
     finite = is_finite(F.col(output))
     if strict:
         scored = scored.withColumn(output, F.when(finite, F.col(output)).otherwise(

@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripparity.operators import contracts, drift, pairs, parity
+from tripparity.operators import contracts, drift, explain, metrics, models, pairs, parity
+from tripparity.plans import jobs
+from tripparity.session import scratch_path
+from tripparity.sources import artifacts
 from tripparity.operators.online import online_vector
 from tripparity.operators.shared import shared_vector, training_features
 from tripparity.operators.vector import FEATURE_NAMES
@@ -210,6 +213,116 @@ def q_drift_shifted(spark, sf_dir):
     return _rounded_features(features)
 
 
+# ----------------------------------------------------------------------------- split, metrics, linear
+
+LINEAR_INTERCEPT, LINEAR_SLOPE = 3.0, 2.5  # the deterministic scorer of the reference's tests
+
+
+def q_split_assignment(spark, sf_dir):
+    return metrics.with_split(training_table(spark, sf_dir).select("trip_id"), "trip_id")
+
+
+def q_score_linear(spark, sf_dir):
+    acc = accepted(spark, sf_dir)
+    return acc.select("request_id", models.linear_score(F.col("s_trip_distance_miles"), LINEAR_INTERCEPT,
+                                                        LINEAR_SLOPE).alias("predicted_fare_amount"))
+
+
+def q_metrics_linear(spark, sf_dir):
+    held_out = metrics.with_split(training_table(spark, sf_dir), "trip_id").where("is_validation")
+    scored = held_out.withColumn("prediction", models.linear_score(F.col("trip_distance_miles"),
+                                                                   LINEAR_INTERCEPT, LINEAR_SLOPE))
+    m = metrics.regression_metrics(scored)
+    return m.select("rows", *[F.round(c, 6).alias(c) for c in metrics.METRIC_NAMES])
+
+
+def q_metrics_by_skew(spark, sf_dir):
+    """Error of the linear scorer on serving vectors vs. training vectors, per mode: the cost of skew."""
+    fares = training_table(spark, sf_dir).select("trip_id", "fare_amount")
+    acc = accepted(spark, sf_dir).join(fares, F.col("request_id") == F.col("trip_id"), "inner")
+    scored = acc.withColumn("prediction", models.linear_score(F.col("s_trip_distance_miles"),
+                                                              LINEAR_INTERCEPT, LINEAR_SLOPE))
+    m = metrics.regression_metrics(scored, group_by=("feature_mode", "applied_skew_mode"))
+    return m.select("feature_mode", "applied_skew_mode", "rows",
+                    *[F.round(c, 6).alias(c) for c in metrics.METRIC_NAMES])
+
+
+def _linear_explained(spark, sf_dir):
+    means = jobs.training_means(training_table(spark, sf_dir))
+    coefficients = {"trip_distance_miles": LINEAR_SLOPE}
+    return explain.explain_coefficients(accepted(spark, sf_dir), coefficients, LINEAR_INTERCEPT, means,
+                                        keep=("request_id",), prefix="s_")
+
+
+def q_linear_contributions(spark, sf_dir):
+    ex = explain.contributions_long(_linear_explained(spark, sf_dir), keep=("request_id",))
+    return ex.select("request_id", "feature", "value", F.round("shap_value", 9).alias("shap_value"),
+                     F.round("base_value", 9).alias("base_value"),
+                     F.round("predicted_fare_amount", 9).alias("predicted_fare_amount"))
+
+
+def q_linear_importance(spark, sf_dir):
+    imp = explain.global_importance(_linear_explained(spark, sf_dir))
+    return imp.select("feature", "rows", F.round("importance", 6).alias("importance"))
+
+
+# ----------------------------------------------------------------------------- trained models
+
+_TRAINED: dict[str, jobs.TrainingOutcome] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> jobs.TrainingOutcome:
+    """The train job over the whole fixture, once per input folder and process."""
+    if sf_dir not in _TRAINED:
+        raw = raw_trips_from_trips(load_trips(spark, sf_dir))
+        _TRAINED[sf_dir] = jobs.train_job(spark, raw, scratch_path(spark, "train"))
+    return _TRAINED[sf_dir]
+
+
+def _candidate(outcome: jobs.TrainingOutcome, name: str) -> models.CandidateResult:
+    return next(r for r in outcome.results if r.name == name)
+
+
+def q_model_comparison(spark, sf_dir):
+    outcome = trained(spark, sf_dir)
+    return artifacts.comparison_frame(spark, outcome.results, outcome.best.name)
+
+
+def q_model_selected(spark, sf_dir):
+    return metrics.select_best(q_model_comparison(spark, sf_dir))
+
+
+def q_runs_table(spark, sf_dir):
+    outcome = trained(spark, sf_dir)
+    runs_path = outcome.model_path.rsplit("/", 1)[0] + "/" + jobs.RUNS_DIR
+    return artifacts.search_runs(spark, runs_path).select(
+        "candidate", "training_rows", "selected", F.col("model_path").isNotNull().alias("has_model"),
+        F.col("metrics")["root_mean_squared_error"].alias("root_mean_squared_error"))
+
+
+def q_score_tree(spark, sf_dir):
+    """Selected model's fares for every accepted request, scored from the serving vector."""
+    outcome = trained(spark, sf_dir)
+    responses, _ = jobs.score_requests(requests_from_trips(load_trips(spark, sf_dir)),
+                                       outcome.best.model, outcome.best.name)
+    return responses.select("request_id", "model_name", "predicted_fare_amount", "prediction_finite",
+                            F.col("parity.matched_count").alias("matched_count"))
+
+
+def _tree_explained(spark, sf_dir):
+    model = _candidate(trained(spark, sf_dir), "gradient_boosted_trees").model
+    return jobs.explain_requests(requests_from_trips(load_trips(spark, sf_dir)), model)
+
+
+def q_explain_tree(spark, sf_dir):
+    return explain.contributions_long(_tree_explained(spark, sf_dir),
+                                      keep=("request_id", "feature_mode", "applied_skew_mode"))
+
+
+def q_importance_tree(spark, sf_dir):
+    return explain.global_importance(_tree_explained(spark, sf_dir))
+
+
 def base_queries() -> dict[str, Query]:
     return {
         "trips_valid": q_trips_valid,
@@ -236,6 +349,18 @@ def base_queries() -> dict[str, Query]:
         "drift_unavailable": q_drift_unavailable,
         "drift_by_group": q_drift_by_group,
         "drift_shifted": q_drift_shifted,
+        "split_assignment": q_split_assignment,
+        "score_linear": q_score_linear,
+        "metrics_linear": q_metrics_linear,
+        "metrics_by_skew": q_metrics_by_skew,
+        "linear_contributions": q_linear_contributions,
+        "linear_importance": q_linear_importance,
+        "model_comparison": q_model_comparison,
+        "model_selected": q_model_selected,
+        "runs_table": q_runs_table,
+        "score_tree": q_score_tree,
+        "explain_tree": q_explain_tree,
+        "importance_tree": q_importance_tree,
     }
 
 

@@ -380,5 +380,47 @@ SELECT 'unavailable' AS status, count(*) AS sample_count, false AS reference_ava
     }
 
 
+def model_sql() -> dict[str, str]:
+    base = (TRIPS, REQUESTS)
+    split = "('0x' || substr(md5(CAST(trip_id AS VARCHAR)), 1, 8))::BIGINT % 5 = 0"
+    zero_feats = [n for n in FEATURES if n != "trip_distance_miles"]
+    contrib_rows = ",\n      ".join(
+        ["{'feature': 'trip_distance_miles', 'value': s_trip_distance_miles, "
+         "'shap_value': 2.5 * (s_trip_distance_miles - m.mean_distance)}"]
+        + [f"{{'feature': '{n}', 'value': CAST(s_{n} AS DOUBLE), 'shap_value': 0.0::DOUBLE}}" for n in zero_feats])
+    explained = f"""
+, m AS (SELECT avg(trip_distance_miles) AS mean_distance FROM training),
+ex AS (SELECT a.request_id, 3.0 + 2.5 * m.mean_distance AS base_value,
+              3.0 + 2.5 * m.mean_distance + 2.5 * (a.s_trip_distance_miles - m.mean_distance) AS predicted_fare_amount,
+              unnest([{contrib_rows}]) AS c
+       FROM accepted a CROSS JOIN m)"""
+    return {
+        "split_assignment": with_ctes(*base, body=f"SELECT trip_id, ({split}) AS is_validation FROM training"),
+        "score_linear": with_ctes(*base, body="""
+SELECT request_id, 3.0 + 2.5 * s_trip_distance_miles AS predicted_fare_amount FROM accepted"""),
+        "metrics_linear": with_ctes(*base, body=f"""
+, v AS (SELECT fare_amount, fare_amount - (3.0 + 2.5 * trip_distance_miles) AS e FROM training WHERE {split})
+SELECT count(*) AS rows, round(avg(abs(e)), 6) AS mean_absolute_error,
+       round(sqrt(avg(e * e)), 6) AS root_mean_squared_error,
+       round(1 - sum(e * e) / (var_pop(fare_amount) * count(*)), 6) AS r2_score
+FROM v"""),
+        "metrics_by_skew": with_ctes(*base, body="""
+, v AS (SELECT a.feature_mode, a.applied_skew_mode, t.fare_amount,
+               t.fare_amount - (3.0 + 2.5 * a.s_trip_distance_miles) AS e
+        FROM accepted a JOIN training t ON a.request_id = t.trip_id)
+SELECT feature_mode, applied_skew_mode, count(*) AS rows, round(avg(abs(e)), 6) AS mean_absolute_error,
+       round(sqrt(avg(e * e)), 6) AS root_mean_squared_error,
+       round(1 - sum(e * e) / (var_pop(fare_amount) * count(*)), 6) AS r2_score
+FROM v GROUP BY ALL"""),
+        "linear_contributions": with_ctes(*base, body=explained + """
+SELECT request_id, c.feature AS feature, c.value AS value, round(c.shap_value, 9) AS shap_value,
+       round(base_value, 9) AS base_value, round(predicted_fare_amount, 9) AS predicted_fare_amount
+FROM ex"""),
+        "linear_importance": with_ctes(*base, body=explained + """
+SELECT c.feature AS feature, count(*) AS rows, round(avg(abs(c.shap_value)), 6) AS importance
+FROM ex GROUP BY ALL"""),
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**base_sql(), **drift_sql()}
+    return {**base_sql(), **drift_sql(), **model_sql()}
