@@ -31,6 +31,15 @@ def utc_wall_clock(column: Column, data_type: DataType) -> Column:
     raise TypeError(f"expected TIMESTAMP or TIMESTAMP_NTZ, got {data_type.simpleString()}")
 
 
+def utc_instant(utc_ntz: Column) -> Column:
+    """A UTC wall clock (TIMESTAMP_NTZ) as an instant (TIMESTAMP), independent of the session zone.
+
+    Event-time operators (watermarks, windows) need instants.
+    """
+    return F.make_timestamp_ltz(F.year(utc_ntz), F.month(utc_ntz), F.dayofmonth(utc_ntz), F.hour(utc_ntz),
+                                F.minute(utc_ntz), F.date_part(F.lit("SECOND"), utc_ntz), F.lit(UTC))
+
+
 def to_new_york(utc_ntz: Column) -> Column:
     """UTC wall clock -> New York wall clock (both TIMESTAMP_NTZ)."""
     return F.convert_timezone(F.lit(UTC), F.lit(NEW_YORK_TIMEZONE), utc_ntz)

@@ -16,6 +16,7 @@ from tripparity.operators import contracts, drift, explain, metrics, models, pai
 from tripparity.plans import jobs
 from tripparity.session import scratch_path
 from tripparity.sources import artifacts
+from tripparity.streaming import jobs as streaming
 from tripparity.operators.online import online_vector
 from tripparity.operators.shared import shared_vector, training_features
 from tripparity.operators.vector import FEATURE_NAMES
@@ -323,6 +324,41 @@ def q_importance_tree(spark, sf_dir):
     return explain.global_importance(_tree_explained(spark, sf_dir))
 
 
+# ----------------------------------------------------------------------------- streaming
+
+def q_stream_parity_scored(spark, sf_dir):
+    """The events file as a stream, through the batch operators, into a Parquet sink."""
+    sink, ckpt = scratch_path(spark, "stream-scored"), scratch_path(spark, "stream-scored-ckpt")
+    query = streaming.start_scored_parity(spark, f"{sf_dir}/events.parquet", sink, ckpt,
+                                          streaming.linear_scorer(LINEAR_INTERCEPT, LINEAR_SLOPE))
+    query.awaitTermination()
+    return spark.read.parquet(sink).select("request_id", "feature_mode", "applied_skew_mode",
+                                           "matched_count", "mismatch_count", "predicted_fare_amount")
+
+
+def q_stream_drift_windows(spark, sf_dir):
+    """Daily drift windows of the served stream (complete mode, so the last window is kept)."""
+    sink, ckpt = scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-windows-ckpt")
+    query = streaming.start_windowed_drift(spark, f"{sf_dir}/events.parquet", reference(spark, sf_dir),
+                                           sink, ckpt, output_mode="complete")
+    query.awaitTermination()
+    return spark.read.parquet(sink).select("window_start", "sample_count", "feature",
+                                           F.round("psi", 6).alias("psi"), "status",
+                                           F.round("current_mean", 6).alias("current_mean"))
+
+
+def q_stream_rolling_drift(spark, sf_dir):
+    """Served log + rejects + last-500 drift report per micro-batch; the latest report."""
+    base = scratch_path(spark, "stream-rolling")
+    query = streaming.start_rolling_drift(spark, f"{sf_dir}/events.parquet", reference(spark, sf_dir),
+                                          f"{base}/served_log", f"{base}/reports", f"{base}/rejects",
+                                          f"{base}/checkpoint")
+    query.awaitTermination()
+    reports = spark.read.parquet(f"{base}/reports")
+    return reports.where(F.col("batch_id") == reports.agg(F.max("batch_id")).first()[0]) \
+        .select("status", "sample_count", "reference_available")
+
+
 def base_queries() -> dict[str, Query]:
     return {
         "trips_valid": q_trips_valid,
@@ -361,6 +397,9 @@ def base_queries() -> dict[str, Query]:
         "score_tree": q_score_tree,
         "explain_tree": q_explain_tree,
         "importance_tree": q_importance_tree,
+        "stream_parity_scored": q_stream_parity_scored,
+        "stream_drift_windows": q_stream_drift_windows,
+        "stream_rolling_drift": q_stream_rolling_drift,
     }
 
 

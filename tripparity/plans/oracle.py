@@ -422,5 +422,37 @@ FROM ex GROUP BY ALL"""),
     }
 
 
+def stream_sql() -> dict[str, str]:
+    base = (TRIPS, REQUESTS)
+    windows = with_ctes(TRIPS, REQUESTS, REFERENCE, SERVED_LOG, body=f"""
+, sl AS (UNPIVOT (SELECT request_id, date_trunc('day', served_at) AS window_start, {_double_features()} FROM slog)
+         ON {_UNPIVOT_ON} INTO NAME feature VALUE value),
+scounts AS (SELECT s.window_start, s.feature,
+                   len(list_filter(r.edges[2:len(r.edges) - 1], lambda e: s.value >= e)) AS bin, count(*) AS c
+            FROM sl s JOIN redges r USING (feature) GROUP BY ALL),
+stot AS (SELECT date_trunc('day', served_at) AS window_start, count(*) AS n FROM slog GROUP BY ALL),
+smeans AS (SELECT window_start, feature, avg(value) AS current_mean FROM sl GROUP BY ALL),
+psi AS (SELECT t.window_start, t.n, p.feature,
+               sum((greatest(coalesce(c.c, 0) / t.n, 1e-6) - greatest(p.proportion, 1e-6))
+                   * ln(greatest(coalesce(c.c, 0) / t.n, 1e-6) / greatest(p.proportion, 1e-6))) AS psi
+        FROM rprops p CROSS JOIN stot t
+        LEFT JOIN scounts c ON c.feature = p.feature AND c.bin = p.bin AND c.window_start = t.window_start
+        GROUP BY ALL)
+SELECT p.window_start, p.n AS sample_count, p.feature, round(p.psi, 6) AS psi,
+       CASE WHEN p.psi >= 0.25 THEN 'significant' WHEN p.psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS status,
+       round(m.current_mean, 6) AS current_mean
+FROM psi p JOIN smeans m USING (window_start, feature)""")
+    return {
+        "stream_parity_scored": with_ctes(*base, body="""
+SELECT request_id, feature_mode, applied_skew_mode,
+       CAST(9 - count_if(NOT matched) AS INTEGER) AS matched_count,
+       CAST(count_if(NOT matched) AS INTEGER) AS mismatch_count,
+       3.0 + 2.5 * max(CASE WHEN feature = 'trip_distance_miles' THEN serving_value END) AS predicted_fare_amount
+FROM compared GROUP BY ALL"""),
+        "stream_drift_windows": windows,
+        "stream_rolling_drift": drift_sql()["drift_report_overall"],
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**base_sql(), **drift_sql(), **model_sql()}
+    return {**base_sql(), **drift_sql(), **model_sql(), **stream_sql()}
