@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tripparity.operators.vector import FEATURE_NAMES
-from tripparity.session import scratch_path
+from tripparity.session import scratch_path, ship_package
 
 SHAP_PREFIX = "shap_"
 
@@ -182,6 +182,7 @@ def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str
     """Keep columns, the nine feature values, ``base_value``, the explained prediction
     (base + sum of contributions) and one ``shap_<feature>`` column per feature."""
     spark = df.sparkSession
+    ship_package(spark)
     table = leaf_table(spark, model)
     shipped = spark.sparkContext.broadcast(table)
     inputs = df.select(*keep, *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])

@@ -42,6 +42,9 @@ class TrainingConfig:
     # model (and its SHAP leaf table) stays small. Boosted depth follows num_leaves (31 -> 5).
     forest_max_depth: int = 10
     max_bins: int = 64
+    # Per-task memory for MLlib's split statistics; every concurrent task holds this much, so it
+    # must fit executor memory / cores (MLlib's default of 256 MB does not on small heaps).
+    max_memory_mb: int = 64
 
     @property
     def validation_buckets(self) -> int:
@@ -86,12 +89,13 @@ def build_candidates(config: TrainingConfig, label_std: float, train_rows: int)
         "random_forest": RandomForestRegressor(labelCol=LABEL, numTrees=config.forest_trees,
                                                featureSubsetStrategy="all",
                                                maxDepth=config.forest_max_depth, maxBins=config.max_bins,
-                                               seed=config.random_state),
+                                               maxMemoryInMB=config.max_memory_mb, seed=config.random_state),
         "gradient_boosted_trees": GBTRegressor(labelCol=LABEL, lossType="absolute",
                                                maxIter=config.n_estimators, stepSize=config.learning_rate,
                                                maxDepth=config.boosted_max_depth,
                                                minInstancesPerNode=config.min_child_samples,
-                                               maxBins=config.max_bins, seed=config.random_state),
+                                               maxBins=config.max_bins, maxMemoryInMB=config.max_memory_mb,
+                                               seed=config.random_state),
     }
 
 

@@ -54,32 +54,42 @@ COMPARISON_TYPE = ("struct<feature:string,training_value:double,serving_value:do
 def mismatch_count(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                    abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """Number of features outside tolerance, as one scalar (code-generated) expression."""
+    return _count_unmatched(comparison_structs(training, serving, rel_tol, abs_tol))
+
+
+def _count_unmatched(structs: list[Column]) -> Column:
     total = F.lit(0)
-    for name in FEATURE_NAMES:
-        total = total + (~is_close(_field(training, name), _field(serving, name), rel_tol, abs_tol)).cast("int")
+    for s in structs:
+        total = total + (~s["matched"]).cast("int")
     return total
 
 
+def _unmatched(structs: list[Column]) -> Column:
+    return compact([F.when(~s["matched"], s) for s in structs], COMPARISON_TYPE)
+
+
 def mismatch_structs(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                      abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """Q1: the comparisons outside tolerance, in feature order."""
-    structs = comparison_structs(training, serving, rel_tol, abs_tol)
-    return compact([F.when(~s["matched"], s) for s in structs], COMPARISON_TYPE)
+    return _unmatched(comparison_structs(training, serving, rel_tol, abs_tol))
 
 
 def parity_struct(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                   abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
-    """Q3: matched, matched_count, mismatch_count, total_features, comparisons, mismatches."""
-    comps = comparisons(training, serving, rel_tol, abs_tol)
-    mismatches = mismatch_structs(training, serving, rel_tol, abs_tol)
-    n_mismatch = mismatch_count(training, serving, rel_tol, abs_tol)
+    """Q3: matched, matched_count, mismatch_count, total_features, comparisons, mismatches.
+
+    The nine comparison structs are built once and shared by all fields (codegen evaluates each
+    once per row).
+    """
+    structs = comparison_structs(training, serving, rel_tol, abs_tol)
+    n_mismatch = _count_unmatched(structs)
     return F.struct(
         (n_mismatch == 0).alias("matched"),
         (F.lit(TOTAL_FEATURES) - n_mismatch).alias("matched_count"),
         n_mismatch.alias("mismatch_count"),
         F.lit(TOTAL_FEATURES).alias("total_features"),
-        comps.alias("comparisons"),
-        mismatches.alias("mismatches"),
+        F.array(*structs).alias("comparisons"),
+        _unmatched(structs).alias("mismatches"),
     )
 
 

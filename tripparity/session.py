@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Local mode runs executors inside the driver JVM; only applies when this call starts the JVM.
+    "spark.driver.memory": "8g",
 }
 
 
@@ -82,6 +84,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable by Python workers (``mapInPandas`` kernels, broadcasts).
+
+    Zips the package into the shared checkpoint folder and registers it with ``addPyFile`` once
+    per SparkContext; on a cluster submitted with ``--py-files`` this is a harmless repeat.
+    """
+    import os
+    import zipfile
+
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED:
+        return
+    package_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package_dir)
+    target = local_path(scratch_path(spark, "pyfiles")) + "/tripparity.zip"
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(package_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(key)
+
+
 def is_local(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 

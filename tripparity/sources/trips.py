@@ -23,8 +23,18 @@ RAW_COLUMNS = (
 TRIP_KEY = "trip_id"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """A table of the fixture folder, spread over at least ``min_partitions`` tasks.
+
+    Large inputs come in many files / row groups and are split by the scan itself, so nothing
+    changes for them. A table stored as a single row group would otherwise run every row-wise
+    operator in one task; it is spread round-robin over the cluster's default parallelism.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        df = df.repartition(target)
+    return df
 
 
 def trips_from_events(events: DataFrame) -> DataFrame:
