@@ -51,9 +51,10 @@ def default_passengers(passengers: Column) -> Column:
 
 def is_close(a: Column, b: Column, rel_tol: float = RELATIVE_TOLERANCE,
              abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
-    """``|a-b| <= max(rel_tol * max(|a|, |b|), abs_tol)``; equal infinities match, NaN never."""
-    a = a.cast("double")
-    b = b.cast("double")
+    """``|a-b| <= max(rel_tol * max(|a|, |b|), abs_tol)``; equal infinities match, NaN never.
+
+    ``a`` and ``b`` are doubles (ints compare exactly through the same formula once cast).
+    """
     diff = F.abs(a - b)
     bound = F.greatest(F.lit(rel_tol) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_tol))
     any_nan = F.isnan(a) | F.isnan(b)
@@ -62,13 +63,13 @@ def is_close(a: Column, b: Column, rel_tol: float = RELATIVE_TOLERANCE,
 
 
 def absolute_difference(a: Column, b: Column) -> Column:
-    """F12."""
-    return F.abs(a.cast("double") - b.cast("double"))
+    """F12 (double inputs)."""
+    return F.abs(a - b)
 
 
 def relative_difference(training: Column, serving: Column) -> Column:
-    """relative to the training value, floored at 1e-12."""
-    denominator = F.greatest(F.abs(training.cast("double")), F.lit(RELATIVE_DENOMINATOR_FLOOR))
+    """relative to the training value, floored at 1e-12 (double inputs)."""
+    denominator = F.greatest(F.abs(training), F.lit(RELATIVE_DENOMINATOR_FLOOR))
     return absolute_difference(training, serving) / denominator
 
 

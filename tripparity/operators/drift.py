@@ -75,7 +75,22 @@ def _quantiles(column: Column, bins: int, method: str, accuracy: int) -> Column:
 def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT, method: str = "exact",
                             accuracy: int = 1_000_000, columns: tuple[str, ...] = FEATURE_NAMES
                             ) -> ReferenceStats:
-    """A1-A5: mean, population std, min, max, pinned decile edges and bin proportions per feature."""
+    """A1-A5: mean, population std, min, max, pinned decile edges and bin proportions per feature.
+
+    Two passes; an input that is not already cached is persisted for their duration.
+    """
+    owned = not features.is_cached
+    if owned:
+        features = features.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    try:
+        return _reference_stats(features, bins, method, accuracy, columns)
+    finally:
+        if owned:
+            features.unpersist()
+
+
+def _reference_stats(features: DataFrame, bins: int, method: str, accuracy: int,
+                     columns: tuple[str, ...]) -> ReferenceStats:
     aggs = []
     for i, name in enumerate(columns):
         x = F.col(name).cast("double")
@@ -87,11 +102,11 @@ def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT, me
         raise ValueError("reference statistics need at least one row")
     edges = {name: pin_edges_py(list(first[f"q{i}"])) for i, name in enumerate(columns)}
 
-    counts = []
-    for i, name in enumerate(columns):
-        index = bin_index_literal(F.col(name).cast("double"), edges[name])
-        counts += [F.count_if(index == b).alias(f"c{i}_{b}") for b in range(len(edges[name]) - 1)]
-    second = features.agg(F.count(F.lit(1)).alias("n"), *counts).collect()[0]
+    binned = features.select(*[bin_index_literal(F.col(name).cast("double"), edges[name]).alias(f"b{i}")
+                               for i, name in enumerate(columns)])
+    counts = [F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}")
+              for i, name in enumerate(columns) for b in range(len(edges[name]) - 1)]
+    second = binned.agg(F.count(F.lit(1)).alias("n"), *counts).collect()[0]
     total = second["n"]
 
     stats: ReferenceStats = {}
@@ -173,11 +188,14 @@ def drift_summary(sample: DataFrame, reference: ReferenceStats | None,
         missing = [name for name in FEATURE_NAMES if name not in reference]
         if missing:
             raise KeyError(f"reference statistics lack features: {missing}")
+        # Bin index computed once per feature in a projection, then one count_if per bin.
+        sample = sample.select(*group_by, *[F.col(name).cast("double").alias(f"x{i}")
+                                            for i, name in enumerate(FEATURE_NAMES)])
+        sample = sample.select("*", *[bin_index_literal(F.col(f"x{i}"), list(reference[name].bin_edges))
+                                      .alias(f"b{i}") for i, name in enumerate(FEATURE_NAMES)])
         for i, name in enumerate(FEATURE_NAMES):
-            x = F.col(name).cast("double")
-            index = bin_index_literal(x, list(reference[name].bin_edges))
-            aggs.append(F.avg(x).alias(f"mean{i}"))
-            aggs += [F.count_if(index == b).alias(f"c{i}_{b}")
+            aggs.append(F.avg(F.col(f"x{i}")).alias(f"mean{i}"))
+            aggs += [F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}")
                      for b in range(len(reference[name].bin_edges) - 1)]
     agg = sample.groupBy(*group_by).agg(*aggs) if group_by else sample.agg(*aggs)
     if reference is None:

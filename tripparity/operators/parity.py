@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tripparity.functions.arrays import compact
 from tripparity.functions.numeric import (ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE,
@@ -20,24 +21,28 @@ Vector = Column | str  # a struct column, or the prefix of flat feature columns
 
 
 def _field(vector: Vector, name: str) -> Column:
-    return F.col(f"{vector}{name}") if isinstance(vector, str) else vector[name]
+    """One feature of a vector as a double."""
+    value = F.col(f"{vector}{name}") if isinstance(vector, str) else vector[name]
+    return value.cast(DOUBLE)
 
 TOTAL_FEATURES = len(FEATURE_NAMES)
+DOUBLE = DoubleType()
 
 
 def comparison_structs(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                        abs_tol: float = ABSOLUTE_TOLERANCE) -> list[Column]:
-    return [
-        F.struct(
+    structs = []
+    for name in FEATURE_NAMES:
+        t, s = _field(training, name), _field(serving, name)
+        structs.append(F.struct(
             F.lit(name).alias("feature"),
-            _field(training, name).cast("double").alias("training_value"),
-            _field(serving, name).cast("double").alias("serving_value"),
-            is_close(_field(training, name), _field(serving, name), rel_tol, abs_tol).alias("matched"),
-            absolute_difference(_field(training, name), _field(serving, name)).alias("absolute_difference"),
-            relative_difference(_field(training, name), _field(serving, name)).alias("relative_difference"),
-        )
-        for name in FEATURE_NAMES
-    ]
+            t.alias("training_value"),
+            s.alias("serving_value"),
+            is_close(t, s, rel_tol, abs_tol).alias("matched"),
+            absolute_difference(t, s).alias("absolute_difference"),
+            relative_difference(t, s).alias("relative_difference"),
+        ))
+    return structs
 
 
 def comparisons(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,

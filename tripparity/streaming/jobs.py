@@ -125,12 +125,15 @@ def windowed_drift(served: DataFrame, reference: drift.ReferenceStats, window: s
     if isinstance(served.schema[time_column].dataType, TimestampNTZType):
         served = served.withColumn(time_column, utc_instant(F.col(time_column)))
     w = F.window(time_column, window, slide) if slide else F.window(time_column, window)
+    served = served.select(time_column, *[F.col(name).cast("double").alias(f"x{i}")
+                                          for i, name in enumerate(FEATURE_NAMES)])
+    served = served.select("*", *[bin_index_literal(F.col(f"x{i}"), list(reference[name].bin_edges))
+                                  .alias(f"b{i}") for i, name in enumerate(FEATURE_NAMES)])
     aggs = [F.count(F.lit(1)).alias("sample_count")]
     for i, name in enumerate(FEATURE_NAMES):
-        x = F.col(name).cast("double")
-        index = bin_index_literal(x, list(reference[name].bin_edges))
-        aggs.append(F.avg(x).alias(f"mean{i}"))
-        aggs += [F.count_if(index == b).alias(f"c{i}_{b}") for b in range(len(reference[name].bin_edges) - 1)]
+        aggs.append(F.avg(F.col(f"x{i}")).alias(f"mean{i}"))
+        aggs += [F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}")
+                 for b in range(len(reference[name].bin_edges) - 1)]
     grouped = served.withWatermark(time_column, watermark).groupBy(w.alias("window")).agg(*aggs)
     return grouped
 
