@@ -2,7 +2,8 @@
 
 import __spark_entry__ as entry_module
 
-ROWS_ONLY = {"model_comparison", "model_selected", "runs_table", "score_tree", "explain_tree", "importance_tree"}
+ROWS_ONLY = {"model_comparison", "model_selected", "runs_table", "model_info", "score_tree", "explain_tree",
+             "importance_tree"}
 
 
 def test_entry_runs(spark):

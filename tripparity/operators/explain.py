@@ -178,12 +178,23 @@ def shap_values(table: LeafTable, x: np.ndarray, max_cells: int = 2_000_000) ->
     return phi
 
 
-def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+MAX_BROADCAST_LEAVES = 2_000_000  # ~4 arrays x 9 features x 8 bytes each: a few hundred MB at most
+
+
+def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str = "",
+                  max_leaves: int = MAX_BROADCAST_LEAVES) -> DataFrame:
     """Keep columns, the nine feature values, ``base_value``, the explained prediction
-    (base + sum of contributions) and one ``shap_<feature>`` column per feature."""
+    (base + sum of contributions) and one ``shap_<feature>`` column per feature.
+
+    The leaf table grows with the model (trees x leaves), never with the data; it is checked
+    against ``max_leaves`` before it is broadcast.
+    """
     spark = df.sparkSession
     ship_package(spark)
     table = leaf_table(spark, model)
+    if table.leaves > max_leaves:
+        raise ValueError(f"the model has {table.leaves} leaves, more than the {max_leaves} that may be "
+                         "broadcast; use fewer or shallower trees")
     shipped = spark.sparkContext.broadcast(table)
     inputs = df.select(*keep, *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
     # The kernel is CPU-bound Python: make sure there are at least as many tasks as cores. Inputs

@@ -301,6 +301,14 @@ def q_runs_table(spark, sf_dir):
         F.col("metrics")["root_mean_squared_error"].alias("root_mean_squared_error"))
 
 
+def q_model_info(spark, sf_dir):
+    """E5: name, feature names and metadata of the saved model."""
+    outcome = trained(spark, sf_dir)
+    info = jobs.model_info(spark, outcome.model_path.rsplit("/", 1)[0])
+    return info.select("model_name", "feature_names",
+                       F.get_json_object("metadata", "$.training_rows").cast("long").alias("training_rows"))
+
+
 def q_score_tree(spark, sf_dir):
     """Selected model's fares for every accepted request, scored from the serving vector."""
     outcome = trained(spark, sf_dir)
@@ -394,6 +402,7 @@ def base_queries() -> dict[str, Query]:
         "model_comparison": q_model_comparison,
         "model_selected": q_model_selected,
         "runs_table": q_runs_table,
+        "model_info": q_model_info,
         "score_tree": q_score_tree,
         "explain_tree": q_explain_tree,
         "importance_tree": q_importance_tree,

@@ -91,9 +91,11 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable by Python workers (``mapInPandas`` kernels, broadcasts).
 
-    Zips the package into the shared checkpoint folder and registers it with ``addPyFile`` once
-    per SparkContext; on a cluster submitted with ``--py-files`` this is a harmless repeat.
+    Zips the package in memory, writes it into the shared checkpoint folder through Hadoop's file
+    system API (so it works for any scheme) and registers it with ``addPyFile`` once per
+    SparkContext; on a cluster submitted with ``--py-files`` this is a harmless repeat.
     """
+    import io
     import os
     import zipfile
 
@@ -102,14 +104,22 @@ def ship_package(spark: SparkSession) -> None:
         return
     package_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package_dir)
-    target = local_path(scratch_path(spark, "pyfiles")) + "/tripparity.zip"
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, files in os.walk(package_dir):
             for name in files:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.relpath(full, root))
+    target = scratch_path(spark, "pyfiles") + "/tripparity.zip"
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hadoop_path, True)
+    try:
+        out.write(bytearray(buffer.getvalue()))
+    finally:
+        out.close()
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(key)
 
