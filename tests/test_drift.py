@@ -83,3 +83,18 @@ def test_latest_per_group_plans_a_partial_group_limit(spark):
     assert limited.groupBy("event_type").count().where("count > 5").count() == 0
     plan = limited._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_auto_switches_to_approximate_quantiles_above_the_distinct_bound(training):
+    exact = drift.compute_reference_stats(training, method="exact")
+    auto = drift.compute_reference_stats(training, exact_distinct_limit=100)
+    # ids and distances have more than 100 distinct values: approximate edges there, exact elsewhere
+    assert auto["pickup_hour"] == exact["pickup_hour"]
+    assert len(auto["trip_distance_miles"].bin_edges) >= 2
+    assert sum(auto["trip_distance_miles"].bin_proportions) == pytest.approx(1.0)
+
+
+def test_single_split_small_inputs_are_spread(spark):
+    from tripparity.sources.trips import read_table
+    assert read_table(spark, SF_SMALL, "events").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert read_table(spark, SF_SMALL, "events", small_input_bytes=1).rdd.getNumPartitions() == 1

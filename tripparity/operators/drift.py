@@ -60,6 +60,9 @@ ReferenceStats = dict[str, FeatureReference]
 
 # ----------------------------------------------------------------------------- reference (A1-A5)
 
+EXACT_DISTINCT_LIMIT = 1_000_000  # exact quantiles keep one map entry per distinct value
+
+
 def _quantiles(column: Column, bins: int, method: str, accuracy: int) -> Column:
     levels = F.array(*[F.lit(q) for q in quantile_levels(bins)])
     if method == "exact":
@@ -72,31 +75,45 @@ def _quantiles(column: Column, bins: int, method: str, accuracy: int) -> Column:
     raise ValueError("method must be 'exact' or 'approx'")
 
 
-def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT, method: str = "exact",
-                            accuracy: int = 1_000_000, columns: tuple[str, ...] = FEATURE_NAMES
-                            ) -> ReferenceStats:
+def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT, method: str = "auto",
+                            accuracy: int = 1_000_000, columns: tuple[str, ...] = FEATURE_NAMES,
+                            exact_distinct_limit: int = EXACT_DISTINCT_LIMIT) -> ReferenceStats:
     """A1-A5: mean, population std, min, max, pinned decile edges and bin proportions per feature.
 
-    Two passes; an input that is not already cached is persisted for their duration.
+    ``method``: "exact" (linear interpolation, equal to NumPy), "approx" (``percentile_approx``),
+    or "auto": a HyperLogLog pass first, then exact quantiles for every feature with at most
+    ``exact_distinct_limit`` distinct values and approximate ones above it. Exact quantiles merge
+    one map entry per distinct value in the final task of a global aggregate, so the bound keeps
+    that task's memory fixed whatever the data volume.
+
+    Two or three passes; an input that is not already cached is persisted for their duration.
     """
     owned = not features.is_cached
     if owned:
         features = features.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
     try:
-        return _reference_stats(features, bins, method, accuracy, columns)
+        return _reference_stats(features, bins, method, accuracy, columns, exact_distinct_limit)
     finally:
         if owned:
             features.unpersist()
 
 
 def _reference_stats(features: DataFrame, bins: int, method: str, accuracy: int,
-                     columns: tuple[str, ...]) -> ReferenceStats:
+                     columns: tuple[str, ...], exact_distinct_limit: int = EXACT_DISTINCT_LIMIT
+                     ) -> ReferenceStats:
+    if method == "auto":
+        distinct = features.agg(*[F.approx_count_distinct(F.col(n)).alias(f"d{i}")
+                                  for i, n in enumerate(columns)]).collect()[0]
+        methods = ["exact" if distinct[f"d{i}"] <= exact_distinct_limit else "approx"
+                   for i in range(len(columns))]
+    else:
+        methods = [method] * len(columns)
     aggs = []
     for i, name in enumerate(columns):
         x = F.col(name).cast("double")
         aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"std{i}"),
                  F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 _quantiles(x, bins, method, accuracy).alias(f"q{i}")]
+                 _quantiles(x, bins, methods[i], accuracy).alias(f"q{i}")]
     first = features.agg(F.count(F.lit(1)).alias("n"), *aggs).collect()[0]
     if first["n"] == 0:
         raise ValueError("reference statistics need at least one row")
