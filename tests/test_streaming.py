@@ -30,3 +30,28 @@ def test_stream_windows_cover_every_served_row(spark):
 def test_stream_rolling_report_matches_batch(spark):
     assert catalog.q_stream_rolling_drift(spark, SF_SMALL).collect() == \
         catalog.q_drift_report_overall(spark, SF_SMALL).collect()
+
+
+def test_rolling_buffer_stays_bounded_across_batches(spark):
+    """Three micro-batches (one file each): the buffer never exceeds N rows and ends as the top N."""
+    from tripparity.operators import drift
+    from tripparity.session import scratch_path
+    from tripparity.sources.trips import read_table
+    from tripparity.streaming import jobs as streaming
+
+    events = read_table(spark, SF_SMALL, "events")
+    source = scratch_path(spark, "events-split")
+    for i in range(3):  # three separate writes -> three files in one folder
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+    base = scratch_path(spark, "rolling")
+    query = streaming.start_rolling_drift(spark, source, catalog.reference(spark, SF_SMALL), f"{base}/log",
+                                          f"{base}/reports", f"{base}/rejects", f"{base}/ckpt",
+                                          buffer_size=50, max_files_per_trigger=1)
+    query.awaitTermination()
+    buffers = spark.read.parquet(f"{base}/log_buffer")
+    sizes = {r.batch_id: r["count"] for r in buffers.groupBy("batch_id").count().collect()}
+    assert len(sizes) == 3 and max(sizes.values()) <= 50
+    expected = drift.latest(spark.read.parquet(f"{base}/log").drop("batch_id"), 50)
+    got = buffers.where(F.col("batch_id") == max(sizes)).drop("batch_id")
+    assert sorted(r.request_id for r in got.collect()) == sorted(r.request_id for r in expected.collect())
+    assert spark.read.parquet(f"{base}/reports").select("batch_id").distinct().count() == 3

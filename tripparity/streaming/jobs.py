@@ -24,6 +24,7 @@ from tripparity.functions.arrays import bin_index_literal, psi_status
 from tripparity.functions.time import utc_instant, utc_wall_clock
 from tripparity.operators import drift, models, pairs, parity
 from tripparity.operators.vector import FEATURE_NAMES
+from tripparity.session import path_exists
 from tripparity.sources.requests import requests_from_trips
 from tripparity.sources.trips import trips_from_events
 
@@ -43,8 +44,8 @@ def events_stream(spark: SparkSession, path: str, max_files_per_trigger: int | N
     return reader.parquet(path)
 
 
-def requests_stream(spark: SparkSession, events_path: str) -> DataFrame:
-    return requests_from_trips(trips_from_events(events_stream(spark, events_path)))
+def requests_stream(spark: SparkSession, events_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    return requests_from_trips(trips_from_events(events_stream(spark, events_path, max_files_per_trigger)))
 
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -88,24 +89,38 @@ def start_scored_parity(spark: SparkSession, events_path: str, sink_path: str, c
 def start_rolling_drift(spark: SparkSession, events_path: str, reference: drift.ReferenceStats,
                         served_log_path: str, reports_path: str, rejects_path: str, checkpoint: str,
                         buffer_size: int = drift.DEFAULT_BUFFER_SIZE,
-                        available_now: bool = True) -> StreamingQuery:
-    """R2 + R4: per micro-batch, record served vectors and rejects, then report last-N drift."""
-    served = pairs.serve_requests(requests_stream(spark, events_path))
+                        available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """R2 + R4: per micro-batch, record served vectors and rejects, then report last-N drift.
+
+    The last-N buffer is its own small table (``<served_log>_buffer``): batch k's buffer is the
+    latest N of batch k-1's buffer plus batch k's rows, so each batch touches O(N + batch) rows
+    however long the served log grows. Every write is a ``batch_id`` partition replaced with
+    dynamic overwrite, so a replayed batch rewrites exactly its own output.
+    """
+    served = pairs.serve_requests(requests_stream(spark, events_path, max_files_per_trigger))
+    buffer_path = served_log_path.rstrip("/") + "_buffer"
+
+    def replace_partition(df: DataFrame, path: str, batch_id: int) -> None:
+        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         batch = batch.persist()
         try:
             log = pairs.accepted(batch).select(
                 "request_id", "served_at", *[F.col(f"{pairs.SERVING_PREFIX}{n}").alias(n) for n in FEATURE_NAMES])
-            (log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(served_log_path))
-            (pairs.rejected(batch).select("request_id", "rejection_reasons").withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-             .parquet(rejects_path))
-            whole_log = batch.sparkSession.read.parquet(served_log_path)
-            _, overall = drift.drift_report(drift.latest(whole_log, buffer_size), reference)
-            (overall.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(reports_path))
+            replace_partition(log, served_log_path, batch_id)
+            replace_partition(pairs.rejected(batch).select("request_id", "rejection_reasons"), rejects_path,
+                              batch_id)
+            candidates = log
+            if batch_id > 0 and path_exists(session, f"{buffer_path}/batch_id={batch_id - 1}"):
+                previous = session.read.parquet(buffer_path).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
+                candidates = previous.unionByName(log)
+            replace_partition(drift.latest(candidates, buffer_size), buffer_path, batch_id)
+            buffer = session.read.parquet(buffer_path).where(F.col("batch_id") == batch_id).drop("batch_id")
+            _, overall = drift.drift_report(buffer, reference)
+            replace_partition(overall, reports_path, batch_id)
         finally:
             batch.unpersist()
 
