@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,20 +28,12 @@ def quantile_levels(bins: int) -> list[float]:
     return [i / bins for i in range(bins + 1)]
 
 
-def pinned_edges(quantiles: Column) -> Column:
-    """sorted distinct quantiles with the outer edges replaced by -inf/+inf.
+def pin_edges_py(quantiles: list[float]) -> list[float]:
+    """sorted distinct quantiles (snapped to ``EDGE_DECIMALS``), outer edges -inf/+inf.
 
-    A constant column (one distinct quantile) gets the single bin (-inf, +inf).
+    Runs on the collected quantile row (at most ``bins + 1`` values per feature). A constant
+    column (one distinct quantile) gets the single bin (-inf, +inf).
     """
-    snapped = F.array_sort(F.array_distinct(F.transform(quantiles, lambda q: F.round(q, EDGE_DECIMALS))))
-    n = F.size(snapped)
-    interior = F.slice(snapped, F.lit(2), F.greatest(n - F.lit(2), F.lit(0)))
-    return F.when(n < 2, F.array(F.lit(-INF), F.lit(INF))).otherwise(
-        F.concat(F.array(F.lit(-INF)), interior, F.array(F.lit(INF))))
-
-
-def pin_edges_py(quantiles: list[float]) -> list[float]:
-    """Driver-side twin of :func:`pinned_edges` for an already collected quantile list."""
     snapped = sorted({round(q, EDGE_DECIMALS) for q in quantiles})
     if len(snapped) < 2:
         return [-INF, INF]
@@ -58,15 +48,9 @@ def bin_index_literal(x: Column, edges: list[float]) -> Column:
     return index
 
 
-def bin_index(x: Column, edges: Column) -> Column:
-    """F18 with edges in a column: the number of interior edges not above ``x``."""
-    interior = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - F.lit(2), F.lit(0)))
-    return F.size(F.filter(interior, lambda e: x >= e))
-
-
 def psi_term(reference_p: float | Column, current_p: Column) -> Column:
     """one bin's ``(cur - ref) * ln(cur / ref)`` with both proportions floored."""
-    ref = F.greatest(F.lit(reference_p) if not isinstance(reference_p, Column) else reference_p,
+    ref = F.greatest(reference_p if isinstance(reference_p, Column) else F.lit(float(reference_p)),
                      F.lit(PROPORTION_FLOOR))
     cur = F.greatest(current_p, F.lit(PROPORTION_FLOOR))
     return (cur - ref) * F.log(cur / ref)
@@ -77,7 +61,3 @@ def psi_status(psi: Column) -> Column:
     return (F.when(psi >= F.lit(PSI_SIGNIFICANT), F.lit("significant"))
             .when(psi >= F.lit(PSI_MODERATE), F.lit("moderate"))
             .otherwise(F.lit("stable")))
-
-
-def finite_or_none(value: float) -> float | None:
-    return value if math.isfinite(value) else None

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tripparity.functions.arrays import (PROPORTION_FLOOR, bin_index_literal, pin_edges_py,
-                                         psi_status, quantile_levels)
+                                         psi_status, psi_term, quantile_levels)
 from tripparity.operators.vector import FEATURE_NAMES
 
 # Fixed values of the drift monitor.
@@ -176,12 +176,11 @@ def latest_per_group(served: DataFrame, group: str, n: int = DEFAULT_BUFFER_SIZE
 
 # ----------------------------------------------------------------------------- PSI
 
-def _psi_expression(reference: FeatureReference, counts: list[Column], total: Column) -> Column:
+def psi_expression(reference: FeatureReference, counts: list[Column], total: Column) -> Column:
+    """PSI of bin counts against the reference's proportions (literals); empty sample -> 0."""
     psi = F.lit(0.0)
     for ref_p, count in zip(reference.bin_proportions, counts, strict=True):
-        cur = F.greatest(count / total, F.lit(PROPORTION_FLOOR))
-        ref = max(ref_p, PROPORTION_FLOOR)
-        psi = psi + (cur - F.lit(ref)) * F.log(cur / F.lit(ref))
+        psi = psi + psi_term(ref_p, count / total)
     return F.when(total == 0, F.lit(0.0)).otherwise(psi)
 
 
@@ -223,7 +222,7 @@ def drift_summary(sample: DataFrame, reference: ReferenceStats | None,
     statuses = []
     for i, name in enumerate(FEATURE_NAMES):
         counts = [F.col(f"c{i}_{b}") for b in range(len(reference[name].bin_edges) - 1)]
-        psi = _psi_expression(reference[name], counts, n)
+        psi = psi_expression(reference[name], counts, n)
         out += [psi.alias(f"psi{i}"), F.col(f"mean{i}").alias(f"current_mean{i}")]
     with_psi = agg.select(*out)
     for i in range(len(FEATURE_NAMES)):

@@ -159,7 +159,7 @@ def windowed_drift_features(windows: DataFrame, reference: drift.ReferenceStats)
     rows = []
     for i, name in enumerate(FEATURE_NAMES):
         counts = [F.col(f"c{i}_{b}") for b in range(len(reference[name].bin_edges) - 1)]
-        psi = _psi(reference[name], counts, n)
+        psi = drift.psi_expression(reference[name], counts, n)
         rows.append(F.struct(F.lit(name).alias("feature"), psi.alias("psi"), psi_status(psi).alias("status"),
                              F.col(f"mean{i}").alias("current_mean")))
     # Window bounds are reported as UTC wall clocks, like the input's served_at.
@@ -169,10 +169,6 @@ def windowed_drift_features(windows: DataFrame, reference: drift.ReferenceStats)
                           "sample_count", F.inline(F.array(*rows)))
 
 
-def _psi(reference: drift.FeatureReference, counts: list[Column], total: Column) -> Column:
-    return drift._psi_expression(reference, counts, total)
-
-
 def start_windowed_drift(spark: SparkSession, events_path: str, reference: drift.ReferenceStats,
                          sink_path: str, checkpoint: str, output_mode: str = "append",
                          window: str = "1 day", watermark: str = "1 day",
