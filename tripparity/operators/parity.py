@@ -73,6 +73,14 @@ def _unmatched(structs: list[Column]) -> Column:
     return compact([F.when(~s["matched"], s) for s in structs], COMPARISON_TYPE)
 
 
+def mismatched_names(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
+                     abs_tol: float = ABSOLUTE_TOLERANCE, separator: str = ",") -> Column:
+    """The names of the features outside tolerance, joined in feature order (a compact scalar)."""
+    return F.concat_ws(separator, *[
+        F.when(~is_close(_field(training, n), _field(serving, n), rel_tol, abs_tol), F.lit(n))
+        for n in FEATURE_NAMES])
+
+
 def mismatch_structs(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                      abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """Q1: the comparisons outside tolerance, in feature order."""

@@ -129,10 +129,11 @@ def q_parity_tables_joined(spark, sf_dir):
     online = accepted(spark, sf_dir).select(F.col("request_id").alias("trip_id"),
                                             *[F.col(f"s_{n}").alias(n) for n in FEATURE_NAMES])
     joined = parity.compare_tables(offline, online, key="trip_id")
+    both = F.col("missing_in").isNull()
     return joined.select("trip_id", "offline_rows", "online_rows", "missing_in",
-                         F.col("parity.matched_count").alias("matched_count"),
-                         F.array_join(F.transform(F.col("parity.mismatches"), lambda m: m["feature"]), ",")
-                         .alias("mismatched_features"))
+                         F.when(both, F.lit(len(FEATURE_NAMES)) - parity.mismatch_count("t_", "s_"))
+                         .alias("matched_count"),
+                         F.when(both, parity.mismatched_names("t_", "s_")).alias("mismatched_features"))
 
 
 # ----------------------------------------------------------------------------- drift

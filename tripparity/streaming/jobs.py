@@ -154,19 +154,23 @@ def windowed_drift(served: DataFrame, reference: drift.ReferenceStats, window: s
 
 
 def windowed_drift_features(windows: DataFrame, reference: drift.ReferenceStats) -> DataFrame:
-    """PSI rows (window_start, window_end, sample_count, feature, psi, status, current_mean)."""
+    """PSI rows (window_start, window_end, sample_count, feature, psi, status, current_mean).
+
+    PSI is projected into plain columns first and then unpivoted, which keeps the generator small.
+    """
     n = F.col("sample_count")
-    rows = []
+    psi = []
     for i, name in enumerate(FEATURE_NAMES):
         counts = [F.col(f"c{i}_{b}") for b in range(len(reference[name].bin_edges) - 1)]
-        psi = drift.psi_expression(reference[name], counts, n)
-        rows.append(F.struct(F.lit(name).alias("feature"), psi.alias("psi"), psi_status(psi).alias("status"),
-                             F.col(f"mean{i}").alias("current_mean")))
+        psi.append(drift.psi_expression(reference[name], counts, n).alias(f"psi{i}"))
     # Window bounds are reported as UTC wall clocks, like the input's served_at.
-    start = utc_wall_clock(F.col("window.start"), TimestampType())
-    end = utc_wall_clock(F.col("window.end"), TimestampType())
-    return windows.select(start.alias("window_start"), end.alias("window_end"),
-                          "sample_count", F.inline(F.array(*rows)))
+    scored = windows.select(utc_wall_clock(F.col("window.start"), TimestampType()).alias("window_start"),
+                            utc_wall_clock(F.col("window.end"), TimestampType()).alias("window_end"),
+                            "sample_count", *[F.col(f"mean{i}") for i in range(len(FEATURE_NAMES))], *psi)
+    rows = [F.struct(F.lit(name).alias("feature"), F.col(f"psi{i}").alias("psi"),
+                     psi_status(F.col(f"psi{i}")).alias("status"), F.col(f"mean{i}").alias("current_mean"))
+            for i, name in enumerate(FEATURE_NAMES)]
+    return scored.select("window_start", "window_end", "sample_count", F.inline(F.array(*rows)))
 
 
 def start_windowed_drift(spark: SparkSession, events_path: str, reference: drift.ReferenceStats,
