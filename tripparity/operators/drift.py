@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from tripparity.functions.arrays import (PROPORTION_FLOOR, bin_index_literal, pin_edges_py,
-                                         psi_status, psi_term, quantile_levels)
+from tripparity.functions.arrays import (PROPORTION_FLOOR, bin_counts, bin_index_literal, pin_edges_py, psi_sql,
+                                         psi_status, quantile_levels)
 from tripparity.operators.vector import FEATURE_NAMES
 
 # Fixed values of the drift monitor.
@@ -119,10 +119,10 @@ def _reference_stats(features: DataFrame, bins: int, method: str, accuracy: int,
         raise ValueError("reference statistics need at least one row")
     edges = {name: pin_edges_py(list(first[f"q{i}"])) for i, name in enumerate(columns)}
 
-    binned = features.select(*[bin_index_literal(F.col(name).cast("double"), edges[name]).alias(f"b{i}")
-                               for i, name in enumerate(columns)])
-    counts = [F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}")
-              for i, name in enumerate(columns) for b in range(len(edges[name]) - 1)]
+    binned = features.select(*[F.col(name).cast("double").alias(f"x{i}") for i, name in enumerate(columns)])
+    binned = binned.select(*[bin_index_literal(f"x{i}", edges[name]).alias(f"b{i}")
+                             for i, name in enumerate(columns)])
+    counts = [c for i, name in enumerate(columns) for c in bin_counts(f"b{i}", len(edges[name]) - 1, f"c{i}_")]
     second = binned.agg(F.count(F.lit(1)).alias("n"), *counts).collect()[0]
     total = second["n"]
 
@@ -176,12 +176,9 @@ def latest_per_group(served: DataFrame, group: str, n: int = DEFAULT_BUFFER_SIZE
 
 # ----------------------------------------------------------------------------- PSI
 
-def psi_expression(reference: FeatureReference, counts: list[Column], total: Column) -> Column:
-    """PSI of bin counts against the reference's proportions (literals); empty sample -> 0."""
-    psi = F.lit(0.0)
-    for ref_p, count in zip(reference.bin_proportions, counts, strict=True):
-        psi = psi + psi_term(ref_p, count / total)
-    return F.when(total == 0, F.lit(0.0)).otherwise(psi)
+def psi_expression(reference: FeatureReference, count_prefix: str, total: str) -> Column:
+    """PSI of the bin-count columns ``<count_prefix><b>`` against the reference (literals)."""
+    return psi_sql(reference.bin_proportions, count_prefix, total)
 
 
 def _worst(statuses: list[Column]) -> Column:
@@ -207,12 +204,11 @@ def drift_summary(sample: DataFrame, reference: ReferenceStats | None,
         # Bin index computed once per feature in a projection, then one count_if per bin.
         sample = sample.select(*group_by, *[F.col(name).cast("double").alias(f"x{i}")
                                             for i, name in enumerate(FEATURE_NAMES)])
-        sample = sample.select("*", *[bin_index_literal(F.col(f"x{i}"), list(reference[name].bin_edges))
+        sample = sample.select("*", *[bin_index_literal(f"x{i}", list(reference[name].bin_edges))
                                       .alias(f"b{i}") for i, name in enumerate(FEATURE_NAMES)])
         for i, name in enumerate(FEATURE_NAMES):
             aggs.append(F.avg(F.col(f"x{i}")).alias(f"mean{i}"))
-            aggs += [F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}")
-                     for b in range(len(reference[name].bin_edges) - 1)]
+            aggs += bin_counts(f"b{i}", len(reference[name].bin_edges) - 1, f"c{i}_")
     agg = sample.groupBy(*group_by).agg(*aggs) if group_by else sample.agg(*aggs)
     if reference is None:
         return agg.select(*group_by, "sample_count",
@@ -221,8 +217,7 @@ def drift_summary(sample: DataFrame, reference: ReferenceStats | None,
     out = [*group_by, "sample_count"]
     statuses = []
     for i, name in enumerate(FEATURE_NAMES):
-        counts = [F.col(f"c{i}_{b}") for b in range(len(reference[name].bin_edges) - 1)]
-        psi = psi_expression(reference[name], counts, n)
+        psi = psi_expression(reference[name], f"c{i}_", "sample_count")
         out += [psi.alias(f"psi{i}"), F.col(f"mean{i}").alias(f"current_mean{i}")]
     with_psi = agg.select(*out)
     for i in range(len(FEATURE_NAMES)):

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
-from tripparity.functions.arrays import bin_index_literal, psi_status
+from tripparity.functions.arrays import bin_counts, bin_index_literal, psi_status
 from tripparity.functions.time import utc_instant, utc_wall_clock
 from tripparity.operators import drift, models, pairs, parity
 from tripparity.operators.vector import FEATURE_NAMES
@@ -142,13 +142,12 @@ def windowed_drift(served: DataFrame, reference: drift.ReferenceStats, window: s
     w = F.window(time_column, window, slide) if slide else F.window(time_column, window)
     served = served.select(time_column, *[F.col(name).cast("double").alias(f"x{i}")
                                           for i, name in enumerate(FEATURE_NAMES)])
-    served = served.select("*", *[bin_index_literal(F.col(f"x{i}"), list(reference[name].bin_edges))
+    served = served.select("*", *[bin_index_literal(f"x{i}", list(reference[name].bin_edges))
                                   .alias(f"b{i}") for i, name in enumerate(FEATURE_NAMES)])
     aggs = [F.count(F.lit(1)).alias("sample_count")]
     for i, name in enumerate(FEATURE_NAMES):
         aggs.append(F.avg(F.col(f"x{i}")).alias(f"mean{i}"))
-        aggs += [F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}")
-                 for b in range(len(reference[name].bin_edges) - 1)]
+        aggs += bin_counts(f"b{i}", len(reference[name].bin_edges) - 1, f"c{i}_")
     grouped = served.withWatermark(time_column, watermark).groupBy(w.alias("window")).agg(*aggs)
     return grouped
 
@@ -158,11 +157,8 @@ def windowed_drift_features(windows: DataFrame, reference: drift.ReferenceStats)
 
     PSI is projected into plain columns first and then unpivoted, which keeps the generator small.
     """
-    n = F.col("sample_count")
-    psi = []
-    for i, name in enumerate(FEATURE_NAMES):
-        counts = [F.col(f"c{i}_{b}") for b in range(len(reference[name].bin_edges) - 1)]
-        psi.append(drift.psi_expression(reference[name], counts, n).alias(f"psi{i}"))
+    psi = [drift.psi_expression(reference[name], f"c{i}_", "sample_count").alias(f"psi{i}")
+           for i, name in enumerate(FEATURE_NAMES)]
     # Window bounds are reported as UTC wall clocks, like the input's served_at.
     scored = windows.select(utc_wall_clock(F.col("window.start"), TimestampType()).alias("window_start"),
                             utc_wall_clock(F.col("window.end"), TimestampType()).alias("window_end"),
