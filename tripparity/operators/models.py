@@ -69,7 +69,10 @@ class CandidateResult:
 
 
 def assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features")
+    """Features in contract order. Invalid values are passed to the model ("keep"), so a bad
+    input surfaces as a non-finite prediction (flagged, or an error under ``strict``); training
+    tables are contract-checked before they get here."""
+    return VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features", handleInvalid="keep")
 
 
 def feature_frame(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
