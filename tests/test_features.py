@@ -123,9 +123,10 @@ def test_round6_matches_python_round(spark):
     values += [rng.uniform(-1000, 1000) for _ in range(500)]
     values += [rng.randint(0, 10**7) / 1e6 + 5e-7 for _ in range(300)]  # near-ties
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [r[0] for r in df.select(round6(F.col("x"))).collect()]
-    for v, g in zip(values, got):
+    rows = df.select(round6(F.col("x")), round6("x")).collect()
+    for v, (g, g_sql) in zip(values, rows):
         assert g == round(v, 6) or (g == 0 and round(v, 6) == 0), (v, g, round(v, 6))
+        assert g_sql == g
     special = spark.createDataFrame([(math.inf,), (-math.inf,)], "x double").select(round6(F.col("x")))
     assert [r[0] for r in special.collect()] == [math.inf, -math.inf]
 

@@ -22,14 +22,26 @@ def round6_exact(x: Column) -> Column:
     return F.call_function("format_number", x, F.lit("0.000000")).cast("double")
 
 
-def round6(x: Column) -> Column:
+def round6_sql(x: str) -> str:
+    """SQL text of :func:`round6` applied to the SQL expression ``x``."""
+    y = f"(({x}) * 1000000D)"
+    return (f"CASE WHEN abs({y}) < 1000000000D AND abs({y} - floor({y}) - 0.5D) > 0.000001D "
+            f"THEN rint({y}) / 1000000D "
+            f"WHEN isnan({x}) OR abs({x}) = CAST('Infinity' AS DOUBLE) THEN ({x}) "
+            f"ELSE CAST(format_number({x}, '0.000000') AS DOUBLE) END")
+
+
+def round6(x: Column | str) -> Column:
     """Python ``round(x, 6)`` (half-even on the exact binary value), mostly in arithmetic.
 
     With ``y = x * 1e6`` (relative error <= 2^-53), when ``y`` is clearly away from a .5 tie the
     rounding decision is unambiguous and ``rint(y) / 1e6`` is the double nearest to the rounded
     decimal, which is exactly what Python returns. Only near-ties (and huge values) take the exact,
-    slower formatting path. Non-finite values pass through.
+    slower formatting path. Non-finite values pass through. ``x`` may be a Column or SQL text (SQL
+    text builds in one call to the JVM).
     """
+    if isinstance(x, str):
+        return F.expr(round6_sql(x))
     y = x * F.lit(1e6)
     # |y| < 1e9 also excludes NaN and infinities; the common path touches x only a few times.
     clear = (F.abs(y) < F.lit(1e9)) & (F.abs(y - F.floor(y) - F.lit(0.5)) > F.lit(1e-6))
@@ -39,8 +51,10 @@ def round6(x: Column) -> Column:
             .otherwise(round6_exact(x)))
 
 
-def miles_to_kilometres(distance: Column) -> Column:
-    """F10."""
+def miles_to_kilometres(distance: Column | str) -> Column:
+    """``round6(distance * 1.609344)``; ``distance`` may be SQL text."""
+    if isinstance(distance, str):
+        return F.expr(round6_sql(f"({distance}) * {MILES_TO_KILOMETRES!r}D"))
     return round6(distance * F.lit(MILES_TO_KILOMETRES))
 
 

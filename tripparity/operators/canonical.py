@@ -26,7 +26,7 @@ def canonical_columns(df: DataFrame, pickup: str = "pickup_datetime") -> dict[st
     hour = F.hour(local)
     weekday = F.weekday(local)
     return {
-        "trip_distance_miles": round6(F.col("trip_distance_miles").cast("double")),
+        "trip_distance_miles": round6("CAST(`trip_distance_miles` AS DOUBLE)"),
         "passenger_count": F.coalesce(F.col("passenger_count").cast("int"), F.lit(1)),
         "pickup_location_id": F.col("pickup_location_id").cast("int"),
         "dropoff_location_id": F.col("dropoff_location_id").cast("int"),

@@ -21,19 +21,20 @@ FEATURE_MODES = (FEATURE_MODE_BROKEN, FEATURE_MODE_CORRECT)
 
 
 def apply_fault(vector: dict[str, Column], pickup_utc_wall_clock: Column,
-                skew_mode: Column) -> dict[str, Column]:
+                skew_mode: Column, distance_sql: str | None = None) -> dict[str, Column]:
     """Returns the feature columns with the requested fault applied.
 
     distance_unit: only the distance changes (miles read as kilometres, rounded to 6 decimals).
     timezone: the five time features are re-derived from the UTC wall clock.
+    ``distance_sql`` optionally gives the vector's distance as SQL text (cheaper to build).
     """
     utc_fields = calendar_fields(pickup_utc_wall_clock)
     values = {}
     for name in FEATURE_NAMES:
         base = vector[name]
         if name == "trip_distance_miles":
-            values[name] = F.when(skew_mode == F.lit(SKEW_DISTANCE_UNIT),
-                                  miles_to_kilometres(base)).otherwise(base)
+            km = miles_to_kilometres(distance_sql if distance_sql is not None else base)
+            values[name] = F.when(skew_mode == F.lit(SKEW_DISTANCE_UNIT), km).otherwise(base)
         elif name in utc_fields:
             values[name] = F.when(skew_mode == F.lit(SKEW_TIMEZONE), utc_fields[name]).otherwise(base)
         else:

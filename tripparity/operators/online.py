@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tripparity.functions.numeric import round6
+from tripparity.functions.numeric import round6, round6_sql
 from pyspark.sql.types import TimestampType
 
 from tripparity.operators.faults import SKEW_NONE, apply_fault
@@ -26,11 +26,13 @@ def online_columns(df: DataFrame, skew_mode: Column | str | None = None,
                    pickup: str = "pickup_datetime") -> dict[str, Column]:
     utc = _utc_wall_clock(df, pickup)
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), utc)
+    distance_sql = "CAST(`trip_distance_miles` AS DOUBLE)"
+    round6_sql_text = round6_sql(distance_sql)
     hour_local = F.hour(local)
     dow_local = F.weekday(local)
     rush = ((hour_local >= 7) & (hour_local < 10)) | ((hour_local >= 16) & (hour_local < 19))
     values = {
-        "trip_distance_miles": round6(F.col("trip_distance_miles").cast("double")),
+        "trip_distance_miles": round6(distance_sql),
         "passenger_count": F.when(F.col("passenger_count").isNull(), F.lit(1))
         .otherwise(F.col("passenger_count").cast("int")),
         "pickup_location_id": F.col("pickup_location_id").cast("int"),
@@ -47,7 +49,7 @@ def online_columns(df: DataFrame, skew_mode: Column | str | None = None,
         mode = F.lit(skew_mode)
     else:
         mode = skew_mode
-    return apply_fault(values, utc, mode)
+    return apply_fault(values, utc, mode, distance_sql=round6_sql_text)
 
 
 def online_vector(df: DataFrame, skew_mode: Column | str | None = None,

@@ -32,7 +32,7 @@ def shared_columns(df: DataFrame, *, pickup: str = "pickup_datetime",
     else:
         wall_clock = to_new_york(utc_wall_clock(F.col(pickup), data_type))
     values = {
-        "trip_distance_miles": round6(F.col(distance).cast("double")),
+        "trip_distance_miles": round6(f"CAST(`{distance}` AS DOUBLE)"),
         "passenger_count": default_passengers(F.col(passengers).cast("int")),
         "pickup_location_id": F.col(pickup_zone).cast("int"),
         "dropoff_location_id": F.col(dropoff_zone).cast("int"),
