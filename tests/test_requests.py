@@ -42,3 +42,18 @@ def test_lax_integers_and_rejections(spark):
     assert rows[6].rejection_reasons == ["trip_distance_miles_out_of_range"]
     # passes the request contract, but rounds to 0 and fails the feature-vector contract
     assert rows[7].rejection_reasons == ["feature_trip_distance_miles_out_of_contract"]
+
+
+def test_wire_json_round_trip_equals_the_typed_path(spark):
+    from pyspark.sql import functions as F
+
+    from tripparity.sources.requests import requests_from_trips, requests_to_json
+    from tripparity.sources.trips import load_trips
+
+    typed = requests_from_trips(load_trips(spark, "/root/testdata/sf0.001"))
+    wire = parse_json_requests(requests_to_json(typed), id_column="request_id")
+    cols = ["request_id", "accepted", "s_trip_distance_miles", "s_pickup_hour", "s_passenger_count"]
+    a = serve_requests(typed).select(*cols).where("accepted")
+    b = serve_requests(wire).select(*cols).where("accepted")
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0

@@ -20,7 +20,7 @@ from tripparity.streaming import jobs as streaming
 from tripparity.operators.online import online_vector
 from tripparity.operators.shared import shared_vector, training_features
 from tripparity.operators.vector import FEATURE_NAMES
-from tripparity.sources.requests import requests_from_trips
+from tripparity.sources.requests import parse_json_requests, requests_from_trips, requests_to_json
 from tripparity.sources.trips import load_trips, raw_trips_from_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,18 @@ def q_requests_rejected(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- features
 
+def q_requests_from_json(spark, sf_dir):
+    """S4/P19 over the whole table: every request serialised to wire JSON, parsed back, served."""
+    wire = requests_to_json(requests_from_trips(load_trips(spark, sf_dir)))
+    served_json = pairs.serve_requests(parse_json_requests(wire, id_column="request_id"))
+    ok = F.col("accepted")
+    return served_json.select(
+        "request_id", "accepted",
+        F.when(ok, F.col("applied_skew_mode")).alias("applied_skew_mode"),
+        *[F.when(ok, F.col(f"s_{n}")).alias(n)
+          for n in ("trip_distance_miles", "passenger_count", "pickup_hour", "pickup_day_of_week")])
+
+
 def q_features_training(spark, sf_dir):
     return training_table(spark, sf_dir)
 
@@ -374,6 +386,7 @@ def base_queries() -> dict[str, Query]:
         "trips_violations": q_trips_violations,
         "trips_violation_counts": q_trips_violation_counts,
         "requests_rejected": q_requests_rejected,
+        "requests_from_json": q_requests_from_json,
         "features_training": q_features_training,
         "features_serving": q_features_serving,
         "features_fault_distance": _fault_query("distance_unit"),

@@ -206,6 +206,14 @@ FROM (SELECT rows, valid, unnest([
   ]) AS c FROM agg)"""),
         "requests_rejected": with_ctes(TRIPS, REQUESTS, body="""
 SELECT request_id, unnest(rejection_reasons) AS reason FROM served WHERE len(rejection_reasons) > 0"""),
+        "requests_from_json": with_ctes(TRIPS, REQUESTS, body="""
+SELECT request_id, len(rejection_reasons) = 0 AS accepted,
+       CASE WHEN len(rejection_reasons) = 0 THEN applied_skew_mode END AS applied_skew_mode,
+       CASE WHEN len(rejection_reasons) = 0 THEN s_trip_distance_miles END AS trip_distance_miles,
+       CASE WHEN len(rejection_reasons) = 0 THEN s_passenger_count END AS passenger_count,
+       CASE WHEN len(rejection_reasons) = 0 THEN s_pickup_hour END AS pickup_hour,
+       CASE WHEN len(rejection_reasons) = 0 THEN s_pickup_day_of_week END AS pickup_day_of_week
+FROM served"""),
         "features_training": with_ctes(TRIPS, body="SELECT * FROM training"),
         "features_serving": with_ctes(TRIPS, REQUESTS, body=f"""
 SELECT s.request_id, {_feature_list('s.')} FROM accepted a JOIN shared s USING (request_id)"""),

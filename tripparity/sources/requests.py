@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from tripparity.functions.time import utc_wall_clock
 from tripparity.operators.faults import (FEATURE_MODE_BROKEN, FEATURE_MODE_CORRECT, SKEW_MODES,
                                          SKEW_NONE)
 
@@ -52,6 +53,22 @@ def requests_from_trips(trips: DataFrame) -> DataFrame:
     )
 
 
+def requests_to_json(requests: DataFrame) -> DataFrame:
+    """The wire form of typed requests: ``request_id`` plus one JSON document per request.
+
+    The pickup is written as ISO-8601 with a ``Z`` offset (``pickup_datetime`` is a UTC wall clock
+    or an instant); a null passenger count is written as JSON null.
+    """
+    data_type = requests.schema["pickup_datetime"].dataType.simpleString()
+    pickup = F.col("pickup_datetime")
+    if data_type == "timestamp":
+        pickup = utc_wall_clock(pickup, requests.schema["pickup_datetime"].dataType)
+    iso = F.date_format(pickup, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.to_json(F.struct(iso.alias("pickup_datetime"), *[F.col(c) for c in REQUEST_FIELDS[1:]]),
+                     {"ignoreNullFields": "false"})
+    return requests.select("request_id", body.alias("value"))
+
+
 def _lax_int(text):
     """An integer-valued JSON number or numeric string ("3", 3, 3.0); 2.5 or junk -> null."""
     as_double = text.try_cast("double")
