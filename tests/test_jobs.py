@@ -1,7 +1,6 @@
 """Jobs: raw scan (S1-S3), scoring responses (E1), drift job (E4), model info (E5)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tripparity.operators import drift, models
 from tripparity.plans import catalog, jobs

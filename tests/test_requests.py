@@ -45,8 +45,6 @@ def test_lax_integers_and_rejections(spark):
 
 
 def test_wire_json_round_trip_equals_the_typed_path(spark):
-    from pyspark.sql import functions as F
-
     from tripparity.sources.requests import requests_from_trips, requests_to_json
     from tripparity.sources.trips import load_trips
 

@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tripparity.operators import explain, models, vector
 from tripparity.operators.vector import FEATURE_NAMES
