@@ -35,16 +35,16 @@ def feature_pairs(requests: DataFrame) -> DataFrame:
     """
     stage = requests.select(
         "*",
-        *flat_features(canonical_columns(requests), "_c_"),
-        *flat_features(shared_columns(requests), "_h_"),
-        *flat_features(online_columns(requests, F.col("skew_mode")), "_o_"),
+        *flat_features(canonical_columns(requests), "_c_", cast=False),
+        *flat_features(shared_columns(requests), "_h_", cast=False),
+        *flat_features(online_columns(requests, F.col("skew_mode")), "_o_", cast=False),
     )
     broken = F.col("feature_mode") == F.lit(FEATURE_MODE_BROKEN)
     training = {n: F.when(broken, F.col(f"_c_{n}")).otherwise(F.col(f"_h_{n}")) for n in FEATURE_NAMES}
     serving = {n: F.when(broken, F.col(f"_o_{n}")).otherwise(F.col(f"_h_{n}")) for n in FEATURE_NAMES}
     applied = F.when(broken, F.col("skew_mode")).otherwise(F.lit(SKEW_NONE))
-    return stage.select(*requests.columns, *flat_features(training, TRAINING_PREFIX),
-                        *flat_features(serving, SERVING_PREFIX), applied.alias("applied_skew_mode"))
+    return stage.select(*requests.columns, *flat_features(training, TRAINING_PREFIX, cast=False),
+                        *flat_features(serving, SERVING_PREFIX, cast=False), applied.alias("applied_skew_mode"))
 
 
 def with_vector_structs(df: DataFrame, drop_flat: bool = True) -> DataFrame:

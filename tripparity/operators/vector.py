@@ -40,19 +40,29 @@ FEATURE_CONTRACT = (
 )
 
 
-def vector_struct(values: dict[str, Column]) -> Column:
-    """A feature struct with fields in FEATURE_NAMES order and the declared types."""
+def _require_all(values: dict[str, Column]) -> None:
     missing = [name for name in FEATURE_NAMES if name not in values]
     if missing:
         raise ValueError(f"missing features: {missing}")
+
+
+def vector_struct(values: dict[str, Column]) -> Column:
+    """A feature struct with fields in FEATURE_NAMES order and the declared types."""
+    _require_all(values)
     fields = [values["trip_distance_miles"].cast("double").alias("trip_distance_miles")]
     fields += [values[name].cast("int").alias(name) for name in FEATURE_NAMES[1:]]
     return F.struct(*fields)
 
 
-def flat_features(values: dict[str, Column], prefix: str = "") -> list[Column]:
-    """The nine features as separate, typed columns (optionally prefixed)."""
-    vector_struct(values)  # validates the key set
+def flat_features(values: dict[str, Column], prefix: str = "", cast: bool = True) -> list[Column]:
+    """The nine features as separate columns (optionally prefixed).
+
+    ``cast=False`` is for values already of the declared types (the package's own transforms);
+    it saves a cast per feature when the plan is built.
+    """
+    _require_all(values)
+    if not cast:
+        return [values[name].alias(f"{prefix}{name}") for name in FEATURE_NAMES]
     out = [values["trip_distance_miles"].cast("double").alias(f"{prefix}trip_distance_miles")]
     out += [values[name].cast("int").alias(f"{prefix}{name}") for name in FEATURE_NAMES[1:]]
     return out
