@@ -192,9 +192,12 @@ def all_of(clauses: list[tuple[str, Column]]) -> Column:
     return ok
 
 
-def request_rejections(df: DataFrame) -> Column:
-    """Reasons a request is rejected (empty array when accepted); parse errors first."""
-    clauses = [c for c in request_clauses(df) if c[0] != "parse_error"]
+def request_rejections(df: DataFrame, clauses: list[tuple[str, Column]] | None = None) -> Column:
+    """Reasons a request is rejected (empty array when accepted); parse errors first.
+
+    ``clauses`` may pass in an already built ``request_clauses(df)``.
+    """
+    clauses = [c for c in (clauses if clauses is not None else request_clauses(df)) if c[0] != "parse_error"]
     found = reasons_of(clauses)
     if "parse_errors" in df.columns:
         found = F.concat(F.col("parse_errors"), found)

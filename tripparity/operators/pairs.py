@@ -65,7 +65,7 @@ def serve_requests(requests: DataFrame) -> DataFrame:
     """
     request_checks = request_clauses(requests)
     checked = requests.select("*", all_of(request_checks).alias("_request_ok"),
-                              request_rejections(requests).alias("_request_reasons"))
+                              request_rejections(requests, request_checks).alias("_request_reasons"))
     paired = feature_pairs(checked)
     # Given an accepted request, every vector clause except "distance > 0" holds by construction
     # (hour/weekday/month come from calendar functions, flags are 0/1, passengers and zones are
