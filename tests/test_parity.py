@@ -90,3 +90,16 @@ def test_compare_tables_counts_duplicates_without_multiplying(spark):
     assert rows[1].parity.matched and rows[1].offline_rows == 1
     assert rows[2].offline_rows == 2 and rows[2].missing_in == "online" and rows[2].parity is None
     assert rows[3].missing_in == "offline"
+
+
+def test_duplicate_key_representative_is_one_whole_row(spark):
+    cols = ", ".join(f"{n} {'double' if n == 'trip_distance_miles' else 'int'}" for n in FEATURE_NAMES)
+    a = (1.0, 1, 1, 1, 8, 0, 1, 0, 1)
+    b = (9.0, 5, 7, 3, 2, 6, 1, 1, 0)
+    offline = spark.createDataFrame([(4, *a), (4, *b)] * 3, f"trip_id long, {cols}").repartition(3)
+    online = spark.createDataFrame([(4, *a)], f"trip_id long, {cols}")
+    row = parity.compare_tables(offline, online).first()
+    picked = tuple(row[f"t_{n}"] for n in FEATURE_NAMES)
+    assert row.offline_rows == 6 and picked in (a, b)
+    again = parity.compare_tables(offline.repartition(5), online).first()
+    assert tuple(again[f"t_{n}"] for n in FEATURE_NAMES) == picked

@@ -146,13 +146,20 @@ def parity_rollup(df: DataFrame, group_by: tuple[str, ...], training: Vector = "
 
 
 def _keyed_vectors(df: DataFrame, key: str, side: str) -> DataFrame:
-    """One row per key: the duplicate count and a deterministic representative (the least vector).
+    """One row per key: the duplicate count and a deterministic representative row.
 
-    ``count``/``min`` aggregate partially before the shuffle, so a key repeated many times is
-    collapsed map-side instead of being sent to one task.
+    The representative is the row with the smallest content hash: ``min_by(feature, hash)`` per
+    feature keeps fixed-width buffers, so the aggregation is hash-based (no sort) and combines
+    map-side before the shuffle; a key repeated many times is collapsed in every task instead of
+    being sent to one. All features follow the same ordering, so they come from the same row.
     """
-    vector = vector_struct({name: F.col(name) for name in FEATURE_NAMES})
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{side}_rows"), F.min(vector).alias(side))
+    row_hash = F.xxhash64(*[F.col(n) for n in FEATURE_NAMES])
+    hashed = df.select(key, *FEATURE_NAMES, row_hash.alias("_h"))
+    aggs = [F.count(F.lit(1)).alias(f"{side}_rows")]
+    aggs += [F.min_by(F.col(n), F.col("_h")).alias(f"_{side}_{n}") for n in FEATURE_NAMES]
+    reduced = hashed.groupBy(key).agg(*aggs)
+    vector = vector_struct({n: F.col(f"_{side}_{n}") for n in FEATURE_NAMES})
+    return reduced.select(key, f"{side}_rows", vector.alias(side))
 
 
 def compare_tables(offline: DataFrame, online: DataFrame, key: str = "trip_id") -> DataFrame:
