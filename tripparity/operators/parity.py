@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tripparity.functions.arrays import compact
-from tripparity.functions.numeric import (ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE,
-                                          absolute_difference, is_close, relative_difference)
+from tripparity.functions.numeric import (ABSOLUTE_TOLERANCE, RELATIVE_DENOMINATOR_FLOOR,
+                                          RELATIVE_TOLERANCE, absolute_difference, is_close,
+                                          relative_difference)
 from tripparity.operators.vector import FEATURE_NAMES, vector_struct
 
 Vector = Column | str  # a struct column, or the prefix of flat feature columns
@@ -29,8 +30,33 @@ TOTAL_FEATURES = len(FEATURE_NAMES)
 DOUBLE = DoubleType()
 
 
+def _sql_terms(training: str, serving: str, name: str, rel_tol: float, abs_tol: float
+               ) -> tuple[str, str, str, str, str]:
+    """SQL text of (training value, serving value, matched, absolute diff, relative diff)."""
+    t, s = f"CAST(`{training}{name}` AS DOUBLE)", f"CAST(`{serving}{name}` AS DOUBLE)"
+    close = (f"(CASE WHEN isnan({t}) OR isnan({s}) THEN false WHEN {t} = {s} THEN true "
+             f"ELSE coalesce(abs({t} - {s}) <= greatest({rel_tol!r}D * greatest(abs({t}), abs({s})), "
+             f"{abs_tol!r}D), false) END)")
+    diff = f"abs({t} - {s})"
+    rel = f"({diff} / greatest(abs({t}), {RELATIVE_DENOMINATOR_FLOOR!r}D))"
+    return t, s, close, diff, rel
+
+
+def _sql_struct(training: str, serving: str, name: str, rel_tol: float, abs_tol: float) -> str:
+    t, s, close, diff, rel = _sql_terms(training, serving, name, rel_tol, abs_tol)
+    return (f"named_struct('feature', '{name}', 'training_value', {t}, 'serving_value', {s}, "
+            f"'matched', {close}, 'absolute_difference', {diff}, 'relative_difference', {rel})")
+
+
+def _flat(training: Vector, serving: Vector) -> bool:
+    """Both vectors given as column prefixes: expressions are built as SQL text (one JVM call each)."""
+    return isinstance(training, str) and isinstance(serving, str)
+
+
 def comparison_structs(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                        abs_tol: float = ABSOLUTE_TOLERANCE) -> list[Column]:
+    if _flat(training, serving):
+        return [F.expr(_sql_struct(training, serving, n, rel_tol, abs_tol)) for n in FEATURE_NAMES]
     structs = []
     for name in FEATURE_NAMES:
         t, s = _field(training, name), _field(serving, name)
@@ -49,6 +75,9 @@ def comparisons(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOL
                 abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """Q2/Q4: ``array<struct<feature, training_value, serving_value, matched,
     absolute_difference, relative_difference>>`` in feature order."""
+    if _flat(training, serving):
+        return F.expr("array(" + ", ".join(_sql_struct(training, serving, n, rel_tol, abs_tol)
+                                           for n in FEATURE_NAMES) + ")")
     return F.array(*comparison_structs(training, serving, rel_tol, abs_tol))
 
 
@@ -59,6 +88,9 @@ COMPARISON_TYPE = ("struct<feature:string,training_value:double,serving_value:do
 def mismatch_count(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                    abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """Number of features outside tolerance, as one scalar (code-generated) expression."""
+    if _flat(training, serving):
+        return F.expr(" + ".join(f"CAST(NOT {_sql_terms(training, serving, n, rel_tol, abs_tol)[2]} AS INT)"
+                                 for n in FEATURE_NAMES))
     return _count_unmatched(comparison_structs(training, serving, rel_tol, abs_tol))
 
 
@@ -76,6 +108,10 @@ def _unmatched(structs: list[Column]) -> Column:
 def mismatched_names(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                      abs_tol: float = ABSOLUTE_TOLERANCE, separator: str = ",") -> Column:
     """The names of the features outside tolerance, joined in feature order (a compact scalar)."""
+    if _flat(training, serving):
+        parts = ", ".join(f"CASE WHEN NOT {_sql_terms(training, serving, n, rel_tol, abs_tol)[2]} THEN '{n}' END"
+                          for n in FEATURE_NAMES)
+        return F.expr(f"concat_ws('{separator}', {parts})")
     return F.concat_ws(separator, *[
         F.when(~is_close(_field(training, n), _field(serving, n), rel_tol, abs_tol), F.lit(n))
         for n in FEATURE_NAMES])
@@ -84,6 +120,10 @@ def mismatched_names(training: Vector, serving: Vector, rel_tol: float = RELATIV
 def mismatch_structs(training: Vector, serving: Vector, rel_tol: float = RELATIVE_TOLERANCE,
                      abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """Q1: the comparisons outside tolerance, in feature order."""
+    if _flat(training, serving):
+        items = ", ".join(f"CASE WHEN NOT {_sql_terms(training, serving, n, rel_tol, abs_tol)[2]} "
+                          f"THEN {_sql_struct(training, serving, n, rel_tol, abs_tol)} END" for n in FEATURE_NAMES)
+        return F.expr(f"array_except(array({items}), array(CAST(NULL AS {COMPARISON_TYPE})))")
     return _unmatched(comparison_structs(training, serving, rel_tol, abs_tol))
 
 
@@ -129,6 +169,11 @@ def parity_rollup(df: DataFrame, group_by: tuple[str, ...], training: Vector = "
     """Q5: per group and feature: rows, mismatches, mismatch rate, max and mean absolute difference."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(FEATURE_NAMES):
+        if _flat(training, serving):
+            _, _, close, diff_sql, _ = _sql_terms(training, serving, name, rel_tol, abs_tol)
+            aggs += [F.expr(f"count_if(NOT {close}) AS m{i}"), F.expr(f"max({diff_sql}) AS x{i}"),
+                     F.expr(f"sum({diff_sql}) AS s{i}")]
+            continue
         t, s = _field(training, name), _field(serving, name)
         diff = absolute_difference(t, s)
         aggs += [F.count_if(~is_close(t, s, rel_tol, abs_tol)).alias(f"m{i}"),
