@@ -134,15 +134,20 @@ def parity_struct(training: Vector, serving: Vector, rel_tol: float = RELATIVE_T
     The nine comparison structs are built once and shared by all fields (codegen evaluates each
     once per row).
     """
-    structs = comparison_structs(training, serving, rel_tol, abs_tol)
-    n_mismatch = _count_unmatched(structs)
+    if _flat(training, serving):
+        n_mismatch = mismatch_count(training, serving, rel_tol, abs_tol)
+        comps = comparisons(training, serving, rel_tol, abs_tol)
+        mismatches = mismatch_structs(training, serving, rel_tol, abs_tol)
+    else:
+        structs = comparison_structs(training, serving, rel_tol, abs_tol)
+        n_mismatch, comps, mismatches = _count_unmatched(structs), F.array(*structs), _unmatched(structs)
     return F.struct(
         (n_mismatch == 0).alias("matched"),
         (F.lit(TOTAL_FEATURES) - n_mismatch).alias("matched_count"),
         n_mismatch.alias("mismatch_count"),
         F.lit(TOTAL_FEATURES).alias("total_features"),
-        F.array(*structs).alias("comparisons"),
-        _unmatched(structs).alias("mismatches"),
+        comps.alias("comparisons"),
+        mismatches.alias("mismatches"),
     )
 
 
