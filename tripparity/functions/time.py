@@ -84,3 +84,33 @@ def calendar_fields(wall_clock: Column) -> dict[str, Column]:
         "is_weekend": weekend_flag(weekday),
         "is_rush_hour": rush_hour_flag(hour),
     }
+
+
+# ----------------------------------------------------------------------------- SQL-text forms
+# The same functions as SQL text over a column or expression: one call to the JVM per feature
+# when a plan is built, instead of one per operator.
+
+def utc_wall_clock_sql(column: str, data_type: DataType) -> str:
+    """SQL text of :func:`utc_wall_clock` for the column named ``column``."""
+    if isinstance(data_type, TimestampNTZType):
+        return f"`{column}`"
+    if isinstance(data_type, TimestampType):
+        return f"timestampadd(MICROSECOND, unix_micros(`{column}`), {_EPOCH_NTZ})"
+    raise TypeError(f"expected TIMESTAMP or TIMESTAMP_NTZ, got {data_type.simpleString()}")
+
+
+def to_new_york_sql(utc_ntz: str) -> str:
+    return f"convert_timezone('{UTC}', '{NEW_YORK_TIMEZONE}', {utc_ntz})"
+
+
+def calendar_fields_sql(wall_clock: str) -> dict[str, Column]:
+    """:func:`calendar_fields` from SQL text of a wall clock."""
+    hour, weekday = f"hour({wall_clock})", f"weekday({wall_clock})"
+    rush = " OR ".join(f"({hour} >= {start} AND {hour} < {end})" for start, end in RUSH_HOUR_WINDOWS)
+    return {
+        "pickup_hour": F.expr(hour),
+        "pickup_day_of_week": F.expr(weekday),
+        "pickup_month": F.expr(f"month({wall_clock})"),
+        "is_weekend": F.expr(f"CAST({weekday} >= {WEEKEND_FIRST_WEEKDAY} AS INT)"),
+        "is_rush_hour": F.expr(f"CAST({rush} AS INT)"),
+    }

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripparity.functions.numeric import miles_to_kilometres
-from tripparity.functions.time import calendar_fields
+from tripparity.functions.time import calendar_fields, calendar_fields_sql
 from tripparity.operators.vector import FEATURE_NAMES
 
 # The skew modes, in their declared order, and the feature modes.
@@ -20,7 +20,7 @@ FEATURE_MODE_CORRECT = "correct"
 FEATURE_MODES = (FEATURE_MODE_BROKEN, FEATURE_MODE_CORRECT)
 
 
-def apply_fault(vector: dict[str, Column], pickup_utc_wall_clock: Column,
+def apply_fault(vector: dict[str, Column], pickup_utc_wall_clock: Column | str,
                 skew_mode: Column, distance_sql: str | None = None) -> dict[str, Column]:
     """Returns the feature columns with the requested fault applied.
 
@@ -28,7 +28,8 @@ def apply_fault(vector: dict[str, Column], pickup_utc_wall_clock: Column,
     timezone: the five time features are re-derived from the UTC wall clock.
     ``distance_sql`` optionally gives the vector's distance as SQL text (cheaper to build).
     """
-    utc_fields = calendar_fields(pickup_utc_wall_clock)
+    utc_fields = (calendar_fields_sql(pickup_utc_wall_clock) if isinstance(pickup_utc_wall_clock, str)
+                  else calendar_fields(pickup_utc_wall_clock))
     values = {}
     for name in FEATURE_NAMES:
         base = vector[name]

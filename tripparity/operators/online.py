@@ -15,17 +15,16 @@ from tripparity.operators.faults import SKEW_NONE, apply_fault
 from tripparity.operators.vector import flat_features, vector_struct
 
 
-def _utc_wall_clock(df: DataFrame, pickup: str) -> Column:
+def _utc_wall_clock_sql(df: DataFrame, pickup: str) -> str:
     if isinstance(df.schema[pickup].dataType, TimestampType):
-        return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{pickup}`), "
-                      "timestamp_ntz'1970-01-01 00:00:00')")
-    return F.col(pickup)
+        return f"timestampadd(MICROSECOND, unix_micros(`{pickup}`), timestamp_ntz'1970-01-01 00:00:00')"
+    return f"`{pickup}`"
 
 
 def online_columns(df: DataFrame, skew_mode: Column | str | None = None,
                    pickup: str = "pickup_datetime") -> dict[str, Column]:
-    utc = _utc_wall_clock(df, pickup)
-    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), utc)
+    utc_sql = _utc_wall_clock_sql(df, pickup)
+    local = F.expr(f"convert_timezone('UTC', 'America/New_York', {utc_sql})")
     distance_sql = "CAST(`trip_distance_miles` AS DOUBLE)"
     round6_sql_text = round6_sql(distance_sql)
     hour_local = F.hour(local)
@@ -49,7 +48,7 @@ def online_columns(df: DataFrame, skew_mode: Column | str | None = None,
         mode = F.lit(skew_mode)
     else:
         mode = skew_mode
-    return apply_fault(values, utc, mode, distance_sql=round6_sql_text)
+    return apply_fault(values, utc_sql, mode, distance_sql=round6_sql_text)
 
 
 def online_vector(df: DataFrame, skew_mode: Column | str | None = None,

@@ -39,10 +39,10 @@ def feature_pairs(requests: DataFrame) -> DataFrame:
         *flat_features(shared_columns(requests), "_h_", cast=False),
         *flat_features(online_columns(requests, F.col("skew_mode")), "_o_", cast=False),
     )
-    broken = F.col("feature_mode") == F.lit(FEATURE_MODE_BROKEN)
-    training = {n: F.when(broken, F.col(f"_c_{n}")).otherwise(F.col(f"_h_{n}")) for n in FEATURE_NAMES}
-    serving = {n: F.when(broken, F.col(f"_o_{n}")).otherwise(F.col(f"_h_{n}")) for n in FEATURE_NAMES}
-    applied = F.when(broken, F.col("skew_mode")).otherwise(F.lit(SKEW_NONE))
+    broken = f"`feature_mode` = '{FEATURE_MODE_BROKEN}'"
+    training = {n: F.expr(f"CASE WHEN {broken} THEN `_c_{n}` ELSE `_h_{n}` END") for n in FEATURE_NAMES}
+    serving = {n: F.expr(f"CASE WHEN {broken} THEN `_o_{n}` ELSE `_h_{n}` END") for n in FEATURE_NAMES}
+    applied = F.expr(f"CASE WHEN {broken} THEN `skew_mode` ELSE '{SKEW_NONE}' END")
     return stage.select(*requests.columns, *flat_features(training, TRAINING_PREFIX, cast=False),
                         *flat_features(serving, SERVING_PREFIX, cast=False), applied.alias("applied_skew_mode"))
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from tripparity.functions.numeric import default_passengers, round6
-from tripparity.functions.time import calendar_fields, to_new_york, utc_wall_clock
+from tripparity.functions.numeric import DEFAULT_PASSENGER_COUNT, round6
+from tripparity.functions.time import calendar_fields_sql, to_new_york_sql, utc_wall_clock_sql
 from tripparity.operators.vector import flat_features, vector_struct
 
 
@@ -28,15 +28,15 @@ def shared_columns(df: DataFrame, *, pickup: str = "pickup_datetime",
     """
     data_type = df.schema[pickup].dataType
     if pickup_is_new_york_wall_clock and isinstance(data_type, TimestampNTZType):
-        wall_clock = F.col(pickup)
+        wall_clock = f"`{pickup}`"
     else:
-        wall_clock = to_new_york(utc_wall_clock(F.col(pickup), data_type))
+        wall_clock = to_new_york_sql(utc_wall_clock_sql(pickup, data_type))
     values = {
         "trip_distance_miles": round6(f"CAST(`{distance}` AS DOUBLE)"),
-        "passenger_count": default_passengers(F.col(passengers).cast("int")),
-        "pickup_location_id": F.col(pickup_zone).cast("int"),
-        "dropoff_location_id": F.col(dropoff_zone).cast("int"),
-        **calendar_fields(wall_clock),
+        "passenger_count": F.expr(f"coalesce(CAST(`{passengers}` AS INT), {DEFAULT_PASSENGER_COUNT})"),
+        "pickup_location_id": F.expr(f"CAST(`{pickup_zone}` AS INT)"),
+        "dropoff_location_id": F.expr(f"CAST(`{dropoff_zone}` AS INT)"),
+        **calendar_fields_sql(wall_clock),
     }
     return values
 
