@@ -160,39 +160,53 @@ REQUEST_PASSENGERS = (1, 8)
 REQUEST_MAX_DISTANCE = 500.0
 
 
-def request_clauses(df: DataFrame) -> list[tuple[str, Column]]:
-    """P19/P20 as (reason, holds) pairs; ``holds`` is never null."""
-    pickup = F.col("pickup_datetime")
-    pu, do = F.col("pickup_location_id"), F.col("dropoff_location_id")
-    pc, dist = F.col("passenger_count"), F.col("trip_distance_miles").cast("double")
-    clauses = [
-        ("pickup_datetime_missing", pickup.isNotNull()),
-        ("pickup_location_id_below_1", F.coalesce(pu >= REQUEST_MIN_ZONE, F.lit(False))),
-        ("dropoff_location_id_below_1", F.coalesce(do >= REQUEST_MIN_ZONE, F.lit(False))),
-        ("passenger_count_out_of_range", F.coalesce(pc.between(*REQUEST_PASSENGERS), pc.isNull())),
+Holds = Column | str  # a boolean Column, or SQL text of one
+
+
+def request_clauses(df: DataFrame) -> list[tuple[str, Holds]]:
+    """P19/P20 as (reason, holds) pairs; ``holds`` is SQL text and never null."""
+    dist = "CAST(`trip_distance_miles` AS DOUBLE)"
+    low, high = REQUEST_PASSENGERS
+    clauses: list[tuple[str, Holds]] = [
+        ("pickup_datetime_missing", "`pickup_datetime` IS NOT NULL"),
+        ("pickup_location_id_below_1", f"coalesce(`pickup_location_id` >= {REQUEST_MIN_ZONE}, false)"),
+        ("dropoff_location_id_below_1", f"coalesce(`dropoff_location_id` >= {REQUEST_MIN_ZONE}, false)"),
+        ("passenger_count_out_of_range",
+         f"coalesce(`passenger_count` BETWEEN {low} AND {high}, `passenger_count` IS NULL)"),
         ("trip_distance_miles_out_of_range",
-         F.coalesce(not_nan(dist) & (dist > 0.0) & (dist <= REQUEST_MAX_DISTANCE), F.lit(False))),
-        ("feature_mode_unknown", F.coalesce(F.col("feature_mode").isin(*FEATURE_MODES), F.lit(False))),
-        ("skew_mode_unknown", F.coalesce(F.col("skew_mode").isin(*SKEW_MODES), F.lit(False))),
+         f"coalesce(NOT isnan({dist}) AND {dist} > 0.0D AND {dist} <= {REQUEST_MAX_DISTANCE!r}D, false)"),
+        ("feature_mode_unknown",
+         "coalesce(`feature_mode` IN (" + ", ".join(f"'{m}'" for m in FEATURE_MODES) + "), false)"),
+        ("skew_mode_unknown",
+         "coalesce(`skew_mode` IN (" + ", ".join(f"'{m}'" for m in SKEW_MODES) + "), false)"),
     ]
     if "parse_errors" in df.columns:
-        clauses.insert(0, ("parse_error", F.size("parse_errors") == 0))
+        clauses.insert(0, ("parse_error", "size(`parse_errors`) = 0"))
     return clauses
 
 
-def reasons_of(clauses: list[tuple[str, Column]]) -> Column:
+def _as_column(holds: Holds) -> Column:
+    return F.expr(holds) if isinstance(holds, str) else holds
+
+
+def reasons_of(clauses: list[tuple[str, Holds]]) -> Column:
     """The reasons of the clauses that fail (empty array when all hold)."""
-    return compact([F.when(~holds, F.lit(reason)) for reason, holds in clauses])
+    if all(isinstance(h, str) for _, h in clauses):
+        items = ", ".join(f"CASE WHEN NOT ({h}) THEN '{reason}' END" for reason, h in clauses)
+        return F.expr(f"array_except(array({items}), array(CAST(NULL AS STRING)))")
+    return compact([F.when(~_as_column(holds), F.lit(reason)) for reason, holds in clauses])
 
 
-def all_of(clauses: list[tuple[str, Column]]) -> Column:
+def all_of(clauses: list[tuple[str, Holds]]) -> Column:
+    if all(isinstance(h, str) for _, h in clauses):
+        return F.expr(" AND ".join(f"({h})" for _, h in clauses) or "true")
     ok = F.lit(True)
     for _, holds in clauses:
-        ok = ok & holds
+        ok = ok & _as_column(holds)
     return ok
 
 
-def request_rejections(df: DataFrame, clauses: list[tuple[str, Column]] | None = None) -> Column:
+def request_rejections(df: DataFrame, clauses: list[tuple[str, Holds]] | None = None) -> Column:
     """Reasons a request is rejected (empty array when accepted); parse errors first.
 
     ``clauses`` may pass in an already built ``request_clauses(df)``.
