@@ -16,25 +16,23 @@ from tripparity.operators.vector import flat_features, vector_struct
 def canonical_columns(df: DataFrame, pickup: str = "pickup_datetime") -> dict[str, Column]:
     pickup_type = df.schema[pickup].dataType
     if isinstance(pickup_type, TimestampType):
-        utc = F.timestamp_add("MICROSECOND", F.unix_micros(F.col(pickup)),
-                              F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+        utc = f"timestampadd(MICROSECOND, unix_micros(`{pickup}`), timestamp_ntz'1970-01-01 00:00:00')"
     elif isinstance(pickup_type, TimestampNTZType):
-        utc = F.col(pickup)
+        utc = f"`{pickup}`"
     else:
         raise TypeError(f"pickup must be a timestamp, got {pickup_type.simpleString()}")
-    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), utc)
-    hour = F.hour(local)
-    weekday = F.weekday(local)
+    local = f"convert_timezone('UTC', 'America/New_York', {utc})"
+    hour, weekday = f"hour({local})", f"weekday({local})"
     return {
         "trip_distance_miles": round6("CAST(`trip_distance_miles` AS DOUBLE)"),
-        "passenger_count": F.coalesce(F.col("passenger_count").cast("int"), F.lit(1)),
-        "pickup_location_id": F.col("pickup_location_id").cast("int"),
-        "dropoff_location_id": F.col("dropoff_location_id").cast("int"),
-        "pickup_hour": hour,
-        "pickup_day_of_week": weekday,
-        "pickup_month": F.month(local),
-        "is_weekend": (weekday >= 5).cast("int"),
-        "is_rush_hour": (((hour >= 7) & (hour < 10)) | ((hour >= 16) & (hour < 19))).cast("int"),
+        "passenger_count": F.expr("coalesce(CAST(`passenger_count` AS INT), 1)"),
+        "pickup_location_id": F.expr("CAST(`pickup_location_id` AS INT)"),
+        "dropoff_location_id": F.expr("CAST(`dropoff_location_id` AS INT)"),
+        "pickup_hour": F.expr(hour),
+        "pickup_day_of_week": F.expr(weekday),
+        "pickup_month": F.expr(f"month({local})"),
+        "is_weekend": F.expr(f"CAST({weekday} >= 5 AS INT)"),
+        "is_rush_hour": F.expr(f"CAST(({hour} >= 7 AND {hour} < 10) OR ({hour} >= 16 AND {hour} < 19) AS INT)"),
     }
 
 

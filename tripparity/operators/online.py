@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tripparity.functions.numeric import round6, round6_sql
 from pyspark.sql.types import TimestampType
 
+from tripparity.functions.numeric import round6_sql
+
 from tripparity.operators.faults import SKEW_NONE, apply_fault
 from tripparity.operators.vector import flat_features, vector_struct
 
@@ -24,23 +25,22 @@ def _utc_wall_clock_sql(df: DataFrame, pickup: str) -> str:
 def online_columns(df: DataFrame, skew_mode: Column | str | None = None,
                    pickup: str = "pickup_datetime") -> dict[str, Column]:
     utc_sql = _utc_wall_clock_sql(df, pickup)
-    local = F.expr(f"convert_timezone('UTC', 'America/New_York', {utc_sql})")
+    local = f"convert_timezone('UTC', 'America/New_York', {utc_sql})"
     distance_sql = "CAST(`trip_distance_miles` AS DOUBLE)"
     round6_sql_text = round6_sql(distance_sql)
-    hour_local = F.hour(local)
-    dow_local = F.weekday(local)
-    rush = ((hour_local >= 7) & (hour_local < 10)) | ((hour_local >= 16) & (hour_local < 19))
+    hour_local, dow_local = f"hour({local})", f"weekday({local})"
+    rush = f"({hour_local} >= 7 AND {hour_local} < 10) OR ({hour_local} >= 16 AND {hour_local} < 19)"
     values = {
-        "trip_distance_miles": round6(distance_sql),
-        "passenger_count": F.when(F.col("passenger_count").isNull(), F.lit(1))
-        .otherwise(F.col("passenger_count").cast("int")),
-        "pickup_location_id": F.col("pickup_location_id").cast("int"),
-        "dropoff_location_id": F.col("dropoff_location_id").cast("int"),
-        "pickup_hour": hour_local,
-        "pickup_day_of_week": dow_local,
-        "pickup_month": F.month(local),
-        "is_weekend": F.when(dow_local >= 5, 1).otherwise(0),
-        "is_rush_hour": F.when(rush, 1).otherwise(0),
+        "trip_distance_miles": F.expr(round6_sql_text),
+        "passenger_count": F.expr("CASE WHEN `passenger_count` IS NULL THEN 1 "
+                                  "ELSE CAST(`passenger_count` AS INT) END"),
+        "pickup_location_id": F.expr("CAST(`pickup_location_id` AS INT)"),
+        "dropoff_location_id": F.expr("CAST(`dropoff_location_id` AS INT)"),
+        "pickup_hour": F.expr(hour_local),
+        "pickup_day_of_week": F.expr(dow_local),
+        "pickup_month": F.expr(f"month({local})"),
+        "is_weekend": F.expr(f"CASE WHEN {dow_local} >= 5 THEN 1 ELSE 0 END"),
+        "is_rush_hour": F.expr(f"CASE WHEN {rush} THEN 1 ELSE 0 END"),
     }
     if skew_mode is None:
         mode = F.lit(SKEW_NONE)
