@@ -76,3 +76,14 @@ def test_windowed_drift_append_mode_emits_closed_windows_once(spark):
     assert set(emitted) <= set(_rows(complete, cols))
     # the newest window stays open (held back by the watermark) in append mode
     assert max(starts) < max(r.window_start for r in complete.select("window_start").collect())
+
+
+def test_windows_do_not_depend_on_the_session_time_zone(spark):
+    cols = ["window_start", "feature", "sample_count", "psi"]
+    utc = _rows(catalog.q_stream_drift_windows(spark, SF_SMALL), cols)
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        la = _rows(catalog.q_stream_drift_windows(spark, SF_SMALL), cols)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == la
