@@ -87,3 +87,25 @@ def test_windows_do_not_depend_on_the_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == la
+
+
+def test_stream_scoring_with_a_fitted_model_equals_batch(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+
+    from tripparity.operators import models
+    from tripparity.session import scratch_path
+    from tripparity.sources.requests import requests_from_trips
+    from tripparity.sources.trips import load_trips
+    from tripparity.streaming import jobs as streaming
+
+    table = models.feature_frame(catalog.training_table(spark, SF_SMALL))
+    model = Pipeline(stages=[models.assembler(), GBTRegressor(labelCol="fare_amount", maxIter=3, maxDepth=3)]).fit(table)
+    sink, ckpt = scratch_path(spark, "stream-model"), scratch_path(spark, "stream-model-ckpt")
+    query = streaming.start_scored_parity(spark, f"{SF_SMALL}/events.parquet", sink, ckpt,
+                                         streaming.model_scorer(model))
+    query.awaitTermination()
+    stream = spark.read.parquet(sink)
+    batch = streaming.scored_parity(requests_from_trips(load_trips(spark, SF_SMALL)), streaming.model_scorer(model))
+    cols = ["request_id", "predicted_fare_amount", "prediction_finite"]
+    assert _rows(stream, cols) == _rows(batch, cols)
