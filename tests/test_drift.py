@@ -98,3 +98,11 @@ def test_single_split_small_inputs_are_spread(spark):
     from tripparity.sources.trips import read_table
     assert read_table(spark, SF_SMALL, "events").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert read_table(spark, SF_SMALL, "events", small_input_bytes=1).rdd.getNumPartitions() == 1
+
+
+def test_reference_stats_do_not_depend_on_partitioning(training, reference):
+    again = drift.compute_reference_stats(training.repartition(7))
+    for name in FEATURE_NAMES:
+        assert again[name].bin_edges == reference[name].bin_edges
+        assert again[name].bin_proportions == reference[name].bin_proportions
+        assert again[name].mean == pytest.approx(reference[name].mean, rel=1e-12)
