@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripparity.llm.bytecnn import op7_quality_classifier
+from tripparity.llm.mixing import op6_mixing
 from tripparity.llm.simhash import op1_simhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op6_mixing": op6_mixing,
+        "op7_quality_classifier": op7_quality_classifier,
     }
 
 
