@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripparity.llm.bytecnn import op7_quality_classifier
+from tripparity.llm.langid import op9_language_id
 from tripparity.llm.mixing import op6_mixing
+from tripparity.llm.packing import op8_best_fit_packing
+from tripparity.llm.secrets import op3_secret_scan
 from tripparity.llm.simhash import op1_simhash_near_dedup
+from tripparity.llm.topk import OP10_SQL, op10_exact_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +20,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op6_mixing": op6_mixing,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_language_id": op9_language_id,
+        "op10_exact_topk": op10_exact_topk,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_topk": OP10_SQL}
