@@ -195,18 +195,22 @@ def cut(data: np.ndarray, starts: np.ndarray, c: CnnConfig) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   config: CnnConfig) -> list:
     """At most ``sample_rows`` labelled documents outside the held-out fold, picked by a hash of the id,
-    each as at most ``sample_chunks`` pieces spread over the text."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")) \
-        .agg(F.max(label_col).cast("int").alias("__label"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")) \
-        .where(id_fold(F.col("__id"), FOLDS) != 0)
+    each as at most ``sample_chunks`` pieces spread over the text. Ids are picked first; only the
+    picked documents' pieces travel."""
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")) \
+        .agg(F.max(label_col).cast("int").alias("__label")).where(id_fold(F.col("__id"), FOLDS) != 0)
+    spread = F.xxhash64("__id", F.lit(config.seed))
+    # A uniform hash leaves about 1.3 times the rows wanted; the cut to sample_rows sorts only those.
+    share = min(1.0, (1.3 * config.sample_rows + 50) / max(marks.count(), 1))
+    picked = marks.withColumn("__order", spread).where(F.pmod("__order", F.lit(1 << 30)) < int(share * (1 << 30))) \
+        .orderBy("__order", "__id").limit(config.sample_rows).select("__id", "__label")
     last = F.greatest(F.length("__text") - config.chunk, F.lit(0))
     steps = max(config.sample_chunks - 1, 1)
     starts = F.array_distinct(F.array(*[F.floor(last * i / steps).cast("int") for i in range(config.sample_chunks)]))
     parts = F.transform(starts, lambda s: F.substring(F.col("__text"), s + 1, F.lit(config.chunk)))
-    picked = rows.join(marks, "__id").select("__id", "__label", parts.alias("parts"))
-    picked = picked.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("parts")).limit(config.sample_rows)
-    return picked.collect()
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    found = rows.join(F.broadcast(picked), "__id").select("__id", "__label", parts.alias("parts")).collect()
+    return sorted(found, key=lambda r: (r["__id"], r["parts"]))[:config.sample_rows]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
