@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripparity.llm.bytecnn import fit_quality, keep_quality
 from tripparity.llm.common import materialize, read_table
+from tripparity.llm.mixing import mix_documents
+from tripparity.llm.packing import pack_documents
+from tripparity.llm.pii import sanitize
 from tripparity.llm.simhash import drop_near_duplicates
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labelled ones among ``docs``."""
+    return keep_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: 3-word shingles, at most 2 differing bits."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are masked in the texts; n_chars stays as given."""
+    return sanitize(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix takes them."""
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the texts with their places in the packed sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("source_mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
 # Trained models, balanced sampling and tokenizers cannot be written in SQL.
 ORACLE_SQL = None

@@ -10,6 +10,7 @@ from tripparity.llm.bytecnn import op7_quality_classifier
 from tripparity.llm.langid import op9_language_id
 from tripparity.llm.mixing import op6_mixing
 from tripparity.llm.packing import op8_best_fit_packing
+from tripparity.llm.pii import op4_personal_data
 from tripparity.llm.quality_rules import op5_quality_rules
 from tripparity.llm.secrets import op3_secret_scan
 from tripparity.llm.simhash import op1_simhash_near_dedup
@@ -22,6 +23,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op4_personal_data": op4_personal_data,
         "op5_quality_rules": op5_quality_rules,
         "op6_mixing": op6_mixing,
         "op7_quality_classifier": op7_quality_classifier,
