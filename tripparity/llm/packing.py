@@ -12,13 +12,16 @@ of its length and looks its place up in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +29,19 @@ from tripparity.llm.common import materialize, read_table, ready
 
 CAPACITY = 4096
 END_ID = 1
+SMALL = 16  # pieces up to capacity / SMALL fill gaps
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
-_MARK = "\x01"
+CACHE_WORDS = 400_000
+# Characters up to Latin Extended-A but the dotted capital I have one-to-one lower-case forms, and
+# a text of them is its own composed form.
+_LOWERS = re.compile("[\x00-\u012f\u0131-\u017f]*")
+# Words of Latin-1 without control characters, capitals and "<" pass the normalizer unchanged.
+_LATIN = re.compile("[!-;=-@\\[-~\u00a1-\u00bf\u00d7\u00df-\u00ff]*")
+# The tokenizer's groups of characters (fixed by its file).
+_GROUPS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Byte-level letters: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 # ----------------------------------------------------------------------------- tokens
 
@@ -37,48 +50,61 @@ class WordTokenizer:
     """Token ids of whole texts, remembering the ids of words.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those
-    of its space- and newline-separated parts in turn. Parts not yet known go to the tokenizer
-    together, with a mark between them whose own id separates the answers.
+    of its space- and newline-separated parts in turn. Texts within Latin letters are lower-cased
+    first, as the tokenizer would; their words need no normalizer, fall into the tokenizer's groups
+    (letters, a digit, other marks) and each new group goes to the tokenizer's model. Other words go to
+    the tokenizer whole. Words move from an old to a new generation as they are met again; about two
+    times ``cache_words`` are held.
     """
 
     def __init__(self, tokenizer_json: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {"": b""}
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        probe = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 and probe.count(mark[0]) == 1 else None
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.mark is not None and _MARK not in w]
-        for w in words if self.mark is None else (w for w in words if _MARK in w):
-            self.known[w] = self._encode(w).tobytes()
-        for lo in range(0, len(plain), 4096):
-            part = plain[lo:lo + 4096]
-            ids = self._encode(f" {_MARK} ".join(part))
-            cuts = np.flatnonzero(ids == self.mark)
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, [*(cuts * 4).tolist(), len(data)]):
-                self.known[w] = data[at:end]
-                at = end + 4
+        self.older: dict[str, bytes] = {}
+        probe = "it's größe, 12 =() \u00b5\u00ad"
+        self.by_group = b"".join(map(self._group, _GROUPS.findall(probe))) == self._whole(probe)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _group(self, group: str) -> bytes:
+        if not group.isascii():
+            group = group.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(group)]).tobytes()
+
+    def _learn(self, words: Iterable[str]) -> None:
+        known, older = self.known, self.older
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif not self.by_group or not _LATIN.fullmatch(w):
+                known[w] = self._whole(w)
+            elif w.isalpha():
+                known[w] = self._group(w)
+            else:
+                groups = _GROUPS.findall(w)
+                for g in groups:
+                    if g not in known:
+                        known[g] = older[g] if g in older else self._group(g)
+                known[w] = b"".join(map(known.__getitem__, groups))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.cache_words:
-            self.known = {"": b""}
-        known, out = self.known, []
-        for words in split:
-            new = [w for w in set(words) if w not in known]
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+            self.known, self.older = {"": b""}, self.known
+        split, new = [], set()
+        for text in texts:
+            text = text or ""
+            if _LOWERS.fullmatch(text) and "<|" not in text:
+                text = text.lower()
+            split.append(text.replace("\n", " ").split(" "))
+            new.update(split[-1])
+        self._learn(new.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 _TOKENIZERS: dict[int, WordTokenizer] = {}
@@ -174,30 +200,56 @@ def _contents(first: int, lengths: np.ndarray, pick: np.ndarray, capacity: int)
     return found
 
 
-def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 80, near: float = 0.02,
-                  step: float = 0.2, sharp: float = 8.0) -> list[tuple[float, dict[int, int]]]:
-    """Fractional configurations that cover ``counts``: (amount, {length number: times})."""
-    chosen: dict[tuple, list] = {}
+def grouped(histogram: dict[int, int], groups: int) -> list[dict[int, int]]:
+    """Linear grouping: lengths in order, cut into groups of about equal count."""
+    out: list[dict[int, int]] = []
+    target = sum(histogram.values()) / groups
+    held = 0.0
+    for n in sorted(histogram):
+        if not out or held >= target:
+            out.append({})
+            held = 0.0
+        out[-1][n] = histogram[n]
+        held += histogram[n]
+    return out
+
+
+def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 100, near: float = 0.01,
+                  step: float = 0.5, sharp: float = 4.0) -> list[tuple[float, dict[int, int]]]:
+    """Fractional configurations that cover ``counts``: (amount, {length number: times}).
+
+    Multiplicative weights from the prior length / capacity (the volume bound's prices): a length's
+    price falls by exp(-sharp) with each time its count is covered, and is nothing once it is. After
+    each pricing the contents within ``near`` of the best price are taken, those of the least covered
+    lengths first, until one of their lengths is ``step`` ahead of the least covered length. If no
+    contents qualify, the least covered length gets its best ones whatever their price. No length is
+    covered more than once; what ``rounds`` pricings leave short is left to the rounding.
+    """
+    chosen: dict[tuple, float] = {}
     cover = np.zeros(len(lengths))
     for _ in range(rounds):
-        if cover.min() >= 1:
+        open_ = cover < 1 - 1e-9
+        if not open_.any():
             break
-        worth = np.exp(-sharp * np.minimum(cover - cover.min(), 20)) / counts
-        # Weights far below a length's share of the space would price it at nothing.
+        least = cover[open_].min()
+        goal = min(1.0, least + step)
+        worth = np.where(open_, lengths / capacity * np.exp(-sharp * (cover - least)), 0.0)
         best, pick = price(lengths, worth, capacity)
-        value = best[capacity - lengths] + worth
-        order = np.argsort(-value, kind="stable")
-        goal = cover.min() + step
-        for j in order[value[order] >= (1 - near) * value.max()]:
-            if cover[j] >= goal:
+        value = np.where(open_, best[capacity - lengths] + worth, 0.0)
+        enough = (1 - near) * value.max()
+        order = np.lexsort((-value, cover))
+        order = order[open_[order]]
+        for j in order:
+            if value[j] < enough and j != order[0]:
                 continue
             found = _contents(int(j), lengths, pick, capacity)
             at, times = np.array(list(found)), np.array(list(found.values()), float)
-            amount = step * (counts[at] / times).min()
-            chosen.setdefault(tuple(sorted(found.items())), [0.0])[0] += amount
-            cover[at] += amount * times / counts[at]
-    scale = 1 / max(cover.min(), 1.0)
-    return [(x[0] * scale, dict(key)) for key, x in chosen.items()]
+            amount = (((goal if value[j] >= enough else 1.0) - cover[at]) * counts[at] / times).min()
+            if amount > 1e-9:
+                key = tuple(sorted(found.items()))
+                chosen[key] = chosen.get(key, 0.0) + amount
+                cover[at] += amount * times / counts[at]
+    return [(amount, dict(key)) for key, amount in chosen.items()]
 
 
 def best_fit(rest: dict[int, int], open_: list[Config], capacity: int) -> list[Config]:
@@ -240,21 +292,24 @@ def best_fit(rest: dict[int, int], open_: list[Config], capacity: int) -> list[C
     return full + [c for group in gaps.values() for c in group]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, **options) -> list[Config]:
-    """Sequences for a length histogram, as groups of equal contents; every piece has its place."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, **options) -> list[Config]:
+    """Sequences for a length histogram, as groups of equal contents; every piece has its place.
+
+    The program covers the pieces longer than capacity / ``small``; its whole amounts are taken, and
+    all other pieces go best-fit into their gaps and new sequences.
+    """
     rest = {n: k for n, k in histogram.items() if k}
-    if not rest:
-        return []
-    lengths = np.array(sorted(rest))
-    counts = np.array([rest[n] for n in lengths.tolist()], float)
+    lengths = np.array(sorted(n for n in rest if n * small > capacity))
     whole: list[Config] = []
-    for amount, found in sorted(solve_program(lengths, counts, capacity, **options), key=lambda x: -x[0]):
-        contents = [(int(lengths[j]), k) for j, k in found.items()]
-        times = min([int(amount), *(rest[n] // k for n, k in contents)])
-        if times:
-            for n, k in contents:
-                rest[n] -= times * k
-            whole.append(Config(times, sorted(contents, reverse=True)))
+    if len(lengths):
+        counts = np.array([rest[n] for n in lengths.tolist()], float)
+        for amount, found in sorted(solve_program(lengths, counts, capacity, **options), key=lambda x: -x[0]):
+            contents = [(int(lengths[j]), k) for j, k in found.items()]
+            times = min([int(amount + 1e-6), *(rest[n] // k for n, k in contents)])
+            if times:
+                for n, k in contents:
+                    rest[n] -= times * k
+                whole.append(Config(times, sorted(contents, reverse=True)))
     return best_fit({n: k for n, k in rest.items() if k}, whole, capacity)
 
 
