@@ -161,7 +161,7 @@ def disclosing_terms(contexts: DataFrame, entities: DataFrame, texts: DataFrame,
     each = entities.distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")) \
         .groupBy("term").agg(F.count("*").alias("of_term"))
-    terms = materialize(terms.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-terms")
+    terms = materialize(terms, "pii-terms")  # counted before any join, so that words never meet the pairs one by one
     total = texts.count()
     counted = pairs.join(each, "entity").join(terms, "term", "left")
     of_term = F.greatest(F.coalesce("of_term", "both"), F.col("both"))
