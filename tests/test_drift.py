@@ -1,6 +1,7 @@
 """Reference statistics and PSI drift, cross-checked with NumPy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,12 +56,14 @@ def test_psi_self_is_small_and_shift_is_significant(spark, training, reference):
     assert rows["trip_distance_miles"].psi > 1 and rows["trip_distance_miles"].status == "significant"
     assert rows["passenger_count"].status == "stable"
     pdf = shifted.toPandas()
-    assert rows["trip_distance_miles"].psi == pytest.approx(
-        drift.psi_py(reference["trip_distance_miles"], list(pdf["trip_distance_miles"])))
+    stats = reference["trip_distance_miles"]
+    counts, _ = np.histogram(pdf["trip_distance_miles"], bins=np.array(stats.bin_edges))
+    now, then = (np.maximum(p, 1e-6) for p in (counts / counts.sum(), np.array(stats.bin_proportions)))
+    assert rows["trip_distance_miles"].psi == pytest.approx(((now - then) * np.log(now / then)).sum())
 
 
 def test_gates(spark, training, reference):
-    small = drift.latest(training.withColumn("served_at", F.col("trip_id")).withColumn(
+    small = drift.latest(training.withColumn("served_at", F.timestamp_seconds("trip_id")).withColumn(
         "request_id", F.col("trip_id")), 29)
     features, overall = drift.drift_report(small, reference)
     assert features.count() == 0
@@ -77,27 +80,46 @@ def test_save_and_load_round_trip(spark, reference):
     assert artifacts.load_reference_stats(spark, path + "-missing") is None
 
 
-def test_latest_per_group_plans_a_partial_group_limit(spark):
-    log = catalog.served_log(spark, SF_SMALL)
-    limited = drift.latest_per_group(log, "event_type", 5)
-    assert limited.groupBy("event_type").count().where("count > 5").count() == 0
-    plan = limited._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-
+@pytest.mark.parametrize("n", [5, 500, 2000])
+def test_latest_keeps_the_newest_rows(spark, n):
+    log = catalog.served_log(spark, SF_SMALL).select("request_id", "served_at", "event_type").cache()
+    rows = sorted(map(tuple, log.collect()), key=lambda r: (r[1], r[0]), reverse=True)
+    assert sorted(map(tuple, drift.latest(log, n).collect())) == sorted(rows[:n])
+    by_group = {}
+    for r in rows:
+        by_group.setdefault(r[2], []).append(r)
+    want = [r for group in by_group.values() for r in group[:n]]
+    assert sorted(map(tuple, drift.latest_per_group(log, "event_type", n, salts=4).collect())) == sorted(want)
 
-def test_auto_switches_to_approximate_quantiles_above_the_distinct_bound(training):
-    exact = drift.compute_reference_stats(training, method="exact")
-    auto = drift.compute_reference_stats(training, exact_distinct_limit=100)
-    # ids and distances have more than 100 distinct values: approximate edges there, exact elsewhere
-    assert auto["pickup_hour"] == exact["pickup_hour"]
-    assert len(auto["trip_distance_miles"].bin_edges) >= 2
-    assert sum(auto["trip_distance_miles"].bin_proportions) == pytest.approx(1.0)
 
-
-def test_single_split_small_inputs_are_spread(spark):
-    from tripparity.sources.trips import read_table
-    assert read_table(spark, SF_SMALL, "events").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    assert read_table(spark, SF_SMALL, "events", small_input_bytes=1).rdd.getNumPartitions() == 1
+@pytest.mark.parametrize("n", [500, 2000])
+def test_a_hot_group_is_spread_whatever_the_buffer_size(spark, n):
+    """Two ranks: by (group, salt) first, so no exchange deals all of a group's rows by the group alone."""
+    limited = drift.latest_per_group(catalog.served_log(spark, SF_SMALL), "event_type", n)
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and sum("_salt" in line for line in exchanges) == 1
+
+
+def test_exact_statistics_of_many_distinct_values(spark):
+    x = np.random.default_rng(3).lognormal(size=1_200_000)
+    frame = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(8)
+    stats = drift.compute_reference_stats(frame, columns=("x",))["x"]
+    edges = np.quantile(x, np.linspace(0, 1, 11))
+    counts, _ = np.histogram(x, bins=np.concatenate([[-np.inf], np.round(edges[1:-1], 9), [np.inf]]))
+    assert np.allclose(stats.bin_edges[1:-1], edges[1:-1], rtol=0, atol=1e-9)
+    assert np.allclose(stats.bin_proportions, counts / len(x), rtol=0, atol=1e-12)
+    assert stats.mean == pytest.approx(x.mean()) and stats.std == pytest.approx(x.std())
+    assert (stats.minimum, stats.maximum) == (x.min(), x.max())
+
+
+def test_a_reference_without_all_proportions_is_refused(training, reference):
+    short = dict(reference)
+    stats = reference["trip_distance_miles"]
+    short["trip_distance_miles"] = drift.FeatureReference(stats.mean, stats.std, stats.minimum, stats.maximum,
+                                                          stats.bin_edges, stats.bin_proportions[:3])
+    with pytest.raises(ValueError):
+        drift.drift_report(training, short)
 
 
 def test_reference_stats_do_not_depend_on_partitioning(training, reference):

@@ -23,11 +23,6 @@ def compact(values: list[Column], element_type: str = "string") -> Column:
     return F.array_except(F.array(*values), F.array(F.lit(None).cast(element_type)))
 
 
-def quantile_levels(bins: int) -> list[float]:
-    """``bins + 1`` evenly spaced probabilities from 0 to 1."""
-    return [i / bins for i in range(bins + 1)]
-
-
 def pin_edges_py(quantiles: list[float]) -> list[float]:
     """sorted distinct quantiles (snapped to ``EDGE_DECIMALS``), outer edges -inf/+inf.
 

@@ -1,9 +1,8 @@
 """Reference statistics of the training features and PSI drift of served traffic.
 
-Reference statistics take two passes over the training table, each a single aggregate with
-map-side partial aggregation (no row is shuffled): pass one computes moments and decile edges for
-all nine features at once, pass two counts rows per bin with literal edges. Only the bounded
-summary (9 features x at most 11 edges) ever reaches the driver.
+Reference statistics take one pass over the training table, which counts the distinct values of all
+nine features (combined in every task); moments, exact deciles and bin counts come from these counts.
+Only the bounded summary (9 features x at most 11 edges) ever reaches the driver.
 
 Drift is one aggregate over the sample (per group, optionally) followed by a projection: PSI uses
 the reference's own edges and proportions as literals, so no join and no broadcast of data.
@@ -18,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from tripparity.functions.arrays import (PROPORTION_FLOOR, bin_counts, bin_index_literal, pin_edges_py, psi_sql,
-                                         psi_status, quantile_levels)
+from tripparity.functions.arrays import bin_counts, bin_index_literal, pin_edges_py, psi_sql, psi_status
 from tripparity.operators.vector import FEATURE_NAMES
+from tripparity.session import scratch_path
 
 # Fixed values of the drift monitor.
 DEFAULT_BUFFER_SIZE = 500
@@ -60,81 +59,84 @@ ReferenceStats = dict[str, FeatureReference]
 
 # ----------------------------------------------------------------------------- reference (A1-A5)
 
-EXACT_DISTINCT_LIMIT = 1_000_000  # exact quantiles keep one map entry per distinct value
+def _value_counts(features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(f, x, n): how often feature number f has value x. Combined in every task before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)])
+    return features.select(F.explode(pairs).alias("p")).select("p.f", "p.x").where("x IS NOT NULL") \
+        .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quantiles(column: Column, bins: int, method: str, accuracy: int) -> Column:
-    levels = F.array(*[F.lit(q) for q in quantile_levels(bins)])
-    if method == "exact":
-        # Linear interpolation between order statistics; memory per task is one map entry per
-        # distinct value, which is bounded for the contract's features (2-decimal distances,
-        # bounded ids and calendar fields).
-        return F.percentile(column, levels)
-    if method == "approx":
-        return F.percentile_approx(column, levels, accuracy)
-    raise ValueError("method must be 'exact' or 'approx'")
+def _order_statistics(counts: DataFrame, wanted: DataFrame) -> dict[tuple[int, int], float]:
+    """Values at the wanted 0-based ranks (f, rank) of the features' sorted rows.
 
-
-def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT, method: str = "auto",
-                            accuracy: int = 1_000_000, columns: tuple[str, ...] = FEATURE_NAMES,
-                            exact_distinct_limit: int = EXACT_DISTINCT_LIMIT) -> ReferenceStats:
+    ``counts`` is written in value order, cut into range buckets. Bucket totals say in which bucket a
+    rank lies; only those buckets are summed up row by row, each in a window of its own, so no task
+    ever holds a feature's distinct values.
+    """
+    ahead = Window.partitionBy("f").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy("f", "bucket").agg(F.sum("n").alias("size")) \
+        .withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    hit = buckets.join(wanted, "f").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
+    within = Window.partitionBy("f", "bucket").orderBy("x")
+    rows = counts.join(hit.select("f", "bucket", "before").distinct(), ["f", "bucket"]) \
+        .withColumn("upto", F.col("before") + F.sum("n").over(within)).withColumn("start", F.col("upto") - F.col("n"))
+    found = rows.select("f", "bucket", "x", "start", "upto").join(hit.select("f", "bucket", "rank"), ["f", "bucket"]) \
+        .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("upto")))
+    return {(r["f"], r["rank"]): r["x"] for r in found.select("f", "rank", "x").collect()}
+
+
+def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT,
+                            columns: tuple[str, ...] = FEATURE_NAMES) -> ReferenceStats:
     """A1-A5: mean, population std, min, max, pinned decile edges and bin proportions per feature.
 
-    ``method``: "exact" (linear interpolation, equal to NumPy), "approx" (``percentile_approx``),
-    or "auto": a HyperLogLog pass first, then exact quantiles for every feature with at most
-    ``exact_distinct_limit`` distinct values and approximate ones above it. Exact quantiles merge
-    one map entry per distinct value in the final task of a global aggregate, so the bound keeps
-    that task's memory fixed whatever the data volume.
-
-    Two or three passes; an input that is not already cached is persisted for their duration.
+    Exact at every size. One pass counts the values of all features; moments, the order statistics
+    around each decile (joined by linear interpolation) and the bins come from these counts. The
+    counts are a written table of distinct values, and at most two values a decile reach the driver.
     """
-    owned = not features.is_cached
-    if owned:
-        features = features.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
-    try:
-        return _reference_stats(features, bins, method, accuracy, columns, exact_distinct_limit)
-    finally:
-        if owned:
-            features.unpersist()
-
-
-def _reference_stats(features: DataFrame, bins: int, method: str, accuracy: int,
-                     columns: tuple[str, ...], exact_distinct_limit: int = EXACT_DISTINCT_LIMIT
-                     ) -> ReferenceStats:
-    if method == "auto":
-        distinct = features.agg(*[F.approx_count_distinct(F.col(n)).alias(f"d{i}")
-                                  for i, n in enumerate(columns)]).collect()[0]
-        methods = ["exact" if distinct[f"d{i}"] <= exact_distinct_limit else "approx"
-                   for i in range(len(columns))]
-    else:
-        methods = [method] * len(columns)
-    aggs = []
-    for i, name in enumerate(columns):
-        x = F.col(name).cast("double")
-        aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 _quantiles(x, bins, methods[i], accuracy).alias(f"q{i}")]
-    first = features.agg(F.count(F.lit(1)).alias("n"), *aggs).collect()[0]
-    if first["n"] == 0:
+    spark = features.sparkSession
+    path = scratch_path(spark, "value-counts")
+    ordered = _value_counts(features, columns).repartitionByRange("f", "x").withColumn("bucket", F.spark_partition_id())
+    ordered.write.parquet(path)
+    counts = spark.read.schema(ordered.schema).parquet(path)
+
+    weight = F.col("n").cast("double")
+    mean = F.sum(F.col("x") * weight) / F.sum(weight)
+    moments = {r["f"]: r for r in counts.groupBy("f").agg(
+        F.sum("n").alias("rows"), mean.alias("mean"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    if not moments:
         raise ValueError("reference statistics need at least one row")
-    edges = {name: pin_edges_py(list(first[f"q{i}"])) for i, name in enumerate(columns)}
-
-    binned = features.select(*[F.col(name).cast("double").alias(f"x{i}") for i, name in enumerate(columns)])
-    binned = binned.select(*[bin_index_literal(f"x{i}", edges[name]).alias(f"b{i}")
-                             for i, name in enumerate(columns)])
-    counts = [c for i, name in enumerate(columns) for c in bin_counts(f"b{i}", len(edges[name]) - 1, f"c{i}_")]
-    second = binned.agg(F.count(F.lit(1)).alias("n"), *counts).collect()[0]
-    total = second["n"]
-
-    stats: ReferenceStats = {}
-    for i, name in enumerate(columns):
-        n_bins = len(edges[name]) - 1
-        proportions = tuple((second[f"c{i}_{b}"] / total) if total else 0.0 for b in range(n_bins))
-        stats[name] = FeatureReference(
-            mean=float(first[f"mean{i}"]), std=float(first[f"std{i}"]),
-            minimum=float(first[f"min{i}"]), maximum=float(first[f"max{i}"]),
-            bin_edges=tuple(edges[name]), bin_proportions=proportions)
-    return stats
+    centre = by_feature({f: F.lit(r["mean"]) for f, r in moments.items()})
+    spread = {r["f"]: r["var"] for r in counts.withColumn("d", F.col("x") - centre).groupBy("f").agg(
+        (F.sum(F.col("d") * F.col("d") * weight) / F.sum(weight)).alias("var")).collect()}
+
+    places = {(f, i): divmod(i * (r["rows"] - 1), bins) for f, r in moments.items() for i in range(bins + 1)}
+    ranks = {(f, rank) for (f, _), (low, part) in places.items() for rank in ({low, low + 1} if part else {low})}
+    values = _order_statistics(counts, spark.createDataFrame(sorted(ranks), "f int, rank long"))
+    edges = {}
+    for f, name in enumerate(columns):
+        quantiles = []
+        for i in range(bins + 1):
+            low, part = places[f, i]
+            share = part / bins
+            quantiles.append(values[f, low] if not part else (1 - share) * values[f, low] + share * values[f, low + 1])
+        edges[f] = pin_edges_py(quantiles)
+
+    index = by_feature({f: bin_index_literal("x", e) for f, e in edges.items()})
+    binned = {(r["f"], r["bin"]): r["rows"] for r in
+              counts.groupBy("f", index.alias("bin")).agg(F.sum("n").alias("rows")).collect()}
+    return {name: FeatureReference(
+        mean=float(moments[f]["mean"]), std=math.sqrt(spread[f]), minimum=float(moments[f]["low"]),
+        maximum=float(moments[f]["high"]), bin_edges=tuple(edges[f]),
+        bin_proportions=tuple(binned.get((f, b), 0) / moments[f]["rows"] for b in range(len(edges[f]) - 1)))
+        for f, name in enumerate(columns)}
+
+
+def by_feature(choices: dict[int, Column]) -> Column:
+    """The choice of each row's feature number ``f``."""
+    out = F.lit(None)
+    for f, value in choices.items():
+        out = F.when(F.col("f") == f, value).otherwise(out)
+    return out
 
 
 def reference_frame(spark: SparkSession, stats: ReferenceStats) -> DataFrame:
@@ -153,35 +155,50 @@ def stats_from_frame(frame: DataFrame) -> ReferenceStats:
 
 # ----------------------------------------------------------------------------- served buffer
 
+SALTS = 64  # parts of a group that are ranked on their own first
+
+
 def latest(served: DataFrame, n: int = DEFAULT_BUFFER_SIZE,
            order: tuple[str, ...] = ("served_at", "request_id")) -> DataFrame:
     """The ``n`` most recent served rows (ties broken by the later columns, descending).
 
-    ``orderBy(...).limit(n)`` plans as a top-k (TakeOrderedAndProject): each task keeps n rows, so
-    no full sort and at most n x tasks rows reach the final merge.
+    Rows per hour give the newest hour before which ``n`` rows are already covered; only rows from
+    that hour on are sorted (top-k per task, then one merge), however long the log is.
     """
-    return served.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+    hour = F.date_trunc("hour", F.col(order[0]))
+    hours = served.where(F.col(order[0]).isNotNull()).groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    newest_first = Window.orderBy(F.col("hour").desc())  # one row per hour of the log
+    covered = hours.withColumn("upto", F.sum("n").over(newest_first)).where(F.col("upto") >= n)
+    since = covered.agg(F.max("hour").alias("since"))
+    recent = served.where(F.coalesce(hour >= since.scalar(), F.lit(True)))
+    return recent.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
 def latest_per_group(served: DataFrame, group: str, n: int = DEFAULT_BUFFER_SIZE,
-                     order: tuple[str, ...] = ("served_at", "request_id")) -> DataFrame:
-    """W1 per group: ``row_number() <= n`` over each group.
+                     order: tuple[str, ...] = ("served_at", "request_id"), salts: int = SALTS) -> DataFrame:
+    """W1 per group: the ``n`` most recent rows of each group.
 
-    Spark plans a rank filter like this with a partial WindowGroupLimit before the shuffle, so a
-    hot group sends at most n rows per task instead of all of its rows to one task.
+    Ranks twice: first within (group, hash of the order columns), then the at most ``n`` rows of each
+    part within the group. A hot group is spread over ``salts`` tasks whatever ``n`` is.
     """
-    w = Window.partitionBy(group).orderBy(*[F.col(c).desc() for c in order])
-    return served.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    newest = [F.col(c).desc() for c in order]
+    salted = served.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    part = Window.partitionBy(group, "_salt").orderBy(*newest)
+    salted = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n).drop("_rank", "_salt")
+    whole = Window.partitionBy(group).orderBy(*newest)
+    return salted.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= n).drop("_rank")
 
 
 # ----------------------------------------------------------------------------- PSI
 
 def psi_expression(reference: FeatureReference, count_prefix: str, total: str) -> Column:
     """PSI of the bin-count columns ``<count_prefix><b>`` against the reference (literals)."""
+    if len(reference.bin_proportions) != len(reference.bin_edges) - 1:
+        raise ValueError("a reference needs one proportion for every bin")
     return psi_sql(reference.bin_proportions, count_prefix, total)
 
 
-def _worst(statuses: list[Column]) -> Column:
+def worst_status(statuses: list[Column]) -> Column:
     rank = F.greatest(*[F.when(s == F.lit(SEVERITY[2]), 2).when(s == F.lit(SEVERITY[1]), 1).otherwise(0)
                         for s in statuses])
     return F.when(rank == 2, F.lit(SEVERITY[2])).when(rank == 1, F.lit(SEVERITY[1])).otherwise(
@@ -222,7 +239,7 @@ def drift_summary(sample: DataFrame, reference: ReferenceStats | None,
     with_psi = agg.select(*out)
     for i in range(len(FEATURE_NAMES)):
         statuses.append(psi_status(F.col(f"psi{i}")))
-    status = F.when(n < F.lit(min_samples), F.lit(STATUS_INSUFFICIENT)).otherwise(_worst(statuses))
+    status = F.when(n < F.lit(min_samples), F.lit(STATUS_INSUFFICIENT)).otherwise(worst_status(statuses))
     return with_psi.select("*", *[s.alias(f"status{i}") for i, s in enumerate(statuses)],
                            status.alias("status"), F.lit(True).alias("reference_available"))
 
@@ -258,25 +275,6 @@ def drift_report(sample: DataFrame, reference: ReferenceStats | None,
     return drift_features(summary, reference, group_by, min_samples), drift_overall(summary, group_by)
 
 
-# ----------------------------------------------------------------------------- numpy-free check
-
-def psi_py(reference: FeatureReference, values: list[float]) -> float:
-    """Driver-side PSI for a small list, used by tests as an independent check."""
-    edges = reference.bin_edges
-    counts = [0] * (len(edges) - 1)
-    for v in values:
-        counts[sum(1 for e in edges[1:-1] if v >= e)] += 1
-    total = sum(counts)
-    if total == 0:
-        return 0.0
-    psi = 0.0
-    for ref_p, c in zip(reference.bin_proportions, counts, strict=True):
-        ref = max(ref_p, PROPORTION_FLOOR)
-        cur = max(c / total, PROPORTION_FLOOR)
-        psi += (cur - ref) * math.log(cur / ref)
-    return psi
-
-
 __all__ = ["compute_reference_stats", "reference_frame", "stats_from_frame", "latest",
            "latest_per_group", "drift_summary", "drift_features", "drift_overall", "drift_report",
            "FeatureReference", "ReferenceStats"]

@@ -43,13 +43,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (to a shared file system); it is only invented here when unset,
-    which happens in local tests.
+    On a cluster it must be set to a folder that all executors share. Only in local mode, where the
+    driver is the executor, an unset folder is replaced by a temporary one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tripparity-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -68,15 +70,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tripparity/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python-side existence checks work on local paths."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's file system, so it also works on shared storage."""
     jvm = spark.sparkContext._jvm
@@ -85,6 +78,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system; a missing one is fine."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -124,9 +123,4 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-__all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path",
-           "path_exists", "local_path", "is_local"]
+__all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path", "path_exists", "delete_path", "ship_package"]

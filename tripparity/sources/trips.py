@@ -23,24 +23,10 @@ RAW_COLUMNS = (
 TRIP_KEY = "trip_id"
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None,
-               small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """A table of the fixture folder; a *small* table is spread over at least ``min_partitions`` tasks.
-
-    Large inputs come in many files / row groups and are split by the scan itself; they are never
-    reshuffled. A small table stored as one row group would otherwise run every row-wise operator
-    in a single task, so when its estimated size is below ``small_input_bytes`` and it has fewer
-    splits than the cluster's default parallelism, it is spread round-robin (a cheap shuffle).
-    """
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A table of the fixture folder, as the scan splits it; ``partitions`` spreads it over that many tasks."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < small_input_bytes and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
-    return df
+    return df.repartition(partitions) if partitions else df
 
 
 def trips_from_events(events: DataFrame) -> DataFrame:
