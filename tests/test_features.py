@@ -1,4 +1,4 @@
-"""Feature transforms: goldens from the reference's tests, edge trips, independence, rounding."""
+"""Feature transforms: golden trips through every path, contract edges, independence, rounding."""
 
 import ast
 import math
@@ -33,46 +33,43 @@ def _row(df):
     return df.collect()[0].asDict()
 
 
-def test_all_paths_preserve_the_nine_feature_schema(spark):
-    trip = _trip(spark, datetime(2024, 1, 8, 13, 30, tzinfo=timezone.utc))
-    canonical, online, shared = (_row(canonical_features(trip)), _row(online_features(trip)),
-                                 _row(shared_features(trip)))
-    assert list(canonical) == list(FEATURE_NAMES)
-    assert canonical == online == shared
-    assert canonical["passenger_count"] == 1
-    assert canonical["pickup_hour"] == 8
-    assert canonical["is_rush_hour"] == 1
-
-
-def test_distance_fault_changes_only_serving_distance(spark):
-    trip = _trip(spark, datetime(2024, 1, 8, 13, 30, tzinfo=timezone.utc))
-    canonical = _row(canonical_features(trip))
-    online = _row(online_features(trip, "distance_unit"))
-    assert online["trip_distance_miles"] == pytest.approx(canonical["trip_distance_miles"] * 1.609344)
-    assert online["trip_distance_miles"] == 7.242048
-    assert {k: v for k, v in online.items() if k != "trip_distance_miles"} == \
-        {k: v for k, v in canonical.items() if k != "trip_distance_miles"}
-
-
-def test_timezone_fault_uses_utc_for_online_time_features(spark):
-    online = _row(online_features(_trip(spark, datetime(2024, 1, 8, 13, 30, tzinfo=timezone.utc)), "timezone"))
-    assert (online["pickup_hour"], online["pickup_day_of_week"], online["pickup_month"],
-            online["is_weekend"], online["is_rush_hour"]) == (13, 0, 1, 0, 0)
-
-
-@pytest.mark.parametrize(("when", "passengers", "distance", "hour", "weekday"), [
-    (datetime(2024, 1, 8, 11, 59, tzinfo=timezone.utc), None, 1.1234567, 6, 0),
-    (datetime(2024, 1, 8, 12, 0, tzinfo=timezone.utc), 2, 4.5, 7, 0),
-    (datetime(2024, 1, 8, 15, 0, tzinfo=timezone.utc), 4, 8.25, 10, 0),
-    (datetime(2024, 1, 13, 5, 30, tzinfo=timezone.utc), 1, 2.0, 0, 5),
-    (datetime(2024, 7, 8, 12, 30, tzinfo=timezone.utc), 3, 9.0, 8, 0),
-])
-def test_shared_matches_canonical_across_edge_trips(spark, when, passengers, distance, hour, weekday):
-    trip = _trip(spark, when, passengers, distance)
-    shared = _row(shared_features(trip))
-    assert shared == _row(canonical_features(trip))
-    assert (shared["pickup_hour"], shared["pickup_day_of_week"]) == (hour, weekday)
-    assert shared["trip_distance_miles"] == round(distance, 6)
+CLOCK = ("pickup_hour", "pickup_day_of_week", "pickup_month", "is_weekend", "is_rush_hour")
+
+# Pickup (UTC), passengers, miles -> New York clock fields, then the same read as UTC.
+GOLDEN = (
+    ((2024, 1, 8, 11, 59), None, 1.1234567, (6, 0, 1, 0, 0), (11, 0, 1, 0, 0)),
+    ((2024, 1, 8, 12, 0), 2, 4.5, (7, 0, 1, 0, 1), (12, 0, 1, 0, 0)),
+    ((2024, 1, 8, 13, 30), None, 4.5, (8, 0, 1, 0, 1), (13, 0, 1, 0, 0)),
+    ((2024, 1, 8, 15, 0), 4, 8.25, (10, 0, 1, 0, 0), (15, 0, 1, 0, 0)),
+    ((2024, 1, 13, 5, 30), 1, 2.0, (0, 5, 1, 1, 0), (5, 5, 1, 1, 0)),
+    ((2024, 7, 8, 12, 30), 3, 9.0, (8, 0, 7, 0, 1), (12, 0, 7, 0, 0)),
+    ((2024, 1, 1, 0, 30), 1, 2.0, (19, 6, 12, 1, 0), (0, 0, 1, 0, 0)),
+)
+
+
+def test_golden_trips_through_every_path_and_fault(spark):
+    """One table of trips; each path's whole output is compared with the expected vectors."""
+    rows = [(i, datetime(*when, tzinfo=timezone.utc), 132, 236, seats, miles)
+            for i, (when, seats, miles, _, _) in enumerate(GOLDEN)]
+    trips = spark.createDataFrame(rows, "trip_id int, " + SCHEMA)
+
+    def expected(kilometres: bool, utc: bool) -> dict[int, tuple]:
+        out = {}
+        for i, (_, seats, miles, local, zulu) in enumerate(GOLDEN):
+            distance = round(round(miles, 6) * 1.609344, 6) if kilometres else round(miles, 6)
+            out[i] = (distance, seats or 1, 132, 236, *(zulu if utc else local))
+        return out
+
+    paths = {
+        "canonical": (canonical_features(trips, keep=("trip_id",)), False, False),
+        "shared": (shared_features(trips, keep=("trip_id",)), False, False),
+        "online": (online_features(trips, keep=("trip_id",)), False, False),
+        "online, distance": (online_features(trips, "distance_unit", keep=("trip_id",)), True, False),
+        "online, time zone": (online_features(trips, "timezone", keep=("trip_id",)), False, True),
+    }
+    for name, (table, kilometres, utc) in paths.items():
+        assert tuple(table.columns) == ("trip_id", *FEATURE_NAMES), name
+        assert {r[0]: tuple(r[1:]) for r in table.collect()} == expected(kilometres, utc), name
 
 
 def test_session_time_zone_does_not_change_features(spark):
@@ -99,21 +96,14 @@ def test_training_path_reads_wall_clock_as_new_york(spark):
     assert rows[2]["pickup_month"] == 1
 
 
-def test_serving_path_converts_to_new_york_month(spark):
-    shared = _row(shared_features(_trip(spark, datetime(2024, 1, 1, 0, 30, tzinfo=timezone.utc))))
-    assert shared["pickup_month"] == 12 and shared["pickup_hour"] == 19
-
+def test_the_online_path_is_written_independently():
+    """Neither of the other transforms is reachable from the module by import."""
+    import tripparity.operators.online as online_module
 
-def test_online_module_does_not_import_canonical_or_shared():
-    source = (Path(__file__).resolve().parents[1] / "tripparity" / "operators" / "online.py").read_text()
-    imported = {node.module for node in ast.walk(ast.parse(source))
-                if isinstance(node, ast.ImportFrom) and node.module is not None}
-    assert "tripparity.operators.canonical" not in imported
-    assert "tripparity.operators.shared" not in imported
-
-
-def test_only_three_skew_modes_exist():
-    assert list(SKEW_MODES) == ["none", "distance_unit", "timezone"]
+    text = Path(online_module.__file__).read_text()
+    assert not {"canonical", "shared"} & {part for node in ast.walk(ast.parse(text))
+                                          for part in str(getattr(node, "module", "")).split(".")}
+    assert len(SKEW_MODES) == 3
 
 
 def test_round6_matches_python_round(spark):
@@ -131,6 +121,20 @@ def test_round6_matches_python_round(spark):
     assert [r[0] for r in special.collect()] == [math.inf, -math.inf]
 
 
+def test_clauses_not_checked_at_run_time_hold_by_construction(spark):
+    """Requests at the edges of their contract: whatever is accepted satisfies the whole vector contract."""
+    edge = [(datetime(y, m, d, h, 59, 59, tzinfo=timezone.utc), zone, zone, seats, miles, mode, skew)
+            for y, m, d, h in ((1970, 1, 1, 0), (2024, 2, 29, 23), (2024, 3, 10, 7), (2024, 11, 3, 6), (2099, 12, 31, 23))
+            for zone in (0, 1, 2 ** 63 - 1) for seats in (None, 0, 1, 8, 9) for miles in (0.0, 4e-7, 1e-6, 500.0, 500.1)
+            for mode, skew in (("broken", "none"), ("broken", "distance_unit"), ("broken", "timezone"), ("correct", "none"))]
+    requests = spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(edge)], "request_id long, pickup_datetime timestamp, pickup_location_id long, "
+        "dropoff_location_id long, passenger_count int, trip_distance_miles double, feature_mode string, skew_mode string")
+    ok = accepted(serve_requests(requests)).cache()
+    assert ok.count() == 5 * 2 * 3 * 2 * 4
+    assert ok.where((F.size(vector_violations("t_")) > 0) | (F.size(vector_violations("s_")) > 0)).count() == 0
+
+
 def test_whole_table_paths_agree_and_vectors_keep_their_contract(spark):
     served = serve_requests(requests_from_trips(load_trips(spark, SF_SMALL)))
     ok = accepted(served)

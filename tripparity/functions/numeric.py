@@ -58,11 +58,6 @@ def miles_to_kilometres(distance: Column | str) -> Column:
     return round6(distance * F.lit(MILES_TO_KILOMETRES))
 
 
-def default_passengers(passengers: Column) -> Column:
-    """F8."""
-    return F.coalesce(passengers, F.lit(DEFAULT_PASSENGER_COUNT))
-
-
 def is_close(a: Column, b: Column, rel_tol: float = RELATIVE_TOLERANCE,
              abs_tol: float = ABSOLUTE_TOLERANCE) -> Column:
     """``|a-b| <= max(rel_tol * max(|a|, |b|), abs_tol)``; equal infinities match, NaN never.

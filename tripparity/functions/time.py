@@ -21,6 +21,20 @@ WEEKEND_FIRST_WEEKDAY = 5  # Monday = 0, so Saturday = 5 and Sunday = 6
 _EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+# A date, a time and a zone offset at the end (Z, +hh, +hhmm or +hh:mm); a bare date has none.
+OFFSET_PATTERN = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)\s*$"
+
+
+def has_offset(text: Column) -> Column:
+    return text.rlike(OFFSET_PATTERN)
+
+
+def instant_of(text: Column) -> Column:
+    """The instant of a date and time with an offset; anything else, or an impossible date, is null."""
+    colon = F.regexp_replace(F.upper(F.trim(text)), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    return F.when(has_offset(text), F.regexp_replace(colon, r"([+-][0-9]{2})$", "$1:00").try_cast("timestamp"))
+
+
 def utc_wall_clock(column: Column, data_type: DataType) -> Column:
     """An instant (TIMESTAMP) or a UTC wall clock (TIMESTAMP_NTZ) as a UTC TIMESTAMP_NTZ."""
     if isinstance(data_type, TimestampNTZType):

@@ -25,9 +25,9 @@ def canonical_columns(df: DataFrame, pickup: str = "pickup_datetime") -> dict[st
     hour, weekday = f"hour({local})", f"weekday({local})"
     return {
         "trip_distance_miles": round6("CAST(`trip_distance_miles` AS DOUBLE)"),
-        "passenger_count": F.expr("coalesce(CAST(`passenger_count` AS INT), 1)"),
-        "pickup_location_id": F.expr("CAST(`pickup_location_id` AS INT)"),
-        "dropoff_location_id": F.expr("CAST(`dropoff_location_id` AS INT)"),
+        "passenger_count": F.expr("coalesce(try_cast(`passenger_count` AS INT), 1)"),
+        "pickup_location_id": F.expr("try_cast(`pickup_location_id` AS BIGINT)"),
+        "dropoff_location_id": F.expr("try_cast(`dropoff_location_id` AS BIGINT)"),
         "pickup_hour": F.expr(hour),
         "pickup_day_of_week": F.expr(weekday),
         "pickup_month": F.expr(f"month({local})"),

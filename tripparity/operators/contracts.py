@@ -16,6 +16,7 @@ from pyspark.sql.types import (DateType, NumericType, StringType, TimestampNTZTy
 
 from tripparity.functions.arrays import compact
 from tripparity.functions.numeric import not_nan
+from tripparity.functions.time import has_offset, instant_of, to_new_york, utc_wall_clock
 from tripparity.operators.faults import FEATURE_MODES, SKEW_MODES
 from tripparity.sources.trips import RAW_COLUMNS
 
@@ -30,6 +31,7 @@ class Clause:
     check: str
     lower: float | None = None
     upper: float | None = None
+    limit: float | None = None  # the first value that the feature's type cannot hold
 
     def holds(self, value: Column) -> Column:
         if self.check == "not_null":
@@ -39,6 +41,8 @@ class Clause:
             ok = ok & (value >= F.lit(self.lower))
         if self.upper is not None:
             ok = ok & (value <= F.lit(self.upper))
+        if self.limit is not None:
+            ok = ok & (value < F.lit(self.limit))
         return F.coalesce(ok, F.lit(False))
 
     @property
@@ -55,8 +59,8 @@ RAW_TRIP_CONTRACT = (
     Clause("tpep_pickup_datetime", "not_null"),
     Clause("passenger_count", "range", 1.0, 8.0),
     Clause("trip_distance", "range", 0.01, 100.0),
-    Clause("PULocationID", "range", 1.0, None),
-    Clause("DOLocationID", "range", 1.0, None),
+    Clause("PULocationID", "range", 1.0, None, 2.0 ** 63),
+    Clause("DOLocationID", "range", 1.0, None, 2.0 ** 63),
     Clause("fare_amount", "range", 0.01, 500.0),
 )
 
@@ -87,7 +91,7 @@ def coerce_raw(df: DataFrame, key_columns: tuple[str, ...] = ()) -> DataFrame:
             if isinstance(data_type, (TimestampNTZType, TimestampType)):
                 value = column
             elif isinstance(data_type, (StringType, DateType)):
-                value = column.try_cast("timestamp_ntz")
+                value = _new_york_wall_clock(column) if isinstance(data_type, StringType) else column.try_cast("timestamp_ntz")
             else:
                 raise ContractError(f"{name} cannot be read as a datetime ({data_type.simpleString()})")
         elif isinstance(data_type, NumericType):
@@ -100,6 +104,13 @@ def coerce_raw(df: DataFrame, key_columns: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*key_columns, *out)
 
 
+def _new_york_wall_clock(text: Column) -> Column:
+    """Text without an offset is New York wall clock; with one it is an instant and converted."""
+    instant = instant_of(text)
+    local = to_new_york(utc_wall_clock(instant, TimestampType()))
+    return F.when(has_offset(text), local).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def raw_clause_results(df: DataFrame) -> list[tuple[Clause, Column]]:
     return [(clause, clause.holds(F.col(clause.column))) for clause in RAW_TRIP_CONTRACT]
 
@@ -148,7 +159,7 @@ def violation_counts(coerced: DataFrame) -> DataFrame:
 def require_non_empty(df: DataFrame) -> DataFrame:
     """P15."""
     if df.isEmpty():
-        raise ContractError("No valid training rows remain after validation")
+        raise ContractError("validation left no trip to train on")
     return df
 
 
@@ -216,7 +227,3 @@ def request_rejections(df: DataFrame, clauses: list[tuple[str, Holds]] | None =
     if "parse_errors" in df.columns:
         found = F.concat(F.col("parse_errors"), found)
     return found
-
-
-def with_request_rejections(df: DataFrame, column: str = "rejection_reasons") -> DataFrame:
-    return df.withColumn(column, request_rejections(df))

@@ -28,13 +28,17 @@ def with_split(df: DataFrame, key: str = "trip_id", buckets: int = VALIDATION_BU
 
 def regression_metrics(df: DataFrame, label: str = "fare_amount", prediction: str = "prediction",
                        group_by: tuple[str, ...] = ()) -> DataFrame:
-    """MAE, RMSE and R^2 in one pass (R^2 via the numerically stable ``var_pop``)."""
+    """MAE, RMSE and R^2 in one pass (R^2 via the numerically stable ``var_pop``).
+
+    R^2 of a constant label is 1 without any error and 0 otherwise; under two rows it is null.
+    """
     err = F.col(label).cast("double") - F.col(prediction).cast("double")
     aggs = [F.count(F.lit(1)).alias("rows"),
             F.avg(F.abs(err)).alias("mean_absolute_error"),
             F.sqrt(F.avg(err * err)).alias("root_mean_squared_error"),
-            (F.lit(1.0) - F.sum(err * err) / (F.var_pop(F.col(label)) * F.count(F.lit(1))))
-            .alias("r2_score")]
+            F.when(F.count(F.lit(1)) >= 2, F.coalesce(
+                F.lit(1.0) - F.try_divide(F.sum(err * err), F.var_pop(F.col(label)) * F.count(F.lit(1))),
+                F.when(F.sum(err * err) == 0, 1.0).otherwise(0.0))).alias("r2_score")]
     return df.groupBy(*group_by).agg(*aggs) if group_by else df.agg(*aggs)
 
 
@@ -46,5 +50,5 @@ def rank_candidates(comparison: DataFrame, metric: str = SELECTION_METRIC) -> Da
 def select_best(comparison: DataFrame, metric: str = SELECTION_METRIC) -> DataFrame:
     """The candidate with the lowest metric, first wins ties; empty input raises."""
     if comparison.isEmpty():
-        raise ValueError("results must contain at least one candidate")
+        raise ValueError("no candidate to choose from")
     return rank_candidates(comparison, metric).limit(1)

@@ -33,9 +33,9 @@ def online_columns(df: DataFrame, skew_mode: Column | str | None = None,
     values = {
         "trip_distance_miles": F.expr(round6_sql_text),
         "passenger_count": F.expr("CASE WHEN `passenger_count` IS NULL THEN 1 "
-                                  "ELSE CAST(`passenger_count` AS INT) END"),
-        "pickup_location_id": F.expr("CAST(`pickup_location_id` AS INT)"),
-        "dropoff_location_id": F.expr("CAST(`dropoff_location_id` AS INT)"),
+                                  "ELSE try_cast(`passenger_count` AS INT) END"),
+        "pickup_location_id": F.expr("try_cast(`pickup_location_id` AS BIGINT)"),
+        "dropoff_location_id": F.expr("try_cast(`dropoff_location_id` AS BIGINT)"),
         "pickup_hour": F.expr(hour_local),
         "pickup_day_of_week": F.expr(dow_local),
         "pickup_month": F.expr(f"month({local})"),

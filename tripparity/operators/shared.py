@@ -33,9 +33,9 @@ def shared_columns(df: DataFrame, *, pickup: str = "pickup_datetime",
         wall_clock = to_new_york_sql(utc_wall_clock_sql(pickup, data_type))
     values = {
         "trip_distance_miles": round6(f"CAST(`{distance}` AS DOUBLE)"),
-        "passenger_count": F.expr(f"coalesce(CAST(`{passengers}` AS INT), {DEFAULT_PASSENGER_COUNT})"),
-        "pickup_location_id": F.expr(f"CAST(`{pickup_zone}` AS INT)"),
-        "dropoff_location_id": F.expr(f"CAST(`{dropoff_zone}` AS INT)"),
+        "passenger_count": F.expr(f"coalesce(try_cast(`{passengers}` AS INT), {DEFAULT_PASSENGER_COUNT})"),
+        "pickup_location_id": F.expr(f"try_cast(`{pickup_zone}` AS BIGINT)"),
+        "dropoff_location_id": F.expr(f"try_cast(`{dropoff_zone}` AS BIGINT)"),
         **calendar_fields_sql(wall_clock),
     }
     return values
@@ -55,7 +55,7 @@ def shared_features(df: DataFrame, keep: tuple[str, ...] = (), **kwargs) -> Data
 def training_features(valid_raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Features of validated raw trips plus the float target ``fare_amount``.
 
-    Passenger counts and zone ids are truncated to int (``cast`` truncates, like ``int(x)``).
+    Passenger counts and zone ids are truncated to whole numbers; zone ids are 64-bit.
     """
     values = shared_columns(valid_raw, pickup="tpep_pickup_datetime", passengers="passenger_count",
                             distance="trip_distance", pickup_zone="PULocationID",

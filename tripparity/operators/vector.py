@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tripparity.functions.arrays import compact
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 # Feature names in their fixed order.
 FEATURE_NAMES = (
@@ -20,9 +20,11 @@ FEATURE_NAMES = (
     "is_rush_hour",
 )
 
+ZONE_FEATURES = ("pickup_location_id", "dropoff_location_id")  # 64-bit: any whole number from 1 is a zone
+
 FEATURE_SCHEMA = StructType(
     [StructField(FEATURE_NAMES[0], DoubleType(), False)]
-    + [StructField(name, IntegerType(), False) for name in FEATURE_NAMES[1:]]
+    + [StructField(name, LongType() if name in ZONE_FEATURES else IntegerType(), False) for name in FEATURE_NAMES[1:]]
 )
 
 # The feature-vector contract, (feature, lower, lower inclusive, upper).
@@ -50,7 +52,8 @@ def vector_struct(values: dict[str, Column]) -> Column:
     """A feature struct with fields in FEATURE_NAMES order and the declared types."""
     _require_all(values)
     fields = [values["trip_distance_miles"].cast("double").alias("trip_distance_miles")]
-    fields += [values[name].cast("int").alias(name) for name in FEATURE_NAMES[1:]]
+    fields += [values[name].try_cast("bigint" if name in ZONE_FEATURES else "int").alias(name)
+               for name in FEATURE_NAMES[1:]]
     return F.struct(*fields)
 
 
@@ -64,7 +67,8 @@ def flat_features(values: dict[str, Column], prefix: str = "", cast: bool = True
     if not cast:
         return [values[name].alias(f"{prefix}{name}") for name in FEATURE_NAMES]
     out = [values["trip_distance_miles"].cast("double").alias(f"{prefix}trip_distance_miles")]
-    out += [values[name].cast("int").alias(f"{prefix}{name}") for name in FEATURE_NAMES[1:]]
+    out += [values[name].try_cast("bigint" if name in ZONE_FEATURES else "int").alias(f"{prefix}{name}")
+            for name in FEATURE_NAMES[1:]]
     return out
 
 

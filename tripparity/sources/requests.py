@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
-from tripparity.functions.time import utc_wall_clock
+from tripparity.functions.time import has_offset, instant_of, utc_wall_clock
 from tripparity.operators.faults import (FEATURE_MODE_BROKEN, FEATURE_MODE_CORRECT, SKEW_MODES,
                                          SKEW_NONE)
 
@@ -25,8 +25,8 @@ REQUEST_FIELDS = (
     "skew_mode",
 )
 
-# A zone offset at the end of an ISO-8601 timestamp: Z, +hh, +hhmm or +hh:mm.
-OFFSET_PATTERN = r"([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)$"
+# A decimal number as text.
+NUMBER_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def requests_from_trips(trips: DataFrame) -> DataFrame:
@@ -41,9 +41,9 @@ def requests_from_trips(trips: DataFrame) -> DataFrame:
     return trips.select(
         event_id.alias("request_id"),
         F.col("pickup_datetime"),
-        F.col("pickup_location_id").cast("int").alias("pickup_location_id"),
-        F.col("dropoff_location_id").cast("int").alias("dropoff_location_id"),
-        F.col("passenger_count").cast("int").alias("passenger_count"),
+        F.col("pickup_location_id").try_cast("bigint").alias("pickup_location_id"),
+        F.col("dropoff_location_id").try_cast("bigint").alias("dropoff_location_id"),
+        F.col("passenger_count").try_cast("int").alias("passenger_count"),
         F.col("trip_distance").cast("double").alias("trip_distance_miles"),
         F.when(event_id % 4 == 0, F.lit(FEATURE_MODE_CORRECT)).otherwise(F.lit(FEATURE_MODE_BROKEN))
         .alias("feature_mode"),
@@ -70,9 +70,16 @@ def requests_to_json(requests: DataFrame) -> DataFrame:
 
 
 def _lax_int(text):
-    """An integer-valued JSON number or numeric string ("3", 3, 3.0); 2.5 or junk -> null."""
-    as_double = text.try_cast("double")
-    return F.when(F.floor(as_double) == as_double, as_double.cast("long"))
+    """An integer-valued JSON number or numeric string ("3", 3, 3.0); 2.5, junk or one beyond 64 bits -> null."""
+    exact = text.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    as_double = _number(text)
+    whole = F.when(as_double == F.rint(as_double), as_double.try_cast("long"))
+    return F.when(exact, F.trim(text).try_cast("long")).otherwise(whole)
+
+
+def _number(text):
+    """A decimal number written out; type suffixes, names of non-numbers and junk -> null."""
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
 def parse_json_requests(raw: DataFrame, column: str = "value", id_column: str | None = None) -> DataFrame:
@@ -87,31 +94,31 @@ def parse_json_requests(raw: DataFrame, column: str = "value", id_column: str |
                         fields.alias("_m"))
     m = F.col("_m")
     pickup_text = m["pickup_datetime"]
-    pickup = F.when(pickup_text.rlike(OFFSET_PATTERN), pickup_text.try_cast("timestamp"))
+    pickup = instant_of(pickup_text)
     pu, do, pc = (_lax_int(m[name]) for name in ("pickup_location_id", "dropoff_location_id",
                                                  "passenger_count"))
-    distance = m["trip_distance_miles"].try_cast("double")
+    distance = _number(m["trip_distance_miles"])
     feature_mode = F.coalesce(m["feature_mode"], F.lit(FEATURE_MODE_BROKEN))
     skew_mode = F.coalesce(m["skew_mode"], F.lit(SKEW_NONE))
     extras = F.array_except(F.map_keys(m), F.array(*[F.lit(f) for f in REQUEST_FIELDS]))
     errors = F.array(
         F.when(m.isNull(), F.lit("malformed_json")),
         F.when(pickup_text.isNull(), F.lit("pickup_datetime_missing")),
-        F.when(pickup_text.isNotNull() & ~pickup_text.rlike(OFFSET_PATTERN),
+        F.when(pickup_text.isNotNull() & ~has_offset(pickup_text),
                F.lit("pickup_datetime_without_offset")),
-        F.when(pickup_text.rlike(OFFSET_PATTERN) & pickup.isNull(), F.lit("pickup_datetime_invalid")),
+        F.when(has_offset(pickup_text) & pickup.isNull(), F.lit("pickup_datetime_invalid")),
         F.when(pu.isNull(), F.lit("pickup_location_id_not_integer")),
         F.when(do.isNull(), F.lit("dropoff_location_id_not_integer")),
-        F.when(m["passenger_count"].isNotNull() & pc.isNull(), F.lit("passenger_count_not_integer")),
+        F.when(m["passenger_count"].isNotNull() & pc.try_cast("int").isNull(), F.lit("passenger_count_not_integer")),
         F.when(distance.isNull(), F.lit("trip_distance_miles_not_number")),
         F.when(F.size(extras) > 0, F.concat(F.lit("unexpected_fields:"), F.array_join(extras, ","))),
     )
     return parsed.select(
         *(["request_id"] if id_column else []),
         pickup.alias("pickup_datetime"),
-        pu.cast("int").alias("pickup_location_id"),
-        do.cast("int").alias("dropoff_location_id"),
-        pc.cast("int").alias("passenger_count"),
+        pu.alias("pickup_location_id"),
+        do.alias("dropoff_location_id"),
+        pc.try_cast("int").alias("passenger_count"),
         distance.alias("trip_distance_miles"),
         feature_mode.alias("feature_mode"),
         skew_mode.alias("skew_mode"),
