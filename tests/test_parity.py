@@ -81,25 +81,36 @@ def test_rollup_is_independent_of_partitioning(spark):
     assert ra == rb
 
 
-def test_compare_tables_counts_duplicates_without_multiplying(spark):
-    cols = ", ".join(f"{n} {'double' if n == 'trip_distance_miles' else 'int'}" for n in FEATURE_NAMES)
-    base = (1.0, 1, 1, 1, 8, 0, 1, 0, 1)
-    offline = spark.createDataFrame([(1, *base), (2, *base), (2, *base)], f"trip_id long, {cols}")
-    online = spark.createDataFrame([(1, *base), (3, *base)], f"trip_id long, {cols}")
-    rows = {r.trip_id: r for r in parity.compare_tables(offline, online).collect()}
-    assert rows[1].parity.matched and rows[1].offline_rows == 1
-    assert rows[2].offline_rows == 2 and rows[2].missing_in == "online" and rows[2].parity is None
-    assert rows[3].missing_in == "offline"
+COLUMNS = "trip_id long, " + ", ".join(f"{n} {'double' if n == 'trip_distance_miles' else 'int'}" for n in FEATURE_NAMES)
+BASE = (1.0, 1, 1, 1, 8, 0, 1, 0, 1)
+WRONG = (3.5, 1, 1, 1, 9, 0, 1, 0, 1)
 
 
-def test_duplicate_key_representative_is_one_whole_row(spark):
-    cols = ", ".join(f"{n} {'double' if n == 'trip_distance_miles' else 'int'}" for n in FEATURE_NAMES)
-    a = (1.0, 1, 1, 1, 8, 0, 1, 0, 1)
-    b = (9.0, 5, 7, 3, 2, 6, 1, 1, 0)
-    offline = spark.createDataFrame([(4, *a), (4, *b)] * 3, f"trip_id long, {cols}").repartition(3)
-    online = spark.createDataFrame([(4, *a)], f"trip_id long, {cols}")
+def test_every_served_row_is_compared(spark):
+    offline = spark.createDataFrame([(1, *BASE), (2, *BASE), (2, *BASE), (5, *BASE)], COLUMNS)
+    online = spark.createDataFrame([(1, *BASE), (1, *WRONG), (1, *WRONG), (3, *BASE), (5, *BASE), (None, *BASE)], COLUMNS)
+    rows = {r.trip_id: r for r in parity.compare_tables(offline, online).collect()}
+    one = rows[1]
+    assert (one.offline_rows, one.online_rows, one.rows_compared, one.rows_mismatched, one.matched) == (1, 3, 3, 2, False)
+    found = {f.feature: (f.mismatches, f.max_absolute_difference) for f in one.features}
+    assert found["trip_distance_miles"] == (2, 2.5) and found["pickup_hour"] == (2, 1.0) and found["is_weekend"] == (0, 0.0)
+    assert (rows[2].offline_rows, rows[2].missing_in, rows[2].matched, rows[2].features) == (2, "online", None, None)
+    assert (rows[3].missing_in, rows[3].rows_compared, rows[None].missing_in) == ("offline", 0, "offline")
+    assert rows[5].matched and rows[5].missing_in is None
+
+
+def test_a_hot_key_costs_its_different_vectors_only(spark):
+    offline = spark.createDataFrame([(4, *BASE)], COLUMNS)
+    online = spark.range(20000).selectExpr("4L AS trip_id", "CASE WHEN id % 4 = 0 THEN 2D ELSE 1D END AS trip_distance_miles",
+                                           *[f"{v} AS {n}" for n, v in list(zip(FEATURE_NAMES, BASE))[1:]])
     row = parity.compare_tables(offline, online).first()
-    picked = tuple(row[f"t_{n}"] for n in FEATURE_NAMES)
-    assert row.offline_rows == 6 and picked in (a, b)
-    again = parity.compare_tables(offline.repartition(5), online).first()
-    assert tuple(again[f"t_{n}"] for n in FEATURE_NAMES) == picked
+    assert (row.online_rows, row.rows_mismatched) == (20000, 5000)
+
+
+def test_duplicate_offline_rows_give_one_whole_row(spark):
+    other = (9.0, 5, 7, 3, 2, 6, 1, 1, 0)
+    offline = spark.createDataFrame([(4, *BASE), (4, *other)] * 3, COLUMNS)
+    online = spark.createDataFrame([(4, *BASE)], COLUMNS)
+    found = [parity.compare_tables(offline.repartition(n), online).first() for n in (3, 5)]
+    assert found[0].offline_rows == 6 and found[0].rows_mismatched in (0, 1) and found[0] == found[1]
+    assert {f.mismatches for f in found[0].features} <= ({0} if found[0].matched else {0, 1})

@@ -213,26 +213,42 @@ def _keyed_vectors(df: DataFrame, key: str, side: str) -> DataFrame:
 
 
 def compare_tables(offline: DataFrame, online: DataFrame, key: str = "trip_id") -> DataFrame:
-    """Q6: parity of an offline feature table and an online served log, paired by key.
+    """Q6: parity of every online row with the offline row of its key.
 
-    Each side is reduced to one row per key first (duplicates are counted, never multiplied),
-    then full-outer joined; both sides are hash-partitioned on the key by their aggregation, so
-    the join adds no further shuffle. ``missing_in`` names the side a key is absent from.
+    One row per key: offline_rows, online_rows, missing_in (the side without the key), rows_compared,
+    rows_mismatched, matched (null unless both sides have the key) and, per feature in order, the
+    number of mismatching rows and the largest difference. The offline side has one row per key
+    (duplicates are counted, one is taken); equal online vectors of a key are counted before the
+    join, so a trip served often costs one comparison per different vector and loses none.
     """
     left = _keyed_vectors(offline, key, "training")
-    right = _keyed_vectors(online, key, "serving")
-    joined = left.join(right, on=key, how="full_outer")
-    both = F.col("training").isNotNull() & F.col("serving").isNotNull()
-    missing = (F.when(F.col("training").isNull(), F.lit("offline"))
-               .when(F.col("serving").isNull(), F.lit("online")))
-    flat = joined.select(
-        key,
-        F.coalesce("training_rows", F.lit(0)).alias("offline_rows"),
-        F.coalesce("serving_rows", F.lit(0)).alias("online_rows"),
-        missing.alias("missing_in"), both.alias("_both"),
-        *[F.col(f"training.{n}").alias(f"t_{n}") for n in FEATURE_NAMES],
-        *[F.col(f"serving.{n}").alias(f"s_{n}") for n in FEATURE_NAMES],
-    )
-    return flat.select(key, "offline_rows", "online_rows", "missing_in",
-                       *[f"t_{n}" for n in FEATURE_NAMES], *[f"s_{n}" for n in FEATURE_NAMES],
-                       F.when(F.col("_both"), parity_struct("t_", "s_")).alias("parity"))
+    served = online.groupBy(key, *FEATURE_NAMES).agg(F.count(F.lit(1)).alias("_n"))
+    paired = served.join(left, on=key, how="left").select(
+        key, "_n", "training_rows", *[F.col(n).alias(f"s_{n}") for n in FEATURE_NAMES],
+        *[F.col(f"training.{n}").alias(f"t_{n}") for n in FEATURE_NAMES])
+    found = F.col("training_rows").isNotNull()
+    aggs = [F.max("training_rows").alias("training_rows"), F.sum("_n").alias("online_rows"),
+            F.sum(F.when(found & (mismatch_count("t_", "s_") > 0), F.col("_n")).otherwise(0)).alias("rows_mismatched")]
+    for i, name in enumerate(FEATURE_NAMES):
+        _, _, close, diff, _ = _sql_terms("t_", "s_", name, RELATIVE_TOLERANCE, ABSOLUTE_TOLERANCE)
+        aggs += [F.sum(F.when(found & ~F.expr(close), F.col("_n")).otherwise(0)).alias(f"m{i}"), F.max(F.expr(diff)).alias(f"d{i}")]
+    both = F.col("training_rows").isNotNull()
+    compared = paired.groupBy(key).agg(*aggs).select(
+        key, F.coalesce("training_rows", F.lit(0)).alias("offline_rows"), "online_rows",
+        F.when(~both, F.lit("offline")).alias("missing_in"),
+        F.when(both, F.col("online_rows")).otherwise(F.lit(0)).alias("rows_compared"), "rows_mismatched",
+        F.when(both, F.col("rows_mismatched") == 0).alias("matched"),
+        F.when(both, F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"m{i}").alias("mismatches"),
+                                        F.col(f"d{i}").alias("max_absolute_difference"))
+                               for i, n in enumerate(FEATURE_NAMES)])).alias("features"))
+    zero = F.lit(0).cast("bigint")
+    unserved = left.join(online.select(key).distinct(), on=key, how="left_anti").select(
+        key, F.col("training_rows").alias("offline_rows"), zero.alias("online_rows"), F.lit("online").alias("missing_in"),
+        zero.alias("rows_compared"), zero.alias("rows_mismatched"), F.lit(None).cast("boolean").alias("matched"),
+        F.lit(None).cast(compared.schema["features"].dataType).alias("features"))
+    return compared.unionByName(unserved)
+
+
+def mismatching_features(features: str = "features") -> Column:
+    """Names of the features of ``compare_tables`` with a mismatching row, joined in order."""
+    return F.array_join(F.transform(F.filter(features, lambda f: f["mismatches"] > 0), lambda f: f["feature"]), ",")
