@@ -24,7 +24,7 @@ from tripparity.functions.arrays import bin_counts, bin_index_literal, psi_statu
 from tripparity.functions.time import utc_instant, utc_wall_clock
 from tripparity.operators import drift, models, pairs, parity
 from tripparity.operators.vector import FEATURE_NAMES
-from tripparity.session import path_exists
+from tripparity.session import delete_path, path_exists
 from tripparity.sources.requests import requests_from_trips
 from tripparity.sources.trips import trips_from_events
 
@@ -94,15 +94,18 @@ def start_rolling_drift(spark: SparkSession, events_path: str, reference: drift.
 
     The last-N buffer is its own small table (``<served_log>_buffer``): batch k's buffer is the
     latest N of batch k-1's buffer plus batch k's rows, so each batch touches O(N + batch) rows
-    however long the served log grows. Every write is a ``batch_id`` partition replaced with
-    dynamic overwrite, so a replayed batch rewrites exactly its own output.
+    however long the served log grows. Every batch writes and reads its own ``batch_id`` folders by
+    name, so a replayed batch rewrites exactly its own output and nothing lists the others; the
+    buffers before k-1 are dropped.
     """
     served = pairs.serve_requests(requests_stream(spark, events_path, max_files_per_trigger))
     buffer_path = served_log_path.rstrip("/") + "_buffer"
 
+    def folder(path: str, batch_id: int) -> str:
+        return f"{path.rstrip('/')}/batch_id={batch_id}"
+
     def replace_partition(df: DataFrame, path: str, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+        df.write.mode("overwrite").parquet(folder(path, batch_id))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -114,13 +117,13 @@ def start_rolling_drift(spark: SparkSession, events_path: str, reference: drift.
             replace_partition(pairs.rejected(batch).select("request_id", "rejection_reasons"), rejects_path,
                               batch_id)
             candidates = log
-            if batch_id > 0 and path_exists(session, f"{buffer_path}/batch_id={batch_id - 1}"):
-                previous = session.read.parquet(buffer_path).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
-                candidates = previous.unionByName(log)
+            if batch_id > 0 and path_exists(session, folder(buffer_path, batch_id - 1)):
+                candidates = session.read.schema(log.schema).parquet(folder(buffer_path, batch_id - 1)).unionByName(log)
             replace_partition(drift.latest(candidates, buffer_size), buffer_path, batch_id)
-            buffer = session.read.parquet(buffer_path).where(F.col("batch_id") == batch_id).drop("batch_id")
+            buffer = session.read.schema(log.schema).parquet(folder(buffer_path, batch_id))
             _, overall = drift.drift_report(buffer, reference)
             replace_partition(overall, reports_path, batch_id)
+            delete_path(session, folder(buffer_path, batch_id - 2))
         finally:
             batch.unpersist()
 
@@ -152,40 +155,56 @@ def windowed_drift(served: DataFrame, reference: drift.ReferenceStats, window: s
     return grouped
 
 
-def windowed_drift_features(windows: DataFrame, reference: drift.ReferenceStats) -> DataFrame:
-    """PSI rows (window_start, window_end, sample_count, feature, psi, status, current_mean).
-
-    PSI is projected into plain columns first and then unpivoted, which keeps the generator small.
-    """
+def _scored_windows(windows: DataFrame, reference: drift.ReferenceStats) -> DataFrame:
     psi = [drift.psi_expression(reference[name], f"c{i}_", "sample_count").alias(f"psi{i}")
            for i, name in enumerate(FEATURE_NAMES)]
     # Window bounds are reported as UTC wall clocks, like the input's served_at.
-    scored = windows.select(utc_wall_clock(F.col("window.start"), TimestampType()).alias("window_start"),
+    return windows.select(utc_wall_clock(F.col("window.start"), TimestampType()).alias("window_start"),
                             utc_wall_clock(F.col("window.end"), TimestampType()).alias("window_end"),
                             "sample_count", *[F.col(f"mean{i}") for i in range(len(FEATURE_NAMES))], *psi)
+
+
+def windowed_drift_features(windows: DataFrame, reference: drift.ReferenceStats,
+                            min_samples: int = drift.MINIMUM_SAMPLES_FOR_DRIFT) -> DataFrame:
+    """PSI rows (window_start, window_end, sample_count, feature, psi, status, current_mean).
+
+    Windows with fewer than ``min_samples`` rows have none. PSI is projected into plain columns first
+    and then unpivoted, which keeps the generator small.
+    """
+    scored = _scored_windows(windows, reference).where(F.col("sample_count") >= min_samples)
     rows = [F.struct(F.lit(name).alias("feature"), F.col(f"psi{i}").alias("psi"),
                      psi_status(F.col(f"psi{i}")).alias("status"), F.col(f"mean{i}").alias("current_mean"))
             for i, name in enumerate(FEATURE_NAMES)]
     return scored.select("window_start", "window_end", "sample_count", F.inline(F.array(*rows)))
 
 
+def windowed_drift_overall(windows: DataFrame, reference: drift.ReferenceStats,
+                           min_samples: int = drift.MINIMUM_SAMPLES_FOR_DRIFT) -> DataFrame:
+    """One row per window (window_start, window_end, sample_count, status): the worst feature's status,
+    or insufficient_data under ``min_samples`` rows."""
+    scored = _scored_windows(windows, reference)
+    worst = drift.worst_status([psi_status(F.col(f"psi{i}")) for i in range(len(FEATURE_NAMES))])
+    return scored.select("window_start", "window_end", "sample_count", F.when(
+        F.col("sample_count") < min_samples, F.lit(drift.STATUS_INSUFFICIENT)).otherwise(worst).alias("status"))
+
+
 def start_windowed_drift(spark: SparkSession, events_path: str, reference: drift.ReferenceStats,
                          sink_path: str, checkpoint: str, output_mode: str = "append",
                          window: str = "1 day", watermark: str = "1 day",
-                         available_now: bool = True) -> StreamingQuery:
+                         available_now: bool = True, overall: bool = False) -> StreamingQuery:
     """R3 as a running query. ``append`` emits each window once it closes (production);
-    ``complete`` rewrites all windows every batch (bounded inputs and tests)."""
+    ``complete`` rewrites all windows every batch (bounded inputs and tests). The sink gets the
+    features' rows, or with ``overall`` one status per window."""
     served = pairs.accepted(pairs.serve_requests(requests_stream(spark, events_path))).select(
         "served_at", *[F.col(f"{pairs.SERVING_PREFIX}{n}").alias(n) for n in FEATURE_NAMES])
     windows = windowed_drift(served, reference, window, watermark)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        result = windowed_drift_features(batch, reference)
+        result = (windowed_drift_overall if overall else windowed_drift_features)(batch, reference)
         if output_mode == "complete":
             result.write.mode("overwrite").parquet(sink_path)
         else:  # keyed by batch id, so a replayed batch replaces its own rows
-            (result.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
+            result.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = windows.writeStream.outputMode(output_mode).foreachBatch(per_batch) \
         .option("checkpointLocation", checkpoint)
