@@ -67,6 +67,30 @@ def test_tree_shap_is_exact(spark, table, make):
         assert row.base_value == pytest.approx(base)
 
 
+@pytest.mark.parametrize("make", [
+    lambda: GBTRegressor(labelCol="fare_amount", maxIter=6, maxDepth=4, stepSize=0.1, seed=3),
+    lambda: RandomForestRegressor(labelCol="fare_amount", numTrees=5, maxDepth=30, maxBins=512, seed=3),
+])
+def test_models_of_any_size_are_explained_block_by_block(spark, table, make):
+    model = Pipeline(stages=[models.assembler(), make()]).fit(table)
+    some = table.limit(40)
+    whole = explain.explain_trees(some, model, keep=("trip_id",)).toPandas().set_index("trip_id").sort_index()
+    parts = explain.explain_trees(some, model, keep=("trip_id",), block_nodes=50).toPandas().set_index("trip_id").sort_index()
+    assert len(list(explain.leaf_tables(spark, model, block_nodes=50))) >= 5
+    assert np.abs(whole.to_numpy() - parts.to_numpy()).max() < 1e-9
+
+
+def test_contributions_add_up_for_values_that_are_not_numbers(spark, table):
+    model = Pipeline(stages=[models.assembler(), GBTRegressor(labelCol="fare_amount", maxIter=8, maxDepth=4, seed=3)]).fit(table)
+    broken = table.limit(60)
+    for i, name in enumerate(FEATURE_NAMES):
+        broken = broken.withColumn(name, F.when(F.col("trip_id") % 9 == i, F.lit(float("nan"))).otherwise(F.col(name)))
+    explained = explain.explain_trees(broken, model, keep=("trip_id",))
+    joined = explained.join(model.transform(broken).select("trip_id", "prediction"), "trip_id").toPandas()
+    assert joined[list(FEATURE_NAMES)].isna().any().any()
+    assert np.abs(joined.predicted_fare_amount - joined.prediction).max() < 1e-9
+
+
 def test_contribution_grows_with_distance_and_importance(spark, table):
     model = Pipeline(stages=[models.assembler(), GBTRegressor(labelCol="fare_amount", maxIter=10, maxDepth=3,
                                                              seed=1)]).fit(table)

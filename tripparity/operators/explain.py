@@ -5,8 +5,8 @@ tree contributes a product game over the distinct features on its path: with ``z
 training cover that follows the path's conditions on feature j and ``o_j(x)`` whether x satisfies
 them, ``v(S) = value * prod_{j in S} o_j * prod_{j not in S} z_j``. Its Shapley values come from the
 polynomial ``prod_j (z_j + o_j t)`` (O(d^2) per leaf, d <= 9), summed over leaves. The leaf table is
-derived from the model on the driver (its size is the model's, not the data's) and shipped to tasks
-once; rows are explained in Arrow batches by ``mapInPandas``, so work scales with partitions.
+derived from the model on the driver, a bounded block of trees at a time, and shipped to tasks; rows
+are explained in Arrow batches by ``mapInPandas``, so work scales with partitions.
 
 Linear models get the closed form ``coef * (x - mean(x))`` as plain column expressions.
 """
@@ -28,6 +28,7 @@ from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.session import scratch_path, ship_package
 
 SHAP_PREFIX = "shap_"
+BLOCK_NODES = 500_000  # of trees explained at once: some hundred MB of leaf table at most
 
 # Six representative trips, the default sample for global importance.
 REFERENCE_TRIPS = (
@@ -69,18 +70,25 @@ class LeafTable:
         return sum(len(g.value) for g in self.groups)
 
 
-def _tree_nodes(spark: SparkSession, model) -> dict[int, dict[int, tuple]]:
-    """Node table of every tree, read back from the model's own persisted form."""
+def _saved_trees(spark: SparkSession, model) -> DataFrame:
+    """Node table of a tree ensemble, read back from the model's own persisted form."""
     path = scratch_path(spark, "tree-model")
     model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select(
+    return spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", F.coalesce(F.try_element_at("nodeData.impurityStats", F.lit(1)),
                                                       F.col("nodeData.rawCount").cast("double")).alias("cover"),
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
         F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
-        "nodeData.split.numCategories").collect()
+        "nodeData.split.numCategories")
+
+
+def _tree_nodes(spark: SparkSession, model) -> dict[int, dict[int, tuple]]:
+    return _nodes(_saved_trees(spark, model))
+
+
+def _nodes(saved: DataFrame) -> dict[int, dict[int, tuple]]:
     trees: dict[int, dict[int, tuple]] = {}
-    for r in rows:
+    for r in saved.collect():
         if r["numCategories"] is not None and r["numCategories"] > 0:
             raise ValueError("categorical splits are not supported")
         trees.setdefault(r["treeID"], {})[r["id"]] = (
@@ -88,8 +96,32 @@ def _tree_nodes(spark: SparkSession, model) -> dict[int, dict[int, tuple]]:
     return trees
 
 
-def leaf_table(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES)) -> LeafTable:
-    """M10 preparation: one row per leaf with per-feature bounds and cover fractions."""
+def leaf_tables(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES), block_nodes: int = BLOCK_NODES):
+    """The ensemble's leaf tables, block by block of whole trees with about ``block_nodes`` nodes.
+
+    Contributions of trees add up, so a model of any size is explained exactly while the driver and a
+    broadcast hold one block.
+    """
+    if isinstance(model, PipelineModel):
+        model = model.stages[-1]
+    saved = _saved_trees(spark, model)
+    sizes = sorted((r["treeID"], r["count"]) for r in saved.groupBy("treeID").count().collect())
+    blocks: list[list[int]] = [[]]
+    held = 0
+    for tree, nodes in sizes:
+        if blocks[-1] and held + nodes > block_nodes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(tree)
+        held += nodes
+    for block in blocks:
+        yield leaf_table(spark, model, n_features, _nodes(saved.where(F.col("treeID").between(block[0], block[-1]))))
+
+
+def leaf_table(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES),
+               trees: dict[int, dict[int, tuple]] | None = None) -> LeafTable:
+    """M10 preparation: one row per leaf with per-feature bounds and cover fractions, of all trees or
+    the given ones."""
     if isinstance(model, PipelineModel):
         model = model.stages[-1]
     if isinstance(model, RandomForestRegressionModel):
@@ -98,7 +130,7 @@ def leaf_table(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES))
         weights = list(model.treeWeights)
     else:
         raise TypeError(f"TreeSHAP needs a tree ensemble, got {type(model).__name__}")
-    trees = _tree_nodes(spark, model)
+    trees = trees if trees is not None else _tree_nodes(spark, model)
     by_d: dict[int, list] = {}
     base = 0.0
     for tree_id, nodes in trees.items():
@@ -154,7 +186,8 @@ def shap_values(table: LeafTable, x: np.ndarray, max_cells: int = 2_000_000) ->
         for start in range(0, n, step):
             xs = x[start:start + step]
             vals = xs[:, g.features]                                         # (m, L, d)
-            ones = ((vals > g.lower) & (vals <= g.upper)).astype(np.float64)
+            # Not a number goes right at every split, as in the model: it passes every lower bound.
+            ones = (~(vals <= g.lower) & ((vals <= g.upper) | np.isposinf(g.upper))).astype(np.float64)
             m = xs.shape[0]
             poly = np.zeros((m, n_leaves, d + 1))
             poly[..., 0] = 1.0
@@ -178,50 +211,46 @@ def shap_values(table: LeafTable, x: np.ndarray, max_cells: int = 2_000_000) ->
     return phi
 
 
-MAX_BROADCAST_LEAVES = 2_000_000  # ~4 arrays x 9 features x 8 bytes each: a few hundred MB at most
-
-
 def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str = "",
-                  max_leaves: int = MAX_BROADCAST_LEAVES) -> DataFrame:
+                  block_nodes: int = BLOCK_NODES, partitions: int | None = None) -> DataFrame:
     """Keep columns, the nine feature values, ``base_value``, the explained prediction
     (base + sum of contributions) and one ``shap_<feature>`` column per feature.
 
-    The leaf table grows with the model (trees x leaves), never with the data; it is checked
-    against ``max_leaves`` before it is broadcast.
+    The model is applied block by block of trees; between blocks the sums so far are written to the
+    shared folder. ``partitions`` spreads the rows over that many tasks.
     """
     spark = df.sparkSession
     ship_package(spark)
-    table = leaf_table(spark, model)
-    if table.leaves > max_leaves:
-        raise ValueError(f"the model has {table.leaves} leaves, more than the {max_leaves} that may be "
-                         "broadcast; use fewer or shallower trees")
-    shipped = spark.sparkContext.broadcast(table)
-    inputs = df.select(*keep, *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
-    # The kernel is CPU-bound Python: make sure there are at least as many tasks as cores. Inputs
-    # that are already split finer keep their partitioning (no shuffle).
-    parallelism = spark.sparkContext.defaultParallelism
-    if inputs.rdd.getNumPartitions() < parallelism:
-        inputs = inputs.repartition(parallelism)
-    key_fields = [f for f in inputs.schema.fields if f.name in keep]
-    schema = StructType(key_fields
-                        + [StructField(n, DoubleType()) for n in FEATURE_NAMES]
-                        + [StructField("base_value", DoubleType()),
-                           StructField("predicted_fare_amount", DoubleType())]
-                        + [StructField(f"{SHAP_PREFIX}{n}", DoubleType()) for n in FEATURE_NAMES])
+    rows = df.select(*keep, *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
+    rows = rows.repartition(partitions) if partitions else rows
+    sums = ["base_value", "predicted_fare_amount", *[f"{SHAP_PREFIX}{n}" for n in FEATURE_NAMES]]
+    schema = StructType([f for f in rows.schema.fields if f.name not in FEATURE_NAMES]
+                        + [StructField(c, DoubleType()) for c in (*FEATURE_NAMES, *sums)])
+    rows = rows.select("*", *[F.lit(0.0).alias(c) for c in sums])
+    for number, table in enumerate(leaf_tables(spark, model, block_nodes=block_nodes)):
+        if number:
+            path = scratch_path(spark, "explained")
+            rows.write.parquet(path)
+            rows = spark.read.schema(schema).parquet(path)
+        rows = rows.mapInPandas(_adder(spark.sparkContext.broadcast(table)), schema)
+    return rows
+
+
+def _adder(shipped):
+    """Adds one block's base value and contributions to the sums of every row."""
 
     def run(batches):
         leaves = shipped.value
         for pdf in batches:
-            x = pdf[list(FEATURE_NAMES)].to_numpy(dtype=np.float64)
-            phi = shap_values(leaves, x)
-            out = pdf[[f.name for f in key_fields] + list(FEATURE_NAMES)].copy()
-            out["base_value"] = leaves.base_value
-            out["predicted_fare_amount"] = leaves.base_value + phi.sum(axis=1)
+            phi = shap_values(leaves, pdf[list(FEATURE_NAMES)].to_numpy(dtype=np.float64))
+            pdf = pdf.copy()
+            pdf["base_value"] += leaves.base_value
+            pdf["predicted_fare_amount"] += leaves.base_value + phi.sum(axis=1)
             for i, name in enumerate(FEATURE_NAMES):
-                out[f"{SHAP_PREFIX}{name}"] = phi[:, i]
-            yield out
+                pdf[f"{SHAP_PREFIX}{name}"] += phi[:, i]
+            yield pdf
 
-    return inputs.mapInPandas(run, schema)
+    return run
 
 
 # ----------------------------------------------------------------------------- linear

@@ -38,13 +38,12 @@ class TrainingConfig:
     min_child_samples: int = 20
     ridge_alpha: float = 1.0
     forest_trees: int = RANDOM_FOREST_N_ESTIMATORS
-    # MLlib trees are depth-bounded (<= 30); the forest's depth is bounded further so that the
-    # model (and its SHAP leaf table) stays small. Boosted depth follows num_leaves (31 -> 5).
-    forest_max_depth: int = 10
-    max_bins: int = 64
+    # MLlib trees are at most 30 deep. Boosted depth follows num_leaves (31 -> 5).
+    forest_max_depth: int = 30
+    max_bins: int = 512  # every one of 263 zones can be a threshold
     # Per-task memory for MLlib's split statistics; every concurrent task holds this much, so it
-    # must fit executor memory / cores (MLlib's default of 256 MB does not on small heaps).
-    max_memory_mb: int = 64
+    # must fit executor memory / cores.
+    max_memory_mb: int = 256
 
     @property
     def validation_buckets(self) -> int:
@@ -116,7 +115,7 @@ def compare_models(features: DataFrame, config: TrainingConfig | None = None, ke
         if stats["nulls"]:
             raise ValueError("the target must not contain nulls")
         if stats["n"] < MINIMUM_TRAINING_ROWS:
-            raise ValueError(f"Training requires at least {MINIMUM_TRAINING_ROWS} valid rows")
+            raise ValueError(f"{MINIMUM_TRAINING_ROWS} valid rows are the least to train on, found {stats['n']}")
         train = data.where(~F.col("is_validation"))
         validation = data.where(F.col("is_validation"))
         built = build_candidates(config, float(stats["train_std"] or 0.0), int(stats["train_n"]))
@@ -138,7 +137,7 @@ def select_best_model(results: list[CandidateResult], metric: str = "root_mean_s
                       ) -> CandidateResult:
     """M6: lowest metric, first candidate wins ties."""
     if not results:
-        raise ValueError("results must contain at least one candidate")
+        raise ValueError("no candidate to choose from")
     return min(results, key=lambda r: (r.metrics[metric], r.order))
 
 
@@ -171,7 +170,7 @@ def score(df: DataFrame, model: PipelineModel, prefix: str = "", strict: bool =
     finite = is_finite(F.col(output))
     if strict:
         scored = scored.withColumn(output, F.when(finite, F.col(output)).otherwise(
-            F.raise_error(F.lit("The fare model returned a non-finite prediction"))))
+            F.raise_error(F.lit("prediction is not a finite number"))))
     return scored.withColumn("prediction_finite", finite)
 
 
