@@ -2,9 +2,10 @@
 
 import pytest
 
-from tripparity.operators import drift, models
-from tripparity.plans import catalog, jobs
-from tripparity.session import local_path, scratch_path
+from tripparity.operators import drift, explain, models
+from tripparity.operators.vector import FEATURE_NAMES
+from tripparity.plans import jobs
+from tripparity.session import scratch_path
 from tripparity.sources.requests import requests_from_trips
 from tripparity.sources.trips import RAW_COLUMNS, load_raw_trips, load_trips, raw_trips_from_trips
 
@@ -70,15 +71,23 @@ def test_drift_job_and_model_info(spark, trained):
     assert overall.first().status == "unavailable"
 
 
-def test_explain_refuses_oversized_models(spark, trained):
-    from tripparity.operators import explain
-    _, outcome = trained
-    forest = next(r for r in outcome.results if r.name == "random_forest").model
-    table = models.feature_frame(catalog.training_table(spark, SF_SMALL))
-    with pytest.raises(ValueError, match="broadcast"):
-        explain.explain_trees(table, forest, max_leaves=1)
+def test_serving_records_every_accepted_vector_once(spark, trained, tmp_path):
+    requests = requests_from_trips(load_trips(spark, SF_SMALL)).limit(200).cache()
+    log = f"{tmp_path}/served"
+    for batch in ("a", "b", "a"):  # a batch recorded again replaces itself
+        responses, rejected = jobs.serve_job(spark, requests, trained[1].best.model, log, batch)
+    ok = responses.select("request_id").collect()
+    assert spark.read.parquet(log).count() == 2 * len(ok) and len(ok) + rejected.count() == 200
+
+
+def test_default_sample_explains_the_selected_model(spark, trained):
+    """Global importance of the winner over the six default trips."""
+    explained = explain.explain(explain.reference_trips(spark), trained[1].best.model,
+                                {n: 1.0 for n in FEATURE_NAMES})
+    rows = explain.global_importance(explained).collect()
+    assert {r.feature for r in rows} == set(FEATURE_NAMES) and all(r.rows == 6 and r.importance >= 0 for r in rows)
 
 
 def test_scratch_paths_live_under_the_checkpoint_dir(spark):
     root = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_path(spark, "x").startswith(root.rstrip("/")) and local_path("file:/a") == "/a"
+    assert scratch_path(spark, "x").startswith(root.rstrip("/"))

@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from tripparity.operators import explain, models, vector
+from tripparity import session
+from tripparity.operators import explain, metrics, models, vector
 from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.plans import catalog, jobs
 from tripparity.sources import artifacts
@@ -21,6 +22,47 @@ def test_bare_token_json_stats_reader():
     assert "-Infinity" in text
     stats = artifacts.reference_stats_from_json_text(text)
     assert stats["trip_distance_miles"].bin_edges == (-math.inf, 2.0, math.inf)
+    with pytest.raises(ValueError):
+        artifacts.reference_stats_from_json_text(text.replace("[0.4, 0.6]", "[1.0]"))
+    with pytest.raises(ValueError):
+        artifacts.reference_stats_from_json_text(text.replace('"std"', '"deviation"'))
+
+
+def test_documents_are_read_whole(spark, tmp_path):
+    """Metadata and statistics written over several lines, as other tools do."""
+    (tmp_path / "metadata").mkdir()
+    (tmp_path / "metadata" / "part.txt").write_text(json.dumps({"model_name": "x", "metrics": {"r2": 1}}, indent=2))
+    assert artifacts.load_metadata(spark, str(tmp_path))["metrics"] == {"r2": 1}
+    entry = {"mean": 1, "std": 1, "min": 0, "max": 2, "bin_edges": [-math.inf, math.inf], "bin_proportions": [1.0]}
+    (tmp_path / "stats.json").write_text(json.dumps({"pickup_month": entry}, indent=2))
+    assert artifacts.load_reference_stats_json(spark, str(tmp_path / "stats.json"))["pickup_month"].bin_proportions == (1.0,)
+    assert artifacts.load_reference_stats_json(spark, str(tmp_path / "none.json")) is None
+
+
+def test_metrics_of_constant_labels(spark):
+    rows = [("a", 5.0, 5.0), ("a", 5.0, 5.0), ("b", 5.0, 4.0), ("b", 5.0, 5.0), ("c", 1.0, 2.0), ("d", 1.0, 1.0), ("d", 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, fare_amount double, prediction double")
+    found = {r.g: r.r2_score for r in metrics.regression_metrics(df, group_by=("g",)).collect()}
+    assert found == {"a": 1.0, "b": 0.0, "c": None, "d": 1.0}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_root(Cluster())
 
 
 def test_feature_views(spark):

@@ -85,6 +85,50 @@ def q_requests_from_json(spark, sf_dir):
           for n in ("trip_distance_miles", "passenger_count", "pickup_hour", "pickup_day_of_week")])
 
 
+def q_requests_damaged_json(spark, sf_dir):
+    """S4/P19 on wire JSON in which ``event_id % 16`` picks one field to damage or to write unusually."""
+    typed = requests_from_trips(load_trips(spark, sf_dir))
+    which = F.col("request_id") % 16
+    iso = F.date_format("pickup_datetime", "yyyy-MM-dd'T'HH:mm:ss")
+    day = F.date_format("pickup_datetime", "yyyy-MM-dd")
+    pickup = (F.when(which == 0, day).when(which == 1, F.substring(day, 1, 7)).when(which == 2, iso)
+              .when(which == 3, F.concat(F.lit("2024-02-31"), F.substring(iso, 11, 9), F.lit("Z")))
+              .when(which == 4, F.concat(iso, F.lit("+05:30"))).otherwise(F.concat(iso, F.lit("Z"))))
+    zone = (F.when(which == 5, F.lit("3000000000")).when(which == 6, F.lit("1e300")).when(which == 7, F.lit("12.5"))
+            .when(which == 8, F.lit("0")).otherwise(F.col("pickup_location_id").cast("string")))
+    distance = (F.when(which == 9, F.lit("4.5d")).when(which == 10, F.lit("NaN")).when(which == 11, F.lit("1e400"))
+                .when(which == 12, F.lit("4.5")).otherwise(F.lit("2.25")))
+    feature_mode = F.when(which == 13, F.lit("sometimes")).otherwise(F.col("feature_mode"))
+    skew_mode = F.when(which == 14, F.lit("metric")).otherwise(F.col("skew_mode"))
+    body = F.to_json(F.struct(pickup.alias("pickup_datetime"), zone.alias("pickup_location_id"),
+                              F.lit("7").alias("dropoff_location_id"), F.lit(2).alias("passenger_count"),
+                              distance.alias("trip_distance_miles"), feature_mode.alias("feature_mode"),
+                              skew_mode.alias("skew_mode")))
+    wire = typed.select("request_id", F.when(which == 15, F.lit("{not json")).otherwise(body).alias("value"))
+    served_json = pairs.serve_requests(parse_json_requests(wire, id_column="request_id"))
+    ok = F.col("accepted")
+    return served_json.select("request_id", "accepted", F.array_join("rejection_reasons", ",").alias("reasons"),
+                              F.when(ok, F.col("t_pickup_hour")).alias("pickup_hour"),
+                              F.when(ok, F.col("t_pickup_location_id")).alias("pickup_location_id"))
+
+
+def q_trips_damaged_text(spark, sf_dir):
+    """P1-P16 on raw text columns in which ``trip_id % 8`` picks one field to damage or to write with an offset."""
+    raw = raw_trips_from_trips(load_trips(spark, sf_dir))
+    which = F.col("trip_id") % 8
+    iso = F.date_format("tpep_pickup_datetime", "yyyy-MM-dd'T'HH:mm:ss")
+    pickup = (F.when(which == 0, F.concat(iso, F.lit("Z"))).when(which == 1, F.concat(iso, F.lit("+05:30")))
+              .when(which == 2, F.lit("yesterday")).otherwise(iso))
+    zone = (F.when(which == 3, F.lit("10000000000")).when(which == 4, F.lit("1e300")).when(which == 5, F.lit("here"))
+            .otherwise(F.lit("12.9")))
+    text = raw.select("trip_id", pickup.alias("tpep_pickup_datetime"), F.lit("2").alias("passenger_count"),
+                      F.when(which == 6, F.lit("far")).otherwise(F.lit("4.5")).alias("trip_distance"),
+                      zone.alias("PULocationID"), F.lit("7").alias("DOLocationID"), F.lit("20").alias("fare_amount"))
+    valid = contracts.valid_trips(contracts.coerce_raw(text, key_columns=("trip_id",)))
+    return training_features(valid, keep=("trip_id",)).select(
+        "trip_id", "trip_distance_miles", "pickup_location_id", "pickup_hour", "pickup_day_of_week", "fare_amount")
+
+
 def q_features_training(spark, sf_dir):
     return training_table(spark, sf_dir)
 
@@ -141,11 +185,27 @@ def q_parity_tables_joined(spark, sf_dir):
     online = accepted(spark, sf_dir).select(F.col("request_id").alias("trip_id"),
                                             *[F.col(f"s_{n}").alias(n) for n in FEATURE_NAMES])
     joined = parity.compare_tables(offline, online, key="trip_id")
-    both = F.col("missing_in").isNull()
+    equal = F.size(F.filter("features", lambda f: f["mismatches"] == 0))
     return joined.select("trip_id", "offline_rows", "online_rows", "missing_in",
-                         F.when(both, F.lit(len(FEATURE_NAMES)) - parity.mismatch_count("t_", "s_"))
-                         .alias("matched_count"),
-                         F.when(both, parity.mismatched_names("t_", "s_")).alias("mismatched_features"))
+                         F.when(F.col("missing_in").isNull(), equal).alias("matched_count"),
+                         F.when(F.col("missing_in").isNull(), parity.mismatching_features()).alias("mismatched_features"))
+
+
+HOT_TRIP = 3  # the key under which a tenth of all served rows are logged once more
+
+
+def q_parity_tables_duplicates(spark, sf_dir):
+    """Q6 with trips served more than once: a third twice (half of these a mile longer), one key very often."""
+    offline = training_table(spark, sf_dir).drop("fare_amount")
+    online = accepted(spark, sf_dir).select(F.col("request_id").alias("trip_id"),
+                                            *[F.col(f"s_{n}").alias(n) for n in FEATURE_NAMES])
+    again = online.where("trip_id % 3 = 0").withColumn(
+        "trip_distance_miles", F.expr("trip_distance_miles + CASE WHEN trip_id % 6 = 0 THEN 1D ELSE 0D END"))
+    hot = online.where("trip_id % 10 = 0").withColumn("trip_id", F.lit(HOT_TRIP).cast("bigint"))
+    joined = parity.compare_tables(offline, online.unionByName(again).unionByName(hot), key="trip_id")
+    return joined.select("trip_id", "offline_rows", "online_rows", "missing_in", "rows_compared", "rows_mismatched",
+                         "matched", F.coalesce(parity.mismatching_features(), F.lit("")).alias("mismatched_features"),
+                         F.round(F.col("features")[0]["max_absolute_difference"], 6).alias("max_distance_difference"))
 
 
 # ----------------------------------------------------------------------------- drift
@@ -282,15 +342,19 @@ def q_linear_importance(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- trained models
 
-_TRAINED: dict[str, jobs.TrainingOutcome] = {}
+# Shallower trees than the job's defaults, so that the seven queries below train in minutes.
+FIXTURE_CONFIG = models.TrainingConfig(forest_max_depth=10, max_bins=64, max_memory_mb=64)
+_TRAINED: dict[tuple, jobs.TrainingOutcome] = {}
 
 
 def trained(spark: SparkSession, sf_dir: str) -> jobs.TrainingOutcome:
-    """The train job over the whole fixture, once per input folder and process."""
-    if sf_dir not in _TRAINED:
-        raw = raw_trips_from_trips(load_trips(spark, sf_dir))
-        _TRAINED[sf_dir] = jobs.train_job(spark, raw, scratch_path(spark, "train"))
-    return _TRAINED[sf_dir]
+    """The train job over the whole fixture, once per application and contents of the input."""
+    trips = load_trips(spark, sf_dir)
+    state = trips.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*trips.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _TRAINED:
+        _TRAINED[key] = jobs.train_job(spark, raw_trips_from_trips(trips), scratch_path(spark, "train"), FIXTURE_CONFIG)
+    return _TRAINED[key]
 
 
 def _candidate(outcome: jobs.TrainingOutcome, name: str) -> models.CandidateResult:
@@ -368,14 +432,39 @@ def q_stream_drift_windows(spark, sf_dir):
                                            F.round("current_mean", 6).alias("current_mean"))
 
 
-def q_stream_rolling_drift(spark, sf_dir):
-    """Served log + rejects + last-500 drift report per micro-batch; the latest report."""
+def q_stream_drift_hourly(spark, sf_dir):
+    """R3 overall status per hour; hours under the sample gate are insufficient_data."""
+    sink, ckpt = scratch_path(spark, "stream-hours"), scratch_path(spark, "stream-hours-ckpt")
+    query = streaming.start_windowed_drift(spark, f"{sf_dir}/events.parquet", reference(spark, sf_dir),
+                                           sink, ckpt, output_mode="complete", window="1 hour", overall=True)
+    query.awaitTermination()
+    return spark.read.parquet(sink).select("window_start", "sample_count", "status")
+
+
+def _rolled(spark, sf_dir) -> str:
+    """R2/R4 over four micro-batches that hold every event once; all of the first are rejected."""
     base = scratch_path(spark, "stream-rolling")
-    query = streaming.start_rolling_drift(spark, f"{sf_dir}/events.parquet", reference(spark, sf_dir),
-                                          f"{base}/served_log", f"{base}/reports", f"{base}/rejects",
-                                          f"{base}/checkpoint")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    none_aboard = F.get_json_object("props", "$.k").cast("int") % 10 == 0
+    parts = [events.where(none_aboard)] + [events.where(~none_aboard & (F.col("event_id") % 3 == i)) for i in range(3)]
+    for i, part in enumerate(parts):  # one file each; the stream takes files by age
+        part.coalesce(1).write.mode("append").parquet(f"{base}/events")
+    query = streaming.start_rolling_drift(spark, f"{base}/events", reference(spark, sf_dir), f"{base}/served_log",
+                                          f"{base}/reports", f"{base}/rejects", f"{base}/checkpoint",
+                                          max_files_per_trigger=1)
     query.awaitTermination()
-    reports = spark.read.parquet(f"{base}/reports")
+    return base
+
+
+def q_stream_rejects(spark, sf_dir):
+    """The rejects sink of the multi-batch stream."""
+    return spark.read.parquet(f"{_rolled(spark, sf_dir)}/rejects").select(
+        "request_id", F.explode("rejection_reasons").alias("reason"))
+
+
+def q_stream_rolling_drift(spark, sf_dir):
+    """R2: served log and last-500 drift report per micro-batch; the latest report."""
+    reports = spark.read.parquet(f"{_rolled(spark, sf_dir)}/reports")
     return reports.where(F.col("batch_id") == reports.agg(F.max("batch_id")).first()[0]) \
         .select("status", "sample_count", "reference_available")
 
@@ -397,6 +486,9 @@ def base_queries() -> dict[str, Query]:
         "parity_report_counts": q_parity_report_counts,
         "parity_rollup": q_parity_rollup,
         "parity_tables_joined": q_parity_tables_joined,
+        "parity_tables_duplicates": q_parity_tables_duplicates,
+        "requests_damaged_json": q_requests_damaged_json,
+        "trips_damaged_text": q_trips_damaged_text,
         "ref_stats_moments": q_ref_stats_moments,
         "ref_stats_edges": q_ref_stats_edges,
         "ref_stats_proportions": q_ref_stats_proportions,
@@ -422,6 +514,8 @@ def base_queries() -> dict[str, Query]:
         "importance_tree": q_importance_tree,
         "stream_parity_scored": q_stream_parity_scored,
         "stream_drift_windows": q_stream_drift_windows,
+        "stream_drift_hourly": q_stream_drift_hourly,
+        "stream_rejects": q_stream_rejects,
         "stream_rolling_drift": q_stream_rolling_drift,
     }
 

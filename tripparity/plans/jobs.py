@@ -44,7 +44,7 @@ def train_job(spark: SparkSession, raw: DataFrame, output_dir: str,
     features = spark.read.parquet(f"{out}/{TRAINING_FEATURES_DIR}")
     rows = features.count()
     if rows == 0:
-        raise contracts.ContractError("No valid training rows remain after validation")
+        raise contracts.ContractError("validation left no trip to train on")
     results = models.compare_models(features, config, key)
     best = models.select_best_model(results)
     model_path = artifacts.save_model(spark, best, out, config, rows)
@@ -86,6 +86,19 @@ def served_log(responses: DataFrame) -> DataFrame:
                             *[F.col(f"serving_features.{n}").alias(n) for n in FEATURE_NAMES])
 
 
+def record_served(responses: DataFrame, log_path: str, batch: str) -> None:
+    """Records the served vectors under the batch's own folder; recording a batch again replaces it."""
+    served_log(responses).write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch={batch}")
+
+
+def serve_job(spark: SparkSession, requests: DataFrame, model: PipelineModel, log_path: str, batch: str,
+              model_name: str = "model") -> tuple[DataFrame, DataFrame]:
+    """Records every accepted request's serving vector in the log, then returns (responses, rejected)."""
+    ok = pairs.accepted(pairs.serve_requests(requests))
+    record_served(pairs.with_vector_structs(ok).withColumnRenamed("serving", "serving_features"), log_path, batch)
+    return score_requests(requests, model, model_name)
+
+
 def explain_requests(requests: DataFrame, model: PipelineModel,
                      means: dict[str, float] | None = None) -> DataFrame:
     """Explanations of the serving vectors of accepted requests (not recorded for drift)."""

@@ -40,8 +40,8 @@ training AS (
   SELECT trip_id,
          round(trip_distance, 6) AS trip_distance_miles,
          CAST(trunc(passenger_count) AS INTEGER) AS passenger_count,
-         CAST(trunc(PULocationID) AS INTEGER) AS pickup_location_id,
-         CAST(trunc(DOLocationID) AS INTEGER) AS dropoff_location_id,
+         CAST(trunc(PULocationID) AS BIGINT) AS pickup_location_id,
+         CAST(trunc(DOLocationID) AS BIGINT) AS dropoff_location_id,
          CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
          CAST(isodow(tpep_pickup_datetime) - 1 AS INTEGER) AS pickup_day_of_week,
          CAST(month(tpep_pickup_datetime) AS INTEGER) AS pickup_month,
@@ -55,8 +55,8 @@ training AS (
 REQUESTS = """
 requests AS (
   SELECT trip_id AS request_id, pickup_datetime,
-         CAST(pickup_location_id AS INTEGER) AS pickup_location_id,
-         CAST(dropoff_location_id AS INTEGER) AS dropoff_location_id,
+         CAST(pickup_location_id AS BIGINT) AS pickup_location_id,
+         CAST(dropoff_location_id AS BIGINT) AS dropoff_location_id,
          CAST(passenger_count AS INTEGER) AS passenger_count,
          trip_distance AS trip_distance_miles,
          CASE WHEN trip_id % 4 = 0 THEN 'correct' ELSE 'broken' END AS feature_mode,
@@ -172,6 +172,79 @@ SELECT a.request_id, {cols}
 FROM accepted a JOIN shared s USING (request_id) JOIN utc_fields u USING (request_id)""")
 
 
+ONLINE = """
+online AS (SELECT request_id AS trip_id, s_trip_distance_miles AS trip_distance_miles,
+                  s_passenger_count AS passenger_count, s_pickup_location_id AS pickup_location_id,
+                  s_dropoff_location_id AS dropoff_location_id, s_pickup_hour AS pickup_hour,
+                  s_pickup_day_of_week AS pickup_day_of_week, s_pickup_month AS pickup_month,
+                  s_is_weekend AS is_weekend, s_is_rush_hour AS is_rush_hour FROM accepted)"""
+
+
+def _duplicates_sql() -> str:
+    equal = {n: f"t.{n} = s.{n}" for n in FEATURES}
+    d = "trip_distance_miles"
+    equal[d] = f"(t.{d} = s.{d} OR abs(t.{d} - s.{d}) <= greatest(1e-9 * greatest(abs(t.{d}), abs(s.{d})), 1e-9))"
+    wrong = ", ".join(f"NOT {e} AS w_{n}" for n, e in equal.items())
+    names = ", ".join(f"CASE WHEN bool_or(w_{n}) THEN '{n}' END" for n in FEATURES)
+    return f"""
+, many AS (
+  SELECT trip_id, {_feature_list()} FROM online
+  UNION ALL
+  SELECT trip_id, {d} + CASE WHEN trip_id % 6 = 0 THEN 1.0::DOUBLE ELSE 0 END, {_feature_list().split(", ", 1)[1]}
+  FROM online WHERE trip_id % 3 = 0
+  UNION ALL
+  SELECT 3, {_feature_list()} FROM online WHERE trip_id % 10 = 0),
+pairs_ AS (SELECT s.trip_id, t.trip_id IS NOT NULL AS known, abs(t.{d} - s.{d}) AS diff, {wrong}
+           FROM many s LEFT JOIN training t ON t.trip_id = s.trip_id)
+SELECT trip_id, CAST(CASE WHEN known THEN 1 ELSE 0 END AS BIGINT) AS offline_rows, count(*) AS online_rows,
+       CASE WHEN NOT known THEN 'offline' END AS missing_in,
+       CASE WHEN known THEN count(*) ELSE 0 END AS rows_compared,
+       CASE WHEN known THEN count_if({" OR ".join(f"w_{n}" for n in FEATURES)}) ELSE 0 END AS rows_mismatched,
+       CASE WHEN known THEN count_if({" OR ".join(f"w_{n}" for n in FEATURES)}) = 0 END AS matched,
+       CASE WHEN known THEN array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',') ELSE '' END
+         AS mismatched_features,
+       round(max(diff), 6) AS max_distance_difference
+FROM pairs_ GROUP BY trip_id, known
+UNION ALL
+SELECT trip_id, 1, 0, 'online', 0, 0, NULL, '', NULL FROM training WHERE trip_id NOT IN (SELECT trip_id FROM many)"""
+
+
+# One kind of damage per remainder of the id; zone 0 of an event stays a zone problem besides.
+DAMAGED_JSON = """
+, w AS (SELECT request_id, request_id % 16 AS w, pickup_location_id AS z,
+               CASE WHEN request_id % 16 = 4 THEN pickup_datetime - INTERVAL 330 MINUTE ELSE pickup_datetime END AS utc
+        FROM requests),
+r AS (SELECT *, list_filter(CASE WHEN w = 15 THEN
+        ['malformed_json', 'pickup_datetime_missing', 'pickup_location_id_not_integer', 'dropoff_location_id_not_integer',
+         'trip_distance_miles_not_number', 'pickup_datetime_missing', 'pickup_location_id_below_1',
+         'dropoff_location_id_below_1', 'trip_distance_miles_out_of_range'] ELSE [
+        CASE WHEN w IN (0, 1, 2) THEN 'pickup_datetime_without_offset' END,
+        CASE WHEN w = 3 THEN 'pickup_datetime_invalid' END,
+        CASE WHEN w IN (6, 7) THEN 'pickup_location_id_not_integer' END,
+        CASE WHEN w IN (9, 10) THEN 'trip_distance_miles_not_number' END,
+        CASE WHEN w <= 3 THEN 'pickup_datetime_missing' END,
+        CASE WHEN w IN (6, 7, 8) OR (w <> 5 AND z < 1) THEN 'pickup_location_id_below_1' END,
+        CASE WHEN w IN (9, 10, 11) THEN 'trip_distance_miles_out_of_range' END,
+        CASE WHEN w = 13 THEN 'feature_mode_unknown' END,
+        CASE WHEN w = 14 THEN 'skew_mode_unknown' END] END, lambda x: x IS NOT NULL) AS reasons FROM w)
+SELECT request_id, len(reasons) = 0 AS accepted, array_to_string(reasons, ',') AS reasons,
+       CASE WHEN len(reasons) = 0
+            THEN CAST(hour(date_trunc('second', utc) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS INTEGER) END AS pickup_hour,
+       CASE WHEN len(reasons) = 0 THEN CASE WHEN w = 5 THEN 3000000000 ELSE z END END AS pickup_location_id
+FROM r"""
+
+DAMAGED_TEXT = """
+, w AS (SELECT trip_id, trip_id % 8 AS w, pickup_datetime AS ts FROM trips WHERE pickup_datetime IS NOT NULL),
+l AS (SELECT trip_id, w, CASE w WHEN 0 THEN ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York'
+                              WHEN 1 THEN (ts - INTERVAL 330 MINUTE) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York'
+                              ELSE ts END AS local
+      FROM w WHERE w IN (0, 1, 3, 7))
+SELECT trip_id, 4.5::DOUBLE AS trip_distance_miles, CAST(CASE WHEN w = 3 THEN 10000000000 ELSE 12 END AS BIGINT) AS pickup_location_id,
+       CAST(hour(local) AS INTEGER) AS pickup_hour, CAST(isodow(local) - 1 AS INTEGER) AS pickup_day_of_week,
+       20.0::DOUBLE AS fare_amount
+FROM l"""
+
+
 def base_sql() -> dict[str, str]:
     return {
         "trips_valid": with_ctes(TRIPS, body="SELECT * FROM valid"),
@@ -240,13 +313,11 @@ SELECT feature_mode, applied_skew_mode, feature, count(*) AS rows, count_if(NOT
        round(max(absolute_difference), 6) AS max_absolute_difference,
        round(avg(absolute_difference), 6) AS mean_absolute_difference
 FROM compared GROUP BY ALL"""),
-        "parity_tables_joined": with_ctes(TRIPS, REQUESTS, body="""
-, online AS (SELECT request_id AS trip_id, s_trip_distance_miles AS trip_distance_miles,
-                    s_passenger_count AS passenger_count, s_pickup_location_id AS pickup_location_id,
-                    s_dropoff_location_id AS dropoff_location_id, s_pickup_hour AS pickup_hour,
-                    s_pickup_day_of_week AS pickup_day_of_week, s_pickup_month AS pickup_month,
-                    s_is_weekend AS is_weekend, s_is_rush_hour AS is_rush_hour FROM accepted),
-j AS (SELECT coalesce(o.trip_id, n.trip_id) AS trip_id,
+        "parity_tables_duplicates": with_ctes(TRIPS, REQUESTS, ONLINE, body=_duplicates_sql()),
+        "requests_damaged_json": with_ctes(TRIPS, REQUESTS, body=DAMAGED_JSON),
+        "trips_damaged_text": with_ctes(TRIPS, body=DAMAGED_TEXT),
+        "parity_tables_joined": with_ctes(TRIPS, REQUESTS, ONLINE, body="""
+, j AS (SELECT coalesce(o.trip_id, n.trip_id) AS trip_id,
              CASE WHEN o.trip_id IS NULL THEN 0 ELSE 1 END AS offline_rows,
              CASE WHEN n.trip_id IS NULL THEN 0 ELSE 1 END AS online_rows,
              o.trip_distance_miles AS t0, n.trip_distance_miles AS s0,
@@ -430,15 +501,14 @@ FROM ex GROUP BY ALL"""),
     }
 
 
-def stream_sql() -> dict[str, str]:
-    base = (TRIPS, REQUESTS)
-    windows = with_ctes(TRIPS, REQUESTS, REFERENCE, SERVED_LOG, body=f"""
-, sl AS (UNPIVOT (SELECT request_id, date_trunc('day', served_at) AS window_start, {_double_features()} FROM slog)
+def _windows_sql(unit: str, tail: str) -> str:
+    return with_ctes(TRIPS, REQUESTS, REFERENCE, SERVED_LOG, body=f"""
+, sl AS (UNPIVOT (SELECT request_id, date_trunc('{unit}', served_at) AS window_start, {_double_features()} FROM slog)
          ON {_UNPIVOT_ON} INTO NAME feature VALUE value),
 scounts AS (SELECT s.window_start, s.feature,
                    len(list_filter(r.edges[2:len(r.edges) - 1], lambda e: s.value >= e)) AS bin, count(*) AS c
             FROM sl s JOIN redges r USING (feature) GROUP BY ALL),
-stot AS (SELECT date_trunc('day', served_at) AS window_start, count(*) AS n FROM slog GROUP BY ALL),
+stot AS (SELECT date_trunc('{unit}', served_at) AS window_start, count(*) AS n FROM slog GROUP BY ALL),
 smeans AS (SELECT window_start, feature, avg(value) AS current_mean FROM sl GROUP BY ALL),
 psi AS (SELECT t.window_start, t.n, p.feature,
                sum((greatest(coalesce(c.c, 0) / t.n, 1e-6) - greatest(p.proportion, 1e-6))
@@ -446,10 +516,23 @@ psi AS (SELECT t.window_start, t.n, p.feature,
         FROM rprops p CROSS JOIN stot t
         LEFT JOIN scounts c ON c.feature = p.feature AND c.bin = p.bin AND c.window_start = t.window_start
         GROUP BY ALL)
-SELECT p.window_start, p.n AS sample_count, p.feature, round(p.psi, 6) AS psi,
+{tail}""")
+
+
+WINDOW_FEATURES = """SELECT p.window_start, p.n AS sample_count, p.feature, round(p.psi, 6) AS psi,
        CASE WHEN p.psi >= 0.25 THEN 'significant' WHEN p.psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS status,
        round(m.current_mean, 6) AS current_mean
-FROM psi p JOIN smeans m USING (window_start, feature)""")
+FROM psi p JOIN smeans m USING (window_start, feature)
+WHERE p.n >= 30"""
+
+WINDOW_STATUS = """SELECT p.window_start, p.n AS sample_count,
+       CASE WHEN p.n < 30 THEN 'insufficient_data' WHEN max(p.psi) >= 0.25 THEN 'significant'
+            WHEN max(p.psi) >= 0.1 THEN 'moderate' ELSE 'stable' END AS status
+FROM psi p GROUP BY p.window_start, p.n"""
+
+
+def stream_sql() -> dict[str, str]:
+    base = (TRIPS, REQUESTS)
     return {
         "stream_parity_scored": with_ctes(*base, body="""
 SELECT request_id, feature_mode, applied_skew_mode,
@@ -457,7 +540,9 @@ SELECT request_id, feature_mode, applied_skew_mode,
        CAST(count_if(NOT matched) AS INTEGER) AS mismatch_count,
        3.0 + 2.5 * max(CASE WHEN feature = 'trip_distance_miles' THEN serving_value END) AS predicted_fare_amount
 FROM compared GROUP BY ALL"""),
-        "stream_drift_windows": windows,
+        "stream_drift_windows": _windows_sql("day", WINDOW_FEATURES),
+        "stream_drift_hourly": _windows_sql("hour", WINDOW_STATUS),
+        "stream_rejects": base_sql()["requests_rejected"],
         "stream_rolling_drift": drift_sql()["drift_report_overall"],
     }
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType)
 
-from tripparity.operators.drift import ReferenceStats, reference_frame, stats_from_frame
+from tripparity.operators.drift import FeatureReference, ReferenceStats, reference_frame, stats_from_frame
 from tripparity.operators.metrics import SELECTION_METRIC
 from tripparity.operators.models import CandidateResult, TrainingConfig, config_dict
 from tripparity.operators.vector import FEATURE_NAMES
@@ -26,7 +26,7 @@ MODEL_DIR = "model"
 METADATA_DIR = "metadata"
 COMPARISON_DIR = "model_comparison"
 REFERENCE_DIR = "reference_stats"
-PROJECT = "Training-serving feature parity"
+PROJECT = "tripparity"
 
 COMPARISON_SCHEMA = StructType([
     StructField("candidate", StringType(), False),
@@ -59,20 +59,38 @@ def save_reference_stats(spark: SparkSession, stats: ReferenceStats, path: str)
 
 
 def load_reference_stats(spark: SparkSession, path: str) -> ReferenceStats | None:
-    """None when nothing was saved yet (a model trained before drift monitoring existed)."""
+    """The saved statistics, or None if the folder has none."""
     if not path_exists(spark, path):
         return None
     return stats_from_frame(spark.read.parquet(path))
 
 
+REFERENCE_NUMBERS = {"mean": "mean", "std": "std", "min": "minimum", "max": "maximum"}
+
+
 def reference_stats_from_json_text(text: str) -> ReferenceStats:
-    """Reads the bare-token JSON form (``-Infinity``/``Infinity``) other tools write."""
-    from tripparity.operators.drift import FeatureReference
-    payload = json.loads(text)
-    return {name: FeatureReference(float(e["mean"]), float(e["std"]), float(e["min"]), float(e["max"]),
-                                   tuple(float(v) for v in e["bin_edges"]),
-                                   tuple(float(v) for v in e["bin_proportions"]))
-            for name, e in payload.items()}
+    """Statistics in their JSON form (one object per feature; infinities as bare tokens).
+
+    A feature without a number, without edges or with another number of proportions than bins is refused.
+    """
+    stats: ReferenceStats = {}
+    for name, entry in json.loads(text).items():
+        missing = [k for k in (*REFERENCE_NUMBERS, "bin_edges", "bin_proportions") if k not in entry]
+        if missing:
+            raise ValueError(f"statistics of {name} lack {missing}")
+        lists = {k: tuple(map(float, entry[k])) for k in ("bin_edges", "bin_proportions")}
+        if len(lists["bin_proportions"]) != len(lists["bin_edges"]) - 1:
+            raise ValueError(f"statistics of {name} need one proportion for every bin")
+        stats[name] = FeatureReference(**{field: float(entry[k]) for k, field in REFERENCE_NUMBERS.items()}, **lists)
+    return stats
+
+
+def load_reference_stats_json(spark: SparkSession, path: str) -> ReferenceStats | None:
+    """The JSON form read whole from a file or folder; None if there is none."""
+    if not path_exists(spark, path):
+        return None
+    documents = [r.value for r in spark.read.text(path, wholetext=True).collect() if r.value.strip()]
+    return reference_stats_from_json_text(documents[0]) if documents else None
 
 
 # ----------------------------------------------------------------------------- S7
@@ -118,7 +136,7 @@ def load_model(spark: SparkSession, directory: str) -> PipelineModel:
     """Missing -> FileNotFoundError."""
     model_path = f"{directory.rstrip('/')}/{MODEL_DIR}"
     if not path_exists(spark, model_path):
-        raise FileNotFoundError(f"Model not found at {model_path}. Run the training job first.")
+        raise FileNotFoundError(f"no saved model in {model_path}")
     return PipelineModel.load(model_path)
 
 
@@ -127,9 +145,9 @@ def load_metadata(spark: SparkSession, directory: str) -> dict:
     path = f"{directory.rstrip('/')}/{METADATA_DIR}"
     if not path_exists(spark, path):
         return {}
-    lines = [r.value for r in spark.read.text(path).limit(1).collect()]
+    documents = [r.value for r in spark.read.text(path, wholetext=True).collect() if r.value.strip()]
     try:
-        loaded = json.loads(lines[0]) if lines else {}
+        loaded = json.loads(documents[0]) if documents else {}
     except json.JSONDecodeError:
         return {}
     return loaded if isinstance(loaded, dict) else {}
