@@ -52,7 +52,7 @@ class CharClass:
 CLASSES = (
     CharClass("hex", r"[0-9a-fA-F]+", 20, 3.0),
     CharClass("upper", r"[A-Z0-9]+", 16, 3.25),
-    CharClass("base64", r"[A-Za-z0-9+/_=-]+", 20, 3.9, groups=3, least=1),
+    CharClass("base64", r"[A-Za-z0-9+/_=-]+", 20, 3.75, groups=3, least=1),
 )
 
 # Candidates that look random but are not secret.
@@ -79,16 +79,16 @@ def window_spans(text: str, cls: CharClass) -> list[tuple[int, int]]:
     of_group, total = [0, 0, 0, 0], 0.0
     most, spans = (log2(w) - cls.bits) * w + 1e-9, []
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        total += weigh[n + 1] - weigh[n]
-        counts[c] = n + 1
-        of_group[group[i]] += 1
         if i >= w:
             old = text[i - w]
             n = counts[old]
             total += weigh[n - 1] - weigh[n]
             counts[old] = n - 1
             of_group[group[i - w]] -= 1
+        n = counts.get(c, 0)
+        total += weigh[n + 1] - weigh[n]
+        counts[c] = n + 1
+        of_group[group[i]] += 1
         if i >= w - 1 and total <= most and sum(g >= cls.least for g in of_group[:3]) >= cls.groups:
             if spans and spans[-1][1] > i - w:
                 spans[-1] = (spans[-1][0], i + 1)
