@@ -6,7 +6,7 @@ import pytest
 
 from tripparity.llm import bytecnn as B
 
-SMALL = B.CnnConfig(chunk=64, hop=48, filters=8, hidden=6, epochs=4, block=3)
+SMALL = B.CnnConfig(chunk=64, hop=48, filters=8, hidden=6, steps=40, block=3)
 
 
 def test_chunks_cover_every_byte():
@@ -53,7 +53,7 @@ def test_score_reads_whole_texts_block_by_block():
 
 def test_held_out_accuracy_and_fold(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    config = replace(B.CnnConfig(), epochs=8)
+    config = replace(B.CnnConfig(), steps=800)
     model = B.fit_quality(docs, labels, config=config)
     out = B.score_quality(docs, model).join(labels, "doc_id").collect()
     for r in out:
@@ -61,7 +61,7 @@ def test_held_out_accuracy_and_fold(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
     clean = [r["predicted"] for r in out if r["held_out"] and r["quality"] == 1]
     junk = [r["predicted"] for r in out if r["held_out"] and r["quality"] == 0]
-    assert np.mean(clean) > 0.9 and np.mean(junk) < 0.5
+    assert np.mean(clean) > 0.9 and np.mean(junk) < 0.4
 
 
 def test_edge_rows(spark, edge_docs, no_docs):

@@ -35,7 +35,7 @@ class CnnConfig:
     hidden: int = 16
     sample_rows: int = 4000
     sample_chunks: int = 3
-    epochs: int = 14
+    steps: int = 2000
     batch: int = 64
     rate: float = 4e-3
     seed: int = 7
@@ -94,14 +94,14 @@ class ByteCnn:
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, total = 0, c.epochs * -(-len(chunks) // c.batch)
-        for _ in range(c.epochs):
+        step = 0
+        while step < c.steps:
             order = rng.permutation(len(chunks))
             for lo in range(0, len(order), c.batch):
                 at = order[lo:lo + c.batch]
                 grads = self._gradients(chunks[at], labels[at], weight[at])
                 step += 1
-                rate = c.rate * (1 - step / (total + 1)) * (1 - 0.999 ** step) ** 0.5 / (1 - 0.9 ** step)
+                rate = c.rate * max(1 - step / (c.steps + 1), 0.0) * (1 - 0.999 ** step) ** 0.5 / (1 - 0.9 ** step)
                 for k, g in grads.items():
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.001 * (g * g - second[k])
