@@ -12,10 +12,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tripparity.operators import explain, models  # noqa: E402
 from tripparity.plans import catalog  # noqa: E402
 from tripparity.session import build_session  # noqa: E402
 
@@ -34,12 +38,52 @@ HEADLINE = (
     "linear_contributions",
     "stream_parity_scored",
     "stream_drift_windows",
+    "tree_train",
+    "tree_score",
+    "tree_explain",
 )
 
+# Queries that are also run on the events REPLICAS times over, to show rows per second at both sizes.
+SCALED = ("features_training", "parity_report_counts", "ref_stats_proportions", "drift_by_group")
+REPLICAS = int(os.environ.get("BENCH_REPLICAS", "20"))
+
+
+class Trees:
+    """Boosted trees (20 rounds) over all trips: training, scoring and explaining, timed one by one."""
+
+    model = None
+
+    @classmethod
+    def tree_train(cls, spark, sf_dir):
+        config = models.TrainingConfig(n_estimators=20)
+        table = catalog.training_table(spark, sf_dir)
+        cls.model = models.compare_models(table, config, candidates=("gradient_boosted_trees",))[0].model
+        return table.limit(1)
+
+    @classmethod
+    def tree_score(cls, spark, sf_dir):
+        return models.score(catalog.training_table(spark, sf_dir), cls.model)
+
+    @classmethod
+    def tree_explain(cls, spark, sf_dir):
+        table = catalog.training_table(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+        return explain.explain_trees(table, cls.model, keep=("trip_id",))
+
+
+def _replicated(spark, sf_dir: str) -> str:
+    """A folder whose events are the given ones REPLICAS times, ids continued."""
+    folder = tempfile.mkdtemp(prefix="bench-replicas-")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    step = events.agg(F.max("event_id")).first()[0] + 1
+    copies = events.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1))))
+    copies.withColumn("event_id", F.col("event_id") + F.col("copy") * step).drop("copy") \
+        .repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/events.parquet")
+    return folder
+
 
 def _run(spark, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
-    df = catalog.all_queries()[name](spark, sf_dir)
+    df = (getattr(Trees, name, None) or catalog.all_queries()[name])(spark, sf_dir)
     df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
@@ -58,10 +102,17 @@ def main() -> None:
         times = [_run(spark, name, sf_dir) for _ in range(repeat if name != "model_comparison" else 1)]
         first[name] = round(times[0], 3)
         best[name] = round(min(times), 3)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    large = _replicated(spark, sf_dir)
+    scaled = {}
+    for name in SCALED:
+        seconds = min(_run(spark, name, large) for _ in range(repeat))
+        scaled[name] = {"rows_per_s": round(rows / best[name]) if name in best else None,
+                        f"rows_per_s_x{REPLICAS}": round(rows * REPLICAS / seconds), "seconds": round(seconds, 3)}
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "sum_of_query_seconds", "value": round(sum(best.values()), 3), "unit": "sec",
                       "queries": best, "first_run": first, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(cpus)}))
+                      "cpus": int(cpus), "scaled": scaled}))
     spark.stop()
 
 
