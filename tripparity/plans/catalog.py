@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -405,6 +407,49 @@ def q_explain_tree(spark, sf_dir):
                                       keep=("request_id", "feature_mode", "applied_skew_mode"))
 
 
+def q_score_tree_checks(spark, sf_dir):
+    """Every accepted request's score by the selected model: finite, and its parity count."""
+    return q_score_tree(spark, sf_dir).select("request_id", "prediction_finite", "matched_count")
+
+
+def q_explain_tree_checks(spark, sf_dir):
+    """Every accepted request's explanation: contributions plus base equal the model's own score."""
+    model = _candidate(trained(spark, sf_dir), "gradient_boosted_trees").model
+    scored = models.score(accepted(spark, sf_dir), model, prefix=pairs.SERVING_PREFIX).select(
+        "request_id", F.col("predicted_fare_amount").alias("score"))
+    parts = [F.col(f"{explain.SHAP_PREFIX}{n}") for n in FEATURE_NAMES]
+    total = sum(parts[1:], parts[0]) + F.col("base_value")
+    joined = _tree_explained(spark, sf_dir).join(scored, "request_id")
+    return joined.select("request_id", (F.abs(total - F.col("score")) <= 1e-6).alias("additive"),
+                         sum(((~F.isnan(p) & p.isNotNull()).cast("int") for p in parts), F.lit(0)).alias("contributions"))
+
+
+def q_tree_stump_scores(spark, sf_dir):
+    """M3/M8 as one exact split: a single tree of depth 1 on all trips, every distinct value a threshold."""
+    table = training_table(spark, sf_dir)
+    distinct = table.agg(*[F.countDistinct(n).alias(n) for n in FEATURE_NAMES]).first()
+    stump = RandomForestRegressor(labelCol=models.LABEL, numTrees=1, bootstrap=False, maxDepth=1, seed=1,
+                                  featureSubsetStrategy="all", maxBins=max(distinct) + 2)
+    fitted = Pipeline(stages=[models.assembler(), stump]).fit(models.feature_frame(table))
+    return models.score(table, fitted).select("trip_id", F.round("predicted_fare_amount", 6).alias("predicted_fare_amount"))
+
+
+def q_ridge_normal_equations(spark, sf_dir):
+    """M2: the fitted ridge satisfies its normal equations, sum(x (y - prediction)) = alpha w, per feature."""
+    config = models.TrainingConfig()
+    table = training_table(spark, sf_dir)
+    model = models.compare_models(table, config, candidates=("ridge",))[0].model
+    train = metrics.with_split(table, "trip_id", config.validation_buckets).where("NOT is_validation")
+    scored = models.score(train, model).join(train.select("trip_id", *[F.col(n).cast("double").alias(f"x_{n}") for n in FEATURE_NAMES]), "trip_id")
+    err = F.col(models.LABEL) - F.col("predicted_fare_amount")
+    sums = scored.agg(*[F.sum(F.col(f"x_{n}") * err).alias(n) for n in FEATURE_NAMES],
+                      *[F.sum(F.abs(F.col(f"x_{n}") * err)).alias(f"size_{n}") for n in FEATURE_NAMES])
+    rows = [F.struct(F.lit(n).alias("feature"), (F.abs(F.col(n) - F.lit(config.ridge_alpha * float(w)))
+                                                 <= 1e-6 * (1 + F.col(f"size_{n}"))).alias("holds"))
+            for n, w in zip(FEATURE_NAMES, model.stages[-1].coefficients)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
 def q_importance_tree(spark, sf_dir):
     return explain.global_importance(_tree_explained(spark, sf_dir))
 
@@ -512,6 +557,10 @@ def base_queries() -> dict[str, Query]:
         "score_tree": q_score_tree,
         "explain_tree": q_explain_tree,
         "importance_tree": q_importance_tree,
+        "score_tree_checks": q_score_tree_checks,
+        "explain_tree_checks": q_explain_tree_checks,
+        "tree_stump_scores": q_tree_stump_scores,
+        "ridge_normal_equations": q_ridge_normal_equations,
         "stream_parity_scored": q_stream_parity_scored,
         "stream_drift_windows": q_stream_drift_windows,
         "stream_drift_hourly": q_stream_drift_hourly,

