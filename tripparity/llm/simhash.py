@@ -249,7 +249,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = group_table(ids, max_bits, node_size).join(best, "fp")
     kept = materialize(groups.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")),
                        "simhash-kept")
-    return rows.join(kept, "__row", "left_semi").select([F.col(v).alias(k) for k, v in inner.items()])
+    # The same join at every size: a broadcast of the kept rows would have no bound.
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select([F.col(v).alias(k) for k, v in inner.items()])
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
