@@ -102,9 +102,10 @@ def _plain(query: np.ndarray, query_row: int, data: np.ndarray, rows: np.ndarray
            top: int) -> tuple[np.ndarray, np.ndarray]:
     """Components too large for exact doubles: whole-number sums, clamped to the long range."""
     low, high = int(_LOW), int(np.iinfo(np.int64).max)
-    scores = query.astype(object) @ data.astype(object) if len(query) else np.zeros(data.shape[1], object)
+    exact = query.astype(object) @ data.astype(object) if len(query) else np.zeros(data.shape[1], object)
+    scores = [min(max(int(x), low), high) for x in exact]
     best = sorted((i for i in range(len(rows)) if rows[i] != query_row), key=lambda i: (-scores[i], ids[i], rows[i]))[:top]
-    return np.array(best, np.int64), np.array([min(max(int(scores[i]), low), high) for i in best], np.int64)
+    return np.array(best, np.int64), np.array([scores[i] for i in best], np.int64)
 
 
 def _search(pairs: DataFrame, top: int) -> DataFrame:
@@ -141,7 +142,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no
     part; an empty vector scores 0; vectors of different lengths multiply over the common
-    components; repeated rows are rows of their own (a query's own row alone is left out); an
+    components; scores beyond 64 bits count as the largest or
+    smallest number; repeated rows are rows of their own (a query's own row alone is left out); an
     empty table gives an empty result; other columns are ignored. Queries meet candidates block by
     block; a first pass over one block per query block gives each query a floor for all others.
     """
