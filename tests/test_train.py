@@ -61,7 +61,7 @@ def test_missing_model_and_metadata(spark):
 
 def test_too_few_rows(spark):
     few = catalog.training_table(spark, SF_SMALL).limit(10)
-    with pytest.raises(ValueError, match="at least 20"):
+    with pytest.raises(ValueError, match="20 valid rows"):
         models.compare_models(few, SMALL)
 
 
