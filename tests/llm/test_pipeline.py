@@ -6,9 +6,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from test_packing import check_packed
-from test_pii import plain_spans
-from test_simhash import plain_fingerprint, plain_groups
+from .test_packing import check_packed
+from .test_pii import plain_spans
+from .test_simhash import plain_fingerprint, plain_groups
 from tripparity.llm.common import materialize
 
 DIR = "/root/testdata/sf0.01"
