@@ -3,7 +3,10 @@
 import json
 
 from tripparity.operators.pairs import serve_requests
-from tripparity.sources.requests import parse_json_requests
+from tripparity.sources.requests import REQUEST_FIELDS, bare_trips, parse_json_requests, requests_from_trips
+from tripparity.sources.trips import load_trips
+
+from conftest import SF_SMALL
 
 BASE = {"pickup_datetime": "2024-01-08T13:30:00Z", "pickup_location_id": 132, "dropoff_location_id": 236,
         "passenger_count": 2, "trip_distance_miles": 4.5}
@@ -55,3 +58,15 @@ def test_wire_json_round_trip_equals_the_typed_path(spark):
     b = serve_requests(wire).select(*cols).where("accepted")
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_bare_trips_have_no_modes(spark):
+    trips = bare_trips(requests_from_trips(load_trips(spark, SF_SMALL)))
+    assert trips.columns == ["request_id", *REQUEST_FIELDS[:5]] and trips.count() == load_trips(spark, SF_SMALL).count()
+
+
+def test_the_distance_contract_reaches_the_scan(spark):
+    from tripparity.plans import catalog
+
+    plan = catalog.valid_raw(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(value,0.04), LessThanOrEqual(value,400.0)" in plan

@@ -36,7 +36,9 @@ def coerced_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.valid_trips(coerced_raw(spark, sf_dir))
+    miles = next((c.lower, c.upper) for c in contracts.RAW_TRIP_CONTRACT if c.column == "trip_distance")
+    raw = raw_trips_from_trips(load_trips(spark, sf_dir, distance=miles))
+    return contracts.valid_trips(contracts.coerce_raw(raw, key_columns=("trip_id",)))
 
 
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,14 @@ def requests_from_trips(trips: DataFrame) -> DataFrame:
     )
 
 
+TRIP_FIELDS = REQUEST_FIELDS[:5]
+
+
+def bare_trips(requests: DataFrame) -> DataFrame:
+    """The trips of requests, without modes."""
+    return requests.select("request_id", *TRIP_FIELDS)
+
+
 def requests_to_json(requests: DataFrame) -> DataFrame:
     """The wire form of typed requests: ``request_id`` plus one JSON document per request.
 
