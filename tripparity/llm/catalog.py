@@ -14,6 +14,7 @@ from tripparity.llm.pii import op4_personal_data
 from tripparity.llm.quality_rules import op5_quality_rules
 from tripparity.llm.secrets import op3_secret_scan
 from tripparity.llm.simhash import op1_simhash_near_dedup
+from tripparity.llm.toxicity import op2_toxicity
 from tripparity.llm.topk import OP10_SQL, op10_exact_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op4_personal_data": op4_personal_data,
         "op5_quality_rules": op5_quality_rules,
