@@ -24,11 +24,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 class ChainConfig:
     """``sample_rows`` bounds the labelled rows; each gives at most ``buckets`` features."""
 
-    buckets: int = 1 << 15
+    buckets: int = 1 << 18
     sample_rows: int = 4000
     inner_folds: int = 3
     epochs: int = 10
-    rate: float = 0.3
+    rate: float = 0.1
+    least_share: float = 0.005  # of the sampled documents that a word must be in
     decay: float = 1e-5
     seed: int = 5
 
@@ -54,7 +55,7 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, labels: np.ndarray, c:
     tail = np.arange(c.buckets, size)
     for _ in range(c.epochs):
         for i in rng.permutation(len(rows)):
-            at, x = np.concatenate([rows[i], tail]), np.concatenate([np.ones(len(rows[i])) / max(len(rows[i]), 1) ** 0.5, extra[i], [1.0]])
+            at, x = np.concatenate([rows[i], tail]), np.concatenate([np.ones(len(rows[i])), extra[i], [1.0]])
             g = (_sigmoid(weights[at] @ x) - labels[i]) * (0.5 / share if labels[i] else 0.5 / (1 - share)) * x + c.decay * weights[at]
             power[at] += g * g
             weights[at] -= c.rate * g / np.sqrt(power[at])
@@ -68,11 +69,14 @@ class ToxicityChain:
     weights: list[np.ndarray] = field(default_factory=list)
 
     def _apply(self, j: int, weights: np.ndarray, row: np.ndarray, before: list[float]) -> float:
-        x = weights[row].sum() / max(len(row), 1) ** 0.5
+        x = weights[row].sum()
         return float(_sigmoid(x + weights[self.config.buckets:self.config.buckets + j] @ np.array(before[:j]) + weights[-1]))
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray) -> ToxicityChain:
         c, n = self.config, len(rows)
+        # Words of few sampled documents say nothing general; their weights stay 0.
+        common = np.bincount(np.concatenate(rows), minlength=c.buckets) >= max(3, c.least_share * n)
+        rows = [r[common[r]] for r in rows]
         fold = np.random.default_rng(c.seed).integers(0, c.inner_folds, n)
         before = np.zeros((n, 0))
         for j in range(len(self.categories)):
