@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from math import log2
 
@@ -74,6 +75,19 @@ def test_random_strings_are_found_and_listed_ones_are_not():
         assert not any(k == 3 for _, k, _ in scanner.scan(text)), text
 
 
+def test_joined_words_are_matched_in_one_pass():
+    rng = random.Random(4)
+    scanner, slow = S.SecretScanner(), re.compile(r"([A-Z]?[a-z]{3,}){2,}[0-9]{0,4}")
+    joined = S.SecretScanner(allow=tuple(p for p in S.ALLOW if p.startswith("[A-Z]?[a-z]{")))
+    for _ in range(20000):
+        run = "".join(rng.choice("aaaaabcdeAB0") for _ in range(rng.randint(1, 20)))
+        assert joined.allowed(run) == bool(slow.fullmatch(run)), run
+    began = time.perf_counter()
+    for tail in ("_1", "1a", "A"):
+        assert not joined.allowed("z" * 100000 + tail) and scanner.scan("z" * 100000 + tail) == []
+    assert time.perf_counter() - began < 30
+
+
 def test_scan_of_documents(spark, edge_docs, no_docs, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     for r in S.scan_secrets(df).collect():

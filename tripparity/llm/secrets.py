@@ -60,7 +60,9 @@ ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"(?i).*(example|sample|dummy|placeholder|changeme|xxxx).*",
     r"([A-Za-z][a-z]*[/_=+-]+)+[A-Za-z][a-z]*",  # words joined by separators
-    r"([A-Z]?[a-z]{3,}){2,}[0-9]{0,4}",  # joined words, perhaps numbered
+    # joined words, perhaps numbered: a piece ends only where its lower case does, so a failing run costs one pass
+    r"[A-Z]?[a-z]{3,}+([A-Z][a-z]{3,}+)++[0-9]{0,4}",
+    r"[A-Z]?[a-z]{6,}+[0-9]{0,4}",
     r"[0-9_/+=-]+",  # numbers
     r"(?i)(sha(1|224|256|384|512)|md5)[-=_].*",  # checksums
 )
