@@ -75,6 +75,23 @@ def test_random_strings_are_found_and_listed_ones_are_not():
         assert not any(k == 3 for _, k, _ in scanner.scan(text)), text
 
 
+def test_short_lower_case_and_path_secrets_are_found():
+    rng = random.Random(6)
+    scanner = S.SecretScanner()
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    has = lambda text, at, n: any(k == 3 and s < at + n and at < e for s, k, e in scanner.scan(text))
+    kinds = {("key-", lower, 32): 0.98, ("", lower, 24): 0.95, ("", mixed, 16): 0.85, ("", mixed, 19): 0.95,
+             ("docs/samples/", mixed, 40): 0.98, ("example=", lower, 32): 0.95, ("sha1-" + "a1B2" * 7 + "/", mixed, 40): 0.98}
+    for (before, alphabet, n), least in kinds.items():
+        found = [has(f"see {before}{draw(alphabet, n)} end", 4 + len(before), n) for _ in range(300)]
+        assert sum(found) >= least * len(found), (before, n, sum(found))
+    for text in ("customer20240117 Invoice2024011712345 20240117customers", "docs/samples/internationalisierung2024",
+                 "sha384-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+                 "sha256=" + draw(mixed, 43), "docs/123e4567-e89b-12d3-a456-426614174000/sample"):
+        assert not any(k == 3 for _, k, _ in scanner.scan(text)), text
+
+
 def test_joined_words_are_matched_in_one_pass():
     rng = random.Random(4)
     scanner, slow = S.SecretScanner(), re.compile(r"([A-Z]?[a-z]{3,}){2,}[0-9]{0,4}")

@@ -4,13 +4,16 @@ A candidate is a maximal run of token characters. For every character class a wi
 width slides over the candidate's stretches of that class; symbol counts and the sum of c log c are
 updated by the one symbol that enters and the one that leaves, so a window's Shannon entropy costs
 constant time. Windows at or above the class's threshold join to spans; spans that touch a pattern's
-match or whose candidate is on the allow list are left out.
+match, or that are on the allow list themselves or with the rest of their segment, are left out.
+Segments lie between slashes and equals signs; checksums and plain words that are on the allow list
+are taken out first, so that they neither join nor excuse what stands beside them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
@@ -52,6 +55,8 @@ class CharClass:
 CLASSES = (
     CharClass("hex", r"[0-9a-fA-F]+", 20, 3.0),
     CharClass("upper", r"[A-Z0-9]+", 16, 3.25),
+    CharClass("lower", r"[a-z0-9]+", 16, 3.25),
+    CharClass("mixed", r"[A-Za-z0-9]+", 16, 3.5, groups=3, least=1),
     CharClass("base64", r"[A-Za-z0-9+/_=-]+", 20, 3.75, groups=3, least=1),
 )
 
@@ -64,9 +69,16 @@ ALLOW = (
     r"[A-Z]?[a-z]{3,}+([A-Z][a-z]{3,}+)++[0-9]{0,4}",
     r"[A-Z]?[a-z]{6,}+[0-9]{0,4}",
     r"[0-9_/+=-]+",  # numbers
+    r"([A-Z]?[a-z]+[0-9]+|[0-9]+[A-Z]?[a-z]+)",  # one word and one number
     r"(?i)(sha(1|224|256|384|512)|md5)[-=_].*",  # checksums
 )
 
+# A checksum has at most its hexadecimal length, so that what follows it is judged for itself.
+_DIGEST = "|".join(f"{name}[-=_][A-Za-z0-9+/]{{1,{bits // 4}}}+={{0,2}}" for name, bits in (
+    ("md5", 128), ("sha1", 160), ("sha224", 224), ("sha256", 256), ("sha384", 384), ("sha512", 512)))
+SEGMENT = re.compile(f"(?<![^/=])(?P<digest>{_DIGEST})|[^/=]+", re.IGNORECASE)
+_PLAIN_WORD = "(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++)"
+PLAIN = re.compile(f"{_PLAIN_WORD}(?:[_-]++{_PLAIN_WORD})*+[_-]*+[0-9]{{0,4}}")
 _GROUPS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
 
@@ -108,6 +120,29 @@ class SecretScanner:
     def allowed(self, candidate: str) -> bool:
         return bool(self.allow and self.allow.fullmatch(candidate)) or any(p.fullmatch(candidate) for p in self.allow_any_case)
 
+    def windows(self, run: str) -> list[tuple[int, int]]:
+        """Spans of the run by all classes, between its allowed words and checksums, without allowed ones."""
+        segments = [(m.start(), m.end(), m["digest"] or PLAIN.fullmatch(m[0])) for m in SEGMENT.finditer(run)]
+        cut = [(s, e) for s, e, alone in segments if alone and e - s >= 4 and self.allowed(run[s:e])]
+        starts, ends = [s for s, _, _ in segments], [e for _, e, _ in segments]
+        out = []
+        for low, high in zip([0] + [e for _, e in cut], [s for s, _ in cut] + [len(run)]):
+            spans = sorted((low + m.start() + s, low + m.start() + e) for cls, stretch in self.classes
+                           for m in stretch.finditer(run[low:high]) for s, e in window_spans(m[0], cls))
+            joined: list[list[int]] = []
+            for s, e in spans:
+                if joined and s <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], e)
+                else:
+                    joined.append([s, e])
+            for s, e in joined:
+                first = starts[max(bisect_right(starts, s) - 1, 0)]
+                last = ends[min(bisect_left(ends, e), len(ends) - 1)]
+                whole = run[max(min(first, s), low):min(max(last, e), high)]
+                if not self.allowed(run[s:e]) and not self.allowed(whole):
+                    out.append((s, e))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, number of the kind, end) of all spans, sorted; code points, end exclusive."""
         text = text or ""
@@ -121,17 +156,8 @@ class SecretScanner:
             found += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= HEX_LENGTH]
         base = sorted((s, e) for s, _, e in found)
         for at, run in runs:
-            if sum(bool(g.search(run)) for g in _GROUPS) < 2 or self.allowed(run):
-                continue
-            spans = sorted((at + m.start() + s, at + m.start() + e) for cls, stretch in self.classes
-                           for m in stretch.finditer(run) for s, e in window_spans(m[0], cls))
-            joined: list[list[int]] = []
-            for s, e in spans:
-                if joined and s <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], e)
-                else:
-                    joined.append([s, e])
-            found += [(s, 3, e) for s, e in joined if not any(s < y and x < e for x, y in base)]
+            if sum(bool(g.search(run)) for g in _GROUPS) >= 2:
+                found += [(at + s, 3, at + e) for s, e in self.windows(run) if not any(at + s < y and x < at + e for x, y in base)]
         return sorted(found)
 
 
