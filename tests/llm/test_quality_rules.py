@@ -93,6 +93,29 @@ def test_clean_documents_stay_and_junk_goes(spark):
     assert share[1] > 0.995 and share[0] < 0.6
 
 
+def test_symbols_alone_reject_and_clean_documents_stay(spark):
+    path = "/root/testdata/sf0.1"
+    out = Q.op5_quality_rules(spark, path).where("NOT base_failed").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id", "left")
+    n = out.agg(F.expr("count_if(kept AND n_symbols >= 0.15 * n_words)"), F.expr("count_if(kept AND quality = 0)"),
+                F.expr("count_if(quality = 0)"), F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int")))).first()
+    assert n[0] == 0 and n[1] < 0.05 * n[2] and n[3] > 0.995
+
+
+def test_estimate_of_several_starts_converges_to_the_least_determinant(spark):
+    rng = np.random.default_rng(9)
+    names = [n for n, _ in Q.FEATURES]
+    # the outliers lie on a line beside the rest, 45 % of the rows: more than the median start can tell apart
+    x = np.concatenate([rng.normal(size=(330, 5)), rng.normal(size=(270, 5)) * 0.6 + 4])
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "group string, " + ", ".join(f"{n} double" for n in names))
+
+    def det(row):
+        return 2 * sum(np.log(row[f"l_{i}_{i}"]) for i in range(5))
+
+    one = det(Q.covariance_estimates(df).first())
+    each = [det(Q.covariance_estimates(df, steps=Q.MOST_STEPS, starts=n, tolerance=Q.TOLERANCE).first()) for n in (1, Q.STARTS)]
+    assert each[0] <= one + 1e-6 and each[1] <= each[0] + 1e-9 and each[1] < one - 1e-4
+
+
 def test_edge_rows(edge_docs, no_docs):
     out = Q.quality_verdicts(edge_docs).collect()
     assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r["doc_id"]) for r in edge_docs.collect())
