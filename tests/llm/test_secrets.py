@@ -105,6 +105,15 @@ def test_joined_words_are_matched_in_one_pass():
     assert time.perf_counter() - began < 30
 
 
+def test_a_segment_of_many_spans_is_looked_at_once(monkeypatch):
+    rng = random.Random(1)
+    run = "".join("".join(rng.choice("ABCDEFGHIJKLMabcdefghijklm0123456789") for _ in range(24)) + "z" * 60 for _ in range(50))
+    scanner, seen = S.SecretScanner(), []
+    allowed = scanner.allowed
+    monkeypatch.setattr(scanner, "allowed", lambda text: seen.append(len(text)) or allowed(text))
+    assert len(scanner.scan(run)) > 20 and sum(n == len(run) for n in seen) == 1
+
+
 def test_scan_of_documents(spark, edge_docs, no_docs, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     for r in S.scan_secrets(df).collect():

@@ -125,7 +125,7 @@ class SecretScanner:
         segments = [(m.start(), m.end(), m["digest"] or PLAIN.fullmatch(m[0])) for m in SEGMENT.finditer(run)]
         cut = [(s, e) for s, e, alone in segments if alone and e - s >= 4 and self.allowed(run[s:e])]
         starts, ends = [s for s, _, _ in segments], [e for _, e, _ in segments]
-        out = []
+        out, excused = [], {}  # a segment is looked at once, however many spans it holds
         for low, high in zip([0] + [e for _, e in cut], [s for s, _ in cut] + [len(run)]):
             spans = sorted((low + m.start() + s, low + m.start() + e) for cls, stretch in self.classes
                            for m in stretch.finditer(run[low:high]) for s, e in window_spans(m[0], cls))
@@ -138,8 +138,10 @@ class SecretScanner:
             for s, e in joined:
                 first = starts[max(bisect_right(starts, s) - 1, 0)]
                 last = ends[min(bisect_left(ends, e), len(ends) - 1)]
-                whole = run[max(min(first, s), low):min(max(last, e), high)]
-                if not self.allowed(run[s:e]) and not self.allowed(whole):
+                whole = max(min(first, s), low), min(max(last, e), high)
+                if whole not in excused:
+                    excused[whole] = self.allowed(run[slice(*whole)])
+                if not excused[whole] and not self.allowed(run[s:e]):
                     out.append((s, e))
         return out
 
