@@ -10,6 +10,7 @@ from tripparity.llm.bytecnn import op7_quality_classifier
 from tripparity.llm.langid import op9_language_id
 from tripparity.llm.mixing import op6_mixing
 from tripparity.llm.packing import op8_best_fit_packing
+from tripparity.llm.periodic import op11_periodic_runs
 from tripparity.llm.pii import op4_personal_data
 from tripparity.llm.quality_rules import op5_quality_rules
 from tripparity.llm.secrets import op3_secret_scan
@@ -32,6 +33,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_exact_topk": op10_exact_topk,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
