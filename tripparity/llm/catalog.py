@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripparity.llm.bytecnn import op7_quality_classifier
+from tripparity.llm.hardneg import OP12_SQL, op12_hard_negatives
 from tripparity.llm.langid import op9_language_id
 from tripparity.llm.mixing import op6_mixing
 from tripparity.llm.packing import op8_best_fit_packing
@@ -34,8 +35,9 @@ def llm_queries() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_exact_topk": op10_exact_topk,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op10_exact_topk": OP10_SQL}
+    return {"op10_exact_topk": OP10_SQL, "op12_hard_negatives": OP12_SQL}
