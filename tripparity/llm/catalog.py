@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripparity.llm.bytecnn import op7_quality_classifier
+from tripparity.llm.chatformat import OP13_SQL, op13_chat_format
 from tripparity.llm.hardneg import OP12_SQL, op12_hard_negatives
 from tripparity.llm.langid import op9_language_id
 from tripparity.llm.mixing import op6_mixing
@@ -36,8 +37,9 @@ def llm_queries() -> dict[str, Query]:
         "op10_exact_topk": op10_exact_topk,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_chat_format": op13_chat_format,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op10_exact_topk": OP10_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op10_exact_topk": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_chat_format": OP13_SQL}
