@@ -105,7 +105,8 @@ def test_query_equals_brute_force(spark, tmp_path):
     rows = list(zip(ids, texts))
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long") \
         .write.parquet(f"{tmp_path}/documents.parquet")
-    got = op11_periodic_runs(spark, str(tmp_path)).drop("n_words").collect()
+    op11_periodic_runs(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").drop("n_words").collect()
     order = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)
     assert sum(r["n_runs"] for r in got) > 10
     assert sorted(map(tuple, got), key=order) == sorted((brute_query(i, t) for i, t in rows), key=order)
@@ -114,7 +115,8 @@ def test_query_equals_brute_force(spark, tmp_path):
 def test_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a " * 30, 5, "r"), (2, "keep  this\n", 6, None)], "id int, body string, n_words int, runs string")
     out = with_runs(docs, "body", into="n_words")
-    assert out.columns == ["id", "body", "n_words", "runs"]
+    assert out.columns == ["id", "body", "runs", "n_words"]
+    assert [(r["id"], r["runs"], r["n_words"]["n_words"]) for r in out.orderBy("id").collect()] == [(1, "r", 30), (2, None, 2)]
     kept = {r["id"]: r["body"] for r in collapse_documents(docs, "body").collect()}
     assert kept == {1: "a", 2: "keep  this\n"}
     assert collapse_documents(docs.where("id > 9"), "body").count() == 0

@@ -19,9 +19,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tripparity.llm.common import WORD, read_table, ready
 
@@ -29,7 +30,10 @@ LEAST_WORDS = 24
 REPEATS = 3
 _WORDS = re.compile(WORD)
 _FIRST = 16  # words of the shortest stretch, for lags below it
-RESULT = "n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
+_RUN = ("start", "length", "period")
+RESULT = StructType([StructField("n_words", LongType()), StructField("runs", ArrayType(StructType([StructField(c, LongType()) for c in _RUN]))),
+                     StructField("collapsed", StringType())])
+_ARROW = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([(c, pa.int64()) for c in _RUN]))), ("collapsed", pa.string())])
 
 
 def _stretches(ids: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,19 +128,20 @@ def with_runs(docs: DataFrame, text_col: str = "text", least: int = LEAST_WORDS,
     gives an empty result; a column of the name ``into`` is replaced, all others stay.
     """
     ready(docs.sparkSession)
+    docs = docs.drop(into)
+    schema = StructType([*docs.schema.fields, StructField(into, RESULT)])
 
-    @F.pandas_udf(RESULT)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for text in part:
+            for text in batch.column(text_col).to_pylist():
                 words = _WORDS.findall(text or "")
                 runs = find_runs(words, least, repeats)
-                rows.append((len(words), [{"start": s, "length": n, "period": q} for s, n, q in runs],
-                             " ".join(collapse(words, runs))))
-            yield pd.DataFrame(rows, columns=["n_words", "runs", "collapsed"])
+                rows.append({"n_words": len(words), "runs": [{"start": s, "length": n, "period": q} for s, n, q in runs],
+                             "collapsed": " ".join(collapse(words, runs))})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], [*batch.schema.names, into])
 
-    return docs.withColumn(into, run(F.col(text_col)))
+    return docs.mapInArrow(run, schema)
 
 
 def collapse_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
