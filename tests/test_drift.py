@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tripparity.functions.numeric import ordered_key
 from tripparity.operators import drift
 from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.plans import catalog
@@ -47,6 +48,56 @@ def test_matches_numpy(training, reference):
         assert stats.mean == pytest.approx(x.mean()) and stats.std == pytest.approx(x.std())
 
 
+def test_ordered_keys_are_the_bits_of_the_double(spark):
+    rng = np.random.default_rng(0)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, np.nextafter(2.0 ** -1022, 0), 1.7976931348623157e308, np.inf, -np.inf]
+    values += [v for k in range(-1074, 1024) for p in (2.0 ** k,) for v in (p, -p, np.nextafter(p, 0), np.nextafter(p, np.inf))]
+    values += rng.integers(-2 ** 63, 2 ** 63 - 1, 3000).view(np.float64).tolist()
+    values = [float(v) for v in values if not np.isnan(v)]
+    found = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double").select("x", ordered_key("x").alias("k")).collect()
+    assert [r["k"] for r in found[-2:]] == [None, None]
+    for r in found[:-2]:
+        bits = int(np.float64(abs(r["x"])).view(np.int64))
+        assert r["k"] == (-1 - bits if r["x"] < 0 else bits)
+
+
+@pytest.mark.parametrize("rows, partitions", [(5_000_000, 16), (11, 3), (1, 1)])
+def test_deciles_of_distinct_doubles_equal_numpy(spark, rows, partitions):
+    """Radix selection over values that are nearly all different, of both signs and many magnitudes."""
+    frame = spark.range(0, rows, 1, partitions).select(
+        F.expr("CASE WHEN id % 7 = 0 THEN NULL ELSE (cast(xxhash64(id) AS double) / 9.3e18) * power(10D, id % 9 - 4) END").alias("x"),
+        F.expr("cast(id % 3 AS double)").alias("few"))
+    if rows == 1:
+        frame = frame.withColumn("x", F.lit(-2.5))
+    stats = drift.compute_reference_stats(frame, columns=("x", "few"))
+    pdf = frame.toPandas()
+    for name in ("x", "few"):
+        x = pdf[name].dropna().to_numpy()
+        edges = np.unique(np.round(np.quantile(x, np.linspace(0, 1, 11)), 9))
+        edges = np.array([-np.inf, *edges[1:-1], np.inf]) if edges.size > 1 else np.array([-np.inf, np.inf])
+        assert np.array_equal(stats[name].bin_edges, edges)
+        assert np.allclose(stats[name].bin_proportions, np.histogram(x, bins=edges)[0] / len(x), rtol=0, atol=1e-15)
+        assert stats[name].mean == pytest.approx(x.mean()) and stats[name].std == pytest.approx(x.std())
+        assert (stats[name].minimum, stats[name].maximum) == (x.min(), x.max())
+
+
+def test_no_exchange_grows_with_the_values(spark, training):
+    values = drift._values(training, FEATURE_NAMES)
+    plan = drift._histogram(values, {0: {16384}}, 2)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "hashpartitioning(f#" in exchanges[0] and "x#" not in exchanges[0]
+    assert plan.count("HashAggregate") == 2  # counted in the task before the exchange
+
+
+@pytest.mark.parametrize("bad, said", [(float("nan"), "1 values are not finite"), (float("-inf"), "1 values are not finite"), (None, "no value")])
+def test_columns_without_statistics_are_named(spark, bad, said):
+    frame = spark.createDataFrame([(1.0, bad), (2.0, None)], "x double, y double")
+    with pytest.raises(ValueError, match=f"y: {said}"):
+        drift.compute_reference_stats(frame, columns=("x", "y"))
+    with pytest.raises(ValueError, match="at least one row"):
+        drift.compute_reference_stats(frame.limit(0), columns=("x",))
+
+
 def test_psi_self_is_small_and_shift_is_significant(spark, training, reference):
     features, overall = drift.drift_report(training, reference)
     assert all(r.psi < 0.05 for r in features.collect())

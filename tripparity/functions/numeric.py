@@ -90,3 +90,17 @@ def is_finite(x: Column) -> Column:
 def not_nan(x: Column) -> Column:
     """Spark orders NaN above every number, so range checks must exclude it explicitly."""
     return ~F.isnan(x.cast("double"))
+
+
+def ordered_key(column: str) -> Column:
+    """A long that orders doubles as they compare: the bits of x, mirrored for negative x (both zeros are 0).
+
+    The exponent is guessed by a logarithm and corrected, the 52 bits after it are an exact division by
+    a power of two; numbers below the normal range need no special case. Null and NaN give null.
+    """
+    a = f"abs(`{column}`)"
+    guess = f"greatest(-1022, least(1023, cast(coalesce(floor(log2({a})), -1022) AS int)))"
+    exponent = f"({guess} + CASE WHEN {a} >= power(2D, {guess} + 1) THEN 1 WHEN {a} < power(2D, {guess}) AND {guess} > -1022 THEN -1 ELSE 0 END)"
+    bits = f"(({exponent} + 1022) * 4503599627370496L + cast({a} / power(2D, {exponent} - 52) AS bigint))"
+    bits = f"CASE WHEN {a} = double('infinity') THEN 2047 * 4503599627370496L ELSE {bits} END"
+    return F.expr(f"CASE WHEN isnan(`{column}`) THEN NULL WHEN `{column}` < 0 THEN -1L - ({bits}) ELSE {bits} END")

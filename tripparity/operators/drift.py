@@ -1,8 +1,8 @@
 """Reference statistics of the training features and PSI drift of served traffic.
 
-Reference statistics take one pass over the training table, which counts the distinct values of all
-nine features (combined in every task); moments, exact deciles and bin counts come from these counts.
-Only the bounded summary (9 features x at most 11 edges) ever reaches the driver.
+Reference statistics read the nine feature columns a few times and shuffle only bounded aggregates:
+moments, bucket histograms for the exact deciles (radix selection over order-preserving keys), bin
+counts. Only the summary (9 features x at most 11 edges) ever reaches the driver.
 
 Drift is one aggregate over the sample (per group, optionally) followed by a projection: PSI uses
 the reference's own edges and proportions as literals, so no join and no broadcast of data.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tripparity.functions.arrays import bin_counts, bin_index_literal, pin_edges_py, psi_sql, psi_status
+from tripparity.functions.numeric import ordered_key
 from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.session import scratch_path
 
@@ -59,61 +60,100 @@ ReferenceStats = dict[str, FeatureReference]
 
 # ----------------------------------------------------------------------------- reference (A1-A5)
 
-def _value_counts(features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(f, x, n): how often feature number f has value x. Combined in every task before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)])
+DIGIT = 16  # bits of a key that one pass decides
+
+
+def _values(features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(f, x, key) of every row and feature number f; nulls go."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("x")) for i, c in enumerate(columns)])
     return features.select(F.explode(pairs).alias("p")).select("p.f", "p.x").where("x IS NOT NULL") \
-        .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("key", ordered_key("x"))
 
 
-def _order_statistics(counts: DataFrame, wanted: DataFrame) -> dict[tuple[int, int], float]:
-    """Values at the wanted 0-based ranks (f, rank) of the features' sorted rows.
+def _histogram(values: DataFrame, parents: dict[int, set[int]] | None, digits: int) -> DataFrame:
+    """(f, parent, bucket): how many keys share their first ``digits`` digits, with the least and greatest value.
 
-    ``counts`` is written in value order, cut into range buckets. Bucket totals say in which bucket a
-    rank lies; only those buckets are summed up row by row, each in a window of its own, so no task
-    ever holds a feature's distinct values.
+    Counted in every task first; at most 2^DIGIT buckets of each parent (the digits before) are
+    shuffled, however many values there are. ``parents`` keeps the buckets that go on.
     """
-    ahead = Window.partitionBy("f").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counts.groupBy("f", "bucket").agg(F.sum("n").alias("size")) \
-        .withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-    hit = buckets.join(wanted, "f").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
-    within = Window.partitionBy("f", "bucket").orderBy("x")
-    rows = counts.join(hit.select("f", "bucket", "before").distinct(), ["f", "bucket"]) \
-        .withColumn("upto", F.col("before") + F.sum("n").over(within)).withColumn("start", F.col("upto") - F.col("n"))
-    found = rows.select("f", "bucket", "x", "start", "upto").join(hit.select("f", "bucket", "rank"), ["f", "bucket"]) \
-        .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("upto")))
-    return {(r["f"], r["rank"]): r["x"] for r in found.select("f", "rank", "x").collect()}
+    shift = 64 - DIGIT * digits
+    parent = F.shiftright("key", shift + DIGIT) if digits > 1 else F.lit(0).cast("long")
+    if parents is not None:
+        wanted = F.lit(False)
+        for f, prefixes in sorted(parents.items()):
+            wanted = wanted | ((F.col("f") == f) & parent.isin(sorted(prefixes)))
+        values = values.where(wanted)
+    bucket = F.shiftright("key", shift) if shift else F.col("key")
+    return values.groupBy("f", parent.alias("parent"), bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def order_statistics(features: DataFrame, columns: tuple[str, ...], ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """Values at the wanted 0-based ranks of the columns' sorted rows, by radix selection.
+
+    Every pass counts one more digit of the order-preserving keys, but only inside the buckets where a
+    wanted rank lies; a bucket of equal values ends its ranks early. Four passes at most, and the
+    driver sees one row per wanted rank. Columns hold doubles without NaN; nulls are left out.
+    """
+    spark = features.sparkSession
+    values = _values(features, columns)
+    open_ = [(f, rank, 0, rank) for f, wanted in ranks.items() for rank in sorted(wanted)]  # f, rank, bucket, rank within
+    found: dict[tuple[int, int], float] = {}
+    for digits in range(1, 64 // DIGIT + 1):
+        if not open_:
+            break
+        parents = {f: {o[2] for o in open_ if o[0] == f} for f in {o[0] for o in open_}}
+        buckets = _histogram(values, parents if digits > 1 else None, digits)
+        # One window per parent bucket: at most 2^DIGIT rows.
+        upto = F.sum("n").over(Window.partitionBy("f", "parent").orderBy("bucket"))
+        asked = spark.createDataFrame(open_, "f int, rank long, parent long, within long")
+        hit = buckets.withColumn("before", upto - F.col("n")).join(F.broadcast(asked), ["f", "parent"]) \
+            .where((F.col("within") >= F.col("before")) & (F.col("within") < F.col("before") + F.col("n")))
+        open_ = []
+        for r in hit.select("f", "rank", "bucket", "low", "high", (F.col("within") - F.col("before")).alias("left")).collect():
+            if r["low"] == r["high"]:
+                found[r["f"], r["rank"]] = r["low"]
+            else:
+                open_.append((r["f"], r["rank"], r["bucket"], r["left"]))
+    return found
 
 
 def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT,
-                            columns: tuple[str, ...] = FEATURE_NAMES) -> ReferenceStats:
+                            columns: tuple[str, ...] = FEATURE_NAMES, written: bool = False) -> ReferenceStats:
     """A1-A5: mean, population std, min, max, pinned decile edges and bin proportions per feature.
 
-    Exact at every size. One pass counts the values of all features; moments, the order statistics
-    around each decile (joined by linear interpolation) and the bins come from these counts. The
-    counts are a written table of distinct values, and at most two values a decile reach the driver.
+    Exact at every size: moments and bin counts are single aggregates, the order statistics around each
+    decile (joined by linear interpolation) come from radix selection, so no exchange grows with the
+    values. The columns are read several times: unless ``features`` is a ``written`` table they are
+    written to the shared folder first. Nulls are left out; a feature without any value and values
+    that are not finite raise a ValueError that names them.
     """
     spark = features.sparkSession
-    path = scratch_path(spark, "value-counts")
-    ordered = _value_counts(features, columns).repartitionByRange("f", "x").withColumn("bucket", F.spark_partition_id())
-    ordered.write.parquet(path)
-    counts = spark.read.schema(ordered.schema).parquet(path)
-
-    weight = F.col("n").cast("double")
-    mean = F.sum(F.col("x") * weight) / F.sum(weight)
-    moments = {r["f"]: r for r in counts.groupBy("f").agg(
-        F.sum("n").alias("rows"), mean.alias("mean"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
-    if not moments:
+    features = features.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if not written:
+        path = scratch_path(spark, "reference-features")
+        features.write.parquet(path)
+        features = spark.read.schema(features.schema).parquet(path)
+
+    odd = [F.isnan(c) | (F.abs(c) == float("inf")) for c in columns]
+    totals = features.agg(*[f(F.col(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (
+        ("rows", F.count), ("mean", F.avg), ("low", F.min), ("high", F.max))],
+        *[F.count_if(o).alias(f"odd{i}") for i, o in enumerate(odd)]).first()
+    if not any(totals[f"rows{i}"] for i in range(len(columns))):
         raise ValueError("reference statistics need at least one row")
-    centre = by_feature({f: F.lit(r["mean"]) for f, r in moments.items()})
-    spread = {r["f"]: r["var"] for r in counts.withColumn("d", F.col("x") - centre).groupBy("f").agg(
-        (F.sum(F.col("d") * F.col("d") * weight) / F.sum(weight)).alias("var")).collect()}
-
-    places = {(f, i): divmod(i * (r["rows"] - 1), bins) for f, r in moments.items() for i in range(bins + 1)}
-    ranks = {(f, rank) for (f, _), (low, part) in places.items() for rank in ({low, low + 1} if part else {low})}
-    values = _order_statistics(counts, spark.createDataFrame(sorted(ranks), "f int, rank long"))
+    bad = [f"{c}: {totals[f'odd{i}']} values are not finite" if totals[f"odd{i}"] else f"{c}: no value"
+           for i, c in enumerate(columns) if totals[f"odd{i}"] or not totals[f"rows{i}"]]
+    if bad:
+        raise ValueError("no reference statistics for " + "; ".join(bad))
+
+    rows = {i: totals[f"rows{i}"] for i in range(len(columns))}
+    places = {(f, i): divmod(i * (n - 1), bins) for f, n in rows.items() for i in range(bins + 1)}
+    ranks: dict[int, set[int]] = {}
+    for (f, _), (low, part) in places.items():
+        ranks.setdefault(f, set()).update({low, low + 1} if part else {low})
+    values = order_statistics(features, columns, ranks)
     edges = {}
-    for f, name in enumerate(columns):
+    for f in range(len(columns)):
         quantiles = []
         for i in range(bins + 1):
             low, part = places[f, i]
@@ -121,24 +161,19 @@ def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT,
             quantiles.append(values[f, low] if not part else (1 - share) * values[f, low] + share * values[f, low + 1])
         edges[f] = pin_edges_py(quantiles)
 
-    index = by_feature({f: bin_index_literal("x", e) for f, e in edges.items()})
-    binned = {(r["f"], r["bin"]): r["rows"] for r in
-              counts.groupBy("f", index.alias("bin")).agg(F.sum("n").alias("rows")).collect()}
+    # Bins and squared deviations: one more aggregate over the rows.
+    binned = features.select("*", *[bin_index_literal(c, edges[f]).alias(f"__b{f}") for f, c in enumerate(columns)])
+    aggs = [F.avg((F.col(c) - F.lit(totals[f"mean{f}"])) * (F.col(c) - F.lit(totals[f"mean{f}"]))).alias(f"var{f}") for f, c in enumerate(columns)]
+    for f, c in enumerate(columns):
+        aggs += [F.expr(f"count_if(`__b{f}` = {b} AND `{c}` IS NOT NULL) AS c{f}_{b}") for b in range(len(edges[f]) - 1)]
+    counts = binned.agg(*aggs).first()
     return {name: FeatureReference(
-        mean=float(moments[f]["mean"]), std=math.sqrt(spread[f]), minimum=float(moments[f]["low"]),
-        maximum=float(moments[f]["high"]), bin_edges=tuple(edges[f]),
-        bin_proportions=tuple(binned.get((f, b), 0) / moments[f]["rows"] for b in range(len(edges[f]) - 1)))
+        mean=float(totals[f"mean{f}"]), std=math.sqrt(counts[f"var{f}"]), minimum=float(totals[f"low{f}"]),
+        maximum=float(totals[f"high{f}"]), bin_edges=tuple(edges[f]),
+        bin_proportions=tuple(counts[f"c{f}_{b}"] / rows[f] for b in range(len(edges[f]) - 1)))
         for f, name in enumerate(columns)}
 
 
-def by_feature(choices: dict[int, Column]) -> Column:
-    """The choice of each row's feature number ``f``."""
-    out = F.lit(None)
-    for f, value in choices.items():
-        out = F.when(F.col("f") == f, value).otherwise(out)
-    return out
-
-
 def reference_frame(spark: SparkSession, stats: ReferenceStats) -> DataFrame:
     """The statistics as a small DataFrame (one row per feature, D12)."""
     rows = [(name, s.mean, s.std, s.minimum, s.maximum, list(s.bin_edges), list(s.bin_proportions))

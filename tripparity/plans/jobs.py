@@ -50,7 +50,7 @@ def train_job(spark: SparkSession, raw: DataFrame, output_dir: str,
     model_path = artifacts.save_model(spark, best, out, config, rows)
     artifacts.log_runs(spark, results, best.name, rows, f"{out}/{RUNS_DIR}", model_path)
     artifacts.save_comparison(spark, results, best.name, f"{out}/{artifacts.COMPARISON_DIR}")
-    reference = drift.compute_reference_stats(features)
+    reference = drift.compute_reference_stats(features, written=True)
     artifacts.save_reference_stats(spark, reference, f"{out}/{artifacts.REFERENCE_DIR}")
     return TrainingOutcome(results, best, rows, reference, model_path)
 
