@@ -21,9 +21,55 @@ def table(spark):
     return models.feature_frame(catalog.training_table(spark, SF_SMALL), keep=("trip_id",)).cache()
 
 
+def _tree_nodes(spark, model):
+    trees = {}
+    for r in explain._saved_trees(spark, model).collect():
+        trees.setdefault(r["treeID"], {})[r["id"]] = (r["prediction"], r["cover"], r["leftChild"], r["rightChild"], r["featureIndex"], r["threshold"])
+    return trees
+
+
+def _polynomial_values(table, x):
+    """Contributions leaf by leaf and row by row, from the coefficients of prod_j (z_j + o_j t) without factor i."""
+    phi = np.zeros((len(x), table.n_features))
+    for g in table.groups:
+        weights = [math.factorial(k) * math.factorial(g.d - 1 - k) / math.factorial(g.d) for k in range(g.d)]
+        for features, low, high, zero, value in zip(g.features, g.lower, g.upper, g.zero, g.value):
+            for r, row in enumerate(x):
+                ones = [float(not v <= a and (v <= b or b == math.inf)) for v, a, b in zip(row[features], low, high)]
+                for i, f in enumerate(features):
+                    poly = np.array([1.0])
+                    for j in range(g.d):
+                        if j != i:
+                            poly = np.convolve(poly, [zero[j], ones[j]])
+                    phi[r, f] += value * (ones[i] - zero[i]) * (poly @ weights)
+    return phi
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pattern_tables_equal_the_polynomials(seed):
+    """Random leaves with 1 to 9 features, empty branches, shared edges, values on edges and no numbers."""
+    rng = np.random.default_rng(seed)
+    groups = []
+    for d in range(1, 10):
+        features = np.array([np.sort(rng.permutation(9)[:d]) for _ in range(7)])
+        lower, upper = rng.integers(0, 4, (7, d)).astype(float), rng.integers(4, 8, (7, d)).astype(float)
+        lower[rng.random((7, d)) < 0.4], upper[rng.random((7, d)) < 0.4] = -np.inf, np.inf
+        zero = np.where(rng.random((7, d)) < 0.1, 0.0, rng.random((7, d)))
+        groups.append(explain.LeafGroup(d, features, lower, upper, zero, rng.normal(size=7)))
+    table = explain.LeafTable(groups, 0.0, 9)
+    x = rng.integers(-1, 9, (30, 9)).astype(float)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    want = _polynomial_values(table, x)
+    assert np.abs(explain.shap_values(table, x) - want).max() < 1e-12
+    assert np.abs(explain.shap_values(table, x, leaves=3, cells=100) - want).max() < 1e-12
+    parts = explain._cut(table, 5)
+    assert len(parts) == 13 and all(p.leaves <= 5 for p in parts)
+    assert np.abs(sum(explain.shap_values(p, x) for p in parts) - want).max() < 1e-12
+
+
 def _brute_force(spark, model, x):
     inner = model.stages[-1]
-    trees = explain._tree_nodes(spark, inner)
+    trees = _tree_nodes(spark, inner)
     weights = list(inner.treeWeights)
     if "Forest" in type(inner).__name__:
         weights = [1 / len(trees)] * len(trees)

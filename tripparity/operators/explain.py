@@ -3,20 +3,21 @@
 Tree ensembles (random forest, boosted trees) get exact path-dependent TreeSHAP. Each leaf of each
 tree contributes a product game over the distinct features on its path: with ``z_j`` the share of
 training cover that follows the path's conditions on feature j and ``o_j(x)`` whether x satisfies
-them, ``v(S) = value * prod_{j in S} o_j * prod_{j not in S} z_j``. Its Shapley values come from the
-polynomial ``prod_j (z_j + o_j t)`` (O(d^2) per leaf, d <= 9), summed over leaves. The leaf table is
-derived from the model on the driver, a bounded block of trees at a time, and shipped to tasks; rows
-are explained in Arrow batches by ``mapInPandas``, so work scales with partitions.
+them, ``v(S) = value * prod_{j in S} o_j * prod_{j not in S} z_j``. Its Shapley values depend on x only
+through the d bits o_j, so a task computes them once per leaf for all 2^d patterns (d <= 9) and reads
+a row's pattern off per-feature interval vectors: one look-up a leaf, however deep the tree. The leaf
+table is derived from the model a bounded block at a time and shipped to tasks; rows are explained in
+large Arrow batches by ``mapInPandas``, so work scales with partitions.
 
 Linear models get the closed form ``coef * (x - mean(x))`` as plain column expressions.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import (GBTRegressionModel, LinearRegressionModel,
                                    RandomForestRegressionModel)
@@ -28,7 +29,7 @@ from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.session import scratch_path, ship_package
 
 SHAP_PREFIX = "shap_"
-BLOCK_NODES = 500_000  # of trees explained at once: some hundred MB of leaf table at most
+BLOCK_NODES = 500_000  # of trees explained at once: at most half are leaves, under 100 MB of leaf table
 
 # Six representative trips, the default sample for global importance.
 REFERENCE_TRIPS = (
@@ -82,25 +83,11 @@ def _saved_trees(spark: SparkSession, model) -> DataFrame:
         "nodeData.split.numCategories")
 
 
-def _tree_nodes(spark: SparkSession, model) -> dict[int, dict[int, tuple]]:
-    return _nodes(_saved_trees(spark, model))
-
-
-def _nodes(saved: DataFrame) -> dict[int, dict[int, tuple]]:
-    trees: dict[int, dict[int, tuple]] = {}
-    for r in saved.collect():
-        if r["numCategories"] is not None and r["numCategories"] > 0:
-            raise ValueError("categorical splits are not supported")
-        trees.setdefault(r["treeID"], {})[r["id"]] = (
-            r["prediction"], r["cover"], r["leftChild"], r["rightChild"], r["featureIndex"], r["threshold"])
-    return trees
-
-
 def leaf_tables(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES), block_nodes: int = BLOCK_NODES):
-    """The ensemble's leaf tables, block by block of whole trees with about ``block_nodes`` nodes.
+    """The ensemble's leaf tables, in blocks of about ``block_nodes`` nodes.
 
-    Contributions of trees add up, so a model of any size is explained exactly while the driver and a
-    broadcast hold one block.
+    Contributions of leaves add up, so a model of any size is explained exactly while a broadcast
+    holds one block; the driver holds the nodes of a block of whole trees, or of one larger tree.
     """
     if isinstance(model, PipelineModel):
         model = model.stages[-1]
@@ -115,109 +102,170 @@ def leaf_tables(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES)
         blocks[-1].append(tree)
         held += nodes
     for block in blocks:
-        yield leaf_table(spark, model, n_features, _nodes(saved.where(F.col("treeID").between(block[0], block[-1]))))
+        yield from _cut(_leaves(saved.where(F.col("treeID").between(block[0], block[-1])), _tree_weights(model), n_features), block_nodes)
 
 
-def leaf_table(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES),
-               trees: dict[int, dict[int, tuple]] | None = None) -> LeafTable:
-    """M10 preparation: one row per leaf with per-feature bounds and cover fractions, of all trees or
-    the given ones."""
+def _cut(table: LeafTable, most: int):
+    """Parts of at most ``most`` leaves; the first carries the base value."""
+    parts = [LeafTable([], table.base_value, table.n_features)]
+    for g in table.groups:
+        at = 0
+        while at < len(g.value):
+            if parts[-1].leaves >= most:
+                parts.append(LeafTable([], 0.0, table.n_features))
+            take = slice(at, at + most - parts[-1].leaves)
+            parts[-1].groups.append(LeafGroup(g.d, *(a[take] for a in (g.features, g.lower, g.upper, g.zero, g.value))))
+            at = take.stop
+    return parts
+
+
+def leaf_table(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES)) -> LeafTable:
+    """M10 preparation: one row per leaf with per-feature bounds and cover fractions, of all trees."""
     if isinstance(model, PipelineModel):
         model = model.stages[-1]
+    return _leaves(_saved_trees(spark, model), _tree_weights(model), n_features)
+
+
+def _tree_weights(model) -> list[float]:
     if isinstance(model, RandomForestRegressionModel):
-        weights = [1.0 / model.getNumTrees] * model.getNumTrees
-    elif isinstance(model, GBTRegressionModel):
-        weights = list(model.treeWeights)
-    else:
-        raise TypeError(f"TreeSHAP needs a tree ensemble, got {type(model).__name__}")
-    trees = trees if trees is not None else _tree_nodes(spark, model)
-    by_d: dict[int, list] = {}
-    base = 0.0
-    for tree_id, nodes in trees.items():
-        weight = weights[tree_id]
-        root_cover = nodes[0][1]
-        stack = [(0, {})]  # node id, {feature: (lower, upper, zero)}
-        while stack:
-            node_id, conds = stack.pop()
-            pred, cover, left, right, feat, thr = nodes[node_id]
-            if left < 0:
-                base += weight * pred * cover / root_cover
-                feats = sorted(conds)
-                by_d.setdefault(len(feats), []).append(
-                    ([f for f in feats], [conds[f][0] for f in feats], [conds[f][1] for f in feats],
-                     [conds[f][2] for f in feats], weight * pred))
-                continue
-            for child, goes_left in ((left, True), (right, False)):
-                lo, hi, z = conds.get(feat, (-math.inf, math.inf, 1.0))
-                ratio = nodes[child][1] / cover if cover > 0 else 0.0
-                new = dict(conds)
-                new[feat] = (lo, min(hi, thr), z * ratio) if goes_left else (max(lo, thr), hi, z * ratio)
-                stack.append((child, new))
+        return [1.0 / model.getNumTrees] * model.getNumTrees
+    if isinstance(model, GBTRegressionModel):
+        return list(model.treeWeights)
+    raise TypeError(f"TreeSHAP needs a tree ensemble, got {type(model).__name__}")
+
+
+def _leaves(saved: DataFrame, weights: list[float], n_features: int) -> LeafTable:
+    """Walks all trees of the node table together, one level at a time."""
+    nodes = saved.orderBy("treeID", "id").toPandas()
+    if (nodes["numCategories"].fillna(0) > 0).any():
+        raise ValueError("categorical splits are not supported")
+    tree, node = nodes["treeID"].to_numpy(np.int64), nodes["id"].to_numpy(np.int64)
+    prediction, cover = nodes["prediction"].to_numpy(float), nodes["cover"].to_numpy(float)
+    stride = int(node.max(initial=0)) + 1
+    keys = tree * stride + node  # sorted
+    left, right = (np.searchsorted(keys, tree * stride + nodes[c].to_numpy(np.int64)) for c in ("leftChild", "rightChild"))
+    split = nodes["leftChild"].to_numpy(np.int64) >= 0
+    feature, threshold = nodes["featureIndex"].fillna(0).to_numpy(np.int64), nodes["threshold"].to_numpy(float)
+
+    at = np.flatnonzero(node == 0)
+    start = (len(at), n_features)
+    lower, upper, zero, used = np.full(start, -np.inf), np.full(start, np.inf), np.ones(start), np.zeros(start, bool)
+    base, found = 0.0, []
+    roots = dict(zip(tree[at].tolist(), cover[at].tolist()))
+    while len(at):
+        ends = ~split[at]
+        leaf = at[ends]
+        value = np.array([weights[t] for t in tree[leaf]]) * prediction[leaf]
+        base += float(sum(value * cover[leaf] / np.array([roots[t] for t in tree[leaf]])))
+        found.append((lower[ends], upper[ends], zero[ends], used[ends], value))
+        at, lower, upper, zero, used = (v[~ends] for v in (at, lower, upper, zero, used))
+        sides = []
+        for child, goes_left in ((left[at], True), (right[at], False)):
+            low, high, z, u = lower.copy(), upper.copy(), zero.copy(), used.copy()
+            rows, f = np.arange(len(at)), feature[at]
+            if goes_left:
+                high[rows, f] = np.minimum(high[rows, f], threshold[at])
+            else:
+                low[rows, f] = np.maximum(low[rows, f], threshold[at])
+            z[rows, f] *= np.divide(cover[child], cover[at], out=np.zeros(len(at)), where=cover[at] > 0)
+            u[rows, f] = True
+            sides.append((child, low, high, z, u))
+        at, lower, upper, zero, used = (np.concatenate(pair) for pair in zip(*sides))
+
+    lower, upper, zero, used, value = (np.concatenate(part) for part in zip(*found)) if found else (lower, upper, zero, used, np.zeros(0))
     groups = []
-    for d, leaves in sorted(by_d.items()):
-        if d == 0:
-            continue  # a single-leaf tree only shifts the base value
-        groups.append(LeafGroup(
-            d=d,
-            features=np.array([l[0] for l in leaves], dtype=np.int64),
-            lower=np.array([l[1] for l in leaves], dtype=np.float64),
-            upper=np.array([l[2] for l in leaves], dtype=np.float64),
-            zero=np.array([l[3] for l in leaves], dtype=np.float64),
-            value=np.array([l[4] for l in leaves], dtype=np.float64)))
+    for d in range(1, n_features + 1):  # a tree of one leaf only shifts the base value
+        mine = used.sum(axis=1) == d
+        if mine.any():
+            features = np.nonzero(used[mine])[1].reshape(-1, d)
+            pick = [np.take_along_axis(a[mine], features, axis=1) for a in (lower, upper, zero)]
+            groups.append(LeafGroup(d, features, *pick, value[mine]))
     return LeafTable(groups, base, n_features)
 
 
 # ----------------------------------------------------------------------------- Shapley kernel
 
-def _shapley_weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
-
+def pattern_tables(zero: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """(L, 2^d, d): every leaf's contributions for every pattern of fulfilled path features.
 
-def shap_values(table: LeafTable, x: np.ndarray, max_cells: int = 2_000_000) -> np.ndarray:
-    """Contributions (n, n_features) for rows ``x`` (n, n_features); base value not included."""
-    n = x.shape[0]
-    phi = np.zeros((n, table.n_features))
-    for g in table.groups:
-        d, n_leaves = g.d, len(g.value)
-        w = _shapley_weights(d)
-        zero = g.zero
-        onehots = [np.eye(table.n_features)[g.features[:, i]] for i in range(d)]  # (L, F) each
-        step = max(1, max_cells // (n_leaves * (d + 1)))
-        for start in range(0, n, step):
-            xs = x[start:start + step]
-            vals = xs[:, g.features]                                         # (m, L, d)
-            # Not a number goes right at every split, as in the model: it passes every lower bound.
-            ones = (~(vals <= g.lower) & ((vals <= g.upper) | np.isposinf(g.upper))).astype(np.float64)
-            m = xs.shape[0]
-            poly = np.zeros((m, n_leaves, d + 1))
-            poly[..., 0] = 1.0
-            for j in range(d):
-                z, o = zero[:, j], ones[..., j]
-                shifted = poly[..., :j + 1] * o[..., None]
-                poly[..., :j + 2] *= z[None, :, None]
-                poly[..., 1:j + 2] += shifted
-            for i in range(d):
-                z, o = zero[:, i], ones[..., i]
-                divided_one = np.empty((m, n_leaves, d))
-                divided_one[..., d - 1] = poly[..., d]
-                for k in range(d - 1, 0, -1):
-                    divided_one[..., k - 1] = poly[..., k] - z[None, :] * divided_one[..., k]
-                # o = 0: the factor is the constant z; if z is 0 too the leaf's game is all zero
-                divided_zero = np.divide(poly[..., :d], np.broadcast_to(z[None, :, None], poly[..., :d].shape),
-                                         out=np.zeros((m, n_leaves, d)), where=z[None, :, None] > 0)
-                divided = np.where(o[..., None] > 0.5, divided_one, divided_zero)
-                contrib = (o - z[None, :]) * (divided @ w) * g.value[None, :]
-                phi[start:start + m] += contrib @ onehots[i]
+    The Shapley weight of k features before i is the integral of u^k (1-u)^(d-1-k), so the weighted sum
+    over all orders is the integral over u of prod_{j != i} (z_j (1-u) + o_j u): a polynomial of degree
+    d - 1, which Gauss-Legendre nodes integrate exactly. Bit j of the pattern is o_j.
+    """
+    n_leaves, d = zero.shape
+    nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    u, weights = (nodes + 1) / 2, weights / 2
+    miss = zero[:, :, None] * (1 - u)  # (L, d, nodes)
+    out = np.empty((n_leaves, 2 ** d, d))
+    for i in range(d):
+        product = np.ones((n_leaves, 1, len(u)))
+        for j in range(d):
+            if j != i:
+                product = np.concatenate([product * miss[:, None, j], product * (miss[:, None, j] + u)], axis=1)
+        rest = ((product @ weights) * value[:, None]).reshape(n_leaves, 2 ** (d - 1 - i), 2 ** i)
+        by_bit = out.reshape(n_leaves, 2 ** (d - 1 - i), 2, 2 ** i, d)
+        by_bit[:, :, 0, :, i] = -zero[:, i, None, None] * rest
+        by_bit[:, :, 1, :, i] = (1 - zero[:, i, None, None]) * rest
+    return out
+
+
+def interval_bits(group: LeafGroup, n_features: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(feature, edges, bits): bits[r] holds, for every leaf, the pattern bit that values in the r-th
+    interval between the edges (the upper one included) set."""
+    out = []
+    for f in range(n_features):
+        leaf, place = np.nonzero(group.features == f)
+        if not len(leaf):
+            continue
+        low, high = group.lower[leaf, place], group.upper[leaf, place]
+        edges = np.unique(np.concatenate([low, high]))
+        edges = edges[np.isfinite(edges)]
+        first, last = np.searchsorted(edges, low, side="right"), np.searchsorted(edges, high, side="left")
+        r = np.arange(len(edges) + 1)[:, None]
+        bits = np.zeros((len(edges) + 1, len(group.value)), np.int16)
+        bits[:, leaf] = ((r >= first) & (r <= last)).astype(np.int16) << place.astype(np.int16)
+        out.append((f, edges, bits))
+    return out
+
+
+def shap_values(table: LeafTable, x: np.ndarray, leaves: int = 256, cells: int = 1_000_000) -> np.ndarray:
+    """Contributions (n, n_features) for rows ``x`` (n, n_features); base value not included.
+
+    A chunk of leaves at a time: the row's intervals give each leaf's pattern, the pattern its row in
+    the leaf's table, so a row costs one look-up a leaf. Not a number goes right at every split, as in
+    the model: it sorts behind every edge, where only unbounded leaves are fulfilled.
+    """
+    phi = np.zeros((len(x), table.n_features))
+    for whole in table.groups:
+        if whole.d > 12:
+            raise ValueError("a leaf's table has 2^d rows; at most 12 features on a path")
+        for start in range(0, len(whole.value), leaves):
+            take = slice(start, start + leaves)
+            g = LeafGroup(whole.d, *(a[take] for a in (whole.features, whole.lower, whole.upper, whole.zero, whole.value)))
+            size = 2 ** g.d
+            tables = np.zeros((len(g.value), size, table.n_features))
+            np.put_along_axis(tables, np.broadcast_to(g.features[:, None, :], (len(g.value), size, g.d)), pattern_tables(g.zero, g.value), axis=2)
+            tables = tables.reshape(-1, table.n_features)
+            offsets = np.arange(len(g.value)) * size
+            vectors = interval_bits(g, table.n_features)
+            places = [np.searchsorted(edges, x[:, f]) for f, edges, _ in vectors]
+            step = max(1, cells // (len(g.value) * table.n_features))
+            for at in range(0, len(x), step):
+                pattern = sum(bits[place[at:at + step]] for (_, _, bits), place in zip(vectors, places))
+                phi[at:at + step] += tables[pattern + offsets].sum(axis=1)
     return phi
 
 
+ROWS_AT_ONCE = 1 << 16  # rows that share the pattern tables of a block
+
+
 def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str = "",
                   block_nodes: int = BLOCK_NODES, partitions: int | None = None) -> DataFrame:
     """Keep columns, the nine feature values, ``base_value``, the explained prediction
     (base + sum of contributions) and one ``shap_<feature>`` column per feature.
 
-    The model is applied block by block of trees; between blocks the sums so far are written to the
-    shared folder. ``partitions`` spreads the rows over that many tasks.
+    The model is applied block by block; between blocks the sums so far are written to the shared
+    folder. ``partitions`` spreads the rows over that many tasks.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -236,14 +284,25 @@ def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str
     return rows
 
 
+def _gathered(batches):
+    """Arrow batches put together, so that many rows share the tables built for them."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= ROWS_AT_ONCE:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _adder(shipped):
     """Adds one block's base value and contributions to the sums of every row."""
 
     def run(batches):
         leaves = shipped.value
-        for pdf in batches:
+        for pdf in _gathered(batches):
             phi = shap_values(leaves, pdf[list(FEATURE_NAMES)].to_numpy(dtype=np.float64))
-            pdf = pdf.copy()
             pdf["base_value"] += leaves.base_value
             pdf["predicted_fare_amount"] += leaves.base_value + phi.sum(axis=1)
             for i, name in enumerate(FEATURE_NAMES):
