@@ -84,7 +84,7 @@ def test_deciles_of_distinct_doubles_equal_numpy(spark, rows, partitions):
 def test_no_exchange_grows_with_the_values(spark, training):
     values = drift._values(training, FEATURE_NAMES)
     plan = drift._histogram(values, {0: {16384}}, 2)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
     assert len(exchanges) == 1 and "hashpartitioning(f#" in exchanges[0] and "x#" not in exchanges[0]
     assert plan.count("HashAggregate") == 2  # counted in the task before the exchange
 

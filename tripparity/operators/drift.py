@@ -78,25 +78,29 @@ def _histogram(values: DataFrame, parents: dict[int, set[int]] | None, digits: i
     """
     shift = 64 - DIGIT * digits
     parent = F.shiftright("key", shift + DIGIT) if digits > 1 else F.lit(0).cast("long")
+    values = values.withColumn("parent", parent)
     if parents is not None:
-        wanted = F.lit(False)
-        for f, prefixes in sorted(parents.items()):
-            wanted = wanted | ((F.col("f") == f) & parent.isin(sorted(prefixes)))
-        values = values.where(wanted)
+        # At most one row per wanted rank; as a join, so that the key is computed once.
+        wanted = values.sparkSession.createDataFrame([(f, p) for f, held in sorted(parents.items()) for p in sorted(held)], "f int, parent long")
+        values = values.join(F.broadcast(wanted), ["f", "parent"], "left_semi")
     bucket = F.shiftright("key", shift) if shift else F.col("key")
-    return values.groupBy("f", parent.alias("parent"), bucket.alias("bucket")).agg(
+    return values.groupBy("f", "parent", bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def order_statistics(features: DataFrame, columns: tuple[str, ...], ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
-    """Values at the wanted 0-based ranks of the columns' sorted rows, by radix selection.
+    """Values at the wanted 0-based ranks of the columns' sorted rows. Columns hold doubles without NaN; nulls are left out."""
+    return select_ranks(_values(features, columns), ranks)
+
+
+def select_ranks(values: DataFrame, ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """Values at the wanted 0-based ranks within each group f of (f, x, key = ordered_key(x)), by radix selection.
 
     Every pass counts one more digit of the order-preserving keys, but only inside the buckets where a
     wanted rank lies; a bucket of equal values ends its ranks early. Four passes at most, and the
-    driver sees one row per wanted rank. Columns hold doubles without NaN; nulls are left out.
+    driver sees one row per wanted rank.
     """
-    spark = features.sparkSession
-    values = _values(features, columns)
+    spark = values.sparkSession
     open_ = [(f, rank, 0, rank) for f, wanted in ranks.items() for rank in sorted(wanted)]  # f, rank, bucket, rank within
     found: dict[tuple[int, int], float] = {}
     for digits in range(1, 64 // DIGIT + 1):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tripparity.operators.boosting import BoostedTrees
 from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.session import scratch_path, ship_package
 
@@ -73,6 +74,8 @@ class LeafTable:
 
 def _saved_trees(spark: SparkSession, model) -> DataFrame:
     """Node table of a tree ensemble, read back from the model's own persisted form."""
+    if isinstance(model, BoostedTrees):
+        return model.node_frame(spark)
     path = scratch_path(spark, "tree-model")
     model.write().overwrite().save(path)
     return spark.read.parquet(f"{path}/data").select(
@@ -101,8 +104,11 @@ def leaf_tables(spark: SparkSession, model, n_features: int = len(FEATURE_NAMES)
             held = 0
         blocks[-1].append(tree)
         held += nodes
-    for block in blocks:
-        yield from _cut(_leaves(saved.where(F.col("treeID").between(block[0], block[-1])), _tree_weights(model), n_features), block_nodes)
+    for number, block in enumerate(b for b in blocks if b):
+        table = _leaves(saved.where(F.col("treeID").between(block[0], block[-1])), _tree_weights(model), n_features)
+        if number == 0:
+            table.base_value += getattr(model, "init", 0.0)
+        yield from _cut(table, block_nodes)
 
 
 def _cut(table: LeafTable, most: int):
@@ -131,6 +137,8 @@ def _tree_weights(model) -> list[float]:
         return [1.0 / model.getNumTrees] * model.getNumTrees
     if isinstance(model, GBTRegressionModel):
         return list(model.treeWeights)
+    if isinstance(model, BoostedTrees):
+        return [1.0] * len(model.trees)
     raise TypeError(f"TreeSHAP needs a tree ensemble, got {type(model).__name__}")
 
 

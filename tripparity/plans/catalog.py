@@ -14,7 +14,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripparity.operators import contracts, drift, explain, metrics, models, pairs, parity
+from tripparity.operators import boosting, contracts, drift, explain, metrics, models, pairs, parity
 from tripparity.plans import jobs
 from tripparity.session import scratch_path
 from tripparity.sources import artifacts
@@ -436,6 +436,13 @@ def q_tree_stump_scores(spark, sf_dir):
     return models.score(table, fitted).select("trip_id", F.round("predicted_fare_amount", 6).alias("predicted_fare_amount"))
 
 
+def q_boosted_leafwise_scores(spark, sf_dir):
+    """M4: two rounds of best-first trees with four leaves on all trips, their scores."""
+    table = training_table(spark, sf_dir)
+    fitted = boosting.fit_boosted(table, models.LABEL, boosting.BoostingConfig(rounds=2, leaves=4, rate=0.3))
+    return fitted.transform(table).select("trip_id", F.round("prediction", 6).alias("predicted_fare_amount"))
+
+
 def q_ridge_normal_equations(spark, sf_dir):
     """M2: the fitted ridge satisfies its normal equations, sum(x (y - prediction)) = alpha w, per feature."""
     config = models.TrainingConfig()
@@ -562,6 +569,7 @@ def base_queries() -> dict[str, Query]:
         "score_tree_checks": q_score_tree_checks,
         "explain_tree_checks": q_explain_tree_checks,
         "tree_stump_scores": q_tree_stump_scores,
+        "boosted_leafwise_scores": q_boosted_leafwise_scores,
         "ridge_normal_equations": q_ridge_normal_equations,
         "stream_parity_scored": q_stream_parity_scored,
         "stream_drift_windows": q_stream_drift_windows,

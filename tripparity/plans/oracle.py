@@ -531,6 +531,39 @@ WINDOW_STATUS = """SELECT p.window_start, p.n AS sample_count,
 FROM psi p GROUP BY p.window_start, p.n"""
 
 
+def _boosted_sql(rounds: int, leaves: int, rate: float, least_rows: int, bins: int) -> str:
+    """Best-first L1 boosting, one split a step: every step takes the leaf, feature and bin of greatest gain."""
+    middle = "min(x) FILTER (rn IN ((n - 1) // 2, n // 2)) / 2 + max(x) FILTER (rn IN ((n - 1) // 2, n // 2)) / 2"
+    features = ", ".join(f"CAST({n} AS DOUBLE) AS f{i}" for i, n in enumerate(FEATURES))
+    out = f"""
+, long AS MATERIALIZED (UNPIVOT (SELECT trip_id, {features} FROM training) ON {", ".join(f"f{i}" for i in range(len(FEATURES)))} INTO NAME f VALUE x),
+ranked AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS rn, count(*) OVER (PARTITION BY f) AS n FROM long),
+edges AS MATERIALIZED (SELECT DISTINCT f, x AS edge FROM ranked JOIN range(1, {bins}) AS cut(i) ON rn = i * n // {bins}),
+bins AS MATERIALIZED (SELECT trip_id, f, b FROM long JOIN (
+  SELECT v.f, v.x, count(e.edge) AS b FROM (SELECT DISTINCT f, x FROM long) v LEFT JOIN edges e ON e.f = v.f AND e.edge < v.x GROUP BY ALL) USING (f, x)),
+score0 AS MATERIALIZED (SELECT trip_id, fare_amount AS y, (SELECT {middle} FROM (
+  SELECT fare_amount AS x, row_number() OVER (ORDER BY fare_amount) - 1 AS rn, count(*) OVER () AS n FROM training)) AS score FROM training)"""
+    for r in range(rounds):
+        out += f"""
+, grad{r} AS MATERIALIZED (SELECT trip_id, y, score, y - score AS rest, -sign(y - score) AS g FROM score{r}),
+leaf{r}_0 AS (SELECT trip_id, '' AS path FROM grad{r})"""
+        for k in range(leaves - 1):
+            out += f"""
+, sums{r}_{k} AS (SELECT path, f, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(g) AS DOUBLE) AS s
+  FROM bins JOIN leaf{r}_{k} USING (trip_id) JOIN grad{r} USING (trip_id) GROUP BY ALL),
+side{r}_{k} AS (SELECT path, f, b, sum(n) OVER o AS n0, sum(s) OVER o AS s0, sum(n) OVER w AS n, sum(s) OVER w AS s FROM sums{r}_{k}
+  WINDOW o AS (PARTITION BY path, f ORDER BY b), w AS (PARTITION BY path, f)),
+best{r}_{k} AS MATERIALIZED (SELECT * FROM (SELECT *, s0 * s0 / n0 + (s - s0) * (s - s0) / (n - n0) - s * s / n AS gain FROM side{r}_{k}
+  WHERE n0 >= {least_rows} AND n - n0 >= {least_rows}) WHERE gain > 1e-7 ORDER BY gain DESC, path, f, b LIMIT 1),
+leaf{r}_{k + 1} AS MATERIALIZED (SELECT l.trip_id, l.path || CASE WHEN t.path IS NULL THEN '' WHEN i.b <= t.b THEN '0' ELSE '1' END AS path
+  FROM leaf{r}_{k} l LEFT JOIN best{r}_{k} t ON t.path = l.path LEFT JOIN bins i ON i.trip_id = l.trip_id AND i.f = t.f)"""
+        out += f"""
+, value{r} AS (SELECT path, {middle} AS m FROM (SELECT path, rest AS x, row_number() OVER (PARTITION BY path ORDER BY rest) - 1 AS rn,
+  count(*) OVER (PARTITION BY path) AS n FROM grad{r} JOIN leaf{r}_{leaves - 1} USING (trip_id)) GROUP BY path),
+score{r + 1} AS MATERIALIZED (SELECT trip_id, y, score + {rate} * m AS score FROM grad{r} JOIN leaf{r}_{leaves - 1} USING (trip_id) JOIN value{r} USING (path))"""
+    return with_ctes(TRIPS, body=out + f"\nSELECT trip_id, round(score, 6) AS predicted_fare_amount FROM score{rounds}")
+
+
 def trained_sql() -> dict[str, str]:
     """What holds of the fitted models, and a depth-1 tree in full: the split with the largest drop of
     the squared error among the midpoints of neighbouring values of all features."""
@@ -549,6 +582,7 @@ SELECT v.trip_id, round(CASE WHEN v.x <= b.threshold THEN b.left_mean ELSE b.rig
 FROM tv v JOIN best b USING (feature)""")
     return {
         "tree_stump_scores": stump,
+        "boosted_leafwise_scores": _boosted_sql(rounds=2, leaves=4, rate=0.3, least_rows=20, bins=255),
         "ridge_normal_equations": "SELECT unnest([" + ", ".join(f"'{n}'" for n in FEATURES) + "]) AS feature, true AS holds",
         "score_tree_checks": with_ctes(TRIPS, REQUESTS, body="""
 SELECT request_id, true AS prediction_finite, CAST(9 - count_if(NOT matched) AS INTEGER) AS matched_count
