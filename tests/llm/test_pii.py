@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tripparity.llm import pii as P
 
@@ -64,28 +65,32 @@ def test_long_runs_need_no_recursion_and_no_square_time(spark):
     assert {r["doc_id"]: r["n_email"] for r in P.scan_personal_data(df).collect()}[3] == 1
 
 
-def plain_terms(texts, support=P.SUPPORT):
-    """Disclosing (entity, term) pairs by direct counting."""
-    both, entity, docs_with = Counter(), Counter(), Counter()
+def plain_terms(texts):
+    """{document: {term: kind}} of the disclosing terms, by direct counting of every pair."""
+    both, entity, docs_with, names, found = Counter(), Counter(), Counter(), set(), {}
+    word, here = r"[^\W\d_]{2,}", []
     for text in texts:
-        spans = sorted((s, k, e) for k, s, e in plain_spans(text))
-        seen_pairs, seen = set(), set()
-        for i, (s, k, e) in enumerate(spans):
-            name = f"{k}:{text[s:e].lower()}"
-            seen.add(name)
-            left = max(spans[i - 1][2] if i else 0, s - P.CONTEXT_CHARS)
-            right = min((spans[i + 1][0] if i + 1 < len(spans) else len(text)) - e, P.CONTEXT_CHARS)
-            words = re.findall(r"[^\W\d_]{3,}", text[left:s])[-P.CONTEXT_TERMS:] + re.findall(r"[^\W\d_]{3,}", text[e:e + right])[:P.CONTEXT_TERMS]
-            seen_pairs.update((name, w.lower()) for w in words)
-        both.update(seen_pairs)
-        entity.update(seen)
-        docs_with.update({w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)})
-    out = set()
-    for (e, t), n in both.items():
-        top, bottom = math.log(len(texts) * n / (docs_with[t] * entity[e])), math.log(len(texts) / entity[e])
-        if n >= support and bottom and top / bottom >= P.GENERALIZE_AT:
-            out.add((e, t))
-    return out
+        spans = sorted((s, e, k) for k, s, e in plain_spans(text))
+        rest, at = "", 0
+        for s, e, _ in spans:
+            rest += text[at:s] + "," * (e - max(at, s))
+            at = max(at, e)
+        rest += text[at:]
+        entities, terms = {f"{k}:{text[s:e].lower()}" for s, e, k in spans}, {w.lower() for w in re.findall(word, rest)}
+        capital = {m.group().lower() for m in re.finditer(r"(?<=[^\W_] |[,;:] )[^\W\d_]+", rest) if m.group()[0].isupper() and len(m.group()) > 1}
+        here.append((entities, terms))
+        entity.update(entities)
+        both.update((e, t) for e in entities for t in terms)
+        names |= {(e, t) for e in entities for t in capital}
+        docs_with.update({w.lower() for w in re.findall(word, text)})
+    for i, (entities, terms) in enumerate(here):
+        for e in entities:
+            for t in terms:
+                bits = -math.log2(both[e, t] / (docs_with[t] + (P.NAME_PRIOR if (e, t) in names else P.PRIOR)))
+                if bits <= P.GENERALIZE_BITS:
+                    kind = "remove" if bits <= P.REMOVE_BITS else "generalize"
+                    found.setdefault(i, {})[t] = max(kind, found.get(i, {}).get(t, ""))
+    return found
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +105,8 @@ def corpus():
         elif i % 7 == 0:
             words[5:5] = [f"user{i}@mail.example"]
         texts.append(" ".join(words))
+    # A one-off address with a rare name beside it, one far away behind another entity, a rare word written small.
+    texts.append("we met Li Wuxing today " + "and " * 60 + "solo@one.example or +49 30 1234567 but " + "and " * 60 + "then, Qadir the zyxwv left")
     return texts
 
 
@@ -107,15 +114,32 @@ def test_disclosing_terms_match_direct_counts(spark, corpus):
     df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string").repartition(5)
     rows = {r["doc_id"]: r for r in P.scan_personal_data(df).collect()}
     want = plain_terms(corpus)
-    assert {("0:ann@corp.example", "zamboni"), ("0:ann@corp.example", "harbour")} <= want
+    assert want[0]["zamboni"] == want[0]["harbour"] == "remove"
+    assert {"li", "wuxing", "qadir"} <= want[400].keys() and not {"zyxwv", "and", "met", "then"} & want[400].keys()
     for i, text in enumerate(corpus):
         spans = [s.split(":") for s in rows[i]["spans"].split(",") if s]
-        found = {text[int(s):int(e)].lower() for k, s, e in spans if k in P.KINDS[4:]}
-        here = {f"{k}:{text[s:e].lower()}" for k, s, e in plain_spans(text)}
-        assert found == {t for e, t in want if e in here and t in text.lower().split()}, i
+        found = {(text[int(s):int(e)].lower(), k) for k, s, e in spans if k in P.KINDS[4:]}
+        assert found == set(want.get(i, {}).items()), i
+        assert rows[i]["n_terms"] == sum(k in P.KINDS[4:] for k, _, _ in spans)
     check([(t, rows[i]) for i, t in enumerate(corpus)])
 
 
+def test_terms_are_marked_wherever_they_stand(spark):
+    text = "Zamboni writes. we asked Zamboni twice: zamboni@x.example, zamboni again"
+    df = spark.createDataFrame([(0, text), (1, "nothing here"), (2, "we asked twice again")], "doc_id long, text string")
+    row = {r["doc_id"]: r for r in P.scan_personal_data(df).collect()}[0]
+    marked = [text[int(s):int(e)] for k, s, e in (x.split(":") for x in row["spans"].split(",")) if k == "generalize"]
+    assert marked.count("Zamboni") == 2 and marked.count("zamboni") == 1 and "asked" not in marked
+
+
+def test_ordinary_data_has_disclosing_terms(spark):
+    """On sf0.1 the method finds terms, in documents with entities alone."""
+    found = P.op4_personal_data(spark, "/root/testdata/sf0.1")
+    held = F.expr("n_email + n_ip + n_card + n_phone")
+    got = found.agg(F.sum("n_terms").alias("terms"), F.sum(F.when(held == 0, F.col("n_terms"))).alias("elsewhere"), F.count_if(F.col("n_terms") > 0).alias("docs")).first()
+    assert got["terms"] > 0 and got["elsewhere"] == 0 and got["docs"] > 10
+
+
 def test_sanitized_texts_hold_no_personal_data(spark, texts, corpus):
     rows = [(i, t, "en", None, 3) for i, t in enumerate(texts + corpus)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)

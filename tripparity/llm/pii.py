@@ -1,9 +1,12 @@
-"""Personal data: fixed patterns, and context terms that disclose them, in DataFrame functions only.
-
-The protected entities are the values that the patterns find. Corpus counts say how strongly a term
-in an entity's context reveals it: the pointwise mutual information of term and entity as a share of
-the entity's information content. Where that share passes a threshold and enough documents support
-it, the term is generalised; above a second threshold it is removed.
+"""Personal data: fixed patterns, and terms that disclose them, in DataFrame functions only.
+
+The protected entities are the values that the patterns find. Documents of the whole corpus are counted
+in which a term, an entity, and both occur. What a term leaves unknown about an entity is
+-log2 P(entity | term) bits, with P = both / (documents of the term + prior). A term that leaves at most
+a first threshold is generalised, below a second one removed, wherever it stands in the entity's
+documents. The prior says how much a term may be chance: it is smaller for words written like names
+(a capital inside a sentence), so that one document beside a one-off entity is enough for a rare name,
+while an ordinary word needs two.
 """
 
 from __future__ import annotations
@@ -25,11 +28,10 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"\p{L}{3,}+"
-CONTEXT_TERMS = 8  # on either side
-CONTEXT_CHARS = 240
-SUPPORT = 3
-GENERALIZE_AT, REMOVE_AT = 0.7, 0.9
+TERM = r"\p{L}{2,}+"
+NAME = r"(?<=[\p{L}\p{N},;:]\x20)\p{Lu}\p{L}++"
+PRIOR, NAME_PRIOR = 2.0, 1.0  # documents
+GENERALIZE_BITS, REMOVE_BITS = 1.0, 0.35
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "[REMOVED]")
 _CHUNK = 256
 
@@ -113,77 +115,83 @@ def of_kind_count(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def context_terms(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) for the terms around each span, up to the spans next to it."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with commas in place of every character of the spans (in order): all other places stay."""
+    empty = F.array().cast("array<string>")
 
-    def terms(begin: Column, length: Column, last: bool) -> Column:
-        segment = F.substring(text, (begin + 1).cast("int"), F.greatest(length, F.lit(0)).cast("int"))
-        at = F.transform(matches(segment, TERM), lambda m: F.struct(
-            (begin + m["start"]).alias("start"), (begin + m["end"]).alias("end"), F.lower(m["value"]).alias("term")))
-        if last:
-            return let(at, lambda m: F.slice(m, F.greatest(F.size(m) - CONTEXT_TERMS + 1, F.lit(1)), F.lit(CONTEXT_TERMS)))
-        return F.slice(at, 1, CONTEXT_TERMS)
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(
+            F.substring(text, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int")),
+            F.repeat(F.lit(","), F.greatest(s["end"] - start, F.lit(0)).cast("int")))).alias("out"))
 
-    def around(all_: Column) -> Column:
-        def one(span: Column, i: Column) -> Column:
-            before = F.when(i > 0, all_[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(F.lit(0))
-            after = F.when(i < F.size(all_) - 1, all_[F.least(i + 1, F.size(all_) - 1)]["start"]).otherwise(F.length(text))
-            left = F.greatest(before, span["start"] - CONTEXT_CHARS)
-            pieces = F.concat(terms(left, span["start"] - left, True),
-                              terms(span["end"], F.least(after - span["end"], F.lit(CONTEXT_CHARS)), False))
-            entity = F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
-            return F.transform(pieces, lambda t: F.struct(entity.alias("entity"), t["term"].alias("term"),
-                                                          t["start"].alias("start"), t["end"].alias("end")))
+    return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step,
+                       lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
-        return F.flatten(F.transform(all_, one))
 
-    return let(spans, around)
+def document_terms(text: Column, pattern: str = TERM) -> Column:
+    """The distinct terms of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.lower(w)))
 
 
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
-    """Documents in which a pattern occurs, numbered, with spans and contexts; columns renamed by place."""
+    """Documents in which a pattern occurs, numbered, with spans and the text beside them; columns renamed by place."""
     inner = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
     hits = docs.where(may_hold(F.col(text_col))).withColumnsRenamed(inner).withColumn("__row", F.monotonically_increasing_id())
     hits = materialize(hits.withColumn("__spans", base_spans(F.col(inner[text_col]))), "pii-hits")
-    return materialize(hits.withColumn("__contexts", context_terms(F.col(inner[text_col]), F.col("__spans"))), "pii-contexts")
+    return materialize(hits.withColumn("__rest", _blanked(F.col(inner[text_col]), F.col("__spans"))), "pii-rest")
 
 
-def disclosing_terms(contexts: DataFrame, entities: DataFrame, texts: DataFrame, support: int = SUPPORT,
-                     generalize_at: float = GENERALIZE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """(entity, term, kind) for the terms whose share of the entity's information passes a threshold.
+def disclosing_terms(held: DataFrame, entities: DataFrame, texts: DataFrame, prior: float = PRIOR, name_prior: float = NAME_PRIOR,
+                     generalize_bits: float = GENERALIZE_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
+    """(row, term, kind) for the terms that disclose an entity of their document.
 
-    ``contexts`` (row, entity, term), ``entities`` (row, entity), ``texts`` (text of every document).
-    Counts are of documents, over the whole corpus. share = log(N c(t,e) / (c(t) c(e))) / log(N / c(e)).
+    ``held`` (row, term, name) and ``entities`` (row, entity) of the documents with entities, ``texts``
+    (text of every document). Counts are of documents, over the whole corpus. As ``both`` is at most the
+    entity's documents, terms of more documents than could pass are dropped before they meet entities;
+    nothing else is: the result is that of judging every pair.
     """
-    pairs = contexts.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")) \
-        .where(F.col("both") >= support)
-    pairs = materialize(pairs, "pii-pairs")
-    each = entities.distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")) \
-        .groupBy("term").agg(F.count("*").alias("of_term"))
-    terms = materialize(terms, "pii-terms")  # counted before any join, so that words never meet the pairs one by one
-    total = texts.count()
-    counted = pairs.join(each, "entity").join(terms, "term", "left")
-    of_term = F.greatest(F.coalesce("of_term", "both"), F.col("both"))
-    share = F.try_divide(F.log(F.lit(float(total)) * F.col("both") / (of_term * F.col("of_entity"))),
-                         F.log(F.lit(float(total)) / F.col("of_entity")))
-    judged = counted.withColumn("share", share).where(F.col("share") >= generalize_at)
-    return judged.select("entity", "term", F.when(F.col("share") >= remove_at, F.lit(5)).otherwise(F.lit(4)).alias("kind"))
+    entities = materialize(entities.distinct(), "pii-entities")
+    counts = materialize(entities.groupBy("entity").agg(F.count("*").alias("of_entity")), "pii-counts")
+    entities = materialize(entities.join(counts, "entity"), "pii-entities")
+    terms = texts.select(F.explode(document_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    least = 2.0 ** -generalize_bits
+    widest = counts.agg(F.max("of_entity")).first()[0] or 0
+    # Counted before any join, so that words never meet the documents one by one; common ones meet none.
+    terms = materialize(terms.where(F.col("of_term") + F.lit(min(prior, name_prior)) <= widest / least), "pii-terms")
+    limits = entities.groupBy("row").agg(F.max("of_entity").alias("most"))
+    rare = held.join(terms, "term").join(limits, "row").where(F.col("of_term") + F.lit(min(prior, name_prior)) <= F.col("most") / least) \
+        .select("row", "term", "name", "of_term")
+    pairs = materialize(rare.join(entities, "row").where(F.col("of_term") + F.lit(min(prior, name_prior)) <= F.col("of_entity") / least)
+                        .select("row", "entity", "term", "name", "of_term"), "pii-pairs")
+    judged = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.max("name").alias("name"), F.max("of_term").alias("of_term"))
+    known = F.col("both") / (F.greatest("of_term", "both") + F.when(F.col("name"), F.lit(name_prior)).otherwise(F.lit(prior)))
+    judged = materialize(judged.withColumn("bits", -F.log2(known)).where(F.col("bits") <= generalize_bits).select(
+        "entity", "term", F.when(F.col("bits") <= remove_bits, F.lit(5)).otherwise(F.lit(4)).alias("kind")), "pii-judged")
+    return pairs.join(judged, ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
 
 
 def _with_term_spans(docs: DataFrame, text_col: str, **thresholds) -> DataFrame:
     """``_scanned`` documents with ``__all``: base and term spans (start, kind, end) in order."""
     hits = _scanned(docs, text_col)
-    rows = materialize(hits.select(F.col("__row").alias("row"), F.explode("__contexts").alias("c")).select("row", "c.*"), "pii-rows")
     entities = hits.select(F.col("__row").alias("row"), F.explode("__spans").alias("s")).select(
         "row", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity"))
-    found = materialize(disclosing_terms(rows, entities, docs.select(F.col(text_col).alias("text")), **thresholds), "pii-disclosing")
-    added = rows.join(found, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind")) \
-        .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    added = materialize(added.withColumnRenamed("row", "__row"), "pii-added")
+    words = hits.where(F.size("__spans") > 0).select(F.col("__row").alias("row"), document_terms(F.col("__rest")).alias("words"),
+                                                     document_terms(F.col("__rest"), NAME).alias("names"))
+    held = words.select("row", "names", F.explode("words").alias("term")) \
+        .select("row", "term", F.array_contains("names", F.col("term")).alias("name"))
+    found = disclosing_terms(held, entities, docs.select(F.col(text_col).alias("text")), **thresholds)
+    found = materialize(found.groupBy(F.col("row").alias("__row")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("__kinds")),
+                        "pii-found")
+
+    def placed(kinds: Column) -> Column:
+        own = F.transform(matches(F.col("__rest"), TERM), lambda m: F.struct(
+            m["start"].alias("start"), F.try_element_at(kinds, F.lower(m["value"])).alias("kind"), m["end"].alias("end")))
+        return F.filter(own, lambda m: m["kind"].isNotNull())
+
     base = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return hits.join(added, "__row", "left").withColumn("__all", F.when(
-        F.col("added").isNull(), base).otherwise(F.sort_array(F.concat(base, F.col("added")))))
+    return hits.join(found, "__row", "left").withColumn("__all", F.when(
+        F.col("__kinds").isNull(), base).otherwise(F.sort_array(F.concat(base, placed(F.col("__kinds"))))))
 
 
 def _listed(spans: Column) -> Column:
