@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tripparity.operators.pairs import serve_requests
 from tripparity.sources.requests import REQUEST_FIELDS, bare_trips, parse_json_requests, requests_from_trips
 from tripparity.sources.trips import load_trips
@@ -70,3 +72,28 @@ def test_the_distance_contract_reaches_the_scan(spark):
 
     plan = catalog.valid_raw(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(value,0.04), LessThanOrEqual(value,400.0)" in plan
+
+
+TYPED = [  # field, JSON value, accepted value (None: rejected)
+    ("pickup_location_id", "3", 3), ("pickup_location_id", '" 3 "', 3), ("pickup_location_id", '"3.0"', 3), ("pickup_location_id", "3e1", 30),
+    ("pickup_location_id", '"3e1"', None), ("pickup_location_id", "3.5", None), ("pickup_location_id", "true", 1), ("pickup_location_id", "[3]", None),
+    ("trip_distance_miles", '"1e1"', 10.0), ("trip_distance_miles", "true", 1.0), ("trip_distance_miles", '{"x":1}', None),
+    ("pickup_datetime", '"2024-01-08T13:30Z"', 1704720600), ("pickup_datetime", '"2024-01-08 13:30+0100"', 1704717000),
+    ("pickup_datetime", "1704719400", 1704719400), ("pickup_datetime", "1704719400000", 1704719400), ("pickup_datetime", '"1704719400"', 1704719400),
+    ("pickup_datetime", "true", None), ("pickup_datetime", '"1e2"', None), ("pickup_datetime", "null", None), ("pickup_datetime", "9e300", None),
+    ("feature_mode", "null", None), ("skew_mode", "null", None), ("passenger_count", "null", "missing"),
+]
+
+
+def test_types_of_wire_fields(spark):
+    given = {"pickup_datetime": '"2024-01-08T13:30:00Z"', "pickup_location_id": "1", "dropoff_location_id": "2", "passenger_count": "1",
+             "trip_distance_miles": "2.5"}
+    rows = [(i, "{" + ",".join(f'"{k}":{v}' for k, v in (given | {field: value}).items()) + "}") for i, (field, value, _) in enumerate(TYPED)]
+    found = {r["request_id"]: r for r in parse_json_requests(spark.createDataFrame(rows, "id int, value string"), id_column="id")
+             .withColumn("pickup_datetime", F.unix_seconds("pickup_datetime")).collect()}
+    for i, (field, value, want) in enumerate(TYPED):
+        row = found[i]
+        assert bool(row["parse_errors"]) == (want is None), (field, value, row)
+        if want is not None:
+            assert row[field] == (None if want == "missing" else want), (field, value)
+    assert found[20]["parse_errors"] == ["feature_mode_null"] and found[21]["parse_errors"] == ["skew_mode_null"]

@@ -31,7 +31,8 @@ def has_offset(text: Column) -> Column:
 
 def instant_of(text: Column) -> Column:
     """The instant of a date and time with an offset; anything else, or an impossible date, is null."""
-    colon = F.regexp_replace(F.upper(F.trim(text)), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    seconds = F.regexp_replace(F.upper(F.trim(text)), r"([T ][0-9]{2}:[0-9]{2})(\s*(Z|[+-][0-9:]+))$", "$1:00$2")
+    colon = F.regexp_replace(seconds, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
     return F.when(has_offset(text), F.regexp_replace(colon, r"([+-][0-9]{2})$", "$1:00").try_cast("timestamp"))
 
 

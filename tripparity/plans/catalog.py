@@ -90,16 +90,17 @@ def q_requests_from_json(spark, sf_dir):
 
 
 def q_requests_damaged_json(spark, sf_dir):
-    """S4/P19 on wire JSON in which ``event_id % 16`` picks one field to damage or to write unusually."""
+    """S4/P19/P20 on wire JSON in which ``event_id % 23`` picks one field to damage or to write unusually."""
     typed = requests_from_trips(load_trips(spark, sf_dir))
-    which = F.col("request_id") % 16
+    which = F.col("request_id") % 23
     iso = F.date_format("pickup_datetime", "yyyy-MM-dd'T'HH:mm:ss")
     day = F.date_format("pickup_datetime", "yyyy-MM-dd")
     pickup = (F.when(which == 0, day).when(which == 1, F.substring(day, 1, 7)).when(which == 2, iso)
               .when(which == 3, F.concat(F.lit("2024-02-31"), F.substring(iso, 11, 9), F.lit("Z")))
-              .when(which == 4, F.concat(iso, F.lit("+05:30"))).otherwise(F.concat(iso, F.lit("Z"))))
+              .when(which == 4, F.concat(iso, F.lit("+05:30")))
+              .when(which == 18, F.concat(F.substring(iso, 1, 16), F.lit("Z"))).otherwise(F.concat(iso, F.lit("Z"))))
     zone = (F.when(which == 5, F.lit("3000000000")).when(which == 6, F.lit("1e300")).when(which == 7, F.lit("12.5"))
-            .when(which == 8, F.lit("0")).otherwise(F.col("pickup_location_id").cast("string")))
+            .when(which == 8, F.lit("0")).when(which == 20, F.lit("1e2")).otherwise(F.col("pickup_location_id").cast("string")))
     distance = (F.when(which == 9, F.lit("4.5d")).when(which == 10, F.lit("NaN")).when(which == 11, F.lit("1e400"))
                 .when(which == 12, F.lit("4.5")).otherwise(F.lit("2.25")))
     feature_mode = F.when(which == 13, F.lit("sometimes")).otherwise(F.col("feature_mode"))
@@ -108,6 +109,14 @@ def q_requests_damaged_json(spark, sf_dir):
                               F.lit("7").alias("dropoff_location_id"), F.lit(2).alias("passenger_count"),
                               distance.alias("trip_distance_miles"), feature_mode.alias("feature_mode"),
                               skew_mode.alias("skew_mode")))
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', pickup_datetime)").cast("string")
+    # Written as another JSON type: null modes, seconds since the epoch, a number with an exponent, a boolean.
+    other = ((16, "feature_mode", F.lit("null")), (17, "skew_mode", F.lit("null")), (19, "pickup_datetime", seconds),
+             (21, "pickup_location_id", F.lit("1e2")), (22, "dropoff_location_id", F.lit("true")))
+    name, written = F.lit("none"), F.lit("")
+    for case, field, value in other:
+        name, written = F.when(which == case, F.lit(field)).otherwise(name), F.when(which == case, value).otherwise(written)
+    body = F.regexp_replace(body, F.concat(F.lit('"'), name, F.lit('":"[^"]*"')), F.concat(F.lit('"'), name, F.lit('":'), written))
     wire = typed.select("request_id", F.when(which == 15, F.lit("{not json")).otherwise(body).alias("value"))
     served_json = pairs.serve_requests(parse_json_requests(wire, id_column="request_id"))
     ok = F.col("accepted")

@@ -211,8 +211,8 @@ SELECT trip_id, 1, 0, 'online', 0, 0, NULL, '', NULL FROM training WHERE trip_id
 
 # One kind of damage per remainder of the id; zone 0 of an event stays a zone problem besides.
 DAMAGED_JSON = """
-, w AS (SELECT request_id, request_id % 16 AS w, pickup_location_id AS z,
-               CASE WHEN request_id % 16 = 4 THEN pickup_datetime - INTERVAL 330 MINUTE ELSE pickup_datetime END AS utc
+, w AS (SELECT request_id, request_id % 23 AS w, pickup_location_id AS z,
+               CASE WHEN request_id % 23 = 4 THEN pickup_datetime - INTERVAL 330 MINUTE ELSE pickup_datetime END AS utc
         FROM requests),
 r AS (SELECT *, list_filter(CASE WHEN w = 15 THEN
         ['malformed_json', 'pickup_datetime_missing', 'pickup_location_id_not_integer', 'dropoff_location_id_not_integer',
@@ -220,17 +220,19 @@ r AS (SELECT *, list_filter(CASE WHEN w = 15 THEN
          'dropoff_location_id_below_1', 'trip_distance_miles_out_of_range'] ELSE [
         CASE WHEN w IN (0, 1, 2) THEN 'pickup_datetime_without_offset' END,
         CASE WHEN w = 3 THEN 'pickup_datetime_invalid' END,
-        CASE WHEN w IN (6, 7) THEN 'pickup_location_id_not_integer' END,
+        CASE WHEN w IN (6, 7, 20) THEN 'pickup_location_id_not_integer' END,
         CASE WHEN w IN (9, 10) THEN 'trip_distance_miles_not_number' END,
+        CASE WHEN w = 16 THEN 'feature_mode_null' END,
+        CASE WHEN w = 17 THEN 'skew_mode_null' END,
         CASE WHEN w <= 3 THEN 'pickup_datetime_missing' END,
-        CASE WHEN w IN (6, 7, 8) OR (w <> 5 AND z < 1) THEN 'pickup_location_id_below_1' END,
+        CASE WHEN w IN (6, 7, 8, 20) OR (w NOT IN (5, 21) AND z < 1) THEN 'pickup_location_id_below_1' END,
         CASE WHEN w IN (9, 10, 11) THEN 'trip_distance_miles_out_of_range' END,
         CASE WHEN w = 13 THEN 'feature_mode_unknown' END,
         CASE WHEN w = 14 THEN 'skew_mode_unknown' END] END, lambda x: x IS NOT NULL) AS reasons FROM w)
 SELECT request_id, len(reasons) = 0 AS accepted, array_to_string(reasons, ',') AS reasons,
        CASE WHEN len(reasons) = 0
             THEN CAST(hour(date_trunc('second', utc) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS INTEGER) END AS pickup_hour,
-       CASE WHEN len(reasons) = 0 THEN CASE WHEN w = 5 THEN 3000000000 ELSE z END END AS pickup_location_id
+       CASE WHEN len(reasons) = 0 THEN CASE w WHEN 5 THEN 3000000000 WHEN 21 THEN 100 ELSE z END END AS pickup_location_id
 FROM r"""
 
 DAMAGED_TEXT = """
