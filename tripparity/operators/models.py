@@ -2,7 +2,7 @@
 
 Roles follow the reference (a ridge regression, a random forest, an L1 boosted ensemble); the
 learners are MLlib's, so numbers are "same role, not same values". The split is a deterministic
-hash of the trip key, cached once and reused by all three fits.
+hash of the trip key, the same for all three fits.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -103,34 +102,33 @@ def build_candidates(config: TrainingConfig, label_std: float, train_rows: int)
 
 def compare_models(features: DataFrame, config: TrainingConfig | None = None, key: str = "trip_id",
                    candidates: tuple[str, ...] = CANDIDATES) -> list[CandidateResult]:
-    """M5: fit every candidate on the same split and score MAE/RMSE/R^2 on the held-out part."""
+    """M5: fit every candidate on the same split and score MAE/RMSE/R^2 on the held-out part.
+
+    ``features`` is read by every fit and better a written table, as in the training job.
+    """
     config = config or TrainingConfig()
     data = with_split(feature_frame(features, keep=(key,)), key, config.validation_buckets)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL).isNull()).alias("nulls"),
-                         F.count_if(~F.col("is_validation")).alias("train_n"),
-                         F.stddev_pop(F.when(~F.col("is_validation"), F.col(LABEL))).alias("train_std")
-                         ).collect()[0]
-        if stats["nulls"]:
-            raise ValueError("the target must not contain nulls")
-        if stats["n"] < MINIMUM_TRAINING_ROWS:
-            raise ValueError(f"{MINIMUM_TRAINING_ROWS} valid rows are the least to train on, found {stats['n']}")
-        train = data.where(~F.col("is_validation"))
-        validation = data.where(F.col("is_validation"))
-        built = build_candidates(config, float(stats["train_std"] or 0.0), int(stats["train_n"]))
-        results = []
-        for order, name in enumerate(candidates):
-            estimator = built[name]
-            model = Pipeline(stages=[assembler(), estimator]).fit(train)
-            row = regression_metrics(model.transform(validation)).collect()[0]
-            metrics = {m: float(row[m]) for m in METRIC_NAMES}
-            params = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
-            params["training_rows"] = str(stats["train_n"])
-            results.append(CandidateResult(name, order, model, metrics, params))
-        return results
-    finally:
-        data.unpersist()
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL).isNull()).alias("nulls"),
+                     F.count_if(~F.col("is_validation")).alias("train_n"),
+                     F.stddev_pop(F.when(~F.col("is_validation"), F.col(LABEL))).alias("train_std")
+                     ).collect()[0]
+    if stats["nulls"]:
+        raise ValueError("the target must not contain nulls")
+    if stats["n"] < MINIMUM_TRAINING_ROWS:
+        raise ValueError(f"{MINIMUM_TRAINING_ROWS} valid rows are the least to train on, found {stats['n']}")
+    train = data.where(~F.col("is_validation"))
+    validation = data.where(F.col("is_validation"))
+    built = build_candidates(config, float(stats["train_std"] or 0.0), int(stats["train_n"]))
+    results = []
+    for order, name in enumerate(candidates):
+        estimator = built[name]
+        model = Pipeline(stages=[assembler(), estimator]).fit(train)
+        row = regression_metrics(model.transform(validation)).collect()[0]
+        metrics = {m: float(row[m]) for m in METRIC_NAMES}
+        params = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
+        params["training_rows"] = str(stats["train_n"])
+        results.append(CandidateResult(name, order, model, metrics, params))
+    return results
 
 
 def select_best_model(results: list[CandidateResult], metric: str = "root_mean_squared_error"

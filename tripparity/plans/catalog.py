@@ -508,13 +508,14 @@ def _rolled(spark, sf_dir) -> str:
     """R2/R4 over four micro-batches that hold every event once; all of the first are rejected."""
     base = scratch_path(spark, "stream-rolling")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    none_aboard = F.get_json_object("props", "$.k").cast("int") % 10 == 0
+    none_aboard = F.coalesce(F.get_json_object("props", "$.k").try_cast("int") % 10 == 0, F.lit(False))
     parts = [events.where(none_aboard)] + [events.where(~none_aboard & (F.col("event_id") % 3 == i)) for i in range(3)]
-    for i, part in enumerate(parts):  # one file each; the stream takes files by age
-        part.coalesce(1).write.mode("append").parquet(f"{base}/events")
+    files = spark.sparkContext.defaultParallelism
+    for part in parts:  # as many files each; the stream takes so many, by age
+        part.repartition(files).write.mode("append").parquet(f"{base}/events")
     query = streaming.start_rolling_drift(spark, f"{base}/events", reference(spark, sf_dir), f"{base}/served_log",
                                           f"{base}/reports", f"{base}/rejects", f"{base}/checkpoint",
-                                          max_files_per_trigger=1)
+                                          max_files_per_trigger=files)
     query.awaitTermination()
     return base
 

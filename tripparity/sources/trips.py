@@ -37,7 +37,7 @@ def trips_from_events(events: DataFrame) -> DataFrame:
     # json_tuple parses each props string once (a generator, so no later filter re-parses it).
     events = events.select("event_id", "ts", "user_id", "event_type", "value",
                            F.json_tuple("props", "k").alias("_k"))
-    k = F.col("_k").cast("int")
+    k = F.col("_k").try_cast("int")
     distance = F.col("value").cast("double") / F.lit(4.0)
     fare = F.when((F.col("event_type") == "error") & (k < 10), F.lit(-5.0)).otherwise(
         F.lit(3.0) + F.lit(2.5) * distance + (F.col("event_id") % 7).cast("double"))
@@ -85,11 +85,11 @@ def load_raw_trips(spark: SparkSession, path: str, row_limit: int | None = None,
     A missing dataset raises ``FileNotFoundError``; ``row_limit < 1`` raises ``ValueError``.
     """
     if row_limit is not None and row_limit < 1:
-        raise ValueError("row_limit must be greater than zero")
+        raise ValueError("the first N rows need N of at least 1")
     try:
         raw = spark.read.parquet(path)
     except AnalysisException as exc:
-        raise FileNotFoundError(f"Dataset not found: {path}") from exc
+        raise FileNotFoundError(f"no trips at {path}") from exc
     raw = raw.select(*order_by, *[c for c in RAW_COLUMNS if c not in order_by])
     if row_limit is not None:
         if order_by:
