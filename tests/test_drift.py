@@ -179,3 +179,57 @@ def test_reference_stats_do_not_depend_on_partitioning(training, reference):
         assert again[name].bin_edges == reference[name].bin_edges
         assert again[name].bin_proportions == reference[name].bin_proportions
         assert again[name].mean == pytest.approx(reference[name].mean, rel=1e-12)
+
+
+def _log(spark, rows):
+    names = ", ".join(f"{n} double" for n in FEATURE_NAMES)
+    return spark.createDataFrame([(at, i, *[float(x + k) for k in range(9)]) for i, (at, x) in enumerate(rows)],
+                                 f"served_at long, request_id long, {names}")
+
+
+@pytest.mark.parametrize("n,segment,parts", [(1, 1, 3), (7, 7, 5), (40, 55, 4), (40, 1000, 1)])
+def test_history_equals_the_report_after_every_row(spark, n, segment, parts):
+    """Against the plain buffer, row by row; segments shorter than, as long as and longer than the log."""
+    rng = np.random.default_rng(n)
+    rows = [(int(t), int(x)) for t, x in zip(rng.integers(0, 30, 130), rng.integers(0, 12, 130))]
+    log = _log(spark, rows)
+    reference = drift.compute_reference_stats(_log(spark, [(0, i % 10) for i in range(200)]))
+    out = drift.drift_history(log.repartition(parts), reference, n=n, min_samples=5, segment=segment).collect()
+    assert len(out) == len(rows)
+    found = {r["request_id"]: r for r in out}
+    seen = []
+    for at, i in sorted((at, i) for i, (at, _) in enumerate(rows)):
+        seen = [*seen, rows[i][1]][-n:]
+        assert found[i]["sample_count"] == len(seen) and found[i]["served_at"] == at
+        worst = 0
+        for f, name in enumerate(FEATURE_NAMES):
+            ref = reference[name]
+            counts = np.histogram(np.array(seen, float) + f, bins=np.array(ref.bin_edges))[0] / len(seen)
+            now, then = np.maximum(counts, 1e-6), np.maximum(ref.bin_proportions, 1e-6)
+            psi = float(((now - then) * np.log(now / then)).sum())
+            if len(seen) >= 5:
+                assert found[i][f"psi{f}"] == pytest.approx(psi, abs=1e-9)
+            else:
+                assert found[i][f"psi{f}"] is None
+            worst = max(worst, psi)
+        want = "insufficient_data" if len(seen) < 5 else "significant" if worst >= 0.25 else "moderate" if worst >= 0.1 else "stable"
+        assert found[i]["status"] == want
+
+
+def test_history_of_repeated_and_untimed_rows_and_no_rows(spark):
+    log = _log(spark, [(None, 1), (None, 2), (5, 3)] + [(7, 4)] * 90)
+    log = log.unionByName(log.where("request_id = 5"))  # one row repeated as it is
+    reference = drift.compute_reference_stats(_log(spark, [(0, i % 10) for i in range(50)]))
+    out = drift.drift_history(log, reference, n=10, segment=10).collect()
+    assert len(out) == 94 and sorted(r["sample_count"] for r in out) == [*range(1, 10), *[10] * 85]
+    assert {r["request_id"]: r["sample_count"] for r in out if r["sample_count"] < 4} == {0: 1, 1: 2, 2: 3}
+    assert drift.drift_history(log.where("false"), reference).count() == 0
+    with pytest.raises(ValueError):
+        drift.drift_history(log, reference, n=11, segment=10)
+
+
+def test_history_slides_in_segments(spark, reference, capsys):
+    """No window over the whole log but the one over part sizes; the rows meet by segment."""
+    drift.drift_history(catalog.served_log(spark, SF_SMALL), reference).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(segment" in plan and plan.count("SinglePartition") == 1 and "Python" not in plan

@@ -1,4 +1,4 @@
-"""Reference statistics of the training features and PSI drift of served traffic.
+"""Reference statistics of the training features and PSI drift of served traffic, now or as of any row.
 
 Reference statistics read the nine feature columns a few times and shuffle only bounded aggregates:
 moments, bucket histograms for the exact deciles (radix selection over order-preserving keys), bin
@@ -314,6 +314,77 @@ def drift_report(sample: DataFrame, reference: ReferenceStats | None,
     return drift_features(summary, reference, group_by, min_samples), drift_overall(summary, group_by)
 
 
+# ----------------------------------------------------------------------------- drift as of every served row
+
+SEGMENT = 100_000  # consecutive served rows that one task slides over
+
+
+def served_positions(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``position``, their 0-based place by ``order`` (ascending, nulls first), without a single-task sort.
+
+    Rows are range-partitioned and sorted once and written with their place in their part; the parts'
+    sizes, one row a part, give every part's start. Rows with equal ``order`` stand in any order, but
+    keep it, since the places are written; they are spread by a random tie, so one repeated row can't
+    fill a part.
+    """
+    spark = rows.sparkSession
+    place = F.monotonically_increasing_id()  # (part << 33) + place in the part
+    path = scratch_path(spark, "served-positions")
+    tied = rows.withColumn("_tie", F.rand(1))
+    tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie") \
+        .withColumn("_place", place).write.parquet(path)
+    placed = spark.read.parquet(path)
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part") \
+        .withColumn("position", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))) \
+        .drop("_part", "_place", "_start")
+
+
+def drift_history(served: DataFrame, reference: ReferenceStats, n: int = DEFAULT_BUFFER_SIZE,
+                  order: tuple[str, ...] = ("served_at", "request_id"),
+                  min_samples: int = MINIMUM_SAMPLES_FOR_DRIFT, segment: int = SEGMENT) -> DataFrame:
+    """A10 as of every served row: the report that the buffer of the newest ``n`` rows gave right after it.
+
+    One row per served row: the ``order`` columns, sample_count, psi0..psi8 (by feature number; null below
+    ``min_samples``) and status. The log is cut into segments of equal length by position; each gets the
+    n - 1 rows before it as a halo from the segment before, so no window spans the log and a busy hour
+    is no larger than any other. Inside, a bin's count is the difference of two running counts, which
+    costs the same for any ``n``. Rows of equal ``order`` are taken by their features, rows without a
+    time first; an empty log gives no row.
+    """
+    if n < 1 or segment < n:
+        raise ValueError("drift history needs n of at least 1 and segments of at least n rows")
+    missing = [name for name in FEATURE_NAMES if name not in reference]
+    if missing:
+        raise KeyError(f"reference statistics lack features: {missing}")
+    bins = [len(reference[name].bin_edges) - 1 for name in FEATURE_NAMES]
+    rows = served.select(*order, *[F.col(name).cast("double").alias(f"x{i}") for i, name in enumerate(FEATURE_NAMES)])
+    placed = served_positions(rows, (*order, *[f"x{i}" for i in range(len(bins))]))
+    binned = placed.select(*order, "position", *[
+        bin_index_literal(f"x{i}", list(reference[name].bin_edges)).cast("tinyint").alias(f"b{i}") for i, name in enumerate(FEATURE_NAMES)])
+    own = F.floor(F.col("position") / F.lit(segment))
+    halo = F.col("position") % segment >= segment - (n - 1)
+    spread = binned.withColumn("own", own).withColumn(
+        "segment", F.explode(F.when(halo, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+
+    by_place = Window.partitionBy("segment").orderBy("position")
+    upto = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = [f"c{i}_{b}" for i, k in enumerate(bins) for b in range(k)]
+    running = spread.select("*", *[F.sum(F.expr(f"CAST(b{i} = {b} AS INT)")).over(upto).alias(f"c{i}_{b}")
+                                   for i, k in enumerate(bins) for b in range(k)])
+    before = running.select("*", *[F.lag(c, n, 0).over(by_place).alias(f"p_{c}") for c in names])
+    counted = before.where(F.col("segment") == F.col("own")).select(
+        *order, F.least(F.col("position") + 1, F.lit(n)).alias("sample_count"), *[(F.col(c) - F.col(f"p_{c}")).alias(c) for c in names])
+    judged = counted.select(*order, "sample_count", *[
+        F.when(F.col("sample_count") >= min_samples, psi_expression(reference[name], f"c{i}_", "sample_count")).alias(f"psi{i}")
+        for i, name in enumerate(FEATURE_NAMES)])
+    status = F.when(F.col("sample_count") < min_samples, F.lit(STATUS_INSUFFICIENT)) \
+        .otherwise(worst_status([psi_status(F.col(f"psi{i}")) for i in range(len(bins))]))
+    return judged.withColumn("status", status)
+
+
 __all__ = ["compute_reference_stats", "reference_frame", "stats_from_frame", "latest",
            "latest_per_group", "drift_summary", "drift_features", "drift_overall", "drift_report",
-           "FeatureReference", "ReferenceStats"]
+           "drift_history", "served_positions", "FeatureReference", "ReferenceStats"]

@@ -300,6 +300,15 @@ def q_drift_shifted(spark, sf_dir):
     return _rounded_features(features)
 
 
+def q_drift_history(spark, sf_dir):
+    """The drift status right after every served row, over the newest 500 rows up to it."""
+    history = drift.drift_history(served_log(spark, sf_dir), reference(spark, sf_dir))
+    distance = FEATURE_NAMES.index("trip_distance_miles")
+    hour = FEATURE_NAMES.index("pickup_hour")
+    return history.select("request_id", "sample_count", "status", F.round(f"psi{distance}", 6).alias("distance_psi"),
+                          F.round(f"psi{hour}", 6).alias("hour_psi"))
+
+
 # ----------------------------------------------------------------------------- split, metrics, linear
 
 LINEAR_INTERCEPT, LINEAR_SLOPE = 3.0, 2.5  # the deterministic scorer of the reference's tests
@@ -563,6 +572,7 @@ def base_queries() -> dict[str, Query]:
         "drift_unavailable": q_drift_unavailable,
         "drift_by_group": q_drift_by_group,
         "drift_shifted": q_drift_shifted,
+        "drift_history": q_drift_history,
         "split_assignment": q_split_assignment,
         "score_linear": q_score_linear,
         "metrics_linear": q_metrics_linear,

@@ -419,6 +419,28 @@ LAST_500_PER_TYPE = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e
                      "ORDER BY served_at DESC, request_id DESC) AS rn FROM slog) WHERE rn <= 500")
 
 
+def _history_sql() -> str:
+    """PSI of a frame of 500 rows at every served row: one count per bin, feature by feature."""
+    return f"""
+, sl AS (UNPIVOT (SELECT request_id, served_at, {_double_features()} FROM slog)
+         ON {_UNPIVOT_ON} INTO NAME feature VALUE value),
+sb AS (SELECT s.request_id, s.served_at, s.feature,
+              len(list_filter(r.edges[2:len(r.edges) - 1], lambda e: s.value >= e)) AS bin
+       FROM sl s JOIN redges r USING (feature)),
+counted AS (SELECT s.request_id, s.feature, p.proportion, count(*) OVER w AS n, count_if(s.bin = p.bin) OVER w AS c
+            FROM sb s JOIN rprops p USING (feature)
+            WINDOW w AS (PARTITION BY s.feature, p.bin ORDER BY s.served_at, s.request_id ROWS 499 PRECEDING)),
+psi AS (SELECT request_id, feature, n,
+               sum((greatest(c / n, 1e-6) - greatest(proportion, 1e-6)) * ln(greatest(c / n, 1e-6) / greatest(proportion, 1e-6))) AS psi
+        FROM counted GROUP BY ALL)
+SELECT request_id, n AS sample_count,
+       CASE WHEN n < 30 THEN 'insufficient_data' WHEN max(psi) >= 0.25 THEN 'significant'
+            WHEN max(psi) >= 0.1 THEN 'moderate' ELSE 'stable' END AS status,
+       CASE WHEN n >= 30 THEN round(max(psi) FILTER (feature = 'trip_distance_miles'), 6) END AS distance_psi,
+       CASE WHEN n >= 30 THEN round(max(psi) FILTER (feature = 'pickup_hour'), 6) END AS hour_psi
+FROM psi GROUP BY request_id, n"""
+
+
 def drift_sql() -> dict[str, str]:
     base = (TRIPS, REQUESTS, REFERENCE, SERVED_LOG)
     overall = f"""
@@ -458,6 +480,7 @@ FROM (SELECT * FROM slog ORDER BY served_at DESC, request_id DESC LIMIT 29)"""),
 SELECT 'unavailable' AS status, count(*) AS sample_count, false AS reference_available FROM ({LAST_500})"""),
         "drift_by_group": with_ctes(*base, body=_psi_sql(LAST_500_PER_TYPE, group="event_type")),
         "drift_shifted": with_ctes(*base, body=_psi_sql(LAST_500, distance_factor="1.609344")),
+        "drift_history": with_ctes(*base, body=_history_sql()),
     }
 
 
