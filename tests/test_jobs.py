@@ -1,5 +1,8 @@
 """Jobs: raw scan (S1-S3), scoring responses (E1), drift job (E4), model info (E5)."""
 
+import glob
+
+import pandas as pd
 import pytest
 
 from tripparity.operators import drift, explain, models
@@ -7,7 +10,7 @@ from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.plans import jobs
 from tripparity.session import scratch_path
 from tripparity.sources.requests import requests_from_trips
-from tripparity.sources.trips import RAW_COLUMNS, load_raw_trips, load_trips, raw_trips_from_trips
+from tripparity.sources.trips import RAW_COLUMNS, first_rows, load_raw_trips, load_trips, raw_trips_from_trips
 
 from conftest import SF_SMALL
 
@@ -32,6 +35,22 @@ def test_raw_scan_projects_and_limits(spark, raw_path):
         load_raw_trips(spark, raw_path + "-missing")
 
 
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 35, 69, 70, 500])
+def test_first_rows_are_the_first_in_file_order(spark, n):
+    """Equal to pandas' head over the files by path; files after the last row needed are not opened."""
+    path = scratch_path(spark, "many-files")
+    spark.range(0, 70, 1, 7).selectExpr("(id * 37) % 70 AS v").write.parquet(path)
+    spark.range(0).selectExpr("id AS v").write.mode("append").parquet(path)
+    files = sorted(glob.glob(path.removeprefix("file:") + "/*.parquet"))
+    want = pd.concat([pd.read_parquet(f) for f in files]).head(n)["v"]
+    df = first_rows(spark.read.parquet(path), n)
+    assert sorted(r.v for r in df.collect()) == sorted(want)
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    scan.executeColumnar().count()
+    read = scan.metrics().apply("numFiles").value()
+    assert read <= -(-min(n, 70) // 10) + 2  # empty files may lie between
+
+
 def test_range_checks_reach_the_scan(spark, raw_path):
     from tripparity.operators import contracts
     valid = contracts.valid_trips(contracts.coerce_raw(load_raw_trips(spark, raw_path)))

@@ -1,5 +1,7 @@
 """Candidates, metrics, selection, artifacts and the end-to-end training job."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,21 @@ def test_scoring_flags_non_finite(spark, outcome):
     df = spark.createDataFrame([tuple([1.0] * 9)], ", ".join(f"{n} double" for n in FEATURE_NAMES))
     scored = models.score(df, outcome.best.model).first()
     assert scored.prediction_finite and np.isfinite(scored.predicted_fare_amount)
+
+
+def test_exact_split_holds_out_exactly_a_fifth(spark):
+    import hashlib
+    for n in (1, 4, 5, 6, 503):
+        keys = spark.range(n).withColumnRenamed("id", "trip_id")
+        by_mark = sorted(range(n), key=lambda k: hashlib.md5(str(k).encode()).hexdigest()[:15])
+        for parts in (1, 7):
+            out = metrics.with_exact_split(keys.repartition(parts)).where("is_validation").collect()
+            assert {r.trip_id for r in out} == set(by_mark[:-(-n // 5)])
+    repeated = spark.createDataFrame([(k,) for k in [1, 2, 3, None] * 50], "trip_id long")
+    sides = metrics.with_exact_split(repeated).distinct().groupBy("trip_id").count().collect()
+    assert len(sides) == 4 and all(r["count"] == 1 for r in sides)  # one key, one side
+    assert metrics.with_exact_split(repeated.limit(0)).count() == 0
+    table = catalog.training_table(spark, SF_SMALL)
+    rows = table.count()
+    exact = models.compare_models(table, replace(SMALL, exact_split=True), candidates=("ridge",))[0]
+    assert exact.params["training_rows"] == str(rows - -(-rows // 5))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripparity.functions.numeric import is_finite
-from tripparity.operators.metrics import METRIC_NAMES, regression_metrics, with_split
+from tripparity.operators.metrics import METRIC_NAMES, regression_metrics, with_exact_split, with_split
 from tripparity.operators.vector import FEATURE_NAMES
 
 # Fixed values of training.
@@ -40,6 +40,7 @@ class TrainingConfig:
     # MLlib trees are at most 30 deep. Boosted depth follows num_leaves (31 -> 5).
     forest_max_depth: int = 30
     max_bins: int = 512  # every one of 263 zones can be a threshold
+    exact_split: bool = False  # hold out exactly ceil(validation_size * rows) instead of one hash bucket
     # Per-task memory for MLlib's split statistics; every concurrent task holds this much, so it
     # must fit executor memory / cores.
     max_memory_mb: int = 256
@@ -107,7 +108,8 @@ def compare_models(features: DataFrame, config: TrainingConfig | None = None, ke
     ``features`` is read by every fit and better a written table, as in the training job.
     """
     config = config or TrainingConfig()
-    data = with_split(feature_frame(features, keep=(key,)), key, config.validation_buckets)
+    split = with_exact_split if config.exact_split else with_split
+    data = split(feature_frame(features, keep=(key,)), key, config.validation_buckets)
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL).isNull()).alias("nulls"),
                      F.count_if(~F.col("is_validation")).alias("train_n"),
                      F.stddev_pop(F.when(~F.col("is_validation"), F.col(LABEL))).alias("train_std")

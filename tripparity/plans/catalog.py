@@ -23,7 +23,7 @@ from tripparity.operators.online import online_vector
 from tripparity.operators.shared import shared_vector, training_features
 from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.sources.requests import parse_json_requests, requests_from_trips, requests_to_json
-from tripparity.sources.trips import load_trips, raw_trips_from_trips
+from tripparity.sources.trips import load_raw_trips, load_trips, raw_trips_from_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,26 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- validation
 
+FIRST_ROWS = 2500  # of the fixture's raw trips, as a user asks for the first N
+
+
+def _raw_files(spark, sf_dir) -> str:
+    """The raw trips as a folder of several files, in trip order."""
+    path = scratch_path(spark, "raw-trips")
+    raw_trips_from_trips(load_trips(spark, sf_dir)).repartitionByRange(8, "trip_id").sortWithinPartitions("trip_id").write.parquet(path)
+    return path
+
+
+def q_trips_raw_scan(spark, sf_dir):
+    """S1 over a folder of files: the six raw columns."""
+    return load_raw_trips(spark, _raw_files(spark, sf_dir))
+
+
+def q_trips_first_rows(spark, sf_dir):
+    """The first N raw trips in file order."""
+    return load_raw_trips(spark, _raw_files(spark, sf_dir), row_limit=FIRST_ROWS)
+
+
 def q_trips_valid(spark, sf_dir):
     return valid_raw(spark, sf_dir)
 
@@ -318,6 +338,11 @@ def q_split_assignment(spark, sf_dir):
     return metrics.with_split(training_table(spark, sf_dir).select("trip_id"), "trip_id")
 
 
+def q_split_exact(spark, sf_dir):
+    """M1 with exactly a fifth (rounded up) held out."""
+    return metrics.with_exact_split(training_table(spark, sf_dir).select("trip_id"), "trip_id")
+
+
 def q_score_linear(spark, sf_dir):
     acc = accepted(spark, sf_dir)
     return acc.select("request_id", models.linear_score(F.col("s_trip_distance_miles"), LINEAR_INTERCEPT,
@@ -544,6 +569,8 @@ def q_stream_rolling_drift(spark, sf_dir):
 
 def base_queries() -> dict[str, Query]:
     return {
+        "trips_raw_scan": q_trips_raw_scan,
+        "trips_first_rows": q_trips_first_rows,
         "trips_valid": q_trips_valid,
         "trips_violations": q_trips_violations,
         "trips_violation_counts": q_trips_violation_counts,
@@ -574,6 +601,7 @@ def base_queries() -> dict[str, Query]:
         "drift_shifted": q_drift_shifted,
         "drift_history": q_drift_history,
         "split_assignment": q_split_assignment,
+        "split_exact": q_split_exact,
         "score_linear": q_score_linear,
         "metrics_linear": q_metrics_linear,
         "metrics_by_skew": q_metrics_by_skew,

@@ -247,8 +247,16 @@ SELECT trip_id, 4.5::DOUBLE AS trip_distance_miles, CAST(CASE WHEN w = 3 THEN 10
 FROM l"""
 
 
+RAW_ROWS = """
+SELECT pickup_datetime AS tpep_pickup_datetime, passenger_count, trip_distance, CAST(pickup_location_id AS DOUBLE) AS PULocationID,
+       CAST(dropoff_location_id AS DOUBLE) AS DOLocationID, fare_amount
+FROM trips"""
+
+
 def base_sql() -> dict[str, str]:
     return {
+        "trips_raw_scan": with_ctes(TRIPS, body=RAW_ROWS),
+        "trips_first_rows": with_ctes(TRIPS, body=RAW_ROWS + " ORDER BY trip_id LIMIT 2500"),
         "trips_valid": with_ctes(TRIPS, body="SELECT * FROM valid"),
         "trips_violations": with_ctes(TRIPS, body="""
 SELECT trip_id, v.column AS "column", v."check" AS "check", v.failure_value
@@ -499,6 +507,10 @@ ex AS (SELECT a.request_id, 3.0 + 2.5 * m.mean_distance AS base_value,
               unnest([{contrib_rows}]) AS c
        FROM accepted a CROSS JOIN m)"""
     return {
+        "split_exact": with_ctes(*base, body="""
+SELECT trip_id, row_number() OVER (ORDER BY substr(md5(CAST(trip_id AS VARCHAR)), 1, 15))
+                  <= (SELECT (count(*) + 4) // 5 FROM training) AS is_validation
+FROM training"""),
         "split_assignment": with_ctes(*base, body=f"SELECT trip_id, ({split}) AS is_validation FROM training"),
         "score_linear": with_ctes(*base, body="""
 SELECT request_id, 3.0 + 2.5 * s_trip_distance_miles AS predicted_fare_amount FROM accepted"""),

@@ -6,7 +6,7 @@ the generic ``events`` table onto trips so every job reads data whose size grows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -77,11 +77,28 @@ def raw_trips_from_trips(trips: DataFrame, keep_key: bool = True) -> DataFrame:
     )
 
 
+def first_rows(table: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a Parquet table in file order (files by path, rows as they are written).
+
+    Rows per file come from the footers; with them one (path, rows) pair says where the ``n`` rows end,
+    so the files after it are not read and the last one only contributes the rows before the end. The
+    same rows come out on every run and every cluster; fewer than ``n`` rows are all taken.
+    """
+    if n < 1:
+        raise ValueError("the first N rows need N of at least 1")
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = table.groupBy(path.alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    upto = files.withColumn("upto", F.sum("n").over(Window.orderBy("file")))  # one row per file
+    end = upto.where(F.col("upto") >= n).orderBy("file").select("file", (F.lit(n) - F.col("upto") + F.col("n")).alias("wanted")).first()
+    if end is None:
+        return table
+    return table.where((path <= end["file"]) & ((path < end["file"]) | (index < end["wanted"])))
+
+
 def load_raw_trips(spark: SparkSession, path: str, row_limit: int | None = None,
                    order_by: tuple[str, ...] = ()) -> DataFrame:
-    """Scan only the six raw columns; optional first-N rows.
+    """Scan only the six raw columns; optional first-N rows, in file order or by ``order_by``.
 
-    ``limit`` without an order is not stable in Spark; pass ``order_by`` for a deterministic N.
     A missing dataset raises ``FileNotFoundError``; ``row_limit < 1`` raises ``ValueError``.
     """
     if row_limit is not None and row_limit < 1:
@@ -90,9 +107,9 @@ def load_raw_trips(spark: SparkSession, path: str, row_limit: int | None = None,
         raw = spark.read.parquet(path)
     except AnalysisException as exc:
         raise FileNotFoundError(f"no trips at {path}") from exc
+    if row_limit is not None and not order_by:
+        raw = first_rows(raw, row_limit)
     raw = raw.select(*order_by, *[c for c in RAW_COLUMNS if c not in order_by])
-    if row_limit is not None:
-        if order_by:
-            raw = raw.orderBy(*order_by)
-        raw = raw.limit(row_limit)
-    return raw.select(*RAW_COLUMNS) if not order_by else raw
+    if row_limit is not None and order_by:
+        raw = raw.orderBy(*order_by).limit(row_limit)
+    return raw
