@@ -107,6 +107,20 @@ def test_default_sample_explains_the_selected_model(spark, trained):
     assert {r.feature for r in rows} == set(FEATURE_NAMES) and all(r.rows == 6 and r.importance >= 0 for r in rows)
 
 
+def test_global_importance_of_a_saved_model(spark, trained):
+    """The job on the folder equals the pieces; a sample of one's own takes any rows; no model is an error."""
+    directory, outcome = trained
+    means = {n: outcome.reference[n].mean for n in FEATURE_NAMES}
+    for sample in (None, spark.read.parquet(f"{directory}/{jobs.TRAINING_FEATURES_DIR}")):
+        rows = jobs.global_importance(spark, directory, sample).collect()
+        whole = explain.reference_trips(spark) if sample is None else sample
+        want = explain.global_importance(explain.explain(whole, outcome.best.model, means)).collect()
+        assert {r.feature: r.importance for r in rows} == pytest.approx({r.feature: r.importance for r in want})
+        assert {(r.model_name, r.rows) for r in rows} == {(outcome.best.name, whole.count())} and len(rows) == 9
+    with pytest.raises(FileNotFoundError):
+        jobs.global_importance(spark, scratch_path(spark, "no-model"))
+
+
 def test_scratch_paths_live_under_the_checkpoint_dir(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(root.rstrip("/"))

@@ -113,3 +113,27 @@ def test_stream_scoring_with_a_fitted_model_equals_batch(spark):
     batch = streaming.scored_parity(requests_from_trips(load_trips(spark, SF_SMALL)), streaming.model_scorer(model))
     cols = ["request_id", "predicted_fare_amount", "prediction_finite"]
     assert _rows(stream, cols) == _rows(batch, cols)
+
+
+def test_json_stream_puts_every_request_in_one_sink_and_restarts(spark):
+    """Stopped after the first files and started again on the same checkpoint: nothing twice, nothing lost, equal to batch."""
+    from tripparity.operators import pairs
+    from tripparity.session import scratch_path
+    from tripparity.sources.requests import parse_json_requests
+    from tripparity.streaming import jobs as streaming
+
+    wire = catalog.damaged_wire(spark, SF_SMALL)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "[]"), (-4, "{}"), (None, "null")], streaming.WIRE_SCHEMA)
+    base = scratch_path(spark, "json-restart")
+    halves = [wire.where("request_id % 2 = 0").repartition(2), wire.where("request_id % 2 = 1").unionByName(extra).repartition(3)]
+    for half in halves:
+        half.write.mode("append").parquet(f"{base}/wire")
+        streaming.start_json_scoring(streaming.wire_stream(spark, f"{base}/wire", 1), f"{base}/scored", f"{base}/rejects",
+                                     f"{base}/ckpt", streaming.linear_scorer()).awaitTermination()
+    scored, rejects = spark.read.parquet(f"{base}/scored"), spark.read.parquet(f"{base}/rejects")
+    assert scored.select("batch_id").distinct().count() > 2
+    batch = pairs.serve_requests(parse_json_requests(halves[0].unionByName(halves[1]), id_column="request_id"))
+    cols = ["request_id", "matched_count", "predicted_fare_amount"]
+    assert _rows(scored, cols) == _rows(streaming.scored_served(batch, streaming.linear_scorer()), cols)
+    key = lambda df: sorted((str(r.request_id), *r.rejection_reasons) for r in df.collect())
+    assert key(rejects) == key(pairs.rejected(batch)) and rejects.where("request_id < 0 OR request_id IS NULL").count() == 5

@@ -109,8 +109,8 @@ def q_requests_from_json(spark, sf_dir):
           for n in ("trip_distance_miles", "passenger_count", "pickup_hour", "pickup_day_of_week")])
 
 
-def q_requests_damaged_json(spark, sf_dir):
-    """S4/P19/P20 on wire JSON in which ``event_id % 23`` picks one field to damage or to write unusually."""
+def damaged_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire JSON in which ``event_id % 23`` picks one field to damage or to write unusually."""
     typed = requests_from_trips(load_trips(spark, sf_dir))
     which = F.col("request_id") % 23
     iso = F.date_format("pickup_datetime", "yyyy-MM-dd'T'HH:mm:ss")
@@ -137,8 +137,12 @@ def q_requests_damaged_json(spark, sf_dir):
     for case, field, value in other:
         name, written = F.when(which == case, F.lit(field)).otherwise(name), F.when(which == case, value).otherwise(written)
     body = F.regexp_replace(body, F.concat(F.lit('"'), name, F.lit('":"[^"]*"')), F.concat(F.lit('"'), name, F.lit('":'), written))
-    wire = typed.select("request_id", F.when(which == 15, F.lit("{not json")).otherwise(body).alias("value"))
-    served_json = pairs.serve_requests(parse_json_requests(wire, id_column="request_id"))
+    return typed.select("request_id", F.when(which == 15, F.lit("{not json")).otherwise(body).alias("value"))
+
+
+def q_requests_damaged_json(spark, sf_dir):
+    """S4/P19/P20 on the damaged wire JSON."""
+    served_json = pairs.serve_requests(parse_json_requests(damaged_wire(spark, sf_dir), id_column="request_id"))
     ok = F.col("accepted")
     return served_json.select("request_id", "accepted", F.array_join("rejection_reasons", ",").alias("reasons"),
                               F.when(ok, F.col("t_pickup_hour")).alias("pickup_hour"),
@@ -518,6 +522,19 @@ def q_stream_parity_scored(spark, sf_dir):
                                            "matched_count", "mismatch_count", "predicted_fare_amount")
 
 
+def q_stream_json_requests(spark, sf_dir):
+    """R1/R4 from wire JSON: the damaged requests as files of a stream, in several micro-batches, both sinks together."""
+    base = scratch_path(spark, "stream-json")
+    files = spark.sparkContext.defaultParallelism
+    damaged_wire(spark, sf_dir).repartition(3 * files).write.parquet(f"{base}/wire")
+    query = streaming.start_json_scoring(streaming.wire_stream(spark, f"{base}/wire", files), f"{base}/scored", f"{base}/rejects",
+                                         f"{base}/checkpoint", streaming.linear_scorer(LINEAR_INTERCEPT, LINEAR_SLOPE))
+    query.awaitTermination()
+    scored = spark.read.parquet(f"{base}/scored").select("request_id", F.lit("").alias("reasons"), "applied_skew_mode", "predicted_fare_amount")
+    rejects = spark.read.parquet(f"{base}/rejects").select("request_id", F.array_join("rejection_reasons", ",").alias("reasons"))
+    return scored.unionByName(rejects, allowMissingColumns=True)
+
+
 def q_stream_drift_windows(spark, sf_dir):
     """Daily drift windows of the served stream (complete mode, so the last window is kept)."""
     sink, ckpt = scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-windows-ckpt")
@@ -620,6 +637,7 @@ def base_queries() -> dict[str, Query]:
         "boosted_leafwise_scores": q_boosted_leafwise_scores,
         "ridge_normal_equations": q_ridge_normal_equations,
         "stream_parity_scored": q_stream_parity_scored,
+        "stream_json_requests": q_stream_json_requests,
         "stream_drift_windows": q_stream_drift_windows,
         "stream_drift_hourly": q_stream_drift_hourly,
         "stream_rejects": q_stream_rejects,

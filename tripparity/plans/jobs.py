@@ -107,6 +107,21 @@ def explain_requests(requests: DataFrame, model: PipelineModel,
                            prefix=pairs.SERVING_PREFIX)
 
 
+def global_importance(spark: SparkSession, model_dir: str, sample: DataFrame | None = None) -> DataFrame:
+    """Mean absolute contribution per feature of the model saved in ``model_dir``: model_name, rows, feature, importance.
+
+    ``sample`` holds feature vectors under their contract names (any size; other columns are ignored);
+    without one the six representative trips are explained. A linear model's background means are
+    those of the reference statistics saved beside it. A missing model raises ``FileNotFoundError``.
+    """
+    model = artifacts.load_model(spark, model_dir)
+    reference = artifacts.load_reference_stats(spark, f"{model_dir.rstrip('/')}/{artifacts.REFERENCE_DIR}")
+    means = {n: reference[n].mean for n in FEATURE_NAMES} if reference else None
+    explained = explain.explain(explain.reference_trips(spark) if sample is None else sample, model, means)
+    name = artifacts.load_metadata(spark, model_dir).get("model_name", "model")
+    return explain.global_importance(explained).withColumn("model_name", F.lit(name))
+
+
 def drift_job(spark: SparkSession, served: DataFrame, model_dir: str,
               buffer_size: int = drift.DEFAULT_BUFFER_SIZE) -> tuple[DataFrame, DataFrame]:
     """The reference saved beside the model, the latest served rows, the drift report."""

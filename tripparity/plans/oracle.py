@@ -638,6 +638,15 @@ SELECT request_id, feature_mode, applied_skew_mode,
        CAST(count_if(NOT matched) AS INTEGER) AS mismatch_count,
        3.0 + 2.5 * max(CASE WHEN feature = 'trip_distance_miles' THEN serving_value END) AS predicted_fare_amount
 FROM compared GROUP BY ALL"""),
+        "stream_json_requests": f"""
+WITH checked AS ({base_sql()["requests_damaged_json"]}),
+applied AS (SELECT *, CASE WHEN request_id % 4 = 0 OR request_id % 3 = 0 THEN 'none'
+                           WHEN request_id % 3 = 1 THEN 'distance_unit' ELSE 'timezone' END AS skew,
+                   CASE WHEN request_id % 23 = 12 THEN 4.5::DOUBLE ELSE 2.25::DOUBLE END AS miles FROM checked)
+SELECT request_id, reasons, CASE WHEN accepted THEN skew END AS applied_skew_mode,
+       CASE WHEN accepted THEN 3.0::DOUBLE + 2.5::DOUBLE * round(miles * CASE WHEN skew = 'distance_unit' THEN 1.609344::DOUBLE ELSE 1 END, 6)
+       END AS predicted_fare_amount
+FROM applied""",
         "stream_drift_windows": _windows_sql("day", WINDOW_FEATURES),
         "stream_drift_hourly": _windows_sql("hour", WINDOW_STATUS),
         "stream_rejects": base_sql()["requests_rejected"],

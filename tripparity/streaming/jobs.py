@@ -5,7 +5,7 @@ R2 keeps a served log and a rolling last-N drift report with ``foreachBatch``; b
    by the batch id, so a replayed batch overwrites its own output instead of duplicating it.
 R3 computes drift per event-time window with a watermark: one stateful aggregation (count, means,
    bin counts), PSI as a projection afterwards.
-R4 writes rejected requests to a second sink of the same ``foreachBatch``.
+R4 writes rejected requests to a second sink of the same ``foreachBatch``; wire JSON streams (R1) have one too.
 Checkpoints live under the shared ``spark.checkpoint.dir``.
 """
 
@@ -25,7 +25,7 @@ from tripparity.functions.time import utc_instant, utc_wall_clock
 from tripparity.operators import drift, models, pairs, parity
 from tripparity.operators.vector import FEATURE_NAMES
 from tripparity.session import delete_path, path_exists
-from tripparity.sources.requests import requests_from_trips
+from tripparity.sources.requests import parse_json_requests, requests_from_trips
 from tripparity.sources.trips import trips_from_events
 
 
@@ -67,9 +67,14 @@ def model_scorer(model: PipelineModel) -> Scorer:
 
 def scored_parity(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """R1 body (also used by batch): accepted requests with parity counts and a prediction."""
-    ok = pairs.accepted(pairs.serve_requests(requests))
-    reported = parity.parity_report(ok)
-    flat = reported.select("request_id", "served_at", "feature_mode", "applied_skew_mode",
+    return scored_served(pairs.serve_requests(requests), scorer)
+
+
+def scored_served(served: DataFrame, scorer: Scorer) -> DataFrame:
+    """The accepted ones of served requests, with parity counts and a prediction."""
+    reported = parity.parity_report(pairs.accepted(served))
+    time = [c for c in ("served_at",) if c in served.columns]
+    flat = reported.select("request_id", *time, "feature_mode", "applied_skew_mode",
                            F.col("parity.matched_count").alias("matched_count"),
                            F.col("parity.mismatch_count").alias("mismatch_count"),
                            *[F.col(f"{pairs.SERVING_PREFIX}{n}") for n in FEATURE_NAMES])
@@ -86,6 +91,41 @@ def start_scored_parity(spark: SparkSession, events_path: str, sink_path: str, c
     return writer.start()
 
 
+WIRE_SCHEMA = "request_id long, value string"
+
+
+def wire_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of wire requests: a folder of Parquet files of (request_id, value = JSON document)."""
+    reader = spark.readStream.schema(WIRE_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
+
+
+def start_json_scoring(wire: DataFrame, sink_path: str, rejects_path: str, checkpoint: str, scorer: Scorer,
+                       available_now: bool = True) -> StreamingQuery:
+    """R1 + R4 from wire JSON: per micro-batch, scored requests to one sink, rejected ones with all their reasons to the other.
+
+    ``wire`` is any stream with the columns of ``WIRE_SCHEMA`` (``wire_stream``, or keys and values of
+    a log). Every request of a batch lands in exactly one of the two sinks, in the batch's own folder,
+    which a replayed batch rewrites.
+    """
+    served = pairs.serve_requests(parse_json_requests(wire, id_column="request_id"))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            for rows, path in ((scored_served(batch, scorer), sink_path),
+                               (pairs.rejected(batch).select("request_id", "rejection_reasons"), rejects_path)):
+                rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = served.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def start_rolling_drift(spark: SparkSession, events_path: str, reference: drift.ReferenceStats,
                         served_log_path: str, reports_path: str, rejects_path: str, checkpoint: str,
                         buffer_size: int = drift.DEFAULT_BUFFER_SIZE,
