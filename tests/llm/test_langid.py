@@ -72,3 +72,21 @@ def test_edge_rows(edge_docs, no_docs):
     unfitted = L.fit_languages(no_docs)
     assert {(r["lang_pred"], r["score"]) for r in L.identify_languages(edge_docs, unfitted).collect()} == {("und", 0.0)}
     assert L.identify_languages(no_docs, model).count() == 0
+
+
+def test_training_reads_whole_texts_and_each_row_once(spark):
+    """The telling words stand in the middle of long texts; one row makes up half of the table."""
+    filler = "zzz " * 400
+    rows = [(i, filler + ("schön größe " if i % 2 else "hello there ") * 40 + filler, "de" if i % 2 else "en") for i in range(80)]
+    rows += [(81, "schön größe", "de")] * 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = L.fit_languages(docs, config=L.LangConfig(sample_rows=30))
+    assert [model.predict(f"{filler}{word} {filler}")[0] for word in ("schön größe " * 9, "hello there " * 9)] == ["de", "en"]
+
+
+def test_a_dirty_column_learns_the_largest_languages(spark):
+    rows = [(i, f"abc def {i}", "en") for i in range(40)] + [(100 + i, f"wxyz uvw {i}", "fr") for i in range(40)]
+    rows += [(200 + i, "noise", f"x{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_languages(docs, config=L.LangConfig(max_languages=2))
+    assert set(model.family_of) == {"en", "fr"} and len(model.machines) == 1

@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripparity.llm.common import id_fold, read_table, ready
@@ -32,13 +32,13 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class LangConfig:
-    """``sample_rows`` bounds the labelled rows taken of each language."""
+    """``sample_rows`` bounds the labelled rows taken of each language, ``max_languages`` the languages
+    learned (those with the most labelled rows), so that a dirty column can't ask for endless machines."""
 
     orders: tuple[int, ...] = (1, 2, 3, 4)
     buckets: int = 1 << 13
     sample_rows: int = 400
-    sample_chunks: int = 2
-    sample_chars: int = 400
+    max_languages: int = 60
     epochs: int = 12
     cost: float = 4.0
     slope: float = 4.0  # of the logistic curve from margin to score
@@ -125,10 +125,16 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   families: dict[str, tuple[str, ...]] = FAMILIES, config: LangConfig = LangConfig()) -> LanguageModel:
-    """Fits on at most ``sample_rows`` rows of each language outside the held-out fold."""
+    """Fits on at most ``sample_rows`` different texts of each language outside the held-out fold, read whole.
+
+    Rows are picked by a hash of id and text, and equal rows once, so an id that repeats over the table
+    is one of many; only the profiles of the picked texts (at most ``buckets`` numbers each) reach the driver.
+    """
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_fold(F.col("id"), FOLDS) != HELD_OUT))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    largest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(config.max_languages)
+    sizes = {r["lang"]: r["n"] for r in largest.collect()}
     model = LanguageModel(config)
     if not sizes:
         return model
@@ -137,20 +143,21 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A uniform hash keeps about 1.3 times the rows wanted before they are ranked.
     share = F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (
         F.lit(lang), F.lit(min(1.0, (1.3 * config.sample_rows + 50) / n)))]), F.col("lang"))
-    order = F.xxhash64(F.col("id"), F.lit(config.seed))
-    near = rows.withColumn("order", order).where(F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30) < share)
-    last = F.greatest(F.length("text") - config.sample_chars, F.lit(0))
-    steps = max(config.sample_chunks - 1, 1)
-    starts = F.array_distinct(F.array(*[F.floor(last * i / steps).cast("int") for i in range(config.sample_chunks)]))
-    near = near.select("lang", "order", "id", F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(config.sample_chars))).alias("parts"))
-    ranked = near.withColumn("rank", F.expr("row_number() over (partition by lang order by order, id, hash(parts))"))
-    sample = ranked.where(F.col("rank") <= config.sample_rows).select("lang", "parts").collect()
-    points = []
-    for r in sorted(sample, key=lambda r: (r["lang"], r["parts"])):
-        for part in r["parts"]:
-            x = unit(profile(part, config))
-            at = np.flatnonzero(x)
-            points.append((r["lang"], (at, x[at])))
+    rows = rows.where(F.col("lang").isin(list(sizes))).withColumn("order", F.xxhash64("id", "text", F.lit(config.seed)))
+    near = rows.where(F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30) < share).select("lang", "order").distinct()
+    picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))) \
+        .where(F.col("rank") <= config.sample_rows).select("lang", "order")
+
+    @F.pandas_udf("at array<int>, x array<double>")
+    def profiles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            units = [unit(profile(t, config)) for t in part]
+            yield pd.DataFrame({"at": [np.flatnonzero(u).astype(np.int32) for u in units], "x": [u[u > 0] for u in units]})
+
+    # At most sample_rows * max_languages keys are sent to the rows.
+    texts = rows.join(F.broadcast(picked), ["lang", "order"]).dropDuplicates(["lang", "order"])
+    sample = texts.select("lang", "order", profiles("text").alias("p")).select("lang", "order", "p.at", "p.x").collect()
+    points = [(r["lang"], (np.array(r["at"], np.int64), np.array(r["x"]))) for r in sorted(sample, key=lambda r: (r["lang"], r["order"]))]
     names = sorted(set(model.family_of.values()))
     for a, b in combinations(names, 2):
         model.machines["", a, b] = _duel(points, lambda lang: model.family_of[lang], a, b, config)
