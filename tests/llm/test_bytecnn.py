@@ -41,6 +41,43 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-6 - grad[at]) < 1e-4
 
 
+def test_document_gradients_match_differences():
+    """Documents of one and more chunks, over several blocks of chunks."""
+    rng = np.random.default_rng(1)
+    model = B.ByteCnn(SMALL)
+    model.start()
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    chunks, owners, labels = rng.integers(0, 256, (8, 64)), np.array([0, 0, 0, 1, 2, 2, 2, 2]), np.array([1.0, 0, 0])
+    weight = np.array([0.5, 1.0, 2.0])
+
+    def loss():
+        z = np.bincount(owners, model.logits(chunks)) / np.bincount(owners)
+        return float(((np.logaddexp(0, z) - labels * z) * weight).sum() / 3)
+
+    grads = model._gradients(chunks, labels, weight, owners)
+    for name in ("out", "dense", "shift", "filters", "bytes"):
+        flat, grad = model.weights[name].reshape(-1), grads[name].reshape(-1)
+        for at in np.argsort(-np.abs(grad))[:3]:
+            old = flat[at]
+            flat[at] = old + 1e-6
+            up = loss()
+            flat[at] = old - 1e-6
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-4
+
+
+def test_training_rows_are_whole_texts_one_an_id(spark):
+    long = "word " * 5000
+    docs = spark.createDataFrame([(i, long + str(i)) for i in range(20)] + [(3, f"copy {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    rows = B.training_rows(docs, labels, "doc_id", "text", "quality", SMALL)
+    ids = [r["__id"] for r in rows]
+    assert ids == [i for i in range(20) if zlib.crc32(str(i).encode()) % 5]
+    assert all(r["text"] == long + str(r["__id"]) for r in rows if r["__id"] != 3)
+    assert len(B.training_rows(docs, labels, "doc_id", "text", "quality", replace(SMALL, sample_rows=4))) == 4
+
+
 def test_score_reads_whole_texts_block_by_block():
     model = B.ByteCnn(SMALL)
     model.start()

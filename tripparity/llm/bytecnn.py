@@ -24,7 +24,7 @@ FOLDS = 5
 
 @dataclass(frozen=True)
 class CnnConfig:
-    """Shape and training parameters; ``sample_rows`` bounds the labelled rows that are collected."""
+    """Shape and training parameters; ``sample_rows`` bounds the labelled documents that are collected, whole."""
 
     chunk: int = 512
     hop: int = 384
@@ -34,12 +34,11 @@ class CnnConfig:
     filters: int = 32
     hidden: int = 16
     sample_rows: int = 4000
-    sample_chunks: int = 3
     steps: int = 2000
-    batch: int = 64
+    batch: int = 32  # documents a step, all their chunks
     rate: float = 4e-3
     seed: int = 7
-    block: int = 256  # chunks scored at once
+    block: int = 256  # chunks worked on at once
 
 
 @dataclass
@@ -81,8 +80,11 @@ class ByteCnn:
         top = (windows.reshape(-1, size) @ w["filters"]).reshape(n, places, -1).max(axis=1) + w["shift"]
         return np.tanh(np.tanh(top) @ w["dense"] + w["dense_shift"]) @ w["out"] + w["out_shift"][0]
 
-    def fit(self, chunks: np.ndarray, labels: np.ndarray) -> ByteCnn:
-        """Adam on the logistic loss; both classes weigh the same."""
+    def fit(self, chunks: np.ndarray, labels: np.ndarray, owners: np.ndarray | None = None) -> ByteCnn:
+        """Adam on the logistic loss of the documents' mean logits, as in scoring; both classes weigh the same.
+
+        ``owners`` gives each chunk's document (ascending numbers into ``labels``); without it every chunk is one.
+        """
         c = self.config
         self.start()
         rng = np.random.default_rng(c.seed + 1)
@@ -92,14 +94,17 @@ class ByteCnn:
             self.constant = float(0.99 * share + 0.005)
             return self
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        ends = np.cumsum(np.bincount(np.arange(len(chunks)) if owners is None else owners, minlength=len(labels)))
+        starts = np.append(0, ends[:-1])
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
         while step < c.steps:
-            order = rng.permutation(len(chunks))
+            order = rng.permutation(len(labels))
             for lo in range(0, len(order), c.batch):
-                at = order[lo:lo + c.batch]
-                grads = self._gradients(chunks[at], labels[at], weight[at])
+                docs = order[lo:lo + c.batch]
+                at = np.concatenate([np.arange(starts[d], ends[d]) for d in docs])
+                grads = self._gradients(chunks[at], labels[docs], weight[docs], np.repeat(np.arange(len(docs)), ends[docs] - starts[docs]))
                 step += 1
                 rate = c.rate * max(1 - step / (c.steps + 1), 0.0) * (1 - 0.999 ** step) ** 0.5 / (1 - 0.9 ** step)
                 for k, g in grads.items():
@@ -109,13 +114,32 @@ class ByteCnn:
                 self.weights["bytes"][PAD] = 0
         return self
 
-    def _gradients(self, chunks: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        c, w = self.config, self.weights
+    def _gradients(self, chunks: np.ndarray, labels: np.ndarray, weight: np.ndarray,
+                   owners: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradients of a batch of documents, ``block`` chunks at a time: mean logits first, then back through each block."""
+        owners = np.arange(len(chunks)) if owners is None else owners
+        sizes = np.bincount(owners, minlength=len(labels))
+        blocks = [slice(lo, lo + self.config.block) for lo in range(0, len(chunks), self.config.block)]
+        held = self._forward(chunks[blocks[0]])
+        z = np.concatenate([held[-1]] + [self.logits(chunks[at]) for at in blocks[1:]])
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owners, z, len(labels)) / sizes, -30, 30)))
+        err = (((p - labels) * weight / len(labels)) / sizes)[owners].astype(z.dtype)
+        total = self._backward(chunks[blocks[0]], held, err[blocks[0]])
+        for at in blocks[1:]:
+            for k, g in self._backward(chunks[at], self._forward(chunks[at]), err[at]).items():
+                total[k] = total[k] + g
+        return total
+
+    def _forward(self, chunks: np.ndarray) -> tuple[np.ndarray, ...]:
+        w = self.weights
         windows, top, where = self.pooled(chunks)
         a = np.tanh(top)
         b = np.tanh(a @ w["dense"] + w["dense_shift"])
-        p = 1 / (1 + np.exp(-np.clip(b @ w["out"] + w["out_shift"][0], -30, 30)))
-        err = (p - labels) * weight / len(chunks)
+        return windows, where, a, b, b @ w["out"] + w["out_shift"][0]
+
+    def _backward(self, chunks: np.ndarray, held: tuple[np.ndarray, ...], err: np.ndarray) -> dict[str, np.ndarray]:
+        c, w = self.config, self.weights
+        windows, where, a, b, _ = held
         db = err[:, None] * w["out"] * (1 - b * b)
         da = db @ w["dense"].T * (1 - a * a)
         row = np.arange(len(chunks))[:, None]
@@ -194,9 +218,9 @@ def cut(data: np.ndarray, starts: np.ndarray, c: CnnConfig) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   config: CnnConfig) -> list:
-    """At most ``sample_rows`` labelled documents outside the held-out fold, picked by a hash of the id,
-    each as at most ``sample_chunks`` pieces spread over the text. Ids are picked first; only the
-    picked documents' pieces travel."""
+    """(id, label, whole text) of at most ``sample_rows`` labelled documents outside the held-out fold, picked
+    by a hash of the id. Ids are picked first; an id with several texts gives one of them, chosen in
+    Spark before anything is collected."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")) \
         .agg(F.max(label_col).cast("int").alias("__label")).where(id_fold(F.col("__id"), FOLDS) != 0)
     spread = F.xxhash64("__id", F.lit(config.seed))
@@ -204,13 +228,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     share = min(1.0, (1.3 * config.sample_rows + 50) / max(marks.count(), 1))
     picked = marks.withColumn("__order", spread).where(F.pmod("__order", F.lit(1 << 30)) < int(share * (1 << 30))) \
         .orderBy("__order", "__id").limit(config.sample_rows).select("__id", "__label")
-    last = F.greatest(F.length("__text") - config.chunk, F.lit(0))
-    steps = max(config.sample_chunks - 1, 1)
-    starts = F.array_distinct(F.array(*[F.floor(last * i / steps).cast("int") for i in range(config.sample_chunks)]))
-    parts = F.transform(starts, lambda s: F.substring(F.col("__text"), s + 1, F.lit(config.chunk)))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found = rows.join(F.broadcast(picked), "__id").select("__id", "__label", parts.alias("parts")).collect()
-    return sorted(found, key=lambda r: (r["__id"], r["parts"]))[:config.sample_rows]
+    found = rows.join(F.broadcast(picked), "__id").groupBy("__id", "__label") \
+        .agg(F.min_by("__text", F.struct(F.xxhash64("__text"), F.length("__text"))).alias("text")).collect()
+    return sorted(found, key=lambda r: r["__id"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -220,9 +241,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not rows:
         model.constant = 0.5
         return model
-    pieces = [(cut(np.frombuffer(p.encode()[:config.chunk], np.uint8), np.zeros(1, np.int64), config), r["__label"])
-              for r in rows for p in r["parts"]]
-    return model.fit(np.concatenate([p for p, _ in pieces]), np.array([y for _, y in pieces]))
+    parts = []
+    for r in rows:
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        parts.append(cut(data, chunk_starts(len(data), config), config).astype(np.uint16))
+    owners = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    return model.fit(np.concatenate(parts), np.array([r["__label"] for r in rows]), owners)
 
 
 def quality_score(text: Column, model: ByteCnn) -> Column:
