@@ -173,7 +173,7 @@ def _median_start(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def _subset_starts(rows: DataFrame, names: list[str], starts: int) -> DataFrame:
     """Mean and covariance of about 2 (d + 1) rows a group and start, picked by a hash of their values."""
-    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    sizes = materialize(rows.groupBy("group").agg(F.count("*").alias("n")), "mcd-sizes")
     picked = [F.when(F.pmod(F.xxhash64(F.lit(k), *names), F.col("n")) < 2 * (len(names) + 1), F.lit(k)) for k in range(1, starts)]
     drawn = rows.join(sizes, "group").withColumn("start", F.explode(F.array_compact(F.array(*picked))))
     return _moments(drawn, names, {n: F.col(n) for n in names}, *[F.lit(0.0).alias(f"o_{n}") for n in names])
