@@ -77,3 +77,25 @@ def test_edge_rows(edge_docs, no_docs):
     mixed = M.mix_documents(edge_docs)
     assert mixed.columns == edge_docs.columns
     assert M.mix_documents(no_docs).count() == 0
+
+
+def test_draw_goes_by_contents_and_not_by_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(r["doc_id"] for r in M.mix_documents(docs, block=64).select("doc_id").collect())
+    for parts in (1, 7):
+        assert sorted(r["doc_id"] for r in M.mix_documents(docs.repartition(parts), block=64).select("doc_id").collect()) == want
+
+
+def test_rows_of_one_id_are_dealt_to_all_blocks(spark, monkeypatch):
+    """A third of the rows share id and size; no block holds them all and the totals hold."""
+    docs = spark.range(6000).selectExpr("if(id < 2000, 7, id) AS doc_id", "'one' AS source",
+                                        "repeat('w ', if(id < 2000, 5, int(1 + id % 40))) AS text")
+    other = docs.selectExpr("doc_id + 100000 AS doc_id", "'two' AS source", "text")
+    seen = []
+    written = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    out = M.mix(docs.union(other), ["doc_id"], block=200).toPandas()
+    rates = next(df for name, df in seen if name == "mix-rates")
+    assert rates.groupBy("source", "block").count().agg({"count": "max"}).first()[0] < 400
+    by = out.groupby("target").taken.sum()
+    assert len(out) == 12000 and all(abs(taken - target) <= 0.01 * target for target, taken in by.items())

@@ -16,6 +16,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from tripparity.llm.common import materialize, read_table, ready, word_count
 
@@ -26,6 +27,7 @@ BLOCK = 1000
 HELD = 48  # documents of a source that settle its word total at the end
 SEED = 20240601
 _EPS = 1e-9
+_HASHED = (StringType, BinaryType, BooleanType, NumericType, DateType, TimestampType, TimestampNTZType)
 
 
 def _null_vector(sizes: list[float]) -> list[float]:
@@ -135,21 +137,27 @@ def source_targets(sizes: DataFrame, weights: Iterable[float] = WEIGHTS, budget_
 
 def mix(docs: DataFrame, keep: list[str], source_col: str = "source", text_col: str = "text",
         weights: Iterable[float] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_repeat: float = MAX_REPEAT,
-        block: int = BLOCK, seed: int = SEED) -> DataFrame:
+        block: int = BLOCK, seed: int = SEED, draw: list[str] | None = None) -> DataFrame:
     """Copies of each document in a balanced sample: the ``keep`` columns (documents' names) under
     their own names, then size, source_size, target, copies, taken, and the row key ``__row``.
 
     The key is a running number written with the rows, unique also for repeated rows; the draw
-    depends on the hash of the kept columns, so reruns on the same table agree. Null texts have size
+    depends on the hash of the ``draw`` columns (the kept ones unless given), so reruns agree however
+    the table is partitioned. Rows of one hash that are more than a block are dealt to all blocks of
+    their source by their key: equal rows may then change places between runs. Null texts have size
     0; a null source is a source of its own; a document of size 0 follows its source's rate; sources
     of size 0 have target 0 and are not taken; an empty table gives an empty result.
     """
     spark = ready(docs.sparkSession)
     kept = {c: f"__in_{i}" for i, c in enumerate(keep)}
+    drawn = F.xxhash64(*[F.col(c) for c in (keep if draw is None else draw)])
     rows = docs.select(*[F.col(c).alias(v) for c, v in kept.items()], F.col(source_col).cast("string").alias("source"),
-                       word_count(F.col(text_col)).alias("size"))
+                       word_count(F.col(text_col)).alias("size"), drawn.alias("order"))
     rows = materialize(rows.withColumns({"row": F.monotonically_increasing_id(),
-                                         "order": F.xxhash64(*kept.values(), "size")}), "mix-rows")
+                                         "order": F.xxhash64("order", "size")}), "mix-rows")
+    often = materialize(rows.groupBy("order").count().where(F.col("count") > block).select("order", F.lit(True).alias("often")),
+                        "mix-often")
+    rows = rows.join(often, "order", "left")
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(stats.select("source", "source_size"), weights, budget_share, max_repeat)
     targets = materialize(targets.join(stats.select(F.col("source").alias("__s"), "n"), F.col("source").eqNullSafe(F.col("__s")))
@@ -160,7 +168,8 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", text_col:
     rows = materialize(rows.withColumns({
         "whole": whole.cast("int"), "p": F.greatest(F.col("rate") - whole, F.lit(0.0)),
         "source_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
-        "block": F.pmod(F.col("order"), F.ceil(F.col("n") / block)).cast("long"), "blocks": F.ceil(F.col("n") / block)}),
+        "block": F.pmod(F.when(F.col("often"), F.xxhash64("order", "row")).otherwise(F.col("order")),
+                        F.ceil(F.col("n") / block)).cast("long"), "blocks": F.ceil(F.col("n") / block)}),
         "mix-rates")
     state = rows.where((F.col("p") > _EPS)).select("source_key", "row", "order", "size", "p", "block", "blocks")
     settled = None
@@ -184,11 +193,14 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", text_col:
 
 
 def mix_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mixed corpus itself: every column of ``docs``, each document as many times as it is taken."""
-    spark = docs.sparkSession
+    """The mixed corpus itself: every column of ``docs``, each document as many times as it is taken.
+
+    The draw goes by the contents of the row (columns of plain types), not by where it is stored.
+    """
     inner = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
     numbered = materialize(docs.withColumnsRenamed(inner).withColumn("__key", F.monotonically_increasing_id()), "mix-input")
-    copies = mix(numbered, ["__key"], inner[source_col], inner[text_col], **options).where("copies > 0") \
+    contents = [inner[f.name] for f in docs.schema if isinstance(f.dataType, _HASHED)]
+    copies = mix(numbered, ["__key"], inner[source_col], inner[text_col], draw=contents, **options).where("copies > 0") \
         .select("__key", "copies")
     out = numbered.join(copies, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select([F.col(v).alias(k) for k, v in inner.items()])
