@@ -94,3 +94,23 @@ def test_clustered_vectors_leave_siblings_out():
 def test_equal_vectors_make_one_leaf():
     points = np.ones((1000, 3))
     assert isinstance(H.build(points, np.zeros(1000), np.arange(1000)), np.ndarray)
+
+
+def test_query_blocks_never_broadcast(spark):
+    """A block of queries stands once for every cell it meets; a broadcast of these fills the driver."""
+    rows = frame(spark, edge_rows(5)).where("vec_id is not null and embedding is not null and label is not null").where("size(embedding) = 13") \
+        .select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"),
+                H.quantized(F.col("embedding"), H.SCALE).alias("v")).where("v is not null")
+    index = H._Index(rows, 16, 8)
+    asked = index.placed.where("id % 50 = 0").selectExpr("row", "0L entry", "id", "label", "v", f"{LEAST}L lo", f"{MOST}L hi", "cell")
+    found = index.search(index.asked(asked, 4, False), True, 5)
+    assert found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan[plan.index("MapInPandas"):].splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0], joins
+
+
+def test_narrow_keeps_numbers():
+    for numbers, kind in (([], np.int8), ([-128, 127], np.int8), ([-129], np.int16), ([1 << 15], np.int32), ([LEAST, MOST], np.int64)):
+        narrow = H._narrow(np.array(numbers, np.int64))
+        assert narrow.dtype == kind and narrow.tolist() == numbers

@@ -51,6 +51,13 @@ def _padded(vectors, width: int) -> np.ndarray:
     return out
 
 
+def _narrow(whole: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest type that holds them; blocks are shuffled in it."""
+    low, high = whole.min(initial=0), whole.max(initial=0)
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return whole.astype(kind)
+
+
 def _lift(points: np.ndarray, mass: float) -> np.ndarray:
     """The coordinate that gives every vector the same norm."""
     return np.sqrt(np.maximum(mass - (points * points).sum(axis=1), 0.0))
@@ -224,7 +231,7 @@ class _Index:
             tree = build(points, _lift(points, mass), np.arange(len(data))) if len(data) else np.arange(0)
             held = [group[c].to_numpy(np.int64) for c in ("row", "id", "label")]
             return pd.DataFrame({"cell": [group["cell"].iloc[0]], "part": [group["part"].iloc[0]],
-                                 "block": [pickle.dumps((*held, data, tree))]})
+                                 "block": [pickle.dumps((*held, _narrow(data), tree))]})
 
         self.blocks = materialize(self.placed.groupBy("cell", "part").applyInPandas(pack, "cell int, part int, block binary"), "hardneg-blocks")
 
@@ -246,7 +253,7 @@ class _Index:
                 to_splits = np.sqrt(np.maximum(norm[:, None] + mass - 2 * (points @ splits.T), 0.0))
                 margin = _MARGIN * (np.sqrt(mass) + np.sqrt(norm.max(initial=0.0)))
                 cells = np.flatnonzero(may_hold(to_splits, low, high, *annulus(norm, mass, lo, hi), margin).any(axis=0)).tolist()
-            return pd.DataFrame({"queries": [pickle.dumps((*held, q, lo, hi))], "cells": [cells]})
+            return pd.DataFrame({"queries": [pickle.dumps((*held, _narrow(q), lo, hi))], "cells": [cells]})
 
         counts = queries.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("groups"))
         grouped = queries.join(F.broadcast(counts), "cell").withColumn("g", F.pmod(F.xxhash64("row", "entry"), "groups"))
@@ -268,7 +275,8 @@ class _Index:
                                         "score": -flat[:, 0], "found_id": flat[:, 1], "found_row": flat[:, 2]})
 
         blocks = self.blocks.where("part = 0") if first_part else self.blocks
-        return asked.join(blocks.select("cell", "block"), "cell").select("queries", "block").mapInPandas(
+        # A query block stands once for every cell it meets, which no estimate of its small input shows: never broadcast.
+        return asked.join(blocks.select("cell", "block").hint("merge"), "cell").select("queries", "block").mapInPandas(
             run, "row long, entry long, id long, score long, found_id long, found_row long")
 
 
