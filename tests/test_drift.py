@@ -233,3 +233,18 @@ def test_history_slides_in_segments(spark, reference, capsys):
     drift.drift_history(catalog.served_log(spark, SF_SMALL), reference).explain()
     plan = capsys.readouterr().out
     assert "hashpartitioning(segment" in plan and plan.count("SinglePartition") == 1 and "Python" not in plan
+
+
+def test_later_passes_read_open_columns_only(spark, monkeypatch):
+    """A column of few values is settled by the first pass; odd sizes, signs and neighbours come out exactly."""
+    asked, real = [], drift._values
+    monkeypatch.setattr(drift, "_values", lambda features, columns: asked.append(columns) or real(features, columns))
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(-2 ** 63, 2 ** 63 - 1, 3000).view(np.float64), np.nextafter(3.0, [2, 4]), [3.0, 0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf],
+                        3 + rng.random(500) * 1e-13, np.full(50, 7.25)])
+    x = np.sort(x[~np.isnan(x)])
+    frame = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(rng.permutation(x))], "x double, few double").repartition(5)
+    found = drift.order_statistics(frame, ("few", "x"), {0: {0, len(x) - 1}, 1: set(range(0, len(x), 7))})
+    assert found.pop((0, 0)) == 0 and found.pop((0, len(x) - 1)) == 2
+    assert found == {(1, r): x[r] for r in range(0, len(x), 7)}
+    assert asked[0] == ("few", "x") and set(asked[1:]) == {("x",)} and len(asked) <= 6

@@ -1,7 +1,7 @@
 """Reference statistics of the training features and PSI drift of served traffic, now or as of any row.
 
 Reference statistics read the nine feature columns a few times and shuffle only bounded aggregates:
-moments, bucket histograms for the exact deciles (radix selection over order-preserving keys), bin
+moments, bucket histograms for the exact deciles (buckets that get finer where a decile lies), bin
 counts. Only the summary (9 features x at most 11 edges) ever reaches the driver.
 
 Drift is one aggregate over the sample (per group, optionally) followed by a projection: PSI uses
@@ -88,9 +88,46 @@ def _histogram(values: DataFrame, parents: dict[int, set[int]] | None, digits: i
         F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
+def _magnitude(column: str) -> Column:
+    """A whole number that never falls as the double grows: sixteenths of octaves of its size, mirrored for negative ones."""
+    octaves = "cast(floor(greatest(-18000D, least(16 * log2({}), 18000D))) AS bigint) + 20000L"
+    return F.expr(f"CASE WHEN `{column}` > 0 THEN {octaves.format(f'`{column}`')} WHEN `{column}` < 0 THEN -({octaves.format(f'-`{column}`')}) ELSE 0L END")
+
+
 def order_statistics(features: DataFrame, columns: tuple[str, ...], ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
-    """Values at the wanted 0-based ranks of the columns' sorted rows. Columns hold doubles without NaN; nulls are left out."""
-    return select_ranks(_values(features, columns), ranks)
+    """Values at the wanted 0-based ranks of the columns' sorted rows. Columns hold doubles without NaN; nulls are left out.
+
+    The first pass counts rows by sixteenths of octaves, at most 2^17 buckets of a column. Inside one,
+    doubles lie evenly, so every further pass cuts the buckets with a wanted rank into 2^DIGIT equal
+    parts between their least and greatest value, down to a single value: about four passes, which
+    read the columns that are still open and drop all other rows by a small join.
+    """
+    spark = features.sparkSession
+    open_ = [(f, rank, 0, rank) for f, wanted in ranks.items() for rank in sorted(wanted)]  # f, rank, span, rank within
+    found: dict[tuple[int, int], float] = {}
+    levels: list[DataFrame] = []
+    while open_:
+        asked_columns = tuple(c for f, c in enumerate(columns) if any(o[0] == f for o in open_))
+        numbers = F.array(*[F.lit(columns.index(c)) for c in asked_columns])
+        rows = _values(features, asked_columns).select(numbers[F.col("f")].alias("f"), "x", F.lit(0).alias("span"), _magnitude("x").alias("bucket"))
+        for level in levels:  # one row per span
+            rows = rows.join(F.broadcast(level), ["f", "span", "bucket"]).select(
+                "f", "x", F.col("next").alias("span"), F.floor((F.col("x") - F.col("low")) / F.col("width") * (1 << DIGIT)).alias("bucket"))
+        buckets = rows.groupBy("f", "span", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy("f", "span").orderBy("bucket"))
+        asked = spark.createDataFrame(open_, "f int, rank long, span int, within long")
+        hit = buckets.withColumn("before", upto - F.col("n")).join(F.broadcast(asked), ["f", "span"]) \
+            .where((F.col("within") >= F.col("before")) & (F.col("within") < F.col("before") + F.col("n")))
+        open_, spans = [], {}
+        for r in hit.select("f", "rank", "span", "bucket", "low", "high", (F.col("within") - F.col("before")).alias("left")).collect():
+            if r["low"] == r["high"]:
+                found[r["f"], r["rank"]] = r["low"]
+            else:
+                at = spans.setdefault((r["f"], r["span"], r["bucket"]), (len(spans), r["low"], r["high"] - r["low"]))
+                open_.append((r["f"], r["rank"], at[0], r["left"]))
+        levels.append(spark.createDataFrame([(*key, *span) for key, span in spans.items()],
+                                            "f int, span int, bucket long, next int, low double, width double"))
+    return found
 
 
 def select_ranks(values: DataFrame, ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
@@ -127,8 +164,8 @@ def compute_reference_stats(features: DataFrame, bins: int = DRIFT_BIN_COUNT,
     """A1-A5: mean, population std, min, max, pinned decile edges and bin proportions per feature.
 
     Exact at every size: moments and bin counts are single aggregates, the order statistics around each
-    decile (joined by linear interpolation) come from radix selection, so no exchange grows with the
-    values. The columns are read several times: unless ``features`` is a ``written`` table they are
+    decile (joined by linear interpolation) come from bucket counts that get finer, so no exchange grows
+    with the values. The columns are read several times: unless ``features`` is a ``written`` table they are
     written to the shared folder first. Nulls are left out; a feature without any value and values
     that are not finite raise a ValueError that names them.
     """
