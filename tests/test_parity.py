@@ -114,3 +114,16 @@ def test_duplicate_offline_rows_give_one_whole_row(spark):
     found = [parity.compare_tables(offline.repartition(n), online).first() for n in (3, 5)]
     assert found[0].offline_rows == 6 and found[0].rows_mismatched in (0, 1) and found[0] == found[1]
     assert {f.mismatches for f in found[0].features} <= ({0} if found[0].matched else {0, 1})
+
+
+def test_joined_tables_are_dealt_by_their_rows(spark):
+    """The tasks that join follow the rows of both tables; adaptive execution does not put them together again."""
+    vectors = [F.col("trip_id").cast("double").alias(FEATURE_NAMES[0]), *[F.lit(1).alias(n) for n in FEATURE_NAMES[1:]]]
+    offline = spark.range(0, 3000).select(F.col("id").alias("trip_id")).select("trip_id", *vectors)
+    online = offline.where("trip_id % 3 > 0").unionByName(offline.where("trip_id % 3 = 1"))
+    out = parity.compare_tables(offline, online, rows_a_task=300)
+    assert parity.join_tasks(offline, online, 300) == 20
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300
+    found = {r["missing_in"]: r["n"] for r in out.groupBy("missing_in").agg(F.count("*").alias("n")).collect()}
+    assert found == {None: 2000, "online": 1000} and out.where("missing_in is null and not matched").count() == 0

@@ -212,17 +212,29 @@ def _keyed_vectors(df: DataFrame, key: str, side: str) -> DataFrame:
     return reduced.select(key, f"{side}_rows", vector.alias(side))
 
 
-def compare_tables(offline: DataFrame, online: DataFrame, key: str = "trip_id") -> DataFrame:
+ROWS_A_TASK = 250_000  # of both tables, in a task that joins them
+
+
+def join_tasks(offline: DataFrame, online: DataFrame, rows_a_task: int = ROWS_A_TASK) -> int:
+    """Tasks enough for both tables, so that a task's memory does not grow with them."""
+    least = int(offline.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(offline.count() + online.count()) // rows_a_task))
+
+
+def compare_tables(offline: DataFrame, online: DataFrame, key: str = "trip_id", rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """Q6: parity of every online row with the offline row of its key.
 
     One row per key: offline_rows, online_rows, missing_in (the side without the key), rows_compared,
     rows_mismatched, matched (null unless both sides have the key) and, per feature in order, the
     number of mismatching rows and the largest difference. The offline side has one row per key
     (duplicates are counted, one is taken); equal online vectors of a key are counted before the
-    join, so a trip served often costs one comparison per different vector and loses none.
+    join, so a trip served often costs one comparison per different vector and loses none. Both
+    tables are counted first and what is left of them is dealt to a task for every ``rows_a_task``
+    rows, a number that adaptive execution keeps.
     """
-    left = _keyed_vectors(offline, key, "training")
-    served = online.groupBy(key, *FEATURE_NAMES).agg(F.count(F.lit(1)).alias("_n"))
+    tasks = join_tasks(offline, online, rows_a_task)
+    left = _keyed_vectors(offline, key, "training").repartition(tasks, key)
+    served = online.groupBy(key, *FEATURE_NAMES).agg(F.count(F.lit(1)).alias("_n")).repartition(tasks, key)
     paired = served.join(left, on=key, how="left").select(
         key, "_n", "training_rows", *[F.col(n).alias(f"s_{n}") for n in FEATURE_NAMES],
         *[F.col(f"training.{n}").alias(f"t_{n}") for n in FEATURE_NAMES])
@@ -242,7 +254,7 @@ def compare_tables(offline: DataFrame, online: DataFrame, key: str = "trip_id")
                                         F.col(f"d{i}").alias("max_absolute_difference"))
                                for i, n in enumerate(FEATURE_NAMES)])).alias("features"))
     zero = F.lit(0).cast("bigint")
-    unserved = left.join(online.select(key).distinct(), on=key, how="left_anti").select(
+    unserved = left.join(online.select(key).distinct().repartition(tasks, key), on=key, how="left_anti").select(
         key, F.col("training_rows").alias("offline_rows"), zero.alias("online_rows"), F.lit("online").alias("missing_in"),
         zero.alias("rows_compared"), zero.alias("rows_mismatched"), F.lit(None).cast("boolean").alias("matched"),
         F.lit(None).cast(compared.schema["features"].dataType).alias("features"))
