@@ -124,3 +124,15 @@ def test_exact_split_holds_out_exactly_a_fifth(spark):
     rows = table.count()
     exact = models.compare_models(table, replace(SMALL, exact_split=True), candidates=("ridge",))[0]
     assert exact.params["training_rows"] == str(rows - -(-rows // 5))
+
+
+def test_fits_read_one_part_a_core(spark, tmp_path, monkeypatch):
+    """Trips in a single file train on all cores, a part holds its rows in order of the key."""
+    seen = []
+    monkeypatch.setattr(models, "compare_models", lambda features, *a: seen.append(features) or (_ for _ in ()).throw(InterruptedError))
+    raw = raw_trips_from_trips(load_trips(spark, SF_SMALL)).coalesce(1)
+    with pytest.raises(InterruptedError):
+        jobs.train_job(spark, raw, f"{tmp_path}/out")
+    parts = [[r["trip_id"] for r in part] for part in seen[0].select("trip_id").rdd.glom().collect()]
+    assert len(parts) == spark.sparkContext.defaultParallelism and max(map(len, parts)) < 2 * sum(map(len, parts)) / len(parts)
+    assert all(part == sorted(part) for part in parts) and sum(map(len, parts)) == 809

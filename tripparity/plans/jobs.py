@@ -35,7 +35,8 @@ def train_job(spark: SparkSession, raw: DataFrame, output_dir: str,
     """M7: validate -> features -> compare -> select -> log runs -> save model, comparison, stats.
 
     The feature table is written to ``output_dir`` first: it is an artifact, it cuts the lineage
-    for the three fits and the statistics, and it survives executor loss.
+    for the three fits and the statistics, and it survives executor loss. The fits read it in as many
+    parts as there are cores, dealt and sorted by ``key``, however few files or row groups hold the trips.
     """
     config = config or models.TrainingConfig()
     out = output_dir.rstrip("/")
@@ -43,9 +44,10 @@ def train_job(spark: SparkSession, raw: DataFrame, output_dir: str,
     training_features(valid, keep=(key,)).write.mode("overwrite").parquet(f"{out}/{TRAINING_FEATURES_DIR}")
     features = spark.read.parquet(f"{out}/{TRAINING_FEATURES_DIR}")
     rows = features.count()
+    dealt = features.repartition(spark.sparkContext.defaultParallelism, key).sortWithinPartitions(key)
     if rows == 0:
         raise contracts.ContractError("validation left no trip to train on")
-    results = models.compare_models(features, config, key)
+    results = models.compare_models(dealt, config, key)
     best = models.select_best_model(results)
     model_path = artifacts.save_model(spark, best, out, config, rows)
     artifacts.log_runs(spark, results, best.name, rows, f"{out}/{RUNS_DIR}", model_path)
