@@ -248,3 +248,12 @@ def test_later_passes_read_open_columns_only(spark, monkeypatch):
     assert found.pop((0, 0)) == 0 and found.pop((0, len(x) - 1)) == 2
     assert found == {(1, r): x[r] for r in range(0, len(x), 7)}
     assert asked[0] == ("few", "x") and set(asked[1:]) == {("x",)} and len(asked) <= 6
+
+
+def test_history_keeps_few_running_columns(spark, reference):
+    """Ninety bins need no ninety running sums: three 17-bit counts share a long."""
+    rows = spark.range(0, 40).select(F.col("id").alias("request_id"), F.expr("timestamp_seconds(id)").alias("served_at"),
+                                     *[F.lit(1.0).alias(n) for n in FEATURE_NAMES])
+    plan = drift.drift_history(rows, reference)._jdf.queryExecution().optimizedPlan().toString()
+    bins = sum(len(r.bin_edges) - 1 for r in reference.values())
+    assert plan.count(" AS r") <= bins // 3 + 1 and plan.count("lag(") <= bins // 3 + 1
