@@ -1,7 +1,8 @@
 """M2-M9: three MLlib regressors compared on one stable split, selection, scoring.
 
 Roles follow the reference (a ridge regression, a random forest, an L1 boosted ensemble); the
-learners are MLlib's, so numbers are "same role, not same values". The split is a deterministic
+learners' rules are MLlib's, so numbers are "same role, not same values". The two tree ensembles are
+grown by :mod:`tripparity.operators.trees` into MLlib's models. The split is a deterministic
 hash of the trip key, the same for all three fits.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripparity.functions.numeric import is_finite
+from tripparity.operators import trees
 from tripparity.operators.metrics import METRIC_NAMES, regression_metrics, with_exact_split, with_split
 from tripparity.operators.vector import FEATURE_NAMES
 
@@ -105,7 +107,7 @@ def compare_models(features: DataFrame, config: TrainingConfig | None = None, ke
                    candidates: tuple[str, ...] = CANDIDATES) -> list[CandidateResult]:
     """M5: fit every candidate on the same split and score MAE/RMSE/R^2 on the held-out part.
 
-    ``features`` is read by every fit and better a written table, as in the training job.
+    ``features`` is read by the ridge fit and put into bins for the other two, better a written table, as in the training job.
     """
     config = config or TrainingConfig()
     split = with_exact_split if config.exact_split else with_split
@@ -121,15 +123,21 @@ def compare_models(features: DataFrame, config: TrainingConfig | None = None, ke
     train = data.where(~F.col("is_validation"))
     validation = data.where(F.col("is_validation"))
     built = build_candidates(config, float(stats["train_std"] or 0.0), int(stats["train_n"]))
-    results = []
+    results, binned = [], None
     for order, name in enumerate(candidates):
         estimator = built[name]
-        model = Pipeline(stages=[assembler(), estimator]).fit(train)
+        if name == "ridge":
+            model = Pipeline(stages=[assembler(), estimator]).fit(train)
+        else:
+            binned = binned or trees.binned(train, FEATURE_NAMES, LABEL, config.max_bins)
+            model = PipelineModel([assembler(), trees.fit(train.sparkSession, binned, estimator)])
         row = regression_metrics(model.transform(validation)).collect()[0]
         metrics = {m: float(row[m]) for m in METRIC_NAMES}
         params = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
         params["training_rows"] = str(stats["train_n"])
         results.append(CandidateResult(name, order, model, metrics, params))
+    if binned:
+        trees.release(train.sparkSession, binned)
     return results
 
 
