@@ -157,3 +157,17 @@ def test_linear_contributions_are_additive(spark, table):
     assert np.allclose(ex.predicted_fare_amount, 3.0 + 2.5 * ex.trip_distance_miles)
     assert np.allclose(ex.base_value + ex[[f"shap_{n}" for n in FEATURE_NAMES]].sum(axis=1),
                        ex.predicted_fare_amount)
+
+
+def test_rows_that_a_tree_does_not_tell_apart_share_its_values(spark, table, monkeypatch):
+    model = Pipeline(stages=[models.assembler(), GBTRegressor(labelCol="fare_amount", maxIter=6, maxDepth=4, seed=3)]).fit(table)
+    leaves = explain.leaf_table(spark, model)
+    x = np.tile(np.array(table.select(*FEATURE_NAMES).collect(), float), (4, 1))
+    x[::97, 0], x[1::89, 3] = np.nan, np.inf
+    rows, look_up = [], explain._look_up
+    monkeypatch.setattr(explain, "_look_up", lambda t, some, *a: rows.append(len(some)) or look_up(t, some, *a))
+    together = explain.shap_values(leaves, x)
+    assert len(rows) == 6 and max(rows) < len(x) / 2  # one look-up a tree, for some of the rows
+    assert np.abs(together - look_up(leaves, x, 256, 1_000_000)).max() < 1e-12
+    monkeypatch.setattr(explain, "CELLS_OF_A_TREE", 1)
+    assert np.abs(explain.shap_values(leaves, x) - together).max() < 1e-12

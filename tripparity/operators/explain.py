@@ -5,7 +5,8 @@ tree contributes a product game over the distinct features on its path: with ``z
 training cover that follows the path's conditions on feature j and ``o_j(x)`` whether x satisfies
 them, ``v(S) = value * prod_{j in S} o_j * prod_{j not in S} z_j``. Its Shapley values depend on x only
 through the d bits o_j, so a task computes them once per leaf for all 2^d patterns (d <= 9) and reads
-a row's pattern off per-feature interval vectors: one look-up a leaf, however deep the tree. The leaf
+a row's pattern off per-feature interval vectors: one look-up a leaf, however deep the tree, and once for all
+rows that a tree's thresholds do not tell apart. The leaf
 table is derived from the model a bounded block at a time and shipped to tasks; rows are explained in
 large Arrow batches by ``mapInPandas``, so work scales with partitions.
 
@@ -59,6 +60,11 @@ class LeafGroup:
     upper: np.ndarray      # (L, d) inclusive upper bounds
     zero: np.ndarray       # (L, d) cover fraction following the path's conditions per feature
     value: np.ndarray      # (L,) tree weight x leaf prediction
+    tree: np.ndarray | None = None  # (L,) the leaf's tree, if known
+
+    def take(self, which) -> LeafGroup:
+        rest = (self.features, self.lower, self.upper, self.zero, self.value)
+        return LeafGroup(self.d, *(a[which] for a in rest), None if self.tree is None else self.tree[which])
 
 
 @dataclass
@@ -120,7 +126,7 @@ def _cut(table: LeafTable, most: int):
             if parts[-1].leaves >= most:
                 parts.append(LeafTable([], 0.0, table.n_features))
             take = slice(at, at + most - parts[-1].leaves)
-            parts[-1].groups.append(LeafGroup(g.d, *(a[take] for a in (g.features, g.lower, g.upper, g.zero, g.value))))
+            parts[-1].groups.append(g.take(take))
             at = take.stop
     return parts
 
@@ -165,7 +171,7 @@ def _leaves(saved: DataFrame, weights: list[float], n_features: int) -> LeafTabl
         leaf = at[ends]
         value = np.array([weights[t] for t in tree[leaf]]) * prediction[leaf]
         base += float(sum(value * cover[leaf] / np.array([roots[t] for t in tree[leaf]])))
-        found.append((lower[ends], upper[ends], zero[ends], used[ends], value))
+        found.append((lower[ends], upper[ends], zero[ends], used[ends], value, tree[leaf]))
         at, lower, upper, zero, used = (v[~ends] for v in (at, lower, upper, zero, used))
         sides = []
         for child, goes_left in ((left[at], True), (right[at], False)):
@@ -180,14 +186,15 @@ def _leaves(saved: DataFrame, weights: list[float], n_features: int) -> LeafTabl
             sides.append((child, low, high, z, u))
         at, lower, upper, zero, used = (np.concatenate(pair) for pair in zip(*sides))
 
-    lower, upper, zero, used, value = (np.concatenate(part) for part in zip(*found)) if found else (lower, upper, zero, used, np.zeros(0))
+    lower, upper, zero, used, value, owner = (np.concatenate(part) for part in zip(*found)) if found else (
+        lower, upper, zero, used, np.zeros(0), np.zeros(0, np.int64))
     groups = []
     for d in range(1, n_features + 1):  # a tree of one leaf only shifts the base value
         mine = used.sum(axis=1) == d
         if mine.any():
             features = np.nonzero(used[mine])[1].reshape(-1, d)
             pick = [np.take_along_axis(a[mine], features, axis=1) for a in (lower, upper, zero)]
-            groups.append(LeafGroup(d, features, *pick, value[mine]))
+            groups.append(LeafGroup(d, features, *pick, value[mine], owner[mine]))
     return LeafTable(groups, base, n_features)
 
 
@@ -236,8 +243,8 @@ def interval_bits(group: LeafGroup, n_features: int) -> list[tuple[int, np.ndarr
     return out
 
 
-def shap_values(table: LeafTable, x: np.ndarray, leaves: int = 256, cells: int = 1_000_000) -> np.ndarray:
-    """Contributions (n, n_features) for rows ``x`` (n, n_features); base value not included.
+def _look_up(table: LeafTable, x: np.ndarray, leaves: int, cells: int) -> np.ndarray:
+    """Contributions of all leaves, row by row.
 
     A chunk of leaves at a time: the row's intervals give each leaf's pattern, the pattern its row in
     the leaf's table, so a row costs one look-up a leaf. Not a number goes right at every split, as in
@@ -249,7 +256,7 @@ def shap_values(table: LeafTable, x: np.ndarray, leaves: int = 256, cells: int =
             raise ValueError("a leaf's table has 2^d rows; at most 12 features on a path")
         for start in range(0, len(whole.value), leaves):
             take = slice(start, start + leaves)
-            g = LeafGroup(whole.d, *(a[take] for a in (whole.features, whole.lower, whole.upper, whole.zero, whole.value)))
+            g = whole.take(take)
             size = 2 ** g.d
             tables = np.zeros((len(g.value), size, table.n_features))
             np.put_along_axis(tables, np.broadcast_to(g.features[:, None, :], (len(g.value), size, g.d)), pattern_tables(g.zero, g.value), axis=2)
@@ -264,6 +271,47 @@ def shap_values(table: LeafTable, x: np.ndarray, leaves: int = 256, cells: int =
     return phi
 
 
+def _edges(groups: list[LeafGroup], f: int) -> np.ndarray:
+    bounds = [a[g.features == f] for g in groups for a in (g.lower, g.upper)]
+    edges = np.unique(np.concatenate(bounds)) if bounds else np.zeros(0)
+    return edges[np.isfinite(edges)]
+
+
+def shap_values(table: LeafTable, x: np.ndarray, leaves: int = 256, cells: int = 1_000_000) -> np.ndarray:
+    """Contributions (n, n_features) for rows ``x`` (n, n_features); base value not included.
+
+    A tree's contributions depend on a row only through the cell that its thresholds put the row in. Where many rows share
+    a tree's cells one row of each is explained and the others get its values; all other trees are looked up row by row.
+    """
+    if not len(x) or any(g.tree is None for g in table.groups):
+        return _look_up(table, x, leaves, cells)
+    phi, apart = np.zeros((len(x), table.n_features)), []
+    edges = [_edges(table.groups, f) for f in range(table.n_features)]
+    codes = [np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)]
+    for tree in np.unique(np.concatenate([g.tree for g in table.groups])) if table.groups else ():
+        own = LeafTable([g.take(mine) for g in table.groups if (mine := g.tree == tree).any()], 0.0, table.n_features)
+        cell, size = np.zeros(len(x), np.int64), 1
+        for f, (all_, code) in enumerate(zip(edges, codes)):
+            mine = _edges(own.groups, f)
+            if len(mine) and size <= CELLS_OF_A_TREE:
+                cell += (size * np.searchsorted(mine, np.r_[-np.inf, all_], side="right"))[code]
+                size *= len(mine) + 1
+        if size > CELLS_OF_A_TREE:
+            apart.append(tree)
+            continue
+        first = np.full(size, -1, np.int64)
+        first[cell] = np.arange(len(x))
+        rows = first[first >= 0]
+        if 2 * len(rows) > len(x):
+            apart.append(tree)
+            continue
+        first[first >= 0] = np.arange(len(rows))
+        phi += _look_up(own, x[rows], leaves, cells)[first[cell]]
+    rest = [g.take(mine) for g in table.groups if (mine := np.isin(g.tree, apart)).any()]
+    return phi + _look_up(LeafTable(rest, 0.0, table.n_features), x, leaves, cells) if rest else phi
+
+
+CELLS_OF_A_TREE = 1 << 20  # for which rows are brought together
 ROWS_AT_ONCE = 1 << 16  # rows that share the pattern tables of a block
 
 
@@ -273,11 +321,15 @@ def explain_trees(df: DataFrame, model, keep: tuple[str, ...] = (), prefix: str
     (base + sum of contributions) and one ``shap_<feature>`` column per feature.
 
     The model is applied block by block; between blocks the sums so far are written to the shared
-    folder. ``partitions`` spreads the rows over that many tasks.
+    folder. ``partitions`` spreads the rows over that many tasks; unless given, rows in fewer parts than
+    there are cores are dealt to all cores, as a row costs a look-up a leaf.
     """
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(*keep, *[F.col(f"{prefix}{n}").cast("double").alias(n) for n in FEATURE_NAMES])
+    cores = spark.sparkContext.defaultParallelism
+    if not partitions and rows.rdd.getNumPartitions() < cores:
+        partitions = cores
     rows = rows.repartition(partitions) if partitions else rows
     sums = ["base_value", "predicted_fare_amount", *[f"{SHAP_PREFIX}{n}" for n in FEATURE_NAMES]]
     schema = StructType([f for f in rows.schema.fields if f.name not in FEATURE_NAMES]
